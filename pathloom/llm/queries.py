@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import mixing
+from pathloom.llm import mixing, ogg, packing, url_filter
 
-MODULES = (mixing,)
+MODULES = (mixing, packing, ogg, url_filter)
 
 
 def queries() -> dict:
