@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import mixing, ogg, packing, url_filter
+from pathloom.llm import mixing, ogg, packing, url_filter, warc
 
-MODULES = (mixing, packing, ogg, url_filter)
+MODULES = (mixing, packing, ogg, url_filter, warc)
 
 
 def queries() -> dict:
