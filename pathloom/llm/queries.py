@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import language, mixing, ogg, packing, url_filter, warc
+from pathloom.llm import language, mixing, ogg, packing, quality, url_filter, warc
 
-MODULES = (language, mixing, packing, ogg, url_filter, warc)
+MODULES = (language, mixing, url_filter, quality, packing, warc, ogg)
 
 
 def queries() -> dict:
