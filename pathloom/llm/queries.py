@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import language, mixing, ogg, packing, pii, quality, url_filter, warc
+from pathloom.llm import language, mixing, ogg, packing, pii, quality, search, url_filter, warc
 
-MODULES = (language, mixing, url_filter, quality, packing, warc, ogg, pii)
+MODULES = (language, mixing, url_filter, quality, search, packing, warc, ogg, pii)
 
 
 def queries() -> dict:
