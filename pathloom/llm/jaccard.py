@@ -347,11 +347,18 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each group of near duplicates; rows without an id stay."""
-    kept = written(joined(docs).filter("doc_id = component_id").select("doc_id").distinct())
-    few = kept.count() <= BROADCAST_IDS
-    named = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """``docs`` with the document of the smallest doc_id of each group of near duplicates; rows without an id stay.
+
+    Of rows that repeat this doc_id one stays; only these rare ids take part in the shuffle that drops the others.
+    """
+    kept = written(joined(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        few = ids.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+    once, more = (rows_of(kept.filter(c).select("doc_id")) for c in ("times = 1", "times > 1"))
+    return once.unionByName(more.dropDuplicates(["doc_id"])).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def _op4(spark, sf_dir: str) -> DataFrame:
