@@ -43,11 +43,13 @@ def size_of(text: Column) -> Column:
 def learning_sample(df: DataFrame, label: str, per_label: int, seed: int = 7) -> DataFrame:
     """About ``per_label`` rows of each label value, chosen by a hash of ``doc_id``; null labels are left out.
 
-    The bound is what keeps a fit on the driver small; counting reads the label and id columns only.
+    The bound is what keeps a fit on the driver small. A model has its label values on the driver anyway, so their
+    counts are gathered there too; counting reads the label and id columns only.
     """
     named = df.filter(F.col(label).isNotNull())
-    counts = named.groupBy(label).agg(F.count(F.lit(1)).alias("__rows"))
-    share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("__rows"))
-    kept = counts.select(F.col(label).alias("__label"), share.alias("__share"))
+    counts = [(r[0], r[1]) for r in named.groupBy(label).agg(F.count(F.lit(1))).collect()]
+    if not counts:
+        return named
+    share = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, per_label / n))])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return named.join(kept, F.col(label) == F.col("__label")).filter(draw < F.col("__share")).drop("__label", "__share")
+    return named.filter(draw < F.element_at(share, F.col(label)))

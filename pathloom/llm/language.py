@@ -275,8 +275,9 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = W
     Only documents that are not held out and have text and lang take part. The words are a window of the text whose
     place is drawn by a hash; it is cut on the executors, so the driver gets a bounded number of bytes.
     """
-    open_docs = docs.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sample = learning_sample(open_docs, "lang", per_language)
+    open_docs = docs.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
+    chosen = F.broadcast(learning_sample(open_docs, "lang", per_language).distinct())  # bounded by the parameter
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id")
     size = words * 8
     room = F.greatest(F.length("text") - F.lit(size), F.lit(0)) + 1
     begin = F.pmod(F.xxhash64("doc_id", F.lit(13)), room.cast("long")) + 1
