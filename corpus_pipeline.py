@@ -14,7 +14,7 @@ from pathloom.llm import jaccard, language, mixing, packing, pii
 from pathloom.llm.common import written
 
 #: Documents without letters go, and those whose words are of no one language for the most part.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
