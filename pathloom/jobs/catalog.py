@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.operators import commands
+from pathloom.operators import commands, rings
 
-MODULES = (commands,)
+MODULES = (commands, rings)
 
 
 def queries() -> dict:
