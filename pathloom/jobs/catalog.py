@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.operators import commands, rings
+from pathloom.operators import commands, raster, rings
 
-MODULES = (commands, rings)
+MODULES = (commands, rings, raster)
 
 
 def queries() -> dict:
