@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.operators import commands, raster, rings
+from pathloom.operators import commands, logs, mesh, raster, rings, spatial
 
-MODULES = (commands, rings, raster)
+MODULES = (commands, rings, raster, spatial, mesh, logs)
 
 
 def queries() -> dict:
