@@ -1,0 +1,255 @@
+"""Helpers that need no session, against plain versions of themselves."""
+
+from __future__ import annotations
+
+import io
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pathloom.llm import jaccard, language, ogg, packing, pii, quality, search, warc
+
+
+def slow_crc(data: bytes) -> int:
+    c = 0
+    for b in data:
+        c ^= b << 24
+        for _ in range(8):
+            c = ((c << 1) ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
+    return c
+
+
+@given(st.binary(max_size=300))
+def test_page_checksum_is_the_bitwise_one(data):
+    assert ogg.page_crc(data) == slow_crc(data)
+
+
+@pytest.mark.parametrize("n", [192, 3072, 3 * 3072, 192 * 999, 3072 * 700])
+def test_ogg_round_trip(n):
+    payload = random.Random(n).randbytes(n)
+    media = ogg.encode(payload)
+    back, end = ogg.decode(media)
+    assert back == payload
+    streams = ogg.demultiplex(media)
+    assert len(streams) == 2
+    samples = [sum(len(p) for p, _ in packets[1:]) for packets in streams.values()]
+    assert sum(samples) == n
+    assert end == max(samples) / ogg.RATE
+    assert ogg.feature(back, end).startswith(f"n={n};")
+
+
+def test_ogg_damage_is_found():
+    media = bytearray(ogg.encode(bytes(range(192))))
+    media[-1] ^= 1
+    with pytest.raises(ValueError):
+        ogg.decode(bytes(media))
+    with pytest.raises(ValueError):
+        ogg.decode(ogg.encode(bytes(3072 * 200))[:-3073])
+
+
+def brute_spans(t: str) -> list[tuple[int, int, int]]:
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        total = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d)))
+        if 12 <= len(d) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet="0125678.. @-+ab%()\n", max_size=70))
+def test_patterns_are_the_plain_expressions(text):
+    assert pii.patterns(text)[0] == brute_spans(text)
+
+
+def test_patterns_are_linear_in_hostile_texts():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "@" * 100_000, "a@" * 50_000):
+        pii.patterns(text)
+        pii.tokens(text)
+
+
+def test_message_passing_is_exact_on_trees():
+    rng = np.random.default_rng(0)
+    field, graph, k = pii.Field(), pii.Graph(), len(pii.LABELS)
+    field.pair = rng.normal(size=field.pair.shape)
+    field.unary = rng.normal(size=field.unary.shape)
+    graph.spans, graph.features = [(i, i) for i in range(5)], rng.integers(0, 1 << pii.BITS, size=(5, pii.N_FEATURES)).tolist()
+    graph.label, graph.hidden, graph.edges = [0, 2, 0, 0, 0], [True, False, True, True, True], [(0, 1, 0), (1, 2, 1), (1, 3, 2), (3, 4, 3)]
+    unary = field.unary[np.asarray(graph.features)].sum(axis=1)
+    z = np.zeros((5, k))
+    for y in itertools.product(range(k), repeat=5):
+        if y[1] == 2:
+            w = np.exp(sum(unary[i, y[i]] for i in (0, 2, 3, 4)) + sum(field.pair[t, y[u], y[v]] for u, v, t in graph.edges))
+            for i in range(5):
+                z[i, y[i]] += w
+    old, pii.ROUNDS = pii.ROUNDS, 60
+    try:
+        assert np.allclose(field.beliefs(graph), z / z.sum(axis=1, keepdims=True), atol=1e-6)
+    finally:
+        pii.ROUNDS = old
+
+
+def test_repeated_tokens_share_their_label():
+    texts = [f"call +1 (706) 555-{n:04d} or write a{n}.b@mail.example.com now, room {n} please" for n in range(1000, 1400)]
+    graph = pii.Graph()
+    for t in texts:
+        graph.add(t, *pii.patterns(t))
+    field = pii.Field().fit(np.asarray(graph.features), np.asarray(graph.label), np.asarray(graph.edges))
+    base, every = pii.spans_of(["call +1 (706) 555-3138 now. Later again: (706) 555-3138 is the number."], field)[0]
+    assert len(base) == 1 and len(every) == 2 and every[1][1] == 3
+    assert pii.spans_of(["", "no numbers here", "٣@x"], field) == [([], [])] * 3
+
+
+@pytest.mark.parametrize("n", [1, 5, 37])
+def test_marginals_are_those_of_all_labellings(n):
+    rng = np.random.default_rng(n)
+    e, a, s = rng.normal(size=(n, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    begins = np.zeros(n, dtype=bool)
+    begins[0::9] = True
+    found, expected = language.marginals(e, begins, a, s, counts=True)
+    for lo in range(0, n, 9):
+        part = e[lo : lo + 9]
+        z = np.zeros((len(part), 2))
+        for y in itertools.product(range(2), repeat=len(part)):
+            w = np.exp(s[y[0]] + sum(part[i, k] for i, k in enumerate(y)) + sum(a[i, j] for i, j in zip(y, y[1:])))
+            for i, k in enumerate(y):
+                z[i, k] += w
+        assert np.allclose(found[lo : lo + 9], z / z.sum(axis=1, keepdims=True))
+    assert np.isclose(expected.sum(), n - begins.sum())
+
+
+def test_language_labels_code_switched_words():
+    rng = random.Random(1)
+    en = ["the", "and", "thing", "with", "other", "where", "then", "house"]
+    fr = ["les", "une", "étaient", "leur", "maison", "même", "aux", "très"]
+    texts = [" ".join(rng.choices(w, k=40)) for w in (en, fr) for _ in range(40)]
+    model = language.fit(texts, ["en"] * 40 + ["fr"] * 40)
+    mixed = " ".join(rng.choices(en, k=30) + rng.choices(fr, k=12))
+    found = language.label_texts(model, [mixed, None, "", "123 ...", "été", " ".join(fr * 50_000), "ª"])
+    assert found[0][0] == "en" and 0.5 < found[0][1] < 0.9
+    assert found[1:4] == [("und", 0.0)] * 3
+    assert found[4][0] == "fr" and found[5][0] == "fr" and found[6][0] in ("en", "fr")
+    assert language.label_texts(None, ["text"]) == [("und", 0.0)]
+    assert language.fit([], []) is None
+
+
+def brute_set(text: str) -> set:
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aAbÉé \t\n\x1c", max_size=60), min_size=1, max_size=5))
+def test_shingles_are_those_of_the_words(texts):
+    sets = list(jaccard.shingle_sets(texts))
+    assert [len(s) for s in sets] == [len(brute_set(t)) for t in texts]
+    for a, s in zip(texts, sets):
+        for b, t in zip(texts, sets):
+            assert (set(s.tolist()) == set(t.tolist())) == (brute_set(a) == brute_set(b))
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 7, 9, 12, 16, 20, 25, 33, 40, 46, 47, 58, 59, 75, 120, 240, 600, 1500, 4000])
+def test_sets_at_the_limit_share_a_signature(n):
+    rng = np.random.default_rng(n)
+    for _ in range(40):
+        size = int(rng.integers(n, n * 5 // 4 + 1))
+        both = -(-4 * (n + size) // 9)
+        if both > n:
+            continue
+        a = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+        b = np.concatenate([a[:both], rng.integers(0, 1 << 64, size=size - both, dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        assert jaccard.similar(a, b)
+        differing = len(np.setxor1d(a, b))
+        assert not differing or len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
+        assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard.sketch(a) ^ jaccard.sketch(b)) <= differing
+        assert abs(jaccard.band(len(a)) - jaccard.band(len(b))) <= 1
+
+
+def test_first_fit_decreasing_is_the_plain_one():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 50, 300):
+        sizes = [rng.randint(1, 100) for _ in range(n)]
+        room, want = [], [0] * n
+        for i in sorted(range(n), key=lambda i: (-sizes[i], i)):
+            at = next((b for b, r in enumerate(room) if r >= sizes[i]), len(room))
+            if at == len(room):
+                room.append(100)
+            room[at] -= sizes[i]
+            want[i] = at
+        assert packing.first_fit_decreasing(sizes, 100) == want
+
+
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+    import public_tokenizers as public
+
+    full, enc = Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.encoder(None)
+    for text in ("", " ", "a  b", "x \n y\n\n z", " lead", "tail ", "it's 1999's", "été ñandú — ok", "a<|endoftext|>b", "\t\ta b", "a  b", "a\x1c b c"):
+        assert np.frombuffer(enc.ids(text), dtype="<u4").tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_loser_tree_merges_like_sorting():
+    rng = random.Random(3)
+    for k in (0, 1, 2, 3, 7, 16):
+        runs = [sorted((rng.choice("abcdef"), r, i) for i in range(rng.randint(0, 20))) for r in range(k)]
+        merged = list(warc.LoserTree([iter(r) for r in runs]))
+        assert [m[0] for m in merged] == sorted(m[0] for r in runs for m in r)
+        assert sorted(merged) == sorted(m for r in runs for m in r)
+
+
+def test_warc_records_read_back():
+    rows = [(1, "http://a.b/c", "x" * 200, None), (2, None, None, None), (None, "u\r\nv", "é", None), (3, "http://a.b/c", "x" * 200, 1)]
+    data = b"".join(warc.record(*r, "00") for r in rows)
+    found = list(warc.read_records(io.BytesIO(data)))
+    assert [f[1]["WARC-Type"] for f in found] == ["response", "response", "response", "revisit"]
+    assert [f[2].decode() for f in found] == ["x" * 200, "", "é", ""]
+    assert [f[1]["X-Payload-Length"] for f in found] == ["200", "0", "2", "200"]
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(data[:-3])))
+
+
+@pytest.mark.parametrize("width", [3, 40])
+def test_dual_search_is_exact(width):
+    rng = np.random.default_rng(width)
+    rows, ids = rng.integers(-50, 50, size=(900, width)), np.arange(900)
+    rows[:100] = rows[0]
+    queries = search.CoverTree(ids[::30], rows[::30])
+    best = search.Best(len(queries.ids), 5, np.full(len(queries.ids), search.LOWEST + 1))
+    search.dual_search(queries, search.CoverTree(ids, rows), best)
+    for i, q in enumerate(queries.ids):
+        scores = rows @ rows[q]
+        others = sorted((-s, d) for d, s in enumerate(scores) if d != q)[:5]
+        assert [(-s, d) for s, d in others] == list(zip(best.score[i], best.id[i]))
+
+
+def test_cover_tree_radii_cover():
+    rng = np.random.default_rng(5)
+    tree = search.CoverTree(np.arange(500), rng.integers(-9, 9, size=(500, 4)))
+
+    def walk(node):
+        away = np.sqrt(((tree.rows[node.lo : node.hi] - node.center) ** 2).sum(axis=1))
+        assert away.max() <= node.radius + 1e-9
+        assert not node.children or (node.children[0].lo == node.lo and node.children[-1].hi == node.hi)
+        for c in node.children:
+            walk(c)
+
+    walk(tree.root)
+
+
+def test_rules_separate_and_are_few():
+    rng = np.random.default_rng(1)
+    x = rng.random((1500, len(quality.STATISTICS)))
+    y = ((x[:, 2] > 0.6) & (x[:, 5] <= 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert ((model.predict(x) >= 0.5) == y).mean() > 0.98
+    assert 0 < len(model.rules) < 200
+    assert quality.fit(x[:0], y[:0]).rules == [] and quality.fit(x[:3], np.ones(3)).predict(x[:1])[0] > 0.9

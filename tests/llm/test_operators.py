@@ -1,0 +1,291 @@
+"""Operators on small tables with nulls, ties, repeated rows, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pathloom.llm import common, jaccard, language, mixing, ogg, packing, pii, quality, search, url_filter, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b for a in ("the", "an", "or", "er", "st", "ing") for b in ("ea", "ou", "ti", "re", "sh", "ble")]
+
+
+def some_docs(n: int = 60, seed: int = 1) -> list[tuple]:
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = " ".join(rng.choices(WORDS, k=rng.choice((3, 12, 80, 400))))
+        rows.append((i, text, rng.choice(("en", "fr", None)), rng.choice(("a", "b", "c", None)), len(text)))
+    rows += [(n, None, "en", "a", None), (n + 1, "", "en", "zz", 0), (n + 2, rows[5][1], "en", "b", 1), (n + 3, rows[5][1] + " end", "en", "b", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(some_docs(), SCHEMA).cache()
+
+
+def clashing(df):
+    """Extra columns under names that operators might use themselves."""
+    return df.withColumns({c: F.lit("x") for c in ("size", "target", "n", "sig", "component", "draw", "bucket", "score", "label", "block", "media", "__n")})
+
+
+def water_level(sizes: dict, share: float, weights, most: float) -> dict:
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, rest = {}, dict(weight), share * sum(sizes.values())
+    while left:
+        level = rest / sum(left.values())
+        above = [s for s in left if level * weight[s] > most * sizes[s]]
+        for s in above or list(left):
+            target[s] = most * sizes[s] if above else level * weight[s]
+            rest -= target[s]
+            del left[s]
+    return target
+
+
+def test_mix_meets_its_targets(docs):
+    rows = mixing.taken(*mixing.mix(clashing(docs), block=64)).collect()
+    assert len(rows) == docs.count()
+    per, size = {}, {}
+    for r in rows:
+        want = len(re.findall(r"[^\x20\x09-\x0D]+", next(t for d, t, *_ in some_docs() if d == r["doc_id"]) or ""))
+        assert r["size"] == want and 0 <= r["taken"] <= 2 * r["size"]
+        per[r["source"]] = per.get(r["source"], 0) + r["taken"]
+        size[r["source"]] = size.get(r["source"], 0) + r["size"]
+    want = water_level(size, 1.5, (5, 2, 1), 2)
+    for r in rows:
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
+    assert all(abs(per[s] - want[s]) <= 1 for s in want)
+
+
+def test_mix_is_the_same_again_and_in_any_partitions(docs, spark):
+    once = sorted(map(tuple, mixing.taken(*mixing.mix(docs)).select("doc_id", "taken").collect()))
+    assert once == sorted(map(tuple, mixing.taken(*mixing.mix(docs.repartition(7))).select("doc_id", "taken").collect()))
+    assert mixing.taken(*mixing.mix(docs.limit(0))).count() == 0
+
+
+def test_mix_of_repeated_rows_and_schedule_spread(spark):
+    df = spark.createDataFrame([(1, "a b c", "en", "s", 5)] * 4 + [(2, "d e", "en", "t", 3)], SCHEMA)
+    rows = mixing.taken(*mixing.mix(df)).collect()
+    assert len(rows) == 5 and sum(r["taken"] for r in rows) == pytest.approx(1.5 * 14, abs=1)
+    out = mixing.repeated(df)
+    assert out.columns == df.columns and out.count() >= 5
+    pieces = mixing.mix(spark.createDataFrame([(i, "w " * 500, "en", "ab"[i % 2], 0) for i in range(40)], SCHEMA), weights=(1.0, 1.0), block=100)[1]
+    first = [r["source"] for r in pieces.filter("start % 100 = 0").orderBy("slot").limit(40).collect()]
+    assert 12 <= first.count("a") <= 28
+
+
+def test_language_of_all_rows(docs):
+    model = language.learn(docs, per_language=50)
+    found = {r["doc_id"]: r for r in language.identify(clashing(docs), model).collect()}
+    assert len(found) == docs.count()
+    for i, text, *_ in some_docs():
+        r = found[i]
+        assert (r["lang_pred"] == "und") == (not text) and 0 <= r["score"] <= 1
+    assert language.learn(docs.limit(0)) is None
+    assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
+
+
+def test_held_out_is_the_crc_of_the_id(spark):
+    rows = spark.range(50).select("id", common.held_out("id").alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
+    assert spark.range(1).select(common.held_out(F.lit(None).cast("long")).alias("h")).first()["h"] is False
+
+
+URLS = [
+    ("http://WWW.Example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+    ("http://a.example.com/en/1?x", "a.example.com", "/en/1", "example.com/en/", "block"),
+    ("http://a.example.com/fr/1#y", "a.example.com", "/fr/1", "com/", "allow"),
+    ("https://x.net/es/", "x.net", "/es/", "net/es/", "block"),
+    ("https://xnet/es/", "xnet", "/es/", None, "allow"),
+    ("https://com", "com", "", None, "allow"),
+    ("a://b://c/d", "b:", "//c/d", None, "allow"),
+    ("no scheme", "", "", None, "allow"),
+    (None, "", "", None, "allow"),
+    ("", "", "", None, "allow"),
+]
+
+
+def test_urls_and_rules(spark):
+    df = spark.createDataFrame([(i, u[0]) for i, u in enumerate(URLS)], "page_id long, url string")
+    rows = url_filter.judge(clashing(df).withColumn("host", F.lit("h"))).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows] == [u[1:] for u in URLS]
+    assert url_filter.judge(df.limit(0)).count() == 0
+    assert url_filter.judge(df.union(df)).count() == 2 * len(URLS)
+
+
+def test_templates_block_their_unlabelled_kin(spark):
+    rules = (("block", "bad.org", "/ads/a"), ("allow", "bad.org", "/news/a"))
+    urls = [f"http://bad.org/{k}/{s}{i}" for k in ("ads", "news") for s in "ab" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r["path"]: r for r in url_filter.judge(df, rules).collect()}
+    assert rows["/ads/b7"]["rule"] is None and rows["/ads/b7"]["template"] in ("/ads/b<n>", "/ads/*")
+    assert {r["verdict"] for p, r in rows.items() if p.startswith("/news")} == {"allow"}
+    assert {r["verdict"] for p, r in rows.items() if p.startswith("/ads/a")} == {"block"}
+
+
+def brute_components(rows: list[tuple]) -> dict:
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = {d: shingles(t) for d, t in rows}
+    comp = {d: d for d in sets}
+    changed = True
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(comp[a], comp[b])
+            if comp[a] != low or comp[b] != low:
+                comp[a] = comp[b] = low
+                changed = True
+    return {d: (len(sets[d]), comp[d]) for d in sets}
+
+
+def near_copies(seed: int) -> list[tuple]:
+    rng, rows = random.Random(seed), []
+    passage = " ".join(f"p{i}" for i in range(60))
+    for g in range(12):
+        base = [rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(rng.choice((4, 9, 30, 60, 150, 500)))]
+        for _ in range(rng.choice((1, 2, 9))):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(1, len(w) // 18) + 1)):
+                w[rng.randrange(len(w))] = "x" + str(rng.randrange(9999))
+            rows.append((len(rows), " ".join(w).upper() if rng.random() < 0.2 else "\n".join(w)))
+    rows += [(len(rows) + i, passage + f" tail{i} " + " ".join(f"{i}q{j}" for j in range(90))) for i in range(8)]
+    rows += [(len(rows) + i, t) for i, t in enumerate((None, "", " \t", "one two", "ONE  two", "one two three"))]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_is_the_brute_one(spark, seed):
+    rows = near_copies(seed)
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(df).collect()}
+    assert found == brute_components(rows)
+
+
+def test_jaccard_join_of_nothing_and_of_copies(spark, docs):
+    assert jaccard.joined(docs.limit(0)).count() == 0
+    text = " ".join(WORDS * 3)
+    df = spark.createDataFrame([(i, text if i % 2 else text.upper(), "en", "s", 1) for i in range(300)] + [(7, text, "en", "s", 1), (None, text, "en", "s", 1)], SCHEMA)
+    rows = jaccard.joined(df).collect()
+    assert len(rows) == 302 and {r["component_id"] for r in rows} == {0, None}
+    kept = jaccard.one_of_each(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept) == [(False, 0), (True, None)]
+
+
+def test_quality_scores_are_the_compiled_rules(docs, spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(WORDS, k=60)) if i % 2 else " | ".join(rng.choices(WORDS, k=30)) + "!!", "en", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)] + [(0, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.learn(df, labels)
+    scored = quality.classify(clashing(df.unionByName(docs.select(*df.columns))), model).collect()
+    stats = np.asarray([quality.statistics_of(r["text"]) for r in scored])
+    assert np.allclose([r["score"] for r in scored], model.predict(stats), atol=1e-9)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in scored)
+    hits = [(r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in scored if r["source"] == "s"]
+    assert np.mean(hits) > 0.97
+    assert quality.classify(docs.limit(0), model).count() == 0
+    assert {r["score"] for r in quality.classify(docs, quality.learn(df, labels.limit(0))).collect()} == {0.5}
+
+
+def test_search_is_the_brute_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[0][1]) for i in range(50)] + [(450, None), (451, [None] * 8), (452, [float("nan")] * 8), (453, [float("inf")] + [0.0] * 7), (500, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in search.top_k(clashing(df), F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    good = {i: np.floor(256 * np.asarray(v, dtype=np.float32).astype(float)).astype(int) for i, v in rows if i not in (450, 451, 452, 453)}
+    for q in (i for i in good if i % 50 == 0):
+        best = sorted((-int(v @ good[q]), i) for i, v in good.items() if i != q)[:5]
+        assert [found[q][k + 1] for k in range(5)] == [(-s, i) for s, i in best]
+    assert set(found) == {i for i in good if i % 50 == 0}
+    assert search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    few = search.top_k(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
+    assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
+
+
+def test_packing_keeps_every_id_once(docs):
+    rows = packing.packed(clashing(docs), keep_ids=True).collect()
+    enc, by_doc, by_seq = packing.encoder(None), {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+    for i, text, *_ in some_docs():
+        whole = b"".join(x for _, x in sorted(by_doc[i]))
+        assert whole == (enc.ids(text) if text else b"") + bytes(4)
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    p = packing.padding(packing.packed(docs, keep_ids=False)).first()
+    assert p["tokens"] == sum(r["length"] for r in rows)
+    assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_archives_come_back_in_order(spark):
+    html = ["<p>" + "x" * 200, None, "", "short", "<p>é" + "y" * 150]
+    rows = [(i, f"http://h{i % 3}.example.com/{i % 4}", html[i % 5]) for i in range(60)] + [(3, None, html[0]), (3, None, html[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.archived(clashing(df)).orderBy("range", "position").collect()
+    assert [r["key"] for r in found] == sorted(r["key"] for r in found) and len(found) == len(rows)
+    first = {}
+    for i, _, h in rows:
+        first[h or ""] = min(first.get(h or "", 10**9), i)
+    want = sorted((i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", first[h]) if len((h or "").encode()) >= 100 and first[h] != i else ("response", -1))) for i, _, h in rows)
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"]) for r in found) == want
+    assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_runs_are_merged_in_several_passes(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i * 7919 % 200}", f"page {i}") for i in range(200)], "page_id long, url string, html string").repartition(5)
+    folder = common.shared_dir(spark)
+    files = common.written(warc.write_archives(warc.record_types(df), folder))
+    runs = common.written(warc.sorted_runs(files, folder, run_rows=9))
+    assert runs.count() > 20
+    rows = warc.merged(runs, folder, fan_in=4, range_rows=30).orderBy("range", "position").collect()
+    assert [r["key"] for r in rows] == sorted(r["key"] for r in rows) and sorted(r["page_id"] for r in rows) == list(range(200))
+    assert len({r["range"] for r in rows}) > 3
+
+
+def test_media_columns(docs):
+    rows = ogg.read_back(ogg.stored(clashing(docs).drop("media"))).select("doc_id", "n_bytes", "media", "__read.*").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        raw = (next(t for d, t, *_ in some_docs() if d == r["doc_id"]) or "").encode()
+        full = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
+
+
+def test_personal_data_digest_and_redaction(spark, docs):
+    rows = [(i, f"write to a{i}.b@mail.example.com or call +1 (706) 555-{1000 + i} from 10.0.{i % 200}.7 with 4111111111111111 ok") for i in range(120)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    field = pii.learn(df)
+    out = {r["doc_id"]: r for r in pii.digest(clashing(df), field).collect()}
+    assert len(out) == len(rows)
+    for i, text in rows:
+        base = pii.patterns(text or "")[0]
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert out[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) <= set(out[i]["spans"].split(","))
+        assert [out[i][f"n_{k}"] for k in pii.KINDS] == [sum(1 for b in base if b[1] == j) for j in range(4)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df, field).collect()}
+    assert clean[0] == "write to [EMAIL] or call [PHONE] from [IP] with [CARD] ok" and clean[200] is None and clean[201] == ""
+    assert pii.digest(df.limit(0), pii.learn(df.limit(0))).count() == 0
