@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.operators import commands, logs, mesh, raster, rings, spatial
+from pathloom.operators import commands, logs, mesh, raster, rings, spatial, transforms
 
-MODULES = (commands, rings, raster, spatial, mesh, logs)
+MODULES = (commands, rings, raster, spatial, mesh, logs, transforms)
 
 
 def queries() -> dict:
