@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows handed to a Python worker at a time by operators on whole texts.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts to Python workers in small batches, unless it sets a size of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # the default, which is many megabytes of texts
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where the session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.llm.common import written
+from pathloom.llm.common import bounded_batches, written
 
 N_WORDS = 5
 #: Similarity as a fraction: links have 100 * intersection >= 80 * union.
@@ -225,7 +225,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield out
 
     schema = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(measure, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(measure, schema)
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     def frame(sigs: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
         return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc_id": np.repeat(np.asarray(ids, dtype=np.int64), [len(x) for x in sigs])})
 
-    named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = bounded_batches(docs).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return named.mapInPandas(send, "sig long, doc_id long")
 
 
@@ -268,7 +268,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = written(pairs)
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     with_a = pairs.join(texts.toDF("a", "text_a"), "a")
     both = with_a.join(texts.toDF("b", "text_b"), "b")
 

@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out, learning_sample
+from pathloom.llm.common import bounded_batches, held_out, learning_sample
 
 #: Bits of the hashed tables: pairs, triples, quadruples, whole words.
 BITS = (13, 15, 15, 16)
 #: Bound of the learning sample: documents of each language, and words of one document.
 DOCS_PER_LANGUAGE, WORDS_PER_DOC = 200, 200
 #: Code points handled at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def label(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(label_texts(model, [t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
 
-    named = docs.withColumn("__label", label(F.col(text).cast("string")))
+    named = bounded_batches(docs).withColumn("__label", label(F.col(text).cast("string")))
     return named.withColumn("lang_pred", F.col("__label.lang_pred")).withColumn("score", F.col("__label.score")).drop("__label")
 
 

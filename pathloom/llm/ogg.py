@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import bounded_batches
+
 #: Samples in a packet, and the nominal rate that turns granule positions into seconds.
 PACKET, RATE, UNIT = 3072, 8000, 192
 MAGIC = b"\x01pcm8u"
@@ -170,7 +172,7 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
             rows.append((len(raw), encode(raw + b" " * ((-len(raw)) % UNIT or (0 if raw else UNIT)))))
         return pd.DataFrame(rows, columns=["n_bytes", "media"])
 
-    return docs.withColumn("__stored", write(F.col(text).cast("string"))).withColumn("n_bytes", F.col("__stored.n_bytes")).withColumn("media", F.col("__stored.media")).drop("__stored")
+    return bounded_batches(docs).withColumn("__stored", write(F.col(text).cast("string"))).withColumn("n_bytes", F.col("__stored.n_bytes")).withColumn("media", F.col("__stored.media")).drop("__stored")
 
 
 def read_back(rows: DataFrame, media: str = "media") -> DataFrame:
@@ -184,7 +186,7 @@ def read_back(rows: DataFrame, media: str = "media") -> DataFrame:
             out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload, end)))
         return pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return rows.withColumn("__read", read(F.col(media)))
+    return bounded_batches(rows).withColumn("__read", read(F.col(media)))
 
 
 def _op9(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import bounded_batches
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Documents in a group on average, and sequence numbers kept for each group.
 GROUP_DOCS = 4096
@@ -144,7 +146,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 0, files:
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 

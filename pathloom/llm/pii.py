@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Hash bits of token features; bound of the learning sample: documents, and nodes of one document.
@@ -266,7 +268,7 @@ def learn(docs: DataFrame, most: int = SAMPLE_DOCS, nodes: int = SAMPLE_NODES) -
 
     Graphs are built on the executors; the driver gets feature numbers, labels and edges of the sample.
     """
-    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    marked = bounded_batches(docs).filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     share = min(1.0, most / max(1, docs.count()))
     drawn = marked.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.lit(share))
 
@@ -317,7 +319,7 @@ def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": (s, k, e) in known} for s, k, e in every])
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("pii", spans(F.col(text).cast("string")))
+    return bounded_batches(docs).withColumn("pii", spans(F.col(text).cast("string")))
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
@@ -337,7 +339,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 out.append("".join([*pieces, t[at:]]) if isinstance(column.iloc[i], str) else None)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("text", clean(F.col("text").cast("string")))
+    return bounded_batches(docs).withColumn("text", clean(F.col("text").cast("string")))
 
 
 def digest(docs: DataFrame, field: Field) -> DataFrame:

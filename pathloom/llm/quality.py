@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out, learning_sample
+from pathloom.llm.common import bounded_batches, held_out, learning_sample
 
 #: Bound of the learning sample: rows of each label.
 ROWS_PER_LABEL = 3000
@@ -57,7 +57,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def measure(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics_of(t if isinstance(t, str) else None) for t in texts], columns=list(STATISTICS))
 
-    return docs.withColumn("__stats", measure(F.col(text).cast("string")))
+    return bounded_batches(docs).withColumn("__stats", measure(F.col(text).cast("string")))
 
 
 @dataclass

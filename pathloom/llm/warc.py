@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import shared_dir, written
+from pathloom.llm.common import bounded_batches, shared_dir, written
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     n += 1
         yield pd.DataFrame({"file": [name], "records": [n]})
 
-    return pages.mapInPandas(write, "file string, records long")
+    return bounded_batches(pages).mapInPandas(write, "file string, records long")
 
 
 def read_records(source) -> Iterator[tuple[int, dict[str, str], bytes]]:
