@@ -61,15 +61,20 @@ def bezier_at(p0: Column, c1: Column, c2: Column, p1: Column, t: Column) -> Colu
     return u * u * u * p0 + F.lit(3.0) * u * u * t * c1 + F.lit(3.0) * u * t * t * c2 + t * t * t * p1
 
 
-def bezier_length(x0, y0, c1x, c1y, c2x, c2y, x1, y1) -> Column:
-    """Length by chords of about 0.1 along the control polygon, two at least."""
+def bezier_steps(x0, y0, c1x, c1y, c2x, c2y, x1, y1) -> Column:
+    """Chords for a length: about 0.1 of the control polygon each, two at least."""
     rough = hypot(c1x - x0, c1y - y0) + hypot(c2x - c1x, c2y - c1y) + hypot(x1 - c2x, y1 - c2y)
-    steps = F.greatest(F.ceil(rough / 0.1), F.lit(2)).cast("int")
-    def point(i):  # noqa: E306
-        t = i.cast("double") / steps
-        return F.struct(bezier_at(x0, c1x, c2x, x1, t).alias("x"), bezier_at(y0, c1y, c2y, y1, t).alias("y"))
-    chord = F.transform(F.sequence(F.lit(1), steps), lambda i: hypot(point(i)["x"] - point(i - 1)["x"], point(i)["y"] - point(i - 1)["y"]))
-    return F.aggregate(chord, F.lit(0.0), lambda s, d: s + d)
+    return F.greatest(F.ceil(rough / 0.1), F.lit(2)).cast("int")
+
+
+def bezier_length(steps: Column, x0, y0, c1x, c1y, c2x, c2y, x1, y1) -> Column:
+    """Length by ``steps`` chords; ``steps`` and the points should be plain columns, as they are used for every chord."""
+    def add(acc, i):  # noqa: E306
+        t = i / steps
+        x, y = bezier_at(x0, c1x, c2x, x1, t), bezier_at(y0, c1y, c2y, y1, t)
+        return F.struct(x.alias("x"), y.alias("y"), (acc["d"] + hypot(x - acc["x"], y - acc["y"])).alias("d"))
+    start = F.struct(x0.alias("x"), y0.alias("y"), F.lit(0.0).alias("d"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, add, lambda acc: acc["d"])
 
 
 def on_segment(px, py, ax, ay, bx, by) -> tuple[Column, Column, Column, Column]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathloom.operators import commands, logs, mesh, raster, rings, spatial, transforms
+from pathloom.operators import commands, iterative, logs, mesh, raster, rings, spatial, transforms
+from pathloom.sources import documents
 
-MODULES = (commands, rings, raster, spatial, mesh, logs, transforms)
+MODULES = (commands, rings, raster, spatial, mesh, logs, transforms, documents, iterative)
 
 
 def queries() -> dict:

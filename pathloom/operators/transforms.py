@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.geometry import TAU, bezier_at, bezier_length, hypot
+from pathloom.functions.geometry import TAU, bezier_at, bezier_length, bezier_steps, hypot
 from pathloom.functions.windows import ffill, ordered, so_far
 from pathloom.operators import commands as ops
 from pathloom.operators.commands import by_job, is_, is_moving, rounded
@@ -190,10 +190,12 @@ def smoothed(df: DataFrame, amount: int) -> DataFrame:
 
 def bezier_measures(rings: DataFrame) -> DataFrame:
     """Length and midpoint of the cubic curve through each run of four vertices, as its control polygon."""
+    names = ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")
     p = edges(rings).withColumns({"qx": F.col("mx") + F.col("nx") - F.col("x"), "qy": F.col("my") + F.col("ny") - F.col("y")})
-    args = [F.col(c) / 10 for c in ("x", "y", "nx", "ny", "mx", "my", "qx", "qy")]
-    half = F.lit(0.5)
-    return p.select("ring_id", "seq", bezier_length(*args).alias("length"), bezier_at(*args[0::2], half).alias("bx"), bezier_at(*args[1::2], half).alias("by"))
+    p = p.select("ring_id", "seq", *[(F.col(c) / 40).alias(n) for c, n in zip(("x", "y", "nx", "ny", "mx", "my", "qx", "qy"), names)])
+    args, half = [F.col(n) for n in names], F.lit(0.5)
+    p = p.withColumn("steps", bezier_steps(*args))
+    return p.select("ring_id", "seq", bezier_length(F.col("steps"), *args).alias("length"), bezier_at(*args[0::2], half).alias("bx"), bezier_at(*args[1::2], half).alias("by"))
 
 
 @dataclass(frozen=True)
@@ -288,7 +290,7 @@ QUERIES = {
     "command_fluence": _q(lambda d: fluence(d, 40.0, 0.1, 0.2, 50.0)),
     "tangential_headings": _q(lambda d: headings(d, 30.0), digits=4),
     "smooth_paths": _q(lambda d: smoothed(d, 10)),
-    "bezier_measures": _q(bezier_measures, "rings", digits=5),
+    "bezier_measures": _q(bezier_measures, "rings", digits=8),
     "layout_fitness": _candidates,
     "largest_rings": _q(_largest, "rings"),
     "transformers": _q(lambda d: apply_transformers(d, [_UP, _DOUBLE]).select("job_id", "seq", "x")),
@@ -357,9 +359,9 @@ ORACLE_SQL["largest_rings"] = f"""{cte('rings')}, e AS (SELECT *, lead(x) OVER w
  b AS (SELECT geom_id, ring_id, abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 AS area FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY area DESC, ring_id) AS rank FROM b)
  SELECT geom_id, ring_id, round(area, 6) AS area, rank FROM r WHERE rank <= 3"""
 ORACLE_SQL["bezier_measures"] = f"""{cte('rings')}, n AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY ring_id) AS n FROM rings),
- c AS (SELECT a.ring_id, a.seq, a.x / 10 AS x0, a.y / 10 AS y0, b.x / 10 AS x1, b.y / 10 AS y1, c.x / 10 AS x2, c.y / 10 AS y2, (c.x + b.x - a.x) / 10 AS x3, (c.y + b.y - a.y) / 10 AS y3 FROM n a JOIN n b ON b.ring_id = a.ring_id AND b.i = a.i % a.n + 1 JOIN n c ON c.ring_id = a.ring_id AND c.i = (a.i + 1) % a.n + 1),
+ c AS (SELECT a.ring_id, a.seq, a.x / 40 AS x0, a.y / 40 AS y0, b.x / 40 AS x1, b.y / 40 AS y1, c.x / 40 AS x2, c.y / 40 AS y2, (c.x + b.x - a.x) / 40 AS x3, (c.y + b.y - a.y) / 40 AS y3 FROM n a JOIN n b ON b.ring_id = a.ring_id AND b.i = a.i % a.n + 1 JOIN n c ON c.ring_id = a.ring_id AND c.i = (a.i + 1) % a.n + 1),
  k AS (SELECT *, greatest(2, ceil((sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) + sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + sqrt((x3 - x2) ** 2 + (y3 - y2) ** 2)) / 0.1))::INT AS k FROM c),
  t AS (SELECT *, unnest(range(k + 1)) / k AS t FROM k), p AS (SELECT ring_id, seq, t, (1 - t) ** 3 * x0 + 3 * (1 - t) ** 2 * t * x1 + 3 * (1 - t) * t ** 2 * x2 + t ** 3 * x3 AS x, (1 - t) ** 3 * y0 + 3 * (1 - t) ** 2 * t * y1 + 3 * (1 - t) * t ** 2 * y2 + t ** 3 * y3 AS y FROM t),
  d AS (SELECT ring_id, seq, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM p WINDOW w AS (PARTITION BY ring_id, seq ORDER BY t)),
  l AS (SELECT ring_id, seq, sum(d) AS length FROM d GROUP BY ALL)
- SELECT ring_id, seq, round(length, 5) AS length, round((x0 + 3 * x1 + 3 * x2 + x3) / 8, 5) AS bx, round((y0 + 3 * y1 + 3 * y2 + y3) / 8, 5) AS by FROM l JOIN c USING (ring_id, seq)"""
+ SELECT ring_id, seq, round(length, 8) AS length, round((x0 + 3 * x1 + 3 * x2 + x3) / 8, 8) AS bx, round((y0 + 3 * y1 + 3 * y2 + y3) / 8, 8) AS by FROM l JOIN c USING (ring_id, seq)"""
