@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write and reread below ``spark.checkpoint.dir``; a temporary folder is set only where the session has none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where the session has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-loops-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write and reread in the shared folder."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

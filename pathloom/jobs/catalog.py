@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pathloom.operators import commands, iterative, logs, mesh, raster, rings, spatial, transforms
 from pathloom.sources import documents
+from pathloom.streaming import commands as streams
 
-MODULES = (commands, rings, raster, spatial, mesh, logs, transforms, documents, iterative)
+MODULES = (commands, rings, raster, spatial, mesh, logs, transforms, documents, iterative, streams)
 
 
 def queries() -> dict:

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pathloom.functions.loops import shared_folder
+from pathloom.operators import commands as ops
 from pathloom.operators import raster
+from pathloom.operators.commands import rounded
+from pathloom.sources.derive import cte, table
 
 OUT = "job_id long, seq long, cmd string, power double, feed_rate double, distance double"
 #: Next seq, power, feed rate, last x and y, distance so far, and rows that wait for a gap to close.
@@ -21,9 +25,6 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     """Rows of a job in the order of ``seq``; rows that come early wait in the state until the gap closes."""
     import io
 
-    if state.hasTimedOut:
-        state.remove()
-        return
     at, power, feed, x, y, distance, blob = state.get if state.exists else (0, 0.0, None, None, None, 0.0, None)
     rows = pd.concat([*batches, *([pd.read_json(io.BytesIO(blob), orient="records", lines=True)] if blob else [])], ignore_index=True)
     rows = rows.sort_values("seq", kind="stable").drop_duplicates("seq")
@@ -45,14 +46,29 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     left = rows.iloc[done:]
     waiting = left[["seq", "cmd", "x", "y", "val"]].to_json(orient="records", lines=True).encode() if len(left) else None
     state.update((at, power, feed, x, y, distance, waiting))
-    state.setTimeoutDuration(24 * 3600 * 1000)
     yield pd.DataFrame(out, columns=["job_id", "seq", "cmd", "power", "feed_rate", "distance"])
 
 
-def running_state(stream: DataFrame) -> DataFrame:
-    """State and distance so far after each command of an unbounded stream ``(job_id, seq, cmd, x, y, val)``."""
+def _expiring(milliseconds: int):
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from _advance(key, batches, state)
+        state.setTimeoutDuration(milliseconds)
+
+    return advance
+
+
+def running_state(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """State and distance so far after each command of an unbounded stream ``(job_id, seq, cmd, x, y, val)``.
+
+    With ``idle_ms``, jobs without rows for so long are forgotten; without, their state stays (and a run over what
+    is available comes to its end).
+    """
     rows = stream.select("job_id", "seq", "cmd", "x", "y", "val")
-    return rows.groupBy("job_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("job_id").applyInPandasWithState(_expiring(idle_ms) if idle_ms else _advance, OUT, STATE, "append", timeout)
 
 
 def newest_requests(stream: DataFrame) -> DataFrame:
@@ -67,3 +83,39 @@ def scan_slabs(stream: DataFrame, path: str, checkpoint: str):
         raster.scan_rows(raster.power(batch, 0.1, 0.9, 16)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(slab).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# Queries: a derived table becomes files of a stream, which runs until they are read ---------------------------------
+
+
+def _streamed(rows: DataFrame, files: int) -> DataFrame:
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession)
+    rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _carried(spark, sf_dir: str) -> DataFrame:
+    out = shared_folder(spark)
+    live = running_state(_streamed(table(spark, sf_dir, "commands"), 4))
+    live.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(OUT).parquet(out))
+
+
+def _newest(spark, sf_dir: str) -> DataFrame:
+    out = shared_folder(spark)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch:06d}")
+
+    live = newest_requests(_streamed(table(spark, sf_dir, "requests").groupBy("req_key", "generation").agg(F.min("payload").alias("payload")), 4))
+    live.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    return rounded(rows.groupBy("req_key").agg(F.max("generation").alias("generation"), F.max_by("payload", F.struct("generation", "epoch")).alias("payload")))
+
+
+QUERIES = {"stream_running_state": _carried, "stream_newest_requests": _newest}
+ORACLE_SQL = {
+    "stream_running_state": f"""{cte('commands')}, p AS (SELECT *, {ops._lag('x')} AS px, {ops._lag('y')} AS py, coalesce({ops._set('SET_POWER')}, 0) AS power, {ops._set('SET_FEED_RATE')} AS feed_rate FROM commands)
+ SELECT job_id, seq, cmd, power, feed_rate, round(sum(CASE WHEN {ops.MOVE_SQL} THEN coalesce(sqrt((x - px) ** 2 + (y - py) ** 2), 0) ELSE 0 END) {ops.J} ROWS UNBOUNDED PRECEDING), 6) AS distance FROM p""",
+    "stream_newest_requests": f"{cte('requests')} SELECT req_key, max(generation) AS generation, round(arg_max(payload, (generation, -payload)), 6) AS payload FROM requests GROUP BY req_key",
+}

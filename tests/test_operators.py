@@ -1,0 +1,182 @@
+"""Literal cases, invariants, plans and streams of the operators that SQL does not cover."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pathloom.operators import commands, iterative, mesh, transforms
+from pathloom.sources import documents
+from pathloom.sources.derive import table
+from pathloom.streaming import commands as streams
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "job_id long, seq long, cmd string, x double, y double, z double, ci double, cj double, cw boolean, val double, sval string, section_type string"
+
+
+def job(spark, *rows):
+    """Rows of one job given as (cmd, x, y, val)."""
+    full = [(1, i, r[0], *(float(v) if v is not None else None for v in r[1:3]), 0.0 if r[1] is not None else None, None, None, None, float(r[3]) if len(r) > 3 else None, None, None) for i, r in enumerate(rows)]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def test_times_of_a_square(spark):
+    df = job(spark, ("SET_FEED_RATE", None, None, 600), ("MOVE_TO", 10, 0), ("LINE_TO", 10, 20), ("DWELL", None, None, 500))
+    rows = commands.with_durations(df, rapid=6000.0, acceleration=0.0).orderBy("seq").collect()
+    assert [round(r["duration"], 6) for r in rows] == [0.0, 0.1, 2.0, 0.5]
+    total = commands.job_measures(df).first()
+    assert (total["distance"], total["cut_distance"], total["n_cutting"]) == (20.0, 20.0, 1)
+
+
+def test_short_moves_have_triangular_profiles(spark):
+    df = job(spark, ("MOVE_TO", 1, 0))
+    row = commands.with_durations(df, rapid=6000.0, acceleration=100.0).first()
+    assert row["duration"] == pytest.approx(2 * math.sqrt(1 / 100.0))
+
+
+def test_segments_follow_the_state_machine(spark):
+    rng = random.Random(4)
+    for _ in range(5):
+        kinds = [rng.choice(("MOVE_TO", "LINE_TO", "SET_POWER")) for _ in range(60)]
+        df = job(spark, *[(k, 1, 1) if k != "SET_POWER" else (k, None, None, 1) for k in kinds])
+        want, open_now, number = [], False, -1
+        for k in kinds:
+            if k == "MOVE_TO":
+                number, open_now = number + 1, True
+            elif k == "LINE_TO":
+                if not open_now:
+                    number, open_now = number + 1, True
+            elif open_now:
+                number, open_now = number + 1, False
+            else:
+                number, open_now = number + 1, True
+            want.append(number)
+        assert [r["segment"] for r in commands.with_segments(df).orderBy("seq").collect()] == want
+
+
+def test_job_costing_has_one_exchange(spark):
+    plan = commands.job_measures(table(spark, DATA, "commands").filter("true"))
+    given = spark.createDataFrame([], SCHEMA)
+    text = commands.job_measures(given)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+    assert plan.count() > 0
+
+
+def test_long_scan_is_the_plain_scan(spark):
+    df = table(spark, DATA, "commands").select("*").withColumn("seq", F.row_number().over(Window.orderBy("job_id", "seq")) - 1).withColumn("job_id", F.lit(0).cast("long"))
+    a = commands.long_jobs(df, 37).orderBy("seq").collect()
+    b = commands.long_jobs(df, 10**9).orderBy("seq").collect()
+    assert all(abs(p["sum_x"] - q["sum_x"]) < 1e-6 and p["power"] == q["power"] for p, q in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 31])
+def test_results_do_not_depend_on_partitions(spark, parts):
+    df = table(spark, DATA, "commands")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted(map(tuple, commands.rounded(commands.job_measures(df.repartition(parts, F.rand(parts)))).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == sorted(map(tuple, commands.rounded(commands.job_measures(df)).collect()))
+
+
+def test_hulls_hold_all_points(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), float(x), float(y)) for k, x, y in zip(rng.integers(0, 4, 3000), rng.normal(size=3000), rng.normal(size=3000))] + [(9, 1.0, 1.0)] * 3
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(9)
+    found = {}
+    for r in iterative.convex_hulls(df, "k").orderBy("k", "i").collect():
+        found.setdefault(r["k"], []).append((r["x"], r["y"]))
+    assert found[9] == [(1.0, 1.0)]
+    for k in range(4):
+        h = np.asarray(found[k])
+        n = np.roll(h, -1, axis=0)
+        for q, x, y in rows:
+            if q == k:
+                assert ((n[:, 0] - h[:, 0]) * (y - h[:, 1]) - (n[:, 1] - h[:, 1]) * (x - h[:, 0]) >= -1e-9).all()
+
+
+def test_simplified_paths_stay_within_tolerance(spark):
+    rng = random.Random(6)
+    rows = [(p, i, float(i), rng.uniform(-3, 3)) for p in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "path long, seq long, x double, y double")
+    kept = {}
+    for r in iterative.simplified(df, 1.5).orderBy("path", "seq").collect():
+        kept.setdefault(r["path"], []).append((r["seq"], r["x"], r["y"]))
+
+    def plain(pts):
+        (ax, ay), (bx, by) = pts[0][1:], pts[-1][1:]
+        d = [abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / math.hypot(bx - ax, by - ay) for _, x, y in pts[1:-1]]
+        if not d or max(d) <= 1.5:
+            return [pts[0], pts[-1]]
+        k = d.index(max(d)) + 1
+        return plain(pts[: k + 1])[:-1] + plain(pts[k:])
+
+    for p in range(3):
+        assert kept[p] == plain([r[1:] for r in rows if r[0] == p])
+
+
+def test_nearest_order_visits_every_path_once(spark):
+    df = table(spark, DATA, "commands")
+    rows = iterative.nearest_order(df).collect()
+    paths = commands.with_subpaths(df).filter(commands.is_moving()).select("job_id", "subpath").distinct().count()
+    assert len({(r["job_id"], r["subpath"]) for r in rows}) == len({(r["job_id"], r["rank"]) for r in rows}) == paths == len(rows)
+
+
+def test_laplace_field_solves_its_system(spark):
+    n = 7
+    verts = [(i * n + j, float(j), float(i), "OUTER" if i in (0, n - 1) or j in (0, n - 1) else "INNER" if (i, j) == (3, 3) else "NONE") for i in range(n) for j in range(n)]
+    tris = [t for i in range(n - 1) for j in range(n - 1) for t in ((2 * (i * n + j), i * n + j, i * n + j + 1, i * n + j + n + 1), (2 * (i * n + j) + 1, i * n + j, i * n + j + n + 1, i * n + j + n))]
+    v = spark.createDataFrame(verts, "v long, x double, y double, tag string")
+    t = spark.createDataFrame(tris, "t long, a long, b long, c long")
+    u = {r["v"]: r["u"] for r in mesh.laplace(t, v).collect()}
+    k = np.zeros((n * n, n * n))
+    for r in mesh.stiffness(t, v).collect():
+        k[r["i"], r["j"]] = r["k"]
+    x = np.asarray([u[i] for i in range(n * n)])
+    free = [i for i, *_, tag in verts if tag == "NONE"]
+    assert np.abs((k @ x)[free]).max() < 1e-6 and u[24] == 0.0 and u[0] == 1.0
+
+
+def test_documents_round_trip_and_code(spark):
+    df = job(spark, ("MOVE_TO", 1, 2), ("MOVE_TO", 1, 2), ("LINE_TO", 1.5, 2), ("SET_POWER", None, None, 0.5))
+    assert documents.from_documents(documents.to_documents(df)).count() == 4
+    assert [r["line"] for r in documents.machine_code(df).orderBy("seq").collect()] == ["G0 X1 Y2", None, "G1 X1.5", "M4 S500"]
+
+
+def test_transformers_run_by_phase_then_as_given(spark):
+    seen = []
+    mark = lambda n: lambda d: (seen.append(n), d)[1]
+    steps = [transforms.Transformer(n, p, mark(n)) for n, p in (("c", 2), ("a", 1), ("d", 2), ("b", 1))]
+    transforms.apply_transformers(spark.range(1), steps)
+    assert seen == ["a", "b", "c", "d"]
+
+
+def test_streams_carry_state_over_batches(spark, tmp_path):
+    rows = [(1, 1, "LINE_TO", 3.0, 4.0, None), (1, 0, "MOVE_TO", 0.0, 0.0, None), (1, 3, "SET_POWER", None, None, 0.5), (2, 0, "MOVE_TO", 1.0, 1.0, None), (1, 2, "LINE_TO", 3.0, 9.0, None), (1, 4, "LINE_TO", 0.0, 9.0, None)]
+    schema = "job_id long, seq long, cmd string, x double, y double, val double"
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = streams.running_state(stream).writeStream.format("memory").queryName("carried").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["job_id"], r["seq"]): (r["power"], r["distance"]) for r in spark.sql("select * from carried").collect()}
+    assert got == {(1, 0): (0.0, 0.0), (1, 1): (0.0, 5.0), (1, 2): (0.0, 10.0), (1, 3): (0.5, 10.0), (1, 4): (0.5, 13.0), (2, 0): (0.0, 0.0)}
+
+
+def test_stream_of_generations_and_slabs(spark, tmp_path):
+    table(spark, DATA, "requests").write.parquet(f"{tmp_path}/r")
+    live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/r").schema).parquet(f"{tmp_path}/r")
+    q = streams.newest_requests(live).writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/r").groupBy("req_key").agg(F.max("generation")).collect()}
+    assert {r["req_key"]: r["generation"] for r in spark.sql("select * from newest").collect()} == want
+    table(spark, DATA, "pixels").write.parquet(f"{tmp_path}/p")
+    pixels = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/p").schema).parquet(f"{tmp_path}/p")
+    streams.scan_slabs(pixels, f"{tmp_path}/out", f"{tmp_path}/k").awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(f"{tmp_path}/p").select("image_id", "y").distinct().count()
