@@ -26,6 +26,8 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or (isinstance(v, float) and v != v) or v is pd.NA:
             return "null"
+        if isinstance(v, bool) or getattr(getattr(v, "dtype", None), "kind", "") == "b":
+            return str(bool(v))
         return f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
