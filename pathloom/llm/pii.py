@@ -161,12 +161,15 @@ class Graph:
                 self.edges.append((me - 1, me, NEXT if gap <= 3 else NEAR))
             token = text[start:stop].lower()
             digits = "".join(c for c in token if "0" <= c <= "9")
-            for key, kind in ((token, SAME), (digits[-10:] if len(digits) >= 7 else "", ALIKE)):
-                if key:
-                    other = keys.get((key, kind))
-                    if other is not None and other != me - 1 and (kind == SAME or keys.get((token, SAME)) != me):
-                        self.edges.append((other, me, kind))
-                    keys[key, kind] = me
+            same, alike = (token, SAME), (digits[-10:] if len(digits) >= 7 else "", ALIKE)
+            other, similar = keys.get(same), keys.get(alike)
+            if other is not None:
+                self.edges.append((other, me, SAME))
+            if similar is not None and similar != other:
+                self.edges.append((similar, me, ALIKE))
+            keys[same] = me
+            if alike[0]:
+                keys[alike] = me
 
 
 class Field:

@@ -108,6 +108,21 @@ def test_repeated_tokens_share_their_label():
     assert pii.spans_of(["", "no numbers here", "٣@x"], field) == [([], [])] * 3
 
 
+def test_reformatted_numbers_and_distant_repeats_have_skip_edges():
+    def edges(text):
+        graph = pii.Graph()
+        graph.add(text, *pii.patterns(text))
+        return [text[a:b] for a, b in graph.spans], set(graph.edges)
+
+    assert edges("+17065553138 and 17065553138")[1] == {(0, 1, pii.NEAR), (0, 1, pii.ALIKE)}
+    far = " words without digits" * 9 + " "
+    for again in ("17065553138", "706-555-3138", "7065553138"):
+        assert edges(f"+17065553138{far}{again}")[1] == {(0, 1, pii.ALIKE)}
+    found, links = edges(f"+1 (706) 555-3138{far}555-3138")
+    assert found[2:] == ["555-3138", "555-3138"] and (2, 3, pii.SAME) in links
+    assert edges("room 12 of 12")[1] == {(0, 1, pii.NEAR), (0, 1, pii.SAME)}
+
+
 @pytest.mark.parametrize("n", [1, 5, 37])
 def test_marginals_are_those_of_all_labellings(n):
     rng = np.random.default_rng(n)
