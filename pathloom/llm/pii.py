@@ -2,9 +2,10 @@
 
 Patterns with checks give the base spans. Around them a random field over the document's tokens with digits or ``@``
 finds more: unary potentials of hashed token features, chain potentials between neighbours, and skip potentials
-between repeated or similar tokens however far apart. Base tokens are observed; loopy message passing carries their
-labels to tokens that look or read like them. Weights are learned by pseudo-likelihood from base spans of a bounded
-sample. Tokens without digits and ``@`` cannot be part of an entity, so they need no node.
+between repeated or similar tokens however far apart: each is linked to the first observed one of every label, or to
+the first of all where none is observed. Base tokens are observed; loopy message passing, until no message moves,
+carries their labels to tokens that look or read like them. Weights are learned by pseudo-likelihood from base spans of
+a bounded sample. Tokens without digits and ``@`` cannot be part of an entity, so they need no node.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pathloom.llm.common import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Hash bits of token features; bound of the learning sample: documents, and nodes of one document.
+#: Hash bits of token features; bound of the learning sample: documents, and nodes drawn from all of one document.
 BITS, SAMPLE_DOCS, SAMPLE_NODES = 14, 3000, 100
 #: A token that no pattern found becomes a span from this marginal on.
 SURE = 0.95
-ROUNDS, DAMPING = 8, 0.3
+#: A message's updates at full step, later ones shrink so that loops that swing settle; a message or node rests below STILL.
+ROUNDS, DAMPING, STILL = 100, 0.3, 1e-7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -139,12 +141,12 @@ class Graph:
     def __init__(self):
         self.spans, self.features, self.label, self.hidden, self.edges, self.documents = [], [], [], [], [], []
 
-    def add(self, text: str, base: list[tuple[int, int, int]], failed: list[tuple[int, int]], most: int | None = None) -> None:
-        nodes = tokens(text)[:most]
+    def add(self, text: str, base: list[tuple[int, int, int]], failed: list[tuple[int, int]]) -> None:
+        nodes = tokens(text)
         offset = len(self.spans)
         self.documents.append((offset, offset + len(nodes)))
         marks = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in failed])
-        first, keys = 0, {}
+        first, names = 0, []
         for i, (start, stop) in enumerate(nodes):
             while first < len(marks) and marks[first][1] <= start and all(m[1] <= start for m in marks[first : first + 1]):
                 first += 1
@@ -161,15 +163,19 @@ class Graph:
                 self.edges.append((me - 1, me, NEXT if gap <= 3 else NEAR))
             token = text[start:stop].lower()
             digits = "".join(c for c in token if "0" <= c <= "9")
-            same, alike = (token, SAME), (digits[-10:] if len(digits) >= 7 else "", ALIKE)
-            other, similar = keys.get(same), keys.get(alike)
-            if other is not None:
-                self.edges.append((other, me, SAME))
-            if similar is not None and similar != other:
-                self.edges.append((similar, me, ALIKE))
-            keys[same] = me
-            if alike[0]:
-                keys[alike] = me
+            names.append((token, digits[-10:] if len(digits) >= 7 else ""))
+        seen = [-1 if h else x for h, x in zip(self.hidden[offset:], self.label[offset:])]
+        hubs: dict = {}
+        for i, name in enumerate(names):
+            for key in zip(name, (SAME, ALIKE)):
+                hubs.setdefault(key, {}).setdefault(seen[i], i)
+        for i, name in enumerate(names):
+            for key in zip(name, (SAME, ALIKE)):
+                firsts = hubs[key] if key[0] else {}
+                for label, hub in firsts.items():
+                    twice = firsts[seen[i]] == i and seen[i] >= 0 and hub > i
+                    if hub != i and not twice and (label >= 0 or len(firsts) == 1) and (key[1] == SAME or names[hub][0] != name[0]):
+                        self.edges.append((offset + min(hub, i), offset + max(hub, i), key[1]))
 
 
 class Field:
@@ -180,17 +186,25 @@ class Field:
         self.pair = np.zeros((4, len(LABELS), len(LABELS)))
 
     def fit(self, features: np.ndarray, label: np.ndarray, edges: np.ndarray, rounds: int = 60, rate: float = 0.3) -> Field:
-        """Pseudo-likelihood: each label given its features and its neighbours' labels; AdaGrad over all nodes."""
+        """``learned`` from a graph with all nodes."""
+        around = np.zeros((len(label), self.pair.size * 2 // len(LABELS)))
+        if len(edges):
+            np.add.at(around, neighbours(label, edges), 1)
+        return self.learned(features, label, around, rounds, rate)
+
+    def learned(self, features: np.ndarray, label: np.ndarray, around: np.ndarray, rounds: int = 60, rate: float = 0.3) -> Field:
+        """Pseudo-likelihood: each label given its features and its neighbours' labels; AdaGrad over all nodes.
+
+        ``around`` counts a node's neighbours by ``neighbours``, so a node needs no other node's row.
+        """
         n, k = len(label), len(LABELS)
         if not n:
             return self
         gold = np.eye(k)[label]
-        u, v, kind = edges.T if len(edges) else np.zeros((3, 0), dtype=np.int64)
         sq_u, sq_p = np.full_like(self.unary, 1e-6), np.full_like(self.pair, 1e-6)
         for _ in range(rounds):
             z = self.unary[features].sum(axis=1)
-            np.add.at(z, v, self.pair[kind, label[u]])
-            np.add.at(z, u, self.pair[kind, :, label[v]])
+            z += around @ np.stack([self.pair, self.pair.transpose(0, 2, 1)], axis=1).reshape(-1, k)
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p = p / p.sum(axis=1, keepdims=True) - gold
@@ -199,9 +213,8 @@ class Field:
                 step[:, j] += np.bincount(features.ravel(), weights=np.repeat(p[:, j], features.shape[1]), minlength=len(step)) / n
             sq_u += step**2
             self.unary -= rate * step / np.sqrt(sq_u)
-            step = 1e-4 * self.pair
-            np.add.at(step, (kind, label[u]), p[v] / n)
-            np.add.at(step.transpose(0, 2, 1), (kind, label[v]), p[u] / n)
+            push = (around.T @ p).reshape(-1, 2, k, k) / n
+            step = 1e-4 * self.pair + push[:, 0] + push[:, 1].transpose(0, 2, 1)
             sq_p += step**2
             self.pair -= rate * step / np.sqrt(sq_p)
         return self
@@ -218,21 +231,31 @@ class Field:
         if not graph.edges:
             return _normal(unary)
         u, v, kind = np.asarray(graph.edges).T
-        forward, backward = np.zeros((len(u), k)), np.zeros((len(u), k))
-        there, back = self.pair[kind], self.pair[kind].transpose(0, 2, 1)
-        for _ in range(ROUNDS):
-            total = unary.copy()
-            np.add.at(total, v, forward)
-            np.add.at(total, u, backward)
-            send_u, send_v = total[u] - backward, total[v] - forward
-            forward = DAMPING * forward + (1 - DAMPING) * _pass(send_u, there)
-            backward = DAMPING * backward + (1 - DAMPING) * _pass(send_v, back)
-        total = unary.copy()
-        np.add.at(total, v, forward)
-        np.add.at(total, u, backward)
+        m = len(u)
+        source, target = np.concatenate([u, v]), np.concatenate([v, u])
+        table = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)])
+        message, updates, total, live = np.zeros((2 * m, k)), np.zeros(2 * m), unary.copy(), ~observed[target]
+        sent, active = total.copy(), np.flatnonzero(live)
+        while len(active):
+            updates[active] += 1
+            step = (1 - DAMPING) * np.minimum(1, ROUNDS / updates[active])
+            moved = step[:, None] * (_pass(total[source[active]] - message[(active + m) % (2 * m)], table[active]) - message[active])
+            message[active] += moved
+            np.add.at(total, target[active], moved)
+            touched = np.abs(total - sent).max(axis=1) > STILL
+            sent[touched] = total[touched]
+            again = touched[source] & live
+            again[active[np.abs(moved).max(axis=1) > STILL]] = True
+            active = np.flatnonzero(again)
         return _normal(total)
 
 
+def neighbours(label: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A node and a number below 8 * len(LABELS) for both ends of each edge: edge kind, side and label of the other end."""
+    u, v, kind = edges.T
+    return np.concatenate([v, u]), np.concatenate([2 * kind * len(LABELS) + label[u], (2 * kind + 1) * len(LABELS) + label[v]])
+
+
 def _pass(send: np.ndarray, table: np.ndarray) -> np.ndarray:
     x = send[:, :, None] + table
     top = x.max(axis=1, keepdims=True)
@@ -267,9 +290,10 @@ def spans_of(texts: list[str], field: Field, sure: float = SURE) -> list[tuple[l
 
 
 def learn(docs: DataFrame, most: int = SAMPLE_DOCS, nodes: int = SAMPLE_NODES) -> Field:
-    """Fit on at most about ``most`` documents drawn by a hash of their ids, ``nodes`` tokens of each.
+    """Fit on at most about ``most`` documents drawn by a hash of their ids, ``nodes`` tokens drawn from all of each.
 
-    Graphs are built on the executors; the driver gets feature numbers, labels and edges of the sample.
+    Graphs of whole documents are built on the executors; the driver gets features, labels and counted neighbours of
+    the drawn nodes, so edges count however far they reach.
     """
     marked = bounded_batches(docs).filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     share = min(1.0, most / max(1, docs.count()))
@@ -277,21 +301,40 @@ def learn(docs: DataFrame, most: int = SAMPLE_DOCS, nodes: int = SAMPLE_NODES) -
 
     def nodes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                graph = Graph()
-                graph.add(text, *patterns(text), most=nodes)
-                rows.append((sum(graph.features, []), graph.label, [x for e in graph.edges for x in e]))
-            yield pd.DataFrame(rows, columns=["features", "label", "edges"])
-
-    rows = drawn.mapInPandas(nodes_of, "features array<int>, label array<int>, edges array<int>").collect()
-    rows.sort(key=lambda r: (r["features"], r["label"]))
-    features, label, edges = [], [], []
+            yield pd.DataFrame([sampled(text, nodes) for text in batch["text"]], columns=["features", "label", "around"])
+
+    rows = drawn.mapInPandas(nodes_of, "features array<int>, label array<int>, around array<int>").collect()
+    rows.sort(key=lambda r: (r["features"], r["label"], r["around"]))
+    features, label, around = [], [], []
     for r in rows:
-        edges += [(r["edges"][i] + len(label), r["edges"][i + 1] + len(label), r["edges"][i + 2]) for i in range(0, len(r["edges"]), 3)]
+        near = np.asarray(r["around"], dtype=np.int64).reshape(-1, 3)
+        near[:, 0] += len(label)
+        around.append(near)
         features += r["features"]
         label += r["label"]
-    return Field().fit(np.asarray(features, dtype=np.int64).reshape(-1, N_FEATURES), np.asarray(label, dtype=np.int64), np.asarray(edges, dtype=np.int64).reshape(-1, 3))
+    field = Field()
+    counts = np.zeros((len(label), field.pair.size * 2 // len(LABELS)))
+    if around:
+        at, what, n = np.concatenate(around).T
+        counts[at, what] = n
+    return field.learned(np.asarray(features, dtype=np.int64).reshape(-1, N_FEATURES), np.asarray(label, dtype=np.int64), counts)
+
+
+def sampled(text: str, most: int) -> tuple[list[int], list[int], list[int]]:
+    """Features and labels of at most ``most`` nodes drawn from the whole text, and (node, neighbour number, count)."""
+    graph = Graph()
+    graph.add(text, *patterns(text))
+    n = len(graph.spans)
+    picked = np.arange(n) if n <= most else np.sort(np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).choice(n, most, replace=False))
+    place = np.full(n, -1)
+    place[picked] = np.arange(len(picked))
+    around = np.zeros((0, 3), dtype=np.int64)
+    if graph.edges:
+        node, what = neighbours(np.asarray(graph.label), np.asarray(graph.edges))
+        held = place[node] >= 0
+        pairs, counts = np.unique(np.stack([place[node[held]], what[held]], axis=1), axis=0, return_counts=True)
+        around = np.column_stack([pairs, counts])
+    return sum((graph.features[i] for i in picked), []), [graph.label[i] for i in picked], around.ravel().tolist()
 
 
 def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

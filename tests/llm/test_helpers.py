@@ -123,6 +123,50 @@ def test_reformatted_numbers_and_distant_repeats_have_skip_edges():
     assert edges("room 12 of 12")[1] == {(0, 1, pii.NEAR), (0, 1, pii.SAME)}
 
 
+def test_labels_reach_all_repeats_however_many_links_away():
+    field, far = pii.Field(), " words without digits" * 9 + " "
+    field.unary[:, 0] = 0.05
+    field.pair[pii.SAME] = field.pair[pii.NEXT] = 8 * np.eye(len(pii.LABELS))
+    base, every = pii.spans_of([far.join(["555-3138"] * 40 + ["+1 (706) 555-3138"] + ["555-3138"] * 40)], field)[0]
+    assert len(base) == 1 and len(every) == 81 and {k for _, k, _ in every} == {3}
+    field.pair[pii.NEXT] = 40 * np.eye(len(pii.LABELS))
+    graph = pii.Graph()
+    graph.add(text := "+17065553138 " + " ".join(f"{i}" for i in range(300)), *pii.patterns(text))
+    graph.label, graph.hidden = [4] + [0] * 300, [False] + [True] * 300
+    graph.edges = [e for e in graph.edges if e[2] == pii.NEXT]
+    field.unary[:] = 0
+    assert field.beliefs(graph)[:, 4].min() > 0.99
+    # loops whose edges disagree end as well
+    field.pair[pii.NEXT] = -9 * np.eye(len(pii.LABELS))
+    graph.edges += [(a, a + 2, pii.NEXT) for a in range(299)]
+    assert np.isfinite(field.beliefs(graph)).all()
+    # an observed node keeps its label under any number of messages
+    text = "+17065553138 " + "x1 " * 3000
+    graph = pii.Graph()
+    graph.add(text, *pii.patterns(text))
+    graph.edges = [(0, i, pii.SAME) for i in range(1, 3001)]
+    field.pair[pii.SAME] = 4 * np.eye(len(pii.LABELS))
+    field.unary[:, 0] = 1
+    assert field.beliefs(graph)[0].argmax() == 4
+
+
+def test_learning_nodes_come_from_the_whole_text():
+    text = "+17065553138 " + " ".join(f"{i}" for i in range(1000)) + " 17065553138"
+    graph = pii.Graph()
+    graph.add(text, *pii.patterns(text))
+    late = {f for x in graph.features[500:] for f in x} - {f for x in graph.features[:500] for f in x}
+    features, label, _ = pii.sampled(text, 100)
+    assert len(label) == 100 and late & set(features)
+    features, label, around = pii.sampled(text, 2000)
+    assert features == sum(graph.features, []) and label == graph.label
+    whole = pii.Field().fit(np.asarray(graph.features), np.asarray(graph.label), np.asarray(graph.edges))
+    counts = np.zeros((len(label), 40))
+    for node, what, n in np.asarray(around).reshape(-1, 3):
+        counts[node, what] = n
+    part = pii.Field().learned(np.asarray(features).reshape(-1, pii.N_FEATURES), np.asarray(label), counts)
+    assert np.allclose(whole.pair, part.pair) and np.allclose(whole.unary, part.unary)
+
+
 @pytest.mark.parametrize("n", [1, 5, 37])
 def test_marginals_are_those_of_all_labellings(n):
     rng = np.random.default_rng(n)
