@@ -214,12 +214,15 @@ class LoserTree:
 
 
 def _segment(store: fs.FileSystem, path: str, lo: str | None, hi: str | None) -> Iterator[tuple]:
-    """Rows of a run with lo <= key < hi; row groups outside are not read, one group at a time is held."""
+    """Rows of a run with lo <= key < hi, one row group at a time; groups outside are not read.
+
+    Parquet keeps no bounds of a group with very long keys; such a group is read and filtered.
+    """
     with store.open_input_file(path) as source:
         file = pq.ParquetFile(source)
         for g in range(file.num_row_groups):
             stats = file.metadata.row_group(g).column(0).statistics
-            if (hi is not None and stats.min >= hi) or (lo is not None and stats.max < lo):
+            if stats is not None and stats.has_min_max and ((hi is not None and stats.min >= hi) or (lo is not None and stats.max < lo)):
                 continue
             table = file.read_row_group(g)
             keys = table["key"]

@@ -264,6 +264,17 @@ def test_runs_are_merged_in_several_passes(spark):
     assert len({r["range"] for r in rows}) > 3
 
 
+def test_urls_without_parquet_statistics_are_merged_in_ranges(spark):
+    urls = [f"http://h/{i * 7919 % 200}" for i in range(198)] + [f"http://{host}/{'x' * 10_000}" for host in "az"]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
+    folder = common.shared_dir(spark)
+    files = common.written(warc.write_archives(warc.record_types(df), folder))
+    runs = common.written(warc.sorted_runs(files, folder))
+    rows = warc.merged(runs, folder, range_rows=30).orderBy("range", "position").collect()
+    assert [r["key"] for r in rows] == sorted(r["key"] for r in rows) and sorted(r["page_id"] for r in rows) == list(range(200))
+    assert len({r["range"] for r in rows}) > 3
+
+
 def test_media_columns(docs):
     rows = ogg.read_back(ogg.stored(clashing(docs).drop("media"))).select("doc_id", "n_bytes", "media", "__read.*").collect()
     assert len(rows) == docs.count()
