@@ -11,18 +11,32 @@ from pathloom.operators.commands import by_job, is_, is_moving, rounded
 from pathloom.sources.derive import cte, table
 
 #: Schema of a command document.
-DOCUMENT = "commands array<struct<type:string,`end`:array<double>,center_offset:array<double>,clockwise:boolean,value:double>>, last_move_to array<double>"
-#: Type codes of the columnar form.
-CODES = {"MOVE_TO": 1, "LINE_TO": 2, "ARC_TO": 3, "BEZIER_TO": 4, "SCAN_LINE": 5, "SET_POWER": 10, "SET_FEED_RATE": 11, "SET_RAPID_RATE": 12}
+DOCUMENT = "commands array<struct<type:string,`end`:array<double>,center_offset:array<double>,clockwise:boolean,value:double,text:string,section_type:string,control:array<double>,power_values:array<int>>>, last_move_to array<double>"
+#: Type codes of the columnar form, src/ops/enums.rs of the reference.
+CODES = {
+    "MOVE_TO": 1, "LINE_TO": 2, "ARC_TO": 3, "SCAN_LINE": 4, "DWELL": 5, "BEZIER_TO": 6, "QUADRATIC_BEZIER_TO": 7, "SET_POWER": 10, "SET_FEED_RATE": 11, "SET_RAPID_RATE": 12,
+    "SET_HEAD": 15, "SET_FREQUENCY": 16, "SET_PULSE_WIDTH": 17, "SET_SPINDLE_RPM": 18, "SET_COOLANT": 20, "SET_AIR_ASSIST": 21, "SET_HEAD_COOLANT": 22, "SET_POWER_MODE": 23,
+    "SET_SPINDLE_DIRECTION": 24, "SET_SYNC_PITCH": 25, "CUSTOM": 30, "JOB_START": 100, "JOB_END": 101, "LAYER_START": 102, "LAYER_END": 103, "WORKPIECE_START": 104, "WORKPIECE_END": 105,
+    "OPS_SECTION_START": 106, "OPS_SECTION_END": 107, "STATE_BLOCK_START": 108, "STATE_BLOCK_END": 109,
+}
+#: Codes and columns that the SQL of the narrow queries fixes; the whole ones have the reference's.
+SQL_CODES = {"MOVE_TO": 1, "LINE_TO": 2, "ARC_TO": 3, "BEZIER_TO": 4, "SCAN_LINE": 5, "SET_POWER": 10, "SET_FEED_RATE": 11, "SET_RAPID_RATE": 12}
+SQL_COLUMNS = ("job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val")
+#: Columns that a table of commands may lack: control points of curves, three numbers each, and power values of scanlines.
+SIDE = {"sval": "string", "section_type": "string", "control": "array<double>", "power_values": "array<int>"}
+
+
+def _sides(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: (F.col(c) if c in df.columns else F.lit(None)).cast(t) for c, t in SIDE.items()})
 
 
 def to_documents(df: DataFrame) -> DataFrame:
     """One JSON document per job: ``job_id, document``."""
     row = F.struct(
         F.col("cmd").alias("type"), F.when(is_moving(), F.array("x", "y", "z")).alias("end"), F.when(is_("ARC_TO"), F.array("ci", "cj")).alias("center_offset"),
-        F.col("cw").alias("clockwise"), F.col("val").alias("value"),
+        F.col("cw").alias("clockwise"), F.col("val").alias("value"), F.col("sval").alias("text"), "section_type", "control", "power_values",
     )
-    per = df.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seq", row.alias("c")))).alias("s"), F.max_by(F.array("x", "y", "z"), F.when(is_("MOVE_TO"), F.col("seq"))).alias("last_move_to"))
+    per = _sides(df).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seq", row.alias("c")))).alias("s"), F.max_by(F.array("x", "y", "z"), F.when(is_("MOVE_TO"), F.col("seq"))).alias("last_move_to"))
     return per.select("job_id", F.to_json(F.struct(F.transform("s", lambda r: r["c"]).alias("commands"), "last_move_to")).alias("document"))
 
 
@@ -33,13 +47,23 @@ def from_documents(documents: DataFrame) -> DataFrame:
     return rows.select(
         "job_id", F.col("seq").cast("long").alias("seq"), F.col("c.type").alias("cmd"), at("end", 0).alias("x"), at("end", 1).alias("y"), at("end", 2).alias("z"),
         at("center_offset", 0).alias("ci"), at("center_offset", 1).alias("cj"), F.col("c.clockwise").alias("cw"), F.col("c.value").alias("val"),
+        F.col("c.text").alias("sval"), "c.section_type", "c.control", "c.power_values",
     )
 
 
 def columnar(df: DataFrame) -> DataFrame:
-    """Type code, end point and a bucket of the job for partitioned files."""
-    code = F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v)])
-    return df.select("job_id", "seq", F.coalesce(F.element_at(code, F.col("cmd")), F.lit(0)).alias("code"), "x", "y", "z", (F.col("job_id") % 16).alias("bucket"))
+    """Type code (0 for a type that the reference lacks), end point, all further columns and a bucket of the job for partitioned files."""
+    return _sides(df).select("job_id", "seq", _code(CODES), *SQL_COLUMNS[3:], *SIDE, (F.col("job_id") % 16).alias("bucket"))
+
+
+def _code(codes: dict[str, int]) -> Column:
+    code = F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, v)])
+    return F.coalesce(F.element_at(code, F.col("cmd")), F.lit(0)).alias("code")
+
+
+def narrow_columnar(df: DataFrame) -> DataFrame:
+    """End points with the codes of ``SQL_CODES``, all others 0."""
+    return df.select("job_id", "seq", _code(SQL_CODES), "x", "y", "z", (F.col("job_id") % 16).alias("bucket"))
 
 
 def from_points(points: DataFrame, close: bool) -> DataFrame:
@@ -110,8 +134,10 @@ def _q(f, name="commands"):
 
 
 QUERIES = {
-    "document_round_trip": _q(lambda d: from_documents(to_documents(d))),
-    "columnar_commands": _q(columnar),
+    "document_round_trip": _q(lambda d: from_documents(to_documents(d)).select(*SQL_COLUMNS)),
+    "document_round_trip_whole": _q(lambda d: from_documents(to_documents(d))),
+    "columnar_commands": _q(narrow_columnar),
+    "columnar_commands_whole": _q(columnar),
     "rings_to_commands": _q(lambda r: from_points(r, True), "rings"),
     "point_lists": _q(point_lists),
     "segment_classes": _q(segments),
@@ -128,9 +154,14 @@ _CODE = f"""{_C}, p AS (SELECT *, {_lag('x')} AS px, {_lag('y')} AS py, {_lag('z
  WHEN 'LINE_TO' THEN concat_ws(' ', 'G1', {_XYZ}) WHEN 'ARC_TO' THEN concat_ws(' ', CASE WHEN cw THEN 'G2' ELSE 'G3' END, {_XYZ}, 'I' || {_NUM('ci', 3)}, 'J' || {_NUM('cj', 3)})
  WHEN 'SET_POWER' THEN 'M4 S' || {_NUM('val * 1000', 0)} WHEN 'SET_FEED_RATE' THEN 'F' || {_NUM('val', 0)} WHEN 'DWELL' THEN 'G4 P' || {_NUM('val / 1000', 3)} END AS line FROM p),
  map AS (SELECT job_id, seq, count(line) {J} ROWS UNBOUNDED PRECEDING) - (line IS NOT NULL)::INT AS first_line, (line IS NOT NULL)::INT AS n_lines FROM code)"""
+_REST = ", ".join(f"round({c}, 6) AS {c}" for c in ("x", "y", "z", "ci", "cj", "val")) + ", cw, sval, section_type, NULL AS control, NULL AS power_values"
 ORACLE_SQL = {
     "document_round_trip": f"{_C} SELECT job_id, seq, cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(ci, 6) AS ci, round(cj, 6) AS cj, cw, round(val, 6) AS val FROM commands",
-    "columnar_commands": f"{_C} SELECT job_id, seq, CASE cmd {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in CODES.items())} ELSE 0 END AS code, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, job_id % 16 AS bucket FROM commands",
+    "columnar_commands": f"{_C} SELECT job_id, seq, CASE cmd {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in SQL_CODES.items())} ELSE 0 END AS code, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, job_id % 16 AS bucket FROM commands",
+    "document_round_trip_whole": f"{_C} SELECT job_id, seq, cmd, {_REST} FROM commands",
+    "columnar_commands_whole": f"""{_C} SELECT job_id, seq, CASE cmd WHEN 'MOVE_TO' THEN 1 WHEN 'LINE_TO' THEN 2 WHEN 'ARC_TO' THEN 3 WHEN 'DWELL' THEN 5 WHEN 'SET_POWER' THEN 10 WHEN 'SET_FEED_RATE' THEN 11
+ WHEN 'SET_RAPID_RATE' THEN 12 WHEN 'SET_SPINDLE_RPM' THEN 18 WHEN 'SET_COOLANT' THEN 20 WHEN 'SET_SYNC_PITCH' THEN 25 WHEN 'LAYER_START' THEN 102 WHEN 'LAYER_END' THEN 103 WHEN 'OPS_SECTION_START' THEN 106
+ WHEN 'OPS_SECTION_END' THEN 107 END AS code, {_REST}, job_id % 16 AS bucket FROM commands""",
     "rings_to_commands": f"""{cte('rings')}, u AS (SELECT ring_id, seq, x, y FROM rings UNION ALL SELECT ring_id, max(seq) + 1, arg_min(x, seq), arg_min(y, seq) FROM rings GROUP BY ring_id)
  SELECT ring_id, seq, round(x, 6) AS x, round(y, 6) AS y, CASE seq WHEN 0 THEN 'MOVE_TO' ELSE 'LINE_TO' END AS cmd FROM u""",
     "point_lists": f"""{_C}, s AS (SELECT *, greatest(count(*) FILTER (cmd = 'MOVE_TO') {J} ROWS UNBOUNDED PRECEDING) - 1, 0) AS subpath FROM commands)

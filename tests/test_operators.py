@@ -149,6 +149,26 @@ def test_documents_round_trip_and_code(spark):
     assert [r["line"] for r in documents.machine_code(df).orderBy("seq").collect()] == ["G0 X1 Y2", None, "G1 X1.5", "M4 S500"]
 
 
+def test_documents_and_columns_keep_everything(spark):
+    rows = [
+        (1, 0, "MOVE_TO", 1.0, 2.0, 0.0, None, None, None, None, None, None, None, None),
+        (1, 1, "LAYER_START", *[None] * 7, "layer-1", None, None, None),
+        (1, 2, "SET_COOLANT", *[None] * 7, "FLOOD", None, None, None),
+        (1, 3, "OPS_SECTION_START", *[None] * 8, "RASTER_FILL", None, None),
+        (1, 4, "BEZIER_TO", 3.0, 4.0, 0.0, *[None] * 6, [1.0, 2.0, 0.0, 3.0, 3.0, 0.0], None),
+        (1, 5, "SCAN_LINE", 9.0, 4.0, 0.0, *[None] * 7, [0, 127, 255]),
+        (1, 6, "ARC_TO", 9.0, 5.0, 0.0, 0.5, 0.25, True, *[None] * 5),
+        (1, 7, "DWELL", *[None] * 6, 250.0, *[None] * 4),
+    ]
+    kinds = "job_id long, seq long, cmd string, x double, y double, z double, ci double, cj double, cw boolean, val double, sval string, section_type string, control array<double>, power_values array<int>"
+    df = spark.createDataFrame(rows, kinds)
+    assert sorted(map(tuple, documents.from_documents(documents.to_documents(df)).select(*df.columns).collect())) == rows
+    out = documents.columnar(df).orderBy("seq").collect()
+    assert [r["code"] for r in out] == [1, 102, 20, 106, 6, 4, 3, 5]
+    assert [tuple(r[c] for c in df.columns if c != "cmd") for r in out] == [(*r[:2], *r[3:]) for r in rows]
+    assert len(documents.CODES) == len(set(documents.CODES.values())) == 31
+
+
 def test_transformers_run_by_phase_then_as_given(spark):
     seen = []
     mark = lambda n: lambda d: (seen.append(n), d)[1]
