@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,6 @@ from pathloom.operators import commands as ops
 from pathloom.operators.commands import is_, is_moving, rounded
 from pathloom.sources.derive import table
 
-#: Paths of one job that the greedy order takes.
-MOST_PATHS = 10_000
-
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull by the monotone chain, counter-clockwise from the lowest left point."""
@@ -51,10 +49,105 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).applyInPandas(whole, f"{key} long, i long, x double, y double")
 
 
+class Starts:
+    """Distinct finite points in a tree of boxes, each with the rows left there; the nearest is found without the emptied ones."""
+
+    def __init__(self, points: np.ndarray, leaf: int = 8):
+        finite = np.flatnonzero(np.isfinite(points).all(axis=1))
+        self.at, which = np.unique(points[finite], axis=0, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        parts = np.split(finite[order], np.cumsum(np.bincount(which, minlength=len(self.at)))[:-1]) if len(finite) else []
+        self.rows = [p[::-1].tolist() for p in parts]  # the first is taken from the end
+        self.x, self.y = self.at[:, 0].tolist(), self.at[:, 1].tolist()
+        self.box, self.kids, self.parent, self.alive, self.points, self.home = [], [], [], [], [], [0] * len(self.at)
+        todo = [(np.arange(len(self.at)), -1)] if len(finite) else []
+        while todo:
+            ids, parent = todo.pop()
+            me, p = len(self.box), self.at[ids]
+            lo, hi = p.min(axis=0), p.max(axis=0)
+            self.box.append((*lo.tolist(), *hi.tolist()))
+            self.kids.append([])
+            self.parent.append(parent)
+            self.alive.append(len(ids))
+            if parent >= 0:
+                self.kids[parent].append(me)
+            if len(ids) <= leaf:
+                self.points.append(ids.tolist())
+                for q in ids:
+                    self.home[q] = me
+            else:
+                self.points.append([])
+                half = np.argpartition(p[:, int(hi[1] - lo[1] > hi[0] - lo[0])], len(ids) // 2)
+                todo += [(ids[half[: len(ids) // 2]], me), (ids[half[len(ids) // 2 :]], me)]
+        self.point_of = dict(zip(finite.tolist(), which.tolist()))
+
+    def drop(self, row: int) -> None:
+        q = self.point_of.get(row)
+        if q is None:
+            return
+        self.rows[q].remove(row) if self.rows[q][-1] != row else self.rows[q].pop()
+        node = self.home[q] if not self.rows[q] else -1
+        while node >= 0:
+            self.alive[node] -= 1
+            node = self.parent[node]
+
+    def nearest(self, x: float, y: float) -> int:
+        """The row whose point is nearest, the first of equally near ones; -1 if none is left."""
+        best, row = float("inf"), -1
+        todo = [(0.0, 0)] if self.alive and self.alive[0] else []
+        while todo:
+            d, node = todo.pop()
+            if d > best:
+                continue
+            for q in self.points[node]:
+                if self.rows[q]:
+                    ux, uy = self.x[q] - x, self.y[q] - y
+                    d, r = ux * ux + uy * uy, self.rows[q][-1]
+                    if row < 0 or d < best or (d == best and r < row):
+                        best, row = d, r
+            near = []
+            for kid in self.kids[node]:
+                if self.alive[kid]:
+                    x0, y0, x1, y1 = self.box[kid]
+                    ux, uy = max(x0 - x, x - x1, 0.0), max(y0 - y, y - y1, 0.0)
+                    near.append((ux * ux + uy * uy, kid))
+            todo += sorted(near, reverse=True)
+        return row
+
+
+def nearest_walk(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[int]:
+    """Rows in the order of the walk from starts ``a`` and ends ``b``; unknown starts come first, after an unknown end the first row left."""
+    at = int(len(a) - 1 - n[::-1].argmax())
+    left, order, starts = np.ones(len(a), dtype=bool), [at], Starts(a)
+    unknown, first = np.flatnonzero(np.isnan(a).any(axis=1)).tolist()[::-1], 0
+    left[at] = False
+    starts.drop(at)
+    ends = b.tolist()
+    while len(order) < len(a):
+        while not left[first]:
+            first += 1
+        while unknown and not left[unknown[-1]]:
+            unknown.pop()
+        x, y = ends[at]
+        if not (np.isfinite(x) and np.isfinite(y)):
+            at = first
+        elif unknown:
+            at = unknown[-1]
+        else:
+            at = starts.nearest(x, y)
+            at = first if at < 0 else at
+        left[at] = False
+        starts.drop(at)
+        order.append(at)
+    return order
+
+
 def nearest_order(df: DataFrame) -> DataFrame:
     """Order of a job's subpaths: from the one with most moves (the last of equal ones), always the nearest next start.
 
-    Paths are reduced to their entry, exit and size before the walk, which is sequential per job.
+    Paths are reduced to their entry, exit and size before the walk, which is sequential per job: one task holds these
+    few numbers of all paths of its job, and a step takes about the logarithm of their count.
     """
     paths = ops.with_subpaths(df).filter(is_moving()).groupBy("job_id", "subpath").agg(
         F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"), F.count(F.lit(1)).alias("n")
@@ -62,33 +155,23 @@ def nearest_order(df: DataFrame) -> DataFrame:
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("subpath", ignore_index=True)
-        if len(g) > MOST_PATHS:
-            raise ValueError(f"a job has more than {MOST_PATHS} paths")
-        a, b = g[["ax", "ay"]].to_numpy(), g[["bx", "by"]].to_numpy()
-        at = int(len(g) - 1 - g["n"].to_numpy()[::-1].argmax())
-        left, order = np.ones(len(g), dtype=bool), [at]
-        left[at] = False
-        while left.any():
-            d = ((a - b[at]) ** 2).sum(axis=1)
-            at = int(np.where(left, d, np.inf).argmin())
-            left[at] = False
-            order.append(at)
+        order = nearest_walk(g[["ax", "ay"]].to_numpy(dtype=float), g[["bx", "by"]].to_numpy(dtype=float), g["n"].to_numpy())
         return pd.DataFrame({"job_id": g["job_id"].iloc[0], "subpath": g["subpath"].to_numpy()[order], "rank": np.arange(len(g))})
 
     return paths.groupBy("job_id").applyInPandas(walk, "job_id long, subpath long, rank long")
 
 
-def simplified(points: DataFrame, tolerance: float, most: int = 60) -> DataFrame:
+def simplified(points: DataFrame, tolerance: float) -> DataFrame:
     """Paths ``(path, seq, x, y)`` without points nearer than ``tolerance`` to the line between the kept ones.
 
     Rounds keep the farthest point of every open range; a range that needs none is closed, and only rows of open
-    ranges go on. The driver sees one count a round.
+    ranges go on, until none is open. The driver sees one count a round.
     """
     ends = points.groupBy("path").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     rows = points.join(ends, "path")
     kept = saved(rows.filter("seq = lo or seq = hi").select("path", "seq"))
     left = saved(rows.filter("seq > lo and seq < hi").select("path", "seq", "x", "y", "lo", "hi"))
-    for _ in range(most):
+    for done in itertools.count(1):
         if not left.limit(1).count():
             return points.join(kept.distinct(), ["path", "seq"], "left_semi")
         a = points.select("path", F.col("seq").alias("lo"), F.col("x").alias("ax"), F.col("y").alias("ay"))
@@ -100,9 +183,10 @@ def simplified(points: DataFrame, tolerance: float, most: int = 60) -> DataFrame
         far = r.withColumn("d", d).groupBy("path", "lo", "hi").agg(F.max(F.struct("d", (-F.col("seq")).alias("m"))).alias("s"))
         far = saved(far.filter(F.col("s.d") > tolerance).select("path", "lo", "hi", (-F.col("s.m")).alias("mid")))
         kept = kept.unionByName(far.select("path", F.col("mid").alias("seq")))
+        if done % 16 == 0:
+            kept = saved(kept)
         left = left.join(far, ["path", "lo", "hi"]).filter("seq <> mid")
         left = saved(left.withColumns({"lo": F.when(F.col("seq") > F.col("mid"), F.col("mid")).otherwise(F.col("lo")), "hi": F.when(F.col("seq") < F.col("mid"), F.col("mid")).otherwise(F.col("hi"))}).drop("mid"))
-    raise RuntimeError("a path needs more rounds than allowed")
 
 
 def containment_groups(tree: DataFrame) -> DataFrame:

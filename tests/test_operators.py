@@ -200,3 +200,47 @@ def test_stream_of_generations_and_slabs(spark, tmp_path):
     pixels = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/p").schema).parquet(f"{tmp_path}/p")
     streams.scan_slabs(pixels, f"{tmp_path}/out", f"{tmp_path}/k").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(f"{tmp_path}/p").select("image_id", "y").distinct().count()
+
+
+def test_walks_of_any_size_take_the_nearest_start(spark):
+    def plain(a, b, n):
+        at = int(len(a) - 1 - n[::-1].argmax())
+        left, order = np.ones(len(a), dtype=bool), [at]
+        left[at] = False
+        while left.any():
+            at = int(np.where(left, ((a - b[at]) ** 2).sum(axis=1), np.inf).argmin())
+            left[at] = False
+            order.append(at)
+        return order
+
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 9, 60, 700):
+        for a in (rng.normal(size=(size, 2)), rng.integers(0, 9, size=(size, 2)).astype(float)):
+            b = a[rng.permutation(size)] + rng.integers(0, 2, size=(size, 1))
+            n = rng.integers(1, 5, size=size)
+            assert iterative.nearest_walk(a, b, n) == plain(a, b, n)
+            a[rng.random(size) < 0.1, 0], b[rng.random(size) < 0.1, 1] = np.nan, np.nan
+            assert iterative.nearest_walk(a, b, n) == plain(a, b, n)
+    df = job(spark, *[("MOVE_TO", i * 7919 % 10_501, 0) for i in range(10_501)])
+    rows = iterative.nearest_order(df).orderBy("rank").collect()
+    assert sorted(r["subpath"] for r in rows) == list(range(10_501)) and rows[0]["subpath"] == 10_500
+
+
+def test_simplified_takes_as_many_rounds_as_needed(spark):
+    # every round keeps only the next of the growing steps
+    points = [(1, i, float(4**i), 0.0 if i % 2 else float(4**i)) for i in range(70)]
+    want, todo = {0, 69}, [(0, 69, 0)]
+    deepest = 0
+    xy = [p[2:] for p in points]
+    while todo:
+        lo, hi, deep = todo.pop()
+        (ax, ay), (bx, by) = xy[lo], xy[hi]
+        d = [(((xy[i][0] - ax) * (by - ay) - (xy[i][1] - ay) * (bx - ax)) ** 2 / ((bx - ax) ** 2 + (by - ay) ** 2)) ** 0.5 for i in range(lo + 1, hi)]
+        if d and max(d) > 0.1:
+            mid = lo + 1 + d.index(max(d))
+            want.add(mid)
+            deepest = max(deepest, deep + 1)
+            todo += [(lo, mid, deep + 1), (mid, hi, deep + 1)]
+    assert deepest > 61
+    out = iterative.simplified(spark.createDataFrame(points, "path long, seq long, x double, y double"), 0.1)
+    assert {r["seq"] for r in out.collect()} == want
