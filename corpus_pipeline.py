@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of at most 1,024 tokens; a row for each piece."""
-    return packing.packed(docs.select("doc_id", "text"), keep_ids=False)
+    return packing.packed(docs.select("doc_id", "text"))
 
 
 STAGES = [

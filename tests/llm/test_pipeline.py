@@ -53,3 +53,9 @@ def test_pipeline_takes_effect(spark, tmp_path):
         want += [(r["doc_id"], s // 4, zlib.crc32(ids[s : s + 4096])) for s in range(0, len(ids), 4096)]
     assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in seen["sequences"]) == sorted(want)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "personal_data", "mixture", "sequences"]
+
+
+def test_sequences_hold_their_token_ids(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (2, "more " * 2000)], "doc_id long, text string")
+    rows = corpus_pipeline.sequences(spark, docs, "").collect()
+    assert len(rows) > 2 and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
