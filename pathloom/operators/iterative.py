@@ -1,4 +1,4 @@
-"""Work that is no single plan: hulls of hulls, greedy orders on metas, simplification by rounds, chains of contours."""
+"""Work that is no single plan: hulls of hulls, greedy orders on metas, simplification by rounds, containment groups, cleared cells."""
 
 from __future__ import annotations
 
