@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ def newest(requests: DataFrame) -> DataFrame:
     return requests.groupBy("req_key").agg(best.alias("s"), F.count(F.lit(1)).alias("n")).select("req_key", F.col("s.generation").alias("generation"), (-F.col("s.p")).alias("payload"), (F.col("n") - 1).alias("shadowed"))
 
 
-def readiness(keys: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
+def readiness(keys: DataFrame, needs: DataFrame) -> DataFrame:
     """Level at which each key can run, after all that it needs ``(req_key, need)``; null for keys that never can."""
     open_keys = saved(keys.select("req_key"))
     done = saved(open_keys.join(needs, "req_key", "left_anti").select("req_key", F.lit(0).alias("level")))
-    for level in range(1, most):
+    for level in itertools.count(1):
         waiting = needs.join(done.select(F.col("req_key").alias("need")), "need", "left_anti").select("req_key").distinct()
         ready = open_keys.join(done.select("req_key"), "req_key", "left_anti").join(waiting, "req_key", "left_anti")
         ready = saved(ready.select("req_key", F.lit(level).alias("level")))

@@ -61,11 +61,12 @@ def long_edges(tris: DataFrame, verts: DataFrame, longest: float) -> DataFrame:
     return rows.select("u", "v", ((F.col("ux") + F.col("vx")) / 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2).alias("y"))
 
 
-def laplace(tris: DataFrame, verts: DataFrame, tolerance: float = 1e-8, most: int = 400) -> DataFrame:
+def laplace(tris: DataFrame, verts: DataFrame, tolerance: float = 1e-8, most: int | None = None) -> DataFrame:
     """Field that is 1 on OUTER, 0 on INNER vertices and harmonic elsewhere, by conjugate gradients.
 
     The matrix times a vector is a join and a sum by row; the vectors are one table, written each round. Rounds stop
-    at the relative residual; the driver sees two sums a round.
+    at the relative residual, which exact sums reach in as many rounds as there are free vertices; a field that is not
+    there after ``most`` (else 400 or ten times the free vertices) is an error. The driver sees two sums a round.
     """
     fixed = verts.filter("tag <> 'NONE'").select(F.col("v").alias("j"), (F.col("tag") == "OUTER").cast("double").alias("u"))
     free = verts.filter("tag = 'NONE'").select(F.col("v").alias("i"))
@@ -73,10 +74,13 @@ def laplace(tris: DataFrame, verts: DataFrame, tolerance: float = 1e-8, most: in
     matrix = saved(k.join(free.withColumnRenamed("i", "j"), "j", "left_semi")).persist()
     right = k.join(fixed, "j").groupBy("i").agg((-F.sum(F.col("k") * F.col("u"))).alias("b"))
     state = saved(free.join(right, "i", "left").select("i", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"), F.coalesce("b", F.lit(0.0)).alias("p")))
+    most = max(400, 10 * state.count()) if most is None else most
     rr = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    for _ in range(most):
-        if rr <= tolerance**2 * start or rr == 0.0:
-            break
+    done = 0
+    while rr > tolerance**2 * start:
+        if done >= most:
+            raise RuntimeError(f"the field needs more than {most} rounds")
+        done += 1
         product = matrix.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(F.sum(F.col("k") * F.col("p")).alias("q"))
         step = saved(state.join(product, "i", "left").withColumn("q", F.coalesce("q", F.lit(0.0))))
         alpha = rr / step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]

@@ -76,8 +76,10 @@ def nearest_rings(points: DataFrame, rings: DataFrame, size: float = CELL) -> Da
         around = left.withColumn("cx", F.explode(F.sequence(F.greatest(px - k, F.lit(span[2])), F.least(px + k, F.lit(span[4]))))).withColumn("cy", F.explode(F.sequence(F.greatest(py - k, F.lit(span[3])), F.least(py + k, F.lit(span[5])))))
         around = around.filter((F.abs(F.col("cx") - px) <= k) & (F.abs(F.col("cy") - py) <= k))
         t, qx, qy, d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        best = around.join(e, ["cx", "cy"]).withColumn("d2", d2).groupBy("point_id", "x", "y").agg(F.min(F.struct("d2", "ring_id", "seq")).alias("s"))
         last = span[0] is None or k > 2 * (span[0] + span[1] + 2) * 50
+        # points that are still left lie very far away: against all edges, once each
+        pairs = left.crossJoin(e.select("ring_id", "seq", "ax", "ay", "bx", "by").distinct()) if last else around.join(e, ["cx", "cy"])
+        best = pairs.filter("x is not null and y is not null").withColumn("d2", d2).groupBy("point_id", "x", "y").agg(F.min(F.struct("d2", "ring_id", "seq")).alias("s"))
         sure = F.lit(last) | (F.sqrt("s.d2") <= k * size)
         found = saved(best.filter(sure).select("point_id", F.col("s.ring_id").alias("ring_id"), F.sqrt("s.d2").alias("distance")))
         done = found if done is None else done.unionByName(found)

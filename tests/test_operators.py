@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pathloom.operators import commands, iterative, mesh, transforms
+from pathloom.operators import commands, iterative, mesh, spatial, transforms
 from pathloom.sources import documents
 from pathloom.sources.derive import table
 from pathloom.streaming import commands as streams
@@ -244,3 +244,18 @@ def test_simplified_takes_as_many_rounds_as_needed(spark):
     assert deepest > 61
     out = iterative.simplified(spark.createDataFrame(points, "path long, seq long, x double, y double"), 0.1)
     assert {r["seq"] for r in out.collect()} == want
+
+
+def test_points_far_from_all_rings_have_a_nearest_one(spark):
+    rings = spark.createDataFrame([(1, 1, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])], "geom_id long, ring_id long, seq long, x double, y double")
+    points = spark.createDataFrame([(1, 1e6, 0.5), (2, 2.0, 0.5), (3, None, 0.5)], "point_id long, x double, y double")
+    found = {r["point_id"]: (r["ring_id"], r["distance"]) for r in spatial.nearest_rings(points, rings).collect()}
+    assert found == {1: (1, 999_999.0), 2: (1, 1.0)}
+
+
+def test_field_that_does_not_converge_is_an_error(spark):
+    verts = spark.createDataFrame([(3 * i + j, float(i), float(j), "INNER" if i == 0 else "OUTER" if i == 4 else "NONE") for i in range(5) for j in range(3)], "v long, x double, y double, tag string")
+    cells = [(3 * i + j, 3 * i + j + 1, 3 * i + j + 3, 3 * i + j + 4) for i in range(4) for j in range(2)]
+    tris = spark.createDataFrame([(2 * n + h, *((p, r, s) if h else (p, s, q))) for n, (p, q, r, s) in enumerate(cells) for h in (0, 1)], "t long, a long, b long, c long")
+    with pytest.raises(RuntimeError):
+        mesh.laplace(tris, verts, most=1)
