@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of tables that ``saved`` wrote, so that ``discard`` can remove them.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: A key with at least this share of all rows is hot; there are at most so many hot keys.
+HOT_KEYS = 512
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where the session has none."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    A session in one process may have none, then a temporary folder is set. On a cluster executors would write to
+    their own disks, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-loops-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -22,7 +34,36 @@ def saved(df: DataFrame) -> DataFrame:
     """Write and reread in the shared folder."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of tables of ``saved`` that nothing reads any more, as those of the rounds before."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join with a table of one row per key, whose ``weight`` counts the rows of ``left`` that have the key.
+
+    Keys that hold at least 1/HOT_KEYS of the ``total`` rows of ``left`` are at most HOT_KEYS, so they are broadcast;
+    the other keys are joined by a shuffle in which no key can fill a task. ``left`` is read twice, and null keys
+    match nothing. ``how`` is inner or left.
+    """
+    hot = F.col(weight) * F.lit(HOT_KEYS) >= F.lit(max(1, total)) if total > HOT_KEYS else F.lit(True)
+    few = right.filter(hot)
+    if total <= HOT_KEYS:
+        return left.join(F.broadcast(few.drop(weight)), keys, how)
+    marked = F.broadcast(few.drop(weight))
+    loud = left.join(marked, keys)
+    quiet = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.filter(~hot).drop(weight), keys, how)
+    return loud.unionByName(quiet)
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame, key: str = "image_id", most: int = 100) -> DataFrame:
@@ -32,13 +73,14 @@ def component_labels(nodes: DataFrame, edges: DataFrame, key: str = "image_id",
     component's diameter; only changed labels keep the loop going.
     """
     both = saved(edges.select(key, "a", "b").unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(nodes.select(key, "node", F.col("node").alias("label")))
+    before = labels = saved(nodes.select(key, "node", F.col("node").alias("label")))
     for _ in range(most):
         sent = both.join(labels.select(key, F.col("node").alias("b"), "label"), [key, "b"]).groupBy(key, F.col("a").alias("node")).agg(F.min("label").alias("m"))
         near = labels.join(sent, [key, "node"], "left").select(key, "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = near.select(key, F.col("node").alias("label"), F.col("label").alias("next"))
         new = saved(near.join(jump, [key, "label"], "left").select(key, "node", "old", F.least("label", "next").alias("label")))
-        labels = new.drop("old")
+        discard(before)
+        before, labels = new, new.drop("old")
         if not new.filter("label <> old").limit(1).count():
             return labels
     raise RuntimeError(f"components need more than {most} rounds")
