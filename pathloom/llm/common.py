@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than space and the ASCII controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from pathloom.functions.loops import discard, saved, shared_folder, spread_join
 
-#: Rows handed to a Python worker at a time by operators on whole texts.
-BATCH_ROWS = 1000
+__all__ = ["WORD", "discard", "held_out", "learning_sample", "set_aside", "shared_dir", "size_of", "spread_join", "written"]
 
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands texts to Python workers in small batches, unless it sets a size of its own."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":  # the default, which is many megabytes of texts
-        conf.set(key, str(BATCH_ROWS))
-    return df
+#: A word is a run of characters other than space and the ASCII controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder below ``spark.checkpoint.dir``; an error on a cluster that has none set."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    (df.select(*columns) if columns else df).write.parquet(path)
-    return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
+    return saved(df.select(*columns) if columns else df)
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with free room for new columns ``names``: columns of that name become ``<name>_given``, in any case.
+
+    Column names clash without regard to case, as Spark resolves them so by default.
+    """
+    taken = {c.lower() for c in df.columns}
+    for old in df.columns:
+        if old.lower() in {n.lower() for n in names}:
+            new = f"{old}_given"
+            while new.lower() in taken:
+                new += "_given"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(old, new)
+    return df
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -52,6 +50,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def share_of(value: Column, share: float | Column) -> Column:
+    """True for about ``share`` of all values of a hash of ``value``."""
+    return F.pmod(value, F.lit(1_000_003)) / F.lit(1_000_003.0) < share
+
+
 def learning_sample(df: DataFrame, label: str, per_label: int, seed: int = 7) -> DataFrame:
     """About ``per_label`` rows of each label value, chosen by a hash of ``doc_id``; null labels are left out.
 
@@ -63,5 +66,4 @@ def learning_sample(df: DataFrame, label: str, per_label: int, seed: int = 7) ->
     if not counts:
         return named
     share = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, per_label / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return named.filter(draw < F.element_at(share, F.col(label)))
+    return named.filter(share_of(F.xxhash64(F.lit(seed), F.col("doc_id")), F.element_at(share, F.col(label))))
