@@ -3,16 +3,21 @@
 Patterns with checks give the base spans. Around them a random field over the document's tokens with digits or ``@``
 finds more: unary potentials of hashed token features, chain potentials between neighbours, and skip potentials
 between repeated or similar tokens however far apart: each is linked to the first observed one of every label, or to
-the first of all where none is observed. Base tokens are observed; loopy message passing, until no message moves,
-carries their labels to tokens that look or read like them. Weights are learned by pseudo-likelihood from base spans of
-a bounded sample. Tokens without digits and ``@`` cannot be part of an entity, so they need no node.
+the first of all where none is observed. Base tokens are observed, all others are not, matches that fail their check
+included; loopy message passing, until no message moves, carries labels to tokens that look or read like them. Tokens
+without digits and ``@`` cannot be part of an entity, so they need no node.
+
+Weights are learned by pseudo-likelihood on a bounded sample of documents, in which entities are mentioned once more in
+forms that no pattern finds, beside decoys of the same forms with other digits, and a share of the base entities is
+hidden from their neighbours. So form alone does not make an entity, and links to one do. Tokens that repeat a base
+entity without being one are not taught as anything.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import bounded_batches
+from pathloom.llm.common import set_aside, share_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Hash bits of token features; bound of the learning sample: documents, and nodes drawn from all of one document.
 BITS, SAMPLE_DOCS, SAMPLE_NODES = 14, 3000, 100
+#: Learning: share of base entities hidden from their neighbours, further mentions of each on average, decoys for each mention.
+HIDE, MENTIONS, DECOYS = 0.3, 2.0, 2
 #: A token that no pattern found becomes a span from this marginal on.
-SURE = 0.95
+SURE = 0.8
 #: A message's updates at full step, later ones shrink so that loops that swing settle; a message or node rests below STILL.
 ROUNDS, DAMPING, STILL = 100, 0.3, 1e-7
 
@@ -37,6 +44,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
+_HEAD, _ALNUM = re.compile(r"[@\[({<]"), re.compile(r"[^a-z0-9]")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&="
 
 
@@ -119,19 +127,31 @@ def _shape(token: str) -> str:
     return "".join(out)
 
 
+def similar_as(token: str) -> list[str]:
+    """Keys under which differently written tokens are similar: their last seven digits, their letters and digits.
+
+    Letters and digits count up to ``@`` or a bracket, so that an address and its spelled-out form share a key.
+    """
+    digits = "".join(c for c in token if "0" <= c <= "9")
+    head = _ALNUM.sub("", _HEAD.split(token.lower(), maxsplit=1)[0])
+    keys = [digits[-7:]] if len(digits) >= 7 else []
+    return keys + ["a" + head] if len(head) >= 4 and not head.isdigit() and not head.isalpha() else keys
+
+
 def _features(text: str, start: int, stop: int, failing: bool, previous: int, following: int) -> list[int]:
     token = text[start:stop]
     before, after = text[max(0, start - 24) : start].split(), text[stop : stop + 24].split()
     n = sum(c.isdigit() for c in token[:64])
     names = (
-        "bias", "s:" + _shape(token), f"l:{min(12, len(token).bit_length())}:{min(n, 20)}", "b:" + (before[-1][-12:].lower() if before else ""),
+        "bias", f"s:{failing}:{_shape(token)}", f"l:{failing}:{min(24, len(token))}:{min(n, 20)}", "b:" + (before[-1][-12:].lower() if before else ""),
         "a:" + (after[0][:12].lower() if after else ""), "p:" + _shape(token[:4]), "e:" + _shape(token[-4:]), f"f:{failing}", f"@:{'@' in token}",
         f"+:{text[max(0, start - 1) : start + 1]}"[:4], f"d:{token.count('.')}:{token.count('-')}", f"g:{min(previous, 3)}:{min(following, 3)}",
     )
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
 
 
-#: Features of a node, and kinds of edges: next token with only white space or signs between, next token near by, same token, same digits.
+#: Features of a node, and kinds of edges: next token with only white space or signs between, next token near by, same token, similar token
+#: (a repeat of a long token has both of the last two).
 N_FEATURES, NEXT, NEAR, SAME, ALIKE = 12, 0, 1, 2, 3
 
 
@@ -145,37 +165,43 @@ class Graph:
         nodes = tokens(text)
         offset = len(self.spans)
         self.documents.append((offset, offset + len(nodes)))
-        marks = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in failed])
-        first, names = 0, []
+        starts, stops = [a for a, _ in nodes], [b for _, b in nodes]
+
+        def under(start: int, end: int) -> range:
+            return range(bisect_right(stops, start), bisect_left(starts, end))
+
+        label, failing = [0] * len(nodes), [False] * len(nodes)
+        for start, kind, end in reversed(base):  # the first one counts
+            for i in under(start, end):
+                label[i] = kind + 1
+        for start, end in failed:
+            for i in under(start, end):
+                failing[i] = not label[i]
+        names = []
         for i, (start, stop) in enumerate(nodes):
-            while first < len(marks) and marks[first][1] <= start and all(m[1] <= start for m in marks[first : first + 1]):
-                first += 1
-            over = [m for m in marks[first : first + 8] if m[0] < stop and m[1] > start]
-            kinds = [k for _, _, k in over if k]
             gap = start - nodes[i - 1][1] if i else 99
             ahead = nodes[i + 1][0] - stop if i + 1 < len(nodes) else 99
             self.spans.append((start, stop))
-            self.features.append(_features(text, start, stop, bool(over) and not kinds, gap.bit_length(), ahead.bit_length()))
-            self.label.append(kinds[0] if kinds else 0)
-            self.hidden.append(not over)
-            me = offset + i
+            self.features.append(_features(text, start, stop, failing[i], gap.bit_length(), ahead.bit_length()))
+            self.label.append(label[i])
+            self.hidden.append(not label[i])
             if i and gap <= 40:
-                self.edges.append((me - 1, me, NEXT if gap <= 3 else NEAR))
+                self.edges.append((offset + i - 1, offset + i, NEXT if gap <= 3 else NEAR))
             token = text[start:stop].lower()
-            digits = "".join(c for c in token if "0" <= c <= "9")
-            names.append((token, digits[-10:] if len(digits) >= 7 else ""))
-        seen = [-1 if h else x for h, x in zip(self.hidden[offset:], self.label[offset:])]
+            names.append([(token, SAME), *((k, ALIKE) for k in similar_as(token))])
         hubs: dict = {}
-        for i, name in enumerate(names):
-            for key in zip(name, (SAME, ALIKE)):
-                hubs.setdefault(key, {}).setdefault(seen[i], i)
-        for i, name in enumerate(names):
-            for key in zip(name, (SAME, ALIKE)):
-                firsts = hubs[key] if key[0] else {}
-                for label, hub in firsts.items():
-                    twice = firsts[seen[i]] == i and seen[i] >= 0 and hub > i
-                    if hub != i and not twice and (label >= 0 or len(firsts) == 1) and (key[1] == SAME or names[hub][0] != name[0]):
-                        self.edges.append((offset + min(hub, i), offset + max(hub, i), key[1]))
+        for i, keys in enumerate(names):
+            for key in keys:
+                hubs.setdefault(key, {}).setdefault(label[i], i)
+        found = set()
+        for i, keys in enumerate(names):
+            for key in keys:
+                firsts = hubs[key]
+                for kind, hub in firsts.items():
+                    twice = firsts[label[i]] == i and label[i] and hub > i and kind
+                    if hub != i and not twice and (kind or len(firsts) == 1):
+                        found.add((offset + min(hub, i), offset + max(hub, i), key[1]))
+        self.edges += sorted(found)
 
 
 class Field:
@@ -185,14 +211,14 @@ class Field:
         self.unary = np.zeros((1 << BITS, len(LABELS)))
         self.pair = np.zeros((4, len(LABELS), len(LABELS)))
 
-    def fit(self, features: np.ndarray, label: np.ndarray, edges: np.ndarray, rounds: int = 60, rate: float = 0.3) -> Field:
+    def fit(self, features: np.ndarray, label: np.ndarray, edges: np.ndarray, rounds: int = 600, rate: float = 0.3) -> Field:
         """``learned`` from a graph with all nodes."""
         around = np.zeros((len(label), self.pair.size * 2 // len(LABELS)))
         if len(edges):
-            np.add.at(around, neighbours(label, edges), 1)
+            np.add.at(around, neighbours(label, edges)[:2], 1)
         return self.learned(features, label, around, rounds, rate)
 
-    def learned(self, features: np.ndarray, label: np.ndarray, around: np.ndarray, rounds: int = 60, rate: float = 0.3) -> Field:
+    def learned(self, features: np.ndarray, label: np.ndarray, around: np.ndarray, rounds: int = 600, rate: float = 0.3) -> Field:
         """Pseudo-likelihood: each label given its features and its neighbours' labels; AdaGrad over all nodes.
 
         ``around`` counts a node's neighbours by ``neighbours``, so a node needs no other node's row.
@@ -208,15 +234,15 @@ class Field:
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p = p / p.sum(axis=1, keepdims=True) - gold
-            step = 1e-5 * self.unary
+            step = 1e-4 * self.unary
             for j in range(k):
                 step[:, j] += np.bincount(features.ravel(), weights=np.repeat(p[:, j], features.shape[1]), minlength=len(step)) / n
             sq_u += step**2
             self.unary -= rate * step / np.sqrt(sq_u)
             push = (around.T @ p).reshape(-1, 2, k, k) / n
-            step = 1e-4 * self.pair + push[:, 0] + push[:, 1].transpose(0, 2, 1)
+            step = 1e-6 * self.pair + push[:, 0] + push[:, 1].transpose(0, 2, 1)
             sq_p += step**2
-            self.pair -= rate * step / np.sqrt(sq_p)
+            self.pair -= 3 * rate * step / np.sqrt(sq_p)
         return self
 
     def beliefs(self, graph: Graph) -> np.ndarray:
@@ -250,10 +276,66 @@ class Field:
         return _normal(total)
 
 
-def neighbours(label: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A node and a number below 8 * len(LABELS) for both ends of each edge: edge kind, side and label of the other end."""
+def rewritten(kind: int, entity: str, form: int) -> str:
+    """An entity in another form, which patterns do not find as a rule."""
+    digits = "".join(c for c in entity if "0" <= c <= "9")
+    if kind == 0:
+        return entity.replace("@", ("[at]", "(at)", "{at}")[form % 3])
+    if kind == 1:
+        return (entity.replace(".", "-"), "[.]".join(entity.rsplit(".", 1)), entity.replace(".", "_"))[form % 3]
+    if kind == 2:
+        return (".", "/", "_")[form % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    area, middle, last = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return (f"({area}) {middle}-{last}", f"{area}-{middle}-{last}", f"{area}.{middle}.{last}", area + middle + last, f"{area}/{middle}{last}")[form % 5]
+
+
+def exercised(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """``text`` with rewritten mentions of its entities and decoys at random places, and their (start, label, end).
+
+    Decoys are the same forms with other digits, and single pieces of entities; addresses have none, as a
+    spelled-out address is one also where it stands alone.
+    """
+    extra: list[tuple[int, str, int]] = []
+
+    used: set[int] = set()
+
+    def put(mention: str, label: int) -> None:
+        """At a space between letters, as signs and digits next to an entity can change what patterns find."""
+        for _ in range(20):
+            at = text.find(" ", int(rng.integers(0, len(text))))
+            if at > 0 and at not in used and text[at - 1].isalpha() and text[at + 1 : at + 2].isalpha():
+                used.add(at)
+                extra.append((at, mention, label))
+                return
+
+    def other(entity: str) -> str:
+        return "".join(str(rng.integers(0, 10)) if "0" <= c <= "9" else c for c in entity)
+
+    for start, kind, end in patterns(text)[0]:
+        entity = text[start:end]
+        for _ in range(int(rng.poisson(MENTIONS))):
+            form = int(rng.integers(0, 60))
+            put(rewritten(kind, entity, form), kind + 1)
+            if not kind:
+                continue
+            for _ in range(DECOYS):
+                put(rewritten(kind, other(entity), form), 0)
+            pieces = [t for t in re.split(r"[^0-9]+", entity if kind != 2 else entity[:4]) if t]
+            put(pieces[int(rng.integers(0, len(pieces)))], 0)
+    out, marks, at, size = [], [], 0, 0
+    for where, mention, label in sorted(extra):
+        out += [text[at:where], " ", mention]
+        size += where - at + 1 + len(mention)
+        marks.append((size - len(mention), label, size))
+        at = where
+    return "".join([*out, text[at:]]), marks
+
+
+def neighbours(label: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For both ends of each edge: the node, a number of edge kind, side and label of the other end, and the other end."""
     u, v, kind = edges.T
-    return np.concatenate([v, u]), np.concatenate([2 * kind * len(LABELS) + label[u], (2 * kind + 1) * len(LABELS) + label[v]])
+    number = np.concatenate([2 * kind * len(LABELS) + label[u], (2 * kind + 1) * len(LABELS) + label[v]])
+    return np.concatenate([v, u]), number, np.concatenate([u, v])
 
 
 def _pass(send: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -295,9 +377,9 @@ def learn(docs: DataFrame, most: int = SAMPLE_DOCS, nodes: int = SAMPLE_NODES) -
     Graphs of whole documents are built on the executors; the driver gets features, labels and counted neighbours of
     the drawn nodes, so edges count however far they reach.
     """
-    marked = bounded_batches(docs).filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    share = min(1.0, most / max(1, docs.count()))
-    drawn = marked.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.lit(share))
+    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    share = min(1.0, most / max(1, marked.count()))
+    drawn = marked.filter(share_of(F.xxhash64(F.lit(17), "doc_id"), F.lit(share)))
 
     def nodes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -320,21 +402,41 @@ def learn(docs: DataFrame, most: int = SAMPLE_DOCS, nodes: int = SAMPLE_NODES) -
     return field.learned(np.asarray(features, dtype=np.int64).reshape(-1, N_FEATURES), np.asarray(label, dtype=np.int64), counts)
 
 
-def sampled(text: str, most: int) -> tuple[list[int], list[int], list[int]]:
+def sampled(text: str, most: int, exercise: bool = True) -> tuple[list[int], list[int], list[int]]:
     """Features and labels of at most ``most`` nodes drawn from the whole text, and (node, neighbour number, count)."""
-    graph = Graph()
-    graph.add(text, *patterns(text))
-    n = len(graph.spans)
-    picked = np.arange(n) if n <= most else np.sort(np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).choice(n, most, replace=False))
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    given: list[tuple[int, int, int]] = []
+    if exercise:
+        text, given = exercised(text, rng)
+    graph, base = Graph(), patterns(text)
+    graph.add(text, *base)
+    n, label = len(graph.spans), np.asarray(graph.label, dtype=np.int64)
+    starts, stops = [a for a, _ in graph.spans], [b for _, b in graph.spans]
+    edges = np.asarray(graph.edges, dtype=np.int64).reshape(-1, 3)
+    known = np.ones(n, dtype=bool)
+    for u, v, kind in graph.edges:  # repeats of an entity are not taught as anything
+        if kind >= SAME and bool(label[u]) != bool(label[v]):
+            known[v if label[u] else u] = False
+    shown = np.ones(n, dtype=bool)
+    for start, kind, end in base[0]:
+        if exercise and rng.random() < HIDE:
+            shown[bisect_right(stops, start) : bisect_left(starts, end)] = False
+    linked = {int(i) for u, v, kind in graph.edges if kind >= SAME for i, j in ((u, v), (v, u)) if shown[j] and not graph.hidden[j]}
+    for start, kind, end in given:  # of the mentions those that something tells from decoys
+        for i in range(bisect_right(stops, start), bisect_left(starts, end)):
+            if graph.hidden[i]:
+                label[i], known[i] = kind, kind in (0, 1) or i in linked
+    places = np.flatnonzero(known)
+    picked = places if len(places) <= most else np.sort(rng.choice(places, most, replace=False))
     place = np.full(n, -1)
     place[picked] = np.arange(len(picked))
     around = np.zeros((0, 3), dtype=np.int64)
-    if graph.edges:
-        node, what = neighbours(np.asarray(graph.label), np.asarray(graph.edges))
-        held = place[node] >= 0
+    if len(edges):
+        node, what, other = neighbours(label, edges)
+        held = (place[node] >= 0) & shown[other] & known[other]
         pairs, counts = np.unique(np.stack([place[node[held]], what[held]], axis=1), axis=0, return_counts=True)
         around = np.column_stack([pairs, counts])
-    return sum((graph.features[i] for i in picked), []), [graph.label[i] for i in picked], around.ravel().tolist()
+    return sum((graph.features[i] for i in picked), []), label[picked].tolist(), around.ravel().tolist()
 
 
 def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -352,7 +454,8 @@ def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: an array of (kind, start, end, base) of whole texts, in code points, end exclusive.
 
     Base spans are always there; those of the random field come besides and never overlap a base span's token.
-    Null and empty texts have none. Repeated rows get the same.
+    Null and empty texts have none. Repeated rows get the same. Texts of any length are read whole. A caller's own
+    ``pii`` becomes ``pii_given``. An empty table gives no rows.
     """
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,base:boolean>>")
@@ -365,11 +468,15 @@ def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "base": (s, k, e) in known} for s, k, e in every])
         return pd.Series(out, dtype=object)
 
-    return bounded_batches(docs).withColumn("pii", spans(F.col(text).cast("string")))
+    plain = set_aside(docs, "pii")
+    return plain.withColumn("pii", spans(F.col(text).cast("string")))
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with every span of personal data replaced by its kind in brackets; null texts stay null.
+
+    Of overlapping spans the first is replaced and the rest of the others goes with it. Rows keep all their columns.
+    """
 
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:
@@ -385,7 +492,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 out.append("".join([*pieces, t[at:]]) if isinstance(column.iloc[i], str) else None)
         return pd.Series(out, dtype=object)
 
-    return bounded_batches(docs).withColumn("text", clean(F.col("text").cast("string")))
+    return docs.withColumn("text", clean(F.col("text").cast("string")))
 
 
 def digest(docs: DataFrame, field: Field) -> DataFrame:
