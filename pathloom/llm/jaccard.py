@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.llm.common import written
+from pathloom.llm.common import discard, share_of, spread_join, written
 
 N_WORDS = 5
 #: Similarity as a fraction: links have 100 * intersection >= 80 * union.
@@ -28,8 +28,15 @@ PERCENT = 80
 SKETCH = 16
 #: A signature should hold about so many shingles, to be shared by chance only.
 WIDE = 2.5
-#: A link is missed with a probability below exp(-SAFE), where partitions are fewer than the differences.
-SAFE = 28.0
+#: A link is missed with a probability below exp(-SAFE), where partitions are fewer than the differences. The exact
+#: setting never has fewer, so it misses none; it sends about twice the signatures of long texts.
+SAFE, EXACT = 28.0, math.inf
+#: Components in a bucket from which it is searched by its rare shingles instead of by pairs.
+CROWD = 64
+#: Documents whose signatures tell the frequent ones, and how many of these are dealt over many tasks.
+PROBE, HOT_SIGNATURES = 20_000, 2048
+#: Shingles of all partners that meet one copy of a hub's set.
+HUB_SHINGLES = 500_000
 #: Ids up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -105,10 +112,10 @@ class Scheme:
     groups: ``n1`` groups of ``n2`` partitions (equal ranges of the hashed domain), in each all subsets of n2 - k2 of
     them. With n1 * (k2 + 1) > k some group has at most k2 differences, so one of its subsets agrees; ``spare`` more
     groups let signatures without any shingle be left out, unless a set has more groups with such than spare ones.
-    For large k fewer partitions than differences do: at least one agrees but for a chance below exp(-SAFE).
+    For large k fewer partitions than differences do: at least one agrees but for a chance below exp(-safe).
     """
 
-    def __init__(self, number: int, low: int, high: int):
+    def __init__(self, number: int, low: int, high: int, safe: float = SAFE):
         self.low, self.high, self.number = low, high, number
         most = high * 100 // PERCENT
         self.k = (high + most) * (100 - PERCENT) // (100 + PERCENT)
@@ -128,7 +135,7 @@ class Scheme:
             n1 = base + spare
             wide = low * (n2 - k2) / (n2 * n1)
             choices.append((wide < WIDE, n1 * math.comb(n2, k2) if wide >= WIDE else -wide, n1, n2, k2, spare))
-        n = next((n for n in range(1, self.k + 2) if n * math.exp(-self.k / n) >= SAFE), None)
+        n = next((n for n in range(1, self.k + 2) if n * math.exp(-self.k / n) >= safe), None)
         if n:
             choices.append((low / n < WIDE, n if low / n >= WIDE else -low / n, n, 1, 0, n))
         _, _, self.n1, self.n2, self.k2, self.spare = min(choices)
@@ -167,11 +174,11 @@ def _choices(n: int, t: int) -> np.ndarray:
 
 
 @lru_cache(4096)
-def _scheme(number: int) -> Scheme:
+def _scheme(number: int, safe: float = SAFE) -> Scheme:
     low = 1
     for _ in range(number):
         low = low * 100 // PERCENT + 1
-    return Scheme(number, low, low * 100 // PERCENT)
+    return Scheme(number, low, low * 100 // PERCENT, safe)
 
 
 def band(size: int) -> int:
@@ -182,14 +189,14 @@ def band(size: int) -> int:
     return number
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, safe: float = SAFE) -> np.ndarray:
     """All signatures of a set: those of its own band, and those of the band before, for smaller partners there."""
     if not len(s):
         return np.zeros(0, dtype=np.uint64)
     mixed, own = _mix(s, 0), band(len(s))
-    out = [_scheme(own).signatures(s, mixed)]
+    out = [_scheme(own, safe).signatures(s, mixed)]
     if own and len(s) * PERCENT <= _scheme(own - 1).high * 100:
-        out.append(_scheme(own - 1).signatures(s, mixed))
+        out.append(_scheme(own - 1, safe).signatures(s, mixed))
     return np.concatenate(out)
 
 
@@ -228,32 +235,34 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(measure, schema)
 
 
-def signature_rows(docs: DataFrame) -> DataFrame:
-    """``sig, doc_id``: signatures of every set; sets that a task has already met are not sent again by that task."""
+def signature_rows(docs: DataFrame, safe: float = SAFE) -> DataFrame:
+    """``sig, n, doc_id``: signatures of every set; sets that a task has already met are not sent again by that task."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[tuple[int, int]] = set()
         for batch in batches:
-            sigs, ids, held = [], [], 0
+            sigs, ids, sizes, held = [], [], [], 0
             for doc_id, s in zip(batch["doc_id"].tolist(), shingle_sets(_texts(batch))):
                 key = (len(s), int(s.sum(dtype=np.uint64)) ^ int(_mix(s, 1).sum(dtype=np.uint64)) << 64) if len(s) else None
                 if key is None or key in known:
                     continue
                 known.add(key)
-                sigs.append(signatures(s))
+                sigs.append(signatures(s, safe))
                 ids.append(doc_id)
+                sizes.append(len(s))
                 held += len(sigs[-1])
                 if held > 200_000:
-                    yield frame(sigs, ids)
-                    sigs, ids, held = [], [], 0
+                    yield frame(sigs, ids, sizes)
+                    sigs, ids, sizes, held = [], [], [], 0
             if sigs:
-                yield frame(sigs, ids)
+                yield frame(sigs, ids, sizes)
 
-    def frame(sigs: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc_id": np.repeat(np.asarray(ids, dtype=np.int64), [len(x) for x in sigs])})
+    def frame(sigs: list[np.ndarray], ids: list[int], sizes: list[int]) -> pd.DataFrame:
+        each = [len(x) for x in sigs]
+        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "n": np.repeat(np.asarray(sizes, dtype=np.int32), each), "doc_id": np.repeat(np.asarray(ids, dtype=np.int64), each)})
 
     named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInPandas(send, "sig long, doc_id long")
+    return named.mapInPandas(send, "sig long, n int, doc_id long")
 
 
 def _near_enough(a: str, b: str) -> Column:
@@ -263,28 +272,65 @@ def _near_enough(a: str, b: str) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (odd * (100 + PERCENT) <= (na + nb) * (100 - PERCENT))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) of ids whose texts are similar enough by their sets."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids(doc_id)``: few ids are broadcast, so that the other texts are not shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (``a, b``) of ids whose texts are similar enough by their sets.
+
+    Partners of ``a`` are dealt over as many salts as their shingles (``sizes(doc_id, n)``) ask for; the text of ``a``
+    is sent once to each salt, and that of ``b`` once to each pair. Repeated ids have the same text or are one node.
+    """
     pairs = written(pairs)
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    with_a = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = with_a.join(texts.toDF("b", "text_b"), "b")
+    texts = _texts_of(docs, ids)
+    sized = pairs.join(sizes.toDF("b", "n"), "b")
+    room = written(sized.groupBy("a").agg((F.sum("n") / HUB_SHINGLES).cast("int").alias("salts"), F.count(F.lit(1)).alias("partners")))
+    n_pairs = pairs.agg(F.count(F.lit(1))).first()[0]
+    dealt = spread_join(pairs, room.select("a", "salts", "partners"), ["a"], "partners", n_pairs)
+    right = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts") + 1)).select("a", "salt", "b").join(texts.toDF("b", "text"), "b")
+    left = room.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long"))).alias("salt"), F.lit(None).cast("long").alias("b")).join(texts.toDF("a", "text"), "a")
+    both = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, hubs = None, []
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
             keep = []
-            for a, b, x, y in zip(batch["a"].tolist(), batch["b"].tolist(), _texts(batch, "text_a"), _texts(batch, "text_b")):
-                if a not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[a] = next(shingle_sets([x]))
-                keep.append(similar(known[a], next(shingle_sets([y]))))
-            yield batch.loc[keep, ["a", "b"]]
+            for key, partner, s in zip(zip(batch["a"].tolist(), batch["salt"].tolist()), batch["b"].notna().tolist(), shingle_sets(_texts(batch))):
+                if key != at:
+                    at, hubs = key, []
+                if partner:
+                    keep.append(any(similar(h, s) for h in hubs))
+                else:
+                    hubs.append(s)
+                    keep.append(False)
+            yield batch.loc[keep, ["a", "b"]].astype("int64")
+
+    return written(both.mapInPandas(compare, "a long, b long").distinct())
 
-    return written(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(compare, "a long, b long").distinct())
+
+def _by_rare_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of ``members(doc_id, component, n)`` of different components that share one of their rarest shingles.
+
+    Two sets that are similar enough share a shingle among the n - ceil(0.8 n) + 1 first ones of each in any fixed
+    order. Rare ones come first here, so a passage that all members hold makes no pairs.
+    """
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, s in zip(batch["doc_id"].tolist(), shingle_sets(_texts(batch))):
+                yield pd.DataFrame({"doc_id": doc_id, "g": s.view(np.int64)})
+
+    rows = written(_texts_of(docs, members.select("doc_id").distinct()).mapInPandas(shingles, "doc_id long, g long").distinct())
+    often = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("times")).withColumn("weight", F.col("times")))
+    ranked = spread_join(rows, often, ["g"], "weight", rows.count()).join(members.dropDuplicates(["doc_id"]), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("times", "g"))
+    first = written(ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("g", "doc_id", "component", "n"))
+    x, y = first.alias("x"), first.alias("y")
+    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
+    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,13 +338,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sign = None
     while True:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = written(edges.union(edges.select("v", "u")))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("weight")))
+        total = both.count()
+        large = spread_join(both.filter("v > u"), low, ["u"], "weight", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large.filter("u <> v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
-        edges = written(small)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("weight")))
+        small = spread_join(large, low, ["u"], "weight", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
+        done, edges = edges, written(small)
+        discard(both, large, done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break
@@ -306,46 +354,77 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     Texts are lower-cased (A-Z), words are runs of other than white space; a text with fewer than five words is one
     shingle. Null and empty texts and those without words have no shingle and no link. Equal sets are one class and
     cost one set of signatures; classes are linked at a Jaccard similarity of 0.8 or more. Rows without a doc_id are
-    counted but not linked (component null). Rows that share a doc_id are one node.
+    counted but not linked (component null). Rows that share a doc_id are one node. Ties go to the smallest doc_id.
+    Texts of any length are read whole; extra columns are ignored; an empty table gives no rows. ``safe=EXACT`` never
+    uses fewer partitions than sets may differ in.
 
-    In a bucket of equal signatures every set is first compared with the smallest id only, and only sets that are
-    still in different components after that with each other, so a group of copies of any size costs few pairs.
+    In a bucket of equal signatures every set is first compared with the smallest set only, and only sets that are
+    still in different components after that with each other; where these are many, by their rare shingles. So
+    neither groups of copies nor passages that many documents share make all pairs.
     """
     sets = written(profiles(docs))
     named = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = written(sets.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"))
+    total = sets.count()
+    # Copies that a task of ``profiles`` meets are counted before the shuffle; a large class is broadcast.
+    classes = written(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    member = written(spread_join(sets.select("doc_id", "n", "h1", "h2"), classes, ["n", "h1", "h2"], "copies", total, "left").select("doc_id", "n", "rep"))
     sketches = named.drop("h1", "h2")
-    sig = Window.partitionBy("sig")
-    rows = signature_rows(docs).withColumn("low", F.min("doc_id").over(sig)).withColumn("high", F.max("doc_id").over(sig))
-    shared = written(rows.filter("low < high").select("sig", "doc_id", "low"))
+    sizes = sketches.select("doc_id", "n")
+    shared = _shared(docs, total, safe)
     stars = shared.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     side = lambda name: sketches.withColumnRenamed("doc_id", name).alias(name)
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_near_enough("a", "b")).select("a", "b").distinct()
     copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = _confirmed(docs, stars)
+    first = _confirmed(docs, stars, sizes)
     known = written(components(first.union(copies)))
     # What is left: buckets that hold several components.
     labelled = shared.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = labelled.withColumn("lo", F.min("component").over(sig)).withColumn("hi", F.max("component").over(sig))
-    mixed = written(labelled.filter("lo < hi").select("sig", "doc_id", "component", "low").join(sketches, "doc_id"))
-    x, y = mixed.alias("x"), mixed.alias("y")
-    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") != F.col("x.low"))
-    rest = x.join(y, apart & _near_enough("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    second = _confirmed(docs, rest)
+    labelled = written(labelled.select("sig", "doc_id", "component", "low"))
+    mix = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    mix = written(mix.filter("lo < hi").select("sig", "size", F.col("size").alias("weight")))
+    mixed = written(spread_join(labelled, mix, ["sig"], "weight", labelled.count()))
+    crowd = mixed.filter(F.col("size") > CROWD).select("doc_id", "component").distinct().join(sizes, "doc_id")
+    small = written(mixed.filter(F.col("size") <= CROWD).drop("size").join(sketches, "doc_id"))
+    x, y = small.alias("x"), small.alias("y")
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    apart = apart & (F.col("x.doc_id") != F.col("x.low")) & (F.col("y.doc_id") != F.col("x.low"))
+    rest = x.join(y, apart & _near_enough("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    rare = _by_rare_shingles(docs, written(crowd)).join(side("a"), "a").join(side("b"), "b").filter(_near_enough("a", "b")).select("a", "b")
+    second = _confirmed(docs, rest.union(rare).distinct(), sizes)
     groups = written(components(first.union(copies).union(second)))
+    discard(shared, labelled, mixed, small)
     # A class without links is a component of its own.
     out = member.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _shared(docs: DataFrame, total: int, safe: float) -> DataFrame:
+    """``sig, doc_id, low``: rows of signatures that several rows have, with the smallest set among these.
+
+    Signatures that are frequent in a sample of about ``PROBE`` documents are dealt over many tasks each, and the few
+    smallest sets found there are compared again. The sample shapes the tasks only, never the result.
+    """
+    probe = signature_rows(docs.filter(share_of(F.xxhash64(F.lit(31), "doc_id"), F.lit(min(1.0, PROBE / max(1, total))))), safe)
+    often = probe.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 512 > min(total, PROBE)).filter("c > 4")
+    hot = written(often.orderBy(F.desc("c"), "sig").limit(HOT_SIGNATURES).select("sig", F.lit(True).alias("hot")))
+    rows = signature_rows(docs, safe).join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(256))))
+    own = Window.partitionBy("sig", "salt")
+    local = rows.withColumn("low", F.min(F.struct("n", "doc_id")).over(own)).withColumn("c", F.count(F.lit(1)).over(own))
+    local = written(local.filter("hot or c > 1").select("sig", "doc_id", "low", "hot"))
+    lowest = local.filter("hot").groupBy("sig").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig", "lowest")
+    met = local.join(F.broadcast(written(lowest)), "sig", "left").filter("hot is null or lowest is not null")
+    out = written(met.select("sig", "doc_id", F.coalesce("lowest", "low")["doc_id"].alias("low")))
+    discard(local)
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each group of near duplicates; rows without an id stay.
 

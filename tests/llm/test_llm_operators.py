@@ -199,6 +199,29 @@ def test_jaccard_join_is_the_brute_one(spark, seed):
     assert found == brute_components(rows)
 
 
+def test_jaccard_join_of_crowded_buckets(spark, monkeypatch):
+    """A passage that very many documents share, small buckets and small hubs: no pair is lost, and pairs stay few."""
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    monkeypatch.setattr(jaccard, "HUB_SHINGLES", 200)
+    rows = near_copies(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rng = random.Random(8)
+    for g in range(60):
+        own = " ".join(f"g{g}w{j}" for j in range(rng.choice((8, 14, 60))))
+        for c in range(rng.choice((1, 1, 3))):
+            rows.append((len(rows), f"{own} c{c} {passage}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for safe in (jaccard.SAFE, jaccard.EXACT):
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(df, safe).collect()}
+        assert found == brute_components(rows)
+
+
+def test_exact_schemes_have_more_partitions_than_differences():
+    for number in range(12, 40):
+        scheme = jaccard._scheme(number, jaccard.EXACT)
+        assert scheme.kind != "groups" or scheme.n1 * (scheme.k2 + 1) > scheme.k
+
+
 def test_jaccard_join_of_nothing_and_of_copies(spark, docs):
     assert jaccard.joined(docs.limit(0)).count() == 0
     text = " ".join(WORDS * 3)
