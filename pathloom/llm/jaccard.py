@@ -33,10 +33,10 @@ WIDE = 2.5
 SAFE, EXACT = 28.0, math.inf
 #: Components in a bucket from which it is searched by its rare shingles instead of by pairs.
 CROWD = 64
-#: Documents whose signatures tell the frequent ones, and how many of these are dealt over many tasks.
-PROBE, HOT_SIGNATURES = 20_000, 2048
-#: Shingles of all partners that meet one copy of a hub's set.
-HUB_SHINGLES = 500_000
+#: Documents that tell frequent signatures and shingles, and how many of these are dealt over many tasks or come last.
+PROBE, HOT_SIGNATURES, LATE_SHINGLES = 20_000, 2048, 16_384
+#: Partners, and shingles of all partners, that meet one copy of a hub's set.
+HUB_PARTNERS, HUB_SHINGLES = 64, 20_000
 #: Ids up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -236,12 +236,12 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, safe: float = SAFE) -> DataFrame:
-    """``sig, n, doc_id``: signatures of every set; sets that a task has already met are not sent again by that task."""
+    """``sig, doc_id``: signatures of every set; sets that a task has already met are not sent again by that task."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[tuple[int, int]] = set()
         for batch in batches:
-            sigs, ids, sizes, held = [], [], [], 0
+            sigs, ids, held = [], [], 0
             for doc_id, s in zip(batch["doc_id"].tolist(), shingle_sets(_texts(batch))):
                 key = (len(s), int(s.sum(dtype=np.uint64)) ^ int(_mix(s, 1).sum(dtype=np.uint64)) << 64) if len(s) else None
                 if key is None or key in known:
@@ -249,20 +249,18 @@ def signature_rows(docs: DataFrame, safe: float = SAFE) -> DataFrame:
                 known.add(key)
                 sigs.append(signatures(s, safe))
                 ids.append(doc_id)
-                sizes.append(len(s))
                 held += len(sigs[-1])
                 if held > 200_000:
-                    yield frame(sigs, ids, sizes)
-                    sigs, ids, sizes, held = [], [], [], 0
+                    yield frame(sigs, ids)
+                    sigs, ids, held = [], [], 0
             if sigs:
-                yield frame(sigs, ids, sizes)
+                yield frame(sigs, ids)
 
-    def frame(sigs: list[np.ndarray], ids: list[int], sizes: list[int]) -> pd.DataFrame:
-        each = [len(x) for x in sigs]
-        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "n": np.repeat(np.asarray(sizes, dtype=np.int32), each), "doc_id": np.repeat(np.asarray(ids, dtype=np.int64), each)})
+    def frame(sigs: list[np.ndarray], ids: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc_id": np.repeat(np.asarray(ids, dtype=np.int64), [len(x) for x in sigs])})
 
     named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInPandas(send, "sig long, n int, doc_id long")
+    return named.mapInPandas(send, "sig long, doc_id long")
 
 
 def _near_enough(a: str, b: str) -> Column:
@@ -288,7 +286,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = _texts_of(docs, ids)
     sized = pairs.join(sizes.toDF("b", "n"), "b")
-    room = written(sized.groupBy("a").agg((F.sum("n") / HUB_SHINGLES).cast("int").alias("salts"), F.count(F.lit(1)).alias("partners")))
+    room = written(sized.groupBy("a").agg(F.greatest(F.sum("n") / HUB_SHINGLES, F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("salts"), F.count(F.lit(1)).alias("partners")))
     n_pairs = pairs.agg(F.count(F.lit(1))).first()[0]
     dealt = spread_join(pairs, room.select("a", "salts", "partners"), ["a"], "partners", n_pairs)
     right = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts") + 1)).select("a", "salt", "b").join(texts.toDF("b", "text"), "b")
@@ -313,24 +311,38 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame
 
 
 def _by_rare_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ``members(doc_id, component, n)`` of different components that share one of their rarest shingles.
+    """Pairs of ``members(doc_id, component)`` of different components that share one of their first shingles.
 
-    Two sets that are similar enough share a shingle among the n - ceil(0.8 n) + 1 first ones of each in any fixed
-    order. Rare ones come first here, so a passage that all members hold makes no pairs.
+    Two sets that are similar enough share a shingle among the n - ceil(0.8 n) + 1 first ones of each in any order
+    that is the same for all. Shingles that are frequent in a sample of the members come last in it, so a passage that
+    all of them hold makes no pairs; the sample orders shingles only, whatever it holds. Sketches are compared in the
+    join.
     """
+    n_members = members.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(members) if n_members <= BROADCAST_IDS else members, "doc_id")
+
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, s in zip(batch["doc_id"].tolist(), shingle_sets(_texts(batch))):
-                yield pd.DataFrame({"doc_id": doc_id, "g": s.view(np.int64)})
+            for s in shingle_sets(_texts(batch)):
+                yield pd.DataFrame({"g": s.view(np.int64)})
+
+    some = texts.filter(share_of(F.xxhash64(F.lit(37), F.col("doc_id")), F.lit(min(1.0, PROBE / max(1, n_members)))))
+    often = some.select("text").mapInPandas(shingles, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 4")
+    late = np.sort(np.asarray([r["g"] for r in often.orderBy(F.desc("c"), "g").limit(LATE_SHINGLES).collect()], dtype=np.int64)).view(np.uint64)
+    names = ["doc_id", "component", "n", *[f"s{i}" for i in range(SKETCH)]]
+
+    def first_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, component, s in zip(batch["doc_id"].tolist(), batch["component"].tolist(), shingle_sets(_texts(batch))):
+                n = len(s)
+                own = s[np.argsort(np.isin(s, late), kind="stable")][: n - -(-n * PERCENT // 100) + 1].view(np.int64)
+                yield pd.DataFrame({"g": own, **{k: v for k, v in zip(names, (doc_id, component, n, *sketch(s).tolist()))}})
 
-    rows = written(_texts_of(docs, members.select("doc_id").distinct()).mapInPandas(shingles, "doc_id long, g long").distinct())
-    often = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("times")).withColumn("weight", F.col("times")))
-    ranked = spread_join(rows, often, ["g"], "weight", rows.count()).join(members.dropDuplicates(["doc_id"]), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("times", "g"))
-    first = written(ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("g", "doc_id", "component", "n"))
+    first = written(texts.select("doc_id", "component", "text").mapInPandas(first_ones, "g long, " + ", ".join(f"{n} long" for n in names)))
     x, y = first.alias("x"), first.alias("y")
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
-    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    apart = (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, apart & _near_enough("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -364,7 +376,7 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     Texts of any length are read whole; extra columns are ignored; an empty table gives no rows. ``safe=EXACT`` never
     uses fewer partitions than sets may differ in.
 
-    In a bucket of equal signatures every set is first compared with the smallest set only, and only sets that are
+    In a bucket of equal signatures every set is first compared with the smallest id only, and only sets that are
     still in different components after that with each other; where these are many, by their rare shingles. So
     neither groups of copies nor passages that many documents share make all pairs.
     """
@@ -389,14 +401,13 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     mix = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     mix = written(mix.filter("lo < hi").select("sig", "size", F.col("size").alias("weight")))
     mixed = written(spread_join(labelled, mix, ["sig"], "weight", labelled.count()))
-    crowd = mixed.filter(F.col("size") > CROWD).select("doc_id", "component").distinct().join(sizes, "doc_id")
+    crowd = written(mixed.filter(F.col("size") > CROWD).select("doc_id", "component").distinct())
     small = written(mixed.filter(F.col("size") <= CROWD).drop("size").join(sketches, "doc_id"))
     x, y = small.alias("x"), small.alias("y")
     apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     apart = apart & (F.col("x.doc_id") != F.col("x.low")) & (F.col("y.doc_id") != F.col("x.low"))
     rest = x.join(y, apart & _near_enough("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    rare = _by_rare_shingles(docs, written(crowd)).join(side("a"), "a").join(side("b"), "b").filter(_near_enough("a", "b")).select("a", "b")
-    second = _confirmed(docs, rest.union(rare).distinct(), sizes)
+    second = _confirmed(docs, rest.union(_by_rare_shingles(docs, crowd)).distinct(), sizes)
     groups = written(components(first.union(copies).union(second)))
     discard(shared, labelled, mixed, small)
     # A class without links is a component of its own.
@@ -406,21 +417,21 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
 
 
 def _shared(docs: DataFrame, total: int, safe: float) -> DataFrame:
-    """``sig, doc_id, low``: rows of signatures that several rows have, with the smallest set among these.
+    """``sig, doc_id, low``: rows of signatures that several documents have, with the smallest doc_id among these.
 
-    Signatures that are frequent in a sample of about ``PROBE`` documents are dealt over many tasks each, and the few
-    smallest sets found there are compared again. The sample shapes the tasks only, never the result.
+    Signatures that are frequent in a sample of about ``PROBE`` documents are dealt over many tasks each, and what
+    these found is put together again. The sample shapes the tasks only, never the result.
     """
-    probe = signature_rows(docs.filter(share_of(F.xxhash64(F.lit(31), "doc_id"), F.lit(min(1.0, PROBE / max(1, total))))), safe)
-    often = probe.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 512 > min(total, PROBE)).filter("c > 4")
+    probe = signature_rows(docs.filter(share_of(F.xxhash64(F.lit(31), F.col("doc_id")), F.lit(min(1.0, PROBE / max(1, total))))), safe)
+    often = probe.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") * 512 > min(total, PROBE)) & (F.col("c") > 4))
     hot = written(often.orderBy(F.desc("c"), "sig").limit(HOT_SIGNATURES).select("sig", F.lit(True).alias("hot")))
     rows = signature_rows(docs, safe).join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(256))))
     own = Window.partitionBy("sig", "salt")
-    local = rows.withColumn("low", F.min(F.struct("n", "doc_id")).over(own)).withColumn("c", F.count(F.lit(1)).over(own))
-    local = written(local.filter("hot or c > 1").select("sig", "doc_id", "low", "hot"))
-    lowest = local.filter("hot").groupBy("sig").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig", "lowest")
+    local = rows.withColumn("low", F.min("doc_id").over(own)).withColumn("high", F.max("doc_id").over(own))
+    local = written(local.filter("hot or low < high").select("sig", "doc_id", "low", "high", "hot"))
+    lowest = local.filter("hot").groupBy("sig").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest < highest").drop("highest")
     met = local.join(F.broadcast(written(lowest)), "sig", "left").filter("hot is null or lowest is not null")
-    out = written(met.select("sig", "doc_id", F.coalesce("lowest", "low")["doc_id"].alias("low")))
+    out = written(met.select("sig", "doc_id", F.coalesce("lowest", "low").alias("low")))
     discard(local)
     return out
 
