@@ -18,29 +18,52 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised."""
-    named = language.identify(docs, language.learn(docs))
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Keep documents whose language is recognised; rows stay as they are.
+
+    Null texts, texts without letters and tables without any language label have no language and go. Repeated rows are
+    judged alike and all stay; texts of any length are read whole; an empty table stays empty. Extra columns stay, also
+    those named ``lang_pred`` or ``score``.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # columns of any name keep their place
+    named = language.identify(rows, language.learn(docs))
+    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near duplicates."""
+    """Keep the document of the smallest id of each group of near duplicates; rows stay as they are.
+
+    Rows without an id, and documents without words, are near to none and stay. Of rows that repeat an id one stays.
+    Texts of any length are compared whole; an empty table stays empty; extra columns stay.
+    """
     return jaccard.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by their kind; ``n_chars`` follows."""
+    """Replace personal data by their kind; ``n_chars`` follows where there is a text.
+
+    Every row stays. Null and empty texts stay as they are, texts of any length are read whole, repeated rows are
+    changed alike, an empty table stays empty, and extra columns stay.
+    """
     clean = pii.redact(docs, pii.learn(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents, so that sources come near their targets."""
+    """Repeat or leave out documents, so that sources come near their targets; rows stay as they are.
+
+    Documents without words go. Null is a source of its own. Rows that repeat an id count each, ties go by a hash of
+    the text. Texts of any length count whole; an empty table stays empty; extra columns stay.
+    """
     return mixing.repeated(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences of at most 1,024 tokens; a row for each piece."""
+    """Pack the documents into sequences of at most 1,024 tokens; a row for each piece, with its token ids.
+
+    Null and empty texts are the end id alone; rows that repeat an id are packed each; texts of any length are cut into
+    as many pieces as needed; ties of length go by id and place; extra columns are left behind; an empty table gives
+    no rows.
+    """
     return packing.packed(docs.select("doc_id", "text"))
 
 
