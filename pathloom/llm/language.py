@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out, learning_sample
+from pathloom.llm.common import held_out, set_aside, share_of
 
 #: Bits of the hashed tables: pairs, triples, quadruples, whole words.
 BITS = (13, 15, 15, 16)
-#: Bound of the learning sample: documents of each language, and words of one document.
-DOCS_PER_LANGUAGE, WORDS_PER_DOC = 200, 200
+#: Bound of the learning sample: passages of each language, and code points of a passage.
+PASSAGES, PASSAGE = 400, 1000
 #: Code points handled at a time.
 BLOCK = 1 << 18
 
@@ -269,34 +269,40 @@ def label_texts(model: Model | None, texts: list[str | None]) -> list[tuple[str,
     return out
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, words: int = WORDS_PER_DOC) -> Model | None:
-    """Fit on a bounded sample: ``per_language`` documents of each language, at most ``words`` words from each.
+def learn(docs: DataFrame, per_language: int = PASSAGES, size: int = PASSAGE) -> Model | None:
+    """Fit on a bounded sample of labelled rows: about ``per_language`` passages of each language.
 
-    Only documents that are not held out and have text and lang take part. The words are a window of the text whose
-    place is drawn by a hash; it is cut on the executors, so the driver gets a bounded number of bytes.
+    Whole texts are cut into passages of ``size`` code points, and every passage of every document that is not held
+    out and has text and lang is as likely to be drawn, by a hash of doc_id and place. A first scan counts passages by
+    language (a model has its languages on the driver anyway), a second one cuts the drawn ones on the executors.
     """
-    open_docs = docs.filter(~held_out() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    chosen = F.broadcast(learning_sample(open_docs, "lang", per_language).distinct())  # bounded by the parameter
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id")
-    size = words * 8
-    room = F.greatest(F.length("text") - F.lit(size), F.lit(0)) + 1
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(13)), room.cast("long")) + 1
-    rows = sample.select("lang", F.col("text").substr(begin.cast("int"), F.lit(size)).alias("window")).orderBy("lang", "window").collect()
-    return fit([r["window"] for r in rows], [r["lang"] for r in rows])
+    named = docs.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    named = named.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    passages = F.ceil(F.length("text") / F.lit(size)).cast("long")
+    counts = [(r[0], r[1]) for r in named.groupBy("lang").agg(F.sum(passages)).collect()]
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, per_language / max(1, n)))])
+    places = F.filter(F.sequence(F.lit(0).cast("long"), passages - 1), lambda i: share_of(F.xxhash64("doc_id", i, F.lit(13)), F.element_at(share, F.col("lang"))))
+    drawn = named.filter(passages > 0).withColumn("place", F.explode(places))
+    rows = drawn.select("lang", F.col("text").substr((F.col("place") * size + 1).cast("int"), F.lit(size)).alias("passage")).orderBy("lang", "passage").collect()
+    return fit([r["passage"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (mean marginal of that language over the words).
 
     Whole texts are labelled. Null texts and texts without a letter are ``und`` with score 0; without any learned
-    language all are. Repeated rows are labelled alike. Only the text is an input.
+    language all are. Of languages with equal sums the first in code point order wins. Repeated rows are labelled alike,
+    and an empty table gives no rows. Only the text is an input. A caller's own ``lang_pred`` or ``score`` gets the
+    suffix ``_given``.
     """
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(label_texts(model, [t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
 
-    named = docs.withColumn("__label", label(F.col(text).cast("string")))
+    named = set_aside(docs.withColumn("__label", label(F.col(text).cast("string"))), "lang_pred", "score")
     return named.withColumn("lang_pred", F.col("__label.lang_pred")).withColumn("score", F.col("__label.score")).drop("__label")
 
 

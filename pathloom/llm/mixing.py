@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import size_of, written
+from pathloom.llm.common import size_of, spread_join, written
 
 GOLDEN = 0.6180339887498949
 #: Documents of a source fall into hash buckets of about so many rows; running sums are taken in two levels.
 BUCKET_ROWS = 2000
+#: Repeated ids up to this number (8 bytes each) are broadcast to pick their rows; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -47,8 +49,11 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], m
 
 def _streams(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Documents with ``at``, the words before them in their source's shuffled stream. A hot source is many buckets."""
-    per = targets.select(F.col("source").alias("__s"), "source_size", "target", "n_docs")
-    rows = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    # Sources meet their documents as keys without nulls; those of many documents are broadcast, the others joined.
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    per = written(targets.select(key.alias("__s"), "source_size", "target", "n_docs", F.col("n_docs").alias("__w")))
+    total = per.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    rows = spread_join(sizes.withColumn("__s", key), per, ["__s"], "__w", total).drop("__s")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"))
     buckets = (F.col("n_docs") / F.lit(float(BUCKET_ROWS))).cast("long") + 1
     rows = rows.withColumn("draw", draw).withColumn("bucket", F.pmod(F.shiftright(F.col("draw"), 16), buckets)).drop("n_docs")
@@ -100,8 +105,8 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point)
     slots = slots.withColumn("cell", F.floor(F.col("point") / F.lit(width)))
     hit = slots.join(spread, "cell").filter((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    # Ranks within a source in two levels: runs of consecutive slots first, then the runs' counts.
-    run = F.floor(F.col("slot") / F.lit(BUCKET_ROWS * 4)).cast("long")
+    # Ranks within a source in two levels, runs of consecutive slots first, then the runs' counts; both of about equal size.
+    run = F.floor(F.col("slot") / F.lit(max(64, int(n**0.5)))).cast("long")
     hit = hit.withColumn("run", run)
     inner = Window.partitionBy("source", "run").orderBy("slot")
     counts = hit.groupBy("source", "run").agg(F.count(F.lit(1)).alias("c"))
@@ -129,7 +134,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     Documents: ``doc_id, copy, source, size, source_size, target, at``. Pieces: ``slot, turn, epoch, source, block, at,
     doc_id, copy, start, words``: the document's words from ``start`` on that the slot takes. Null and empty texts have size
     0 and are never taken. Repeated rows of a doc_id are told apart by ``copy``, their number among the rows of equal
-    (source, doc_id, size). Null sources are one source, sorted last. An empty table gives empty results.
+    (source, doc_id, size). Null sources are one source, sorted last. A text of any length is cut into as many pieces as
+    its blocks. Ties of the shuffle go by doc_id and size. Extra columns are ignored. An empty table gives empty results.
     """
     sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     # Equal rows are rare; number them so that each has its own place. Partial counts keep a hot id out of one task.
@@ -159,19 +165,30 @@ def taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row of ``docs`` once for each epoch in which the mix takes its first word.
 
-    Rows keep their columns; documents without words and those that the mix leaves out go.
+    Rows keep their columns; documents without words and those that the mix leaves out go. Of rows that share doc_id,
+    source and size, the first ones by a hash of the text, then by the text, are repeated more, so reruns agree. Texts
+    are shuffled once, those of repeated keys twice.
     """
-    _, pieces = mix(docs, **options)
-    times = pieces.filter(F.col("start") == 0).groupBy("doc_id", "source", "size", "copy").agg(F.count(F.lit(1)).alias("n"))
-    wanted = times.groupBy("doc_id", "source", "size").agg(F.sum("n").alias("__n"), F.max("copy").alias("__c"))
-    wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__n")
-    rows = docs.withColumn("__size", size_of(F.col("text")))
-    # Rows that repeat share their copies evenly: the n wanted of k equal rows.
-    equal = Window.partitionBy("doc_id", "source", "__size")
-    rows = rows.withColumn("__k", F.count(F.lit(1)).over(equal)).withColumn("__i", F.row_number().over(equal.orderBy(F.lit(1))))
-    joined = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-    share = F.floor((F.col("__n") + F.col("__k") - F.col("__i")) / F.col("__k")).cast("int")
-    return joined.withColumn("__e", F.explode(F.when(share > 0, F.sequence(F.lit(1), share)))).select(*docs.columns)
+    placed, pieces = mix(docs, **options)
+    keys = [F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z")]
+    wanted = pieces.filter("start = 0").select(*keys, F.lit(1).alias("n"), F.lit(0).alias("k")).unionByName(placed.select(*keys, F.lit(0).alias("n"), F.col("copy").alias("k")))
+    wanted = wanted.groupBy("__d", "__s", "__z").agg(F.sum("n").alias("__n"), F.max("k").alias("__k")).filter("__n > 0")
+    wanted = written(wanted.withColumn("__same", F.xxhash64("__d", "__s", "__z")))
+    source = F.col("source").cast("string")
+
+    def met(rows: DataFrame, which: str) -> DataFrame:
+        sized = rows.withColumn("__size", size_of(F.col("text"))).withColumn("__same", F.xxhash64("doc_id", source, "__size"))
+        fits = F.col("doc_id").eqNullSafe(F.col("__d")) & source.eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+        return sized.join(wanted.filter(which), "__same").filter(fits)
+
+    rare = written(wanted.filter("__k > 1").select(F.xxhash64("__d", "__s").alias("__id")).distinct())
+    rare = F.broadcast(rare) if rare.count() <= BROADCAST_IDS else rare
+    few = docs.withColumn("__id", F.xxhash64("doc_id", source)).join(rare, "__id", "left_semi").drop("__id")
+    rank = F.row_number().over(Window.partitionBy("__same", "__d", "__s", "__z").orderBy(F.xxhash64("text"), "text"))
+    more = met(few, "__k > 1").withColumn("__i", rank)
+    more = more.withColumn("__share", F.floor((F.col("__n") + F.col("__k") - F.col("__i")) / F.col("__k")).cast("int")).drop("__i")
+    both = met(docs, "__k = 1").withColumn("__share", F.col("__n").cast("int")).unionByName(more)
+    return both.withColumn("__e", F.explode(F.when(F.col("__share") > 0, F.sequence(F.lit(1), "__share")))).select(*docs.columns)
 
 
 def _op1(spark, sf_dir: str) -> DataFrame:

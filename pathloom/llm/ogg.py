@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import set_aside
+
 
 
 #: Samples in a packet, and the nominal rate that turns granule positions into seconds.
@@ -161,7 +163,8 @@ def feature(payload: bytes, end: float) -> str:
 def stored(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column ``media``: the text's UTF-8 bytes, padded with spaces to a positive multiple of 192, as Ogg.
 
-    Null and empty texts are one unit of spaces; ``n_bytes`` is the length before padding.
+    Null and empty texts are one unit of spaces; ``n_bytes`` is the length before padding. Equal texts give equal media,
+    repeated rows too. A caller's own ``n_bytes`` or ``media`` gets the suffix ``_given``. An empty table gives no rows.
     """
 
     @F.pandas_udf("n_bytes long, media binary")
@@ -172,11 +175,15 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
             rows.append((len(raw), encode(raw + b" " * ((-len(raw)) % UNIT or (0 if raw else UNIT)))))
         return pd.DataFrame(rows, columns=["n_bytes", "media"])
 
-    return docs.withColumn("__stored", write(F.col(text).cast("string"))).withColumn("n_bytes", F.col("__stored.n_bytes")).withColumn("media", F.col("__stored.media")).drop("__stored")
+    plain = set_aside(docs.withColumn("__stored", write(F.col(text).cast("string"))), "n_bytes", "media")
+    return plain.withColumn("n_bytes", F.col("__stored.n_bytes")).withColumn("media", F.col("__stored.media")).drop("__stored")
 
 
 def read_back(rows: DataFrame, media: str = "media") -> DataFrame:
-    """``rows`` with what their Ogg column holds: sizes, digests and the feature string; damage fails the job."""
+    """``rows`` with ``__read``, what their Ogg column holds: sizes, digests and the feature string.
+
+    Damage and nulls fail the job, as a stored payload must come back whole.
+    """
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     def read(column: pd.Series) -> pd.DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Documents in a group on average, and sequence numbers kept for each group.
-GROUP_DOCS = 4096
+#: Pieces in a group on average, and sequence numbers kept for each group.
+GROUP_PIECES = 8192
 ID_SPAN = 1 << 32
 #: Words whose ids a Python worker remembers.
 MEMO_WORDS = 400_000
@@ -150,14 +150,14 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 0, files:
     return plain.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int = 1024, group_docs: int = GROUP_DOCS, seed: int = 5) -> DataFrame:
+def pack(pieces: DataFrame, n_pieces: int, capacity: int = 1024, group_pieces: int = GROUP_PIECES, seed: int = 5) -> DataFrame:
     """Put pieces into sequences: full pieces are sequences of their own, shorter ones are packed first-fit decreasing.
 
     Groups are drawn by a hash of the document and the piece, so neither a hot source nor a very long document fills
     one group, and a retried task packs the same way. Adds ``sequence_id`` (unique over all groups) and ``offset``
     (gapless from 0).
     """
-    groups = max(1, round(n_docs / group_docs))
+    groups = max(1, round(n_pieces / group_pieces))
     columns = pieces.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
@@ -181,9 +181,12 @@ def packed(docs: DataFrame, capacity: int = 1024, keep_ids: bool = True, files:
     """Sequences of ``docs(doc_id, text)``: one row per piece with its place.
 
     Null and empty texts are the end id alone. Repeated rows are packed once each. Of a null doc_id the pieces keep
-    null. Texts of any length are cut into as many pieces as needed. An empty table gives no rows.
+    null. Texts of any length are cut into as many pieces as needed, and groups follow the number of pieces as
+    estimated from the texts' lengths, so a table of very long texts has no larger groups. Ties of length go by
+    doc_id and place. Extra columns are ignored. An empty table gives no rows.
     """
-    return pack(token_pieces(docs, capacity, files=files, keep_ids=keep_ids), docs.select(F.count(F.lit(1))).first()[0], capacity)
+    pieces = F.sum(F.ceil((F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1) / F.lit(3.0 * capacity)))
+    return pack(token_pieces(docs, capacity, files=files, keep_ids=keep_ids), docs.agg(F.coalesce(pieces, F.lit(0))).first()[0], capacity)
 
 
 def padding(placed: DataFrame, capacity: int = 1024) -> DataFrame:

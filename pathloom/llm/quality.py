@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out, learning_sample
+from pathloom.llm.common import held_out, learning_sample, set_aside
 
 #: Bound of the learning sample: rows of each label.
 ROWS_PER_LABEL = 3000
@@ -182,10 +182,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
 def classify(docs: DataFrame, model: Ensemble, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``; only the text is an input.
 
-    Null and empty texts have statistics of 0 and are scored by the same rules. Repeated rows are scored alike.
-    Without labels every score is 0.5.
+    Null and empty texts have statistics of 0 and are scored by the same rules. Repeated rows are scored alike, and
+    texts of any length are measured whole. Without labels every score is 0.5. A caller's own ``score`` or
+    ``predicted`` gets the suffix ``_given``. An empty table gives no rows.
     """
-    scored = with_statistics(docs, text).withColumn("score", model.score())
+    scored = set_aside(with_statistics(docs, text), "score", "predicted").withColumn("score", model.score())
     return scored.withColumn("predicted", F.when(F.col("score") >= PREDICT_FROM, 1).otherwise(0)).drop("__stats")
 
 

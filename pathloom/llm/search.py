@@ -1,8 +1,13 @@
 """Exact top-k search by inner product: cover trees over queries and over data, walked together.
 
-Vectors fall into cells of the nearest of a few pivots, large cells into several blocks by a hash, and every block has
-a cover tree of its own. A first pass searches each group of queries in a block of its own cell; the kth scores found
-there prune pairs of blocks, and inside a pair of blocks pairs of nodes, by centres and covering radii.
+The upper levels of the tree are Spark's: in rounds, every node with too many rows draws a few of them as centres and
+deals its rows to the nearest, until nodes are blocks. Queries keep the places that they have as data, so both sides
+share the nodes, whose balls are merged upwards from the blocks. Each block has an in-memory cover tree below.
+
+A first pass searches each block's queries in their own block. The kth scores found there prune the walk over pairs of
+nodes, which goes down level by level from the pair of roots: only pairs whose balls can still reach the worst kth
+score of the query node are opened, so pairs of blocks are never all made. In a pair of blocks the two trees are
+walked the same way.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import written
+from pathloom.llm.common import discard, spread_join, written
 
-#: Pivots (a bounded sample, which only shapes the blocks), vectors and queries in a block, rows in a leaf, children of a node.
-PIVOTS, BLOCK_ROWS, QUERY_ROWS, LEAF, FAN = 32, 8192, 512, 48, 16
+#: Children of a node, rows in a block, rows for each centre of an in-memory tree.
+FAN, BLOCK_ROWS, LEAF = 16, 8192, 48
+#: Rows of a node that a task deals to its children at a time.
+ROWS_A_SALT = 100_000
 #: Query blocks that meet one copy of a data block.
 CHUNK = 64
 #: Below every score.
@@ -28,49 +35,89 @@ LOWEST = -(2**62)
 
 @dataclass
 class Node:
-    """Rows [lo, hi) of the block's order, all within ``radius`` of ``center``."""
+    """Rows [lo, hi) of the tree's order, all within ``radius`` of ``center``, which is row ``at``.
+
+    ``level`` l: the children's centres are within 2^(l + 1) of this one, farther than 2^l from each other and from
+    those of all other nodes of that level, and this one is the first of them.
+    """
 
     lo: int
     hi: int
     center: np.ndarray
     radius: float
+    level: int = 0
+    at: int = 0
     children: list[Node] = field(default_factory=list)
 
 
 class CoverTree:
-    """A cover tree over the rows of a matrix; ``order`` puts the rows of each node side by side."""
+    """A cover tree over the rows of a matrix; ``order`` puts the rows of each node side by side.
+
+    Centres are taken farthest first. Those taken while the largest distance to a centre exceeds 2^l are the nodes of
+    level l: they are separated by more than 2^l, cover all rows within it, and stay centres on all levels below. A
+    new centre's parent is the nearest one of the level above. There is a centre for about every ``LEAF`` rows, more
+    where they crowd, and below the last level each row belongs to its nearest centre.
+    """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.order = np.arange(len(rows))
         x = rows.astype(np.float64)
-        self.root = self._build(x, 0, len(rows), x.mean(axis=0) if len(rows) else np.zeros(rows.shape[1]))
+        chosen, reach, parent = self._centers(x)
+        levels = [1 << 40 if np.isinf(r) else int(np.ceil(np.log2(r))) - 1 for r in reach]
+        kids: list[list[int]] = [[] for _ in chosen]
+        for k in range(1, len(chosen)):
+            kids[parent[k]].append(k)
+        members = np.split(np.argsort(self.owner, kind="stable"), np.cumsum(np.bincount(self.owner, minlength=len(chosen)))[:-1])
+        order: list[np.ndarray] = []
+
+        def grow(k: int, mine: list[int], lo: int) -> Node:
+            """The node of centre ``k`` with the children ``mine`` and, on lower levels, itself."""
+            node = Node(lo, lo, x[chosen[k]], 0.0, -(1 << 40), chosen[k])
+            if not mine:
+                order.append(members[k])
+                node.hi += len(members[k])
+                return node
+            node.level = max(levels[c] for c in mine)
+            for c, below in [(k, [c for c in mine if levels[c] < node.level])] + [(c, kids[c]) for c in mine if levels[c] == node.level]:
+                node.children.append(grow(c, below, node.hi))
+                node.hi = node.children[-1].hi
+            return node
+
+        def measure(node: Node) -> None:
+            node.radius = float(np.sqrt(((x[self.order[node.lo : node.hi]] - node.center) ** 2).sum(axis=1)).max(initial=0.0))
+            for c in node.children:
+                measure(c)
+
+        self.root = grow(0, kids[0], 0) if chosen else Node(0, 0, np.zeros(x.shape[1]), 0.0)
+        self.order = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
+        measure(self.root)
         self.ids, self.rows = ids[self.order], rows[self.order]
 
-    def _build(self, x: np.ndarray, lo: int, hi: int, center: np.ndarray) -> Node:
-        own = self.order[lo:hi]
-        away = np.sqrt(((x[own] - center) ** 2).sum(axis=1))
-        node = Node(lo, hi, center, float(away.max(initial=0.0)))
-        if hi - lo <= LEAF or node.radius == 0.0:
-            return node
-        # Farthest-first centres until half the radius covers all points, or there are FAN of them.
-        best, owner = np.full(hi - lo, np.inf), np.zeros(hi - lo, dtype=np.int64)
-        far, count = int(away.argmin()), 0
-        while count < FAN and (count < 2 or best.max() > node.radius / 2):
-            d = np.sqrt(((x[own] - x[own[far]]) ** 2).sum(axis=1))
+    def _centers(self, x: np.ndarray) -> tuple[list[int], list[float], list[int]]:
+        """Rows taken as centres, their distances from those before, and their parents; ``owner`` is each row's nearest."""
+        n = len(x)
+        self.owner = np.zeros(n, dtype=np.int64)
+        if not n:
+            return [], [], []
+        square = (x**2).sum(axis=1)
+        best, upper = np.full(n, np.inf), np.zeros(n, dtype=np.int64)  # nearest centre now, and nearest of the level above
+        chosen, reach, parent, far, distance = [], [], [], 0, np.inf
+        level = None
+        while True:
+            now = None if np.isinf(distance) else int(np.ceil(np.log2(distance))) - 1
+            if now != level:
+                upper, level = self.owner.copy(), now
+            chosen.append(far)
+            reach.append(float(distance))
+            parent.append(int(upper[far]))
+            d = np.sqrt(np.maximum(square - 2 * (x @ x[far]) + square[far], 0.0))
+            d[far] = 0.0
             nearer = d < best
-            best[nearer], owner[nearer] = d[nearer], count
-            far, count = int(best.argmax()), count + 1
-            if best[far] == 0.0:
-                break
-        by = np.argsort(owner, kind="stable")
-        self.order[lo:hi] = own[by]
-        at = lo
-        for size in np.bincount(owner, minlength=count):
-            if size:
-                part = x[self.order[at : at + size]]
-                node.children.append(self._build(x, at, at + size, part.mean(axis=0)) if size < hi - lo else Node(at, at + size, center, node.radius))
-                at += size
-        return node
+            best[nearer], self.owner[nearer] = d[nearer], len(chosen) - 1
+            far = int(best.argmax())
+            distance = best[far]
+            small = len(chosen) * LEAF >= n and np.bincount(self.owner).max() <= 4 * LEAF
+            if distance == 0.0 or small or len(chosen) * LEAF >= 4 * n:
+                return chosen, reach, parent
 
 
 def _pad(a: np.ndarray, width: int) -> np.ndarray:
@@ -122,7 +169,8 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
             scores = np.rint(qf[a.lo : a.hi] @ cf[b.lo : b.hi].T).astype(np.int64) if exact else qf[a.lo : a.hi] @ cf[b.lo : b.hi].T
             best.add(a.lo, scores, data.ids[b.lo : b.hi], queries.ids[a.lo : a.hi])
             continue
-        pairs = [(x, y) for x in a.children or [a] for y in b.children or [b]] if (a.hi - a.lo) > 4 * LEAF else [(a, y) for y in b.children] if b.children else [(x, b) for x in a.children]
+        # The wider ball is opened, so that both sides come down together.
+        pairs = [(x, b) for x in a.children] if a.children and (a.radius > b.radius or not b.children) else [(a, y) for y in b.children]
         stack += sorted(((bound(x, y), x, y) for x, y in pairs), key=lambda t: t[0])
 
 
@@ -147,36 +195,63 @@ def _dump(**arrays) -> bytes:
     return out.getvalue()
 
 
-def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds ``cell``, the nearest pivot."""
+def _placed(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """``vec_id, v, block``: the leaf of each row in a tree of ``FAN`` children a node, and the tree's depth.
+
+    A round deals the rows of every node with more than ``block_rows`` to the nearest of ``FAN`` of them, drawn by a
+    hash; ties go in turn, so that repeated vectors and rows are dealt over all. Numbers of children are appended to
+    that of the node. Rows of one node are many tasks.
+    """
+    now, depth = written(rows.withColumn("block", F.lit(0).cast("long"))), 0
+    total = now.count()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers = np.zeros((0, 0))
         for batch in batches:
-            x = _matrix(batch["v"]).astype(np.float64)
-            width = max(x.shape[1], pivots.shape[1])
-            x, p = _pad(x, width), _pad(pivots, width)
-            yield batch.assign(cell=((p**2).sum(axis=1)[None, :] - 2 * x @ p.T).argmin(axis=1) if len(x) else [])
-
-    return rows.mapInPandas(nearest, "vec_id long, v array<long>, cell int")
-
-
-def _numbered(cells: DataFrame, rows_each: int) -> tuple[DataFrame, dict[int, tuple[int, int]], int]:
-    """Adds ``block``: dense numbers, of each cell as many as its rows need. Cells are few, so their counts are gathered."""
-    counts = sorted((r["cell"], r["count"]) for r in cells.groupBy("cell").count().collect())
-    plan, at = {}, 0
-    for cell, n in counts:
-        plan[cell] = (at, -(-n // rows_each))
-        at += plan[cell][1]
-    table = F.create_map(*[F.lit(x) for c, (a, m) in plan.items() for x in (c, a * (1 << 32) + m)]) if plan else None
-    if table is None:
-        return cells.withColumn("block", F.lit(0)), plan, 0
-    code = F.element_at(table, F.col("cell"))
-    number = F.shiftright(code, 32) + F.pmod(F.xxhash64(F.lit(29), "vec_id"), code.bitwiseAND(F.lit((1 << 32) - 1)))
-    return cells.withColumn("block", number.cast("int")), plan, at
+            heads = np.flatnonzero(batch["centers"].notna())
+            for lo, hi in zip(np.r_[0, heads], np.r_[heads, len(batch)]):
+                if lo < hi and batch["centers"].iloc[lo] is not None:
+                    centers, lo = _matrix(pd.Series(list(batch["centers"].iloc[lo]))).astype(np.float64), lo + 1
+                if lo == hi:
+                    continue
+                part = batch.iloc[lo:hi]
+                x = _matrix(part["v"]).astype(np.float64)
+                width = max(x.shape[1], centers.shape[1])
+                c = _pad(centers, width)
+                away = (c**2).sum(axis=1)[None, :] - 2 * _pad(x, width) @ c.T
+                tied = away == away.min(axis=1, keepdims=True)
+                rank = np.cumsum(tied, axis=1)
+                pick = np.arange(lo, hi) % rank[:, -1] + 1
+                yield pd.DataFrame({"vec_id": part["vec_id"].astype("int64"), "v": part["v"], "block": part["block"] * FAN + (tied & (rank == pick[:, None])).argmax(axis=1)})
+
+    while True:
+        sizes = written(now.groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+        big = sizes.filter(F.col("n") > block_rows)
+        if not big.limit(1).count():
+            discard(sizes)
+            return now, depth
+        if depth == 14:
+            raise RuntimeError("the tree of blocks is deeper than 64-bit numbers allow")
+        draw = F.xxhash64(F.lit(depth), "vec_id", "v")
+        mine = spread_join(now, written(big.select("block", F.col("n").alias("size"), F.col("n").alias("weight"))), ["block"], "weight", total)
+        # About FAN of each node by hash, exactly FAN by rank, so that no node's rows meet in one task.
+        some = mine.withColumn("draw", draw).filter(F.pmod("draw", F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / F.lit(8 * FAN)))) == 0)
+        ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy("draw", "vec_id"))).filter(F.col("rank") <= FAN)
+        salts = (F.col("size") / ROWS_A_SALT).cast("long") + 1
+        centers = written(ranked.groupBy("block").agg(F.sort_array(F.collect_list("v")).alias("centers"), F.first("size").alias("size")))
+        # Every (node, salt) is a run of rows behind its centres, so these are sent once to each.
+        heads = centers.select("block", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<long>").alias("v"), "centers")
+        runs = mine.select("block", F.pmod(F.xxhash64("v", "vec_id"), salts).alias("salt"), "vec_id", "v", F.lit(None).cast("array<array<bigint>>").alias("centers"))
+        runs = heads.unionByName(runs).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("centers").isNull())
+        opened = runs.mapInPandas(nearest, "vec_id long, v array<long>, block long")
+        closed = now.join(centers.select("block"), "block", "left_anti").select("vec_id", "v", (F.col("block") * FAN).alias("block"))
+        done, now = now, written(opened.unionByName(closed))
+        discard(done, sizes, centers)
+        depth += 1
 
 
 def _bounds() -> str:
-    return "block int, n long, center array<double>, radius double, worst double, data binary"
+    return "block long, n long, center array<double>, radius double, worst double, data binary"
 
 
 def _blocks(rows: DataFrame, with_floor: bool) -> DataFrame:
@@ -224,49 +299,70 @@ def _reach(q: str, c: str) -> Column:
     return reach + F.lit(1e-6) * (F.abs(reach) + F.lit(1.0))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
+def _balls(blocks: DataFrame, depth: int) -> list[DataFrame]:
+    """Balls of the nodes of every level, the root first: ``block, center, radius, worst``, merged upwards from blocks."""
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")  # at most FAN rows
+        width = max(map(len, group["center"]))
+        c = np.stack([np.pad(np.asarray(x), (0, width - len(x))) for x in group["center"]])
+        center = np.average(c, axis=0, weights=group["n"])
+        radius = float((np.sqrt(((c - center) ** 2).sum(axis=1)) + group["radius"].to_numpy()).max())
+        return pd.DataFrame({"block": [key[0]], "n": [int(group["n"].sum())], "center": [center], "radius": [radius], "worst": [float(group["worst"].min())]})
+
+    schema = "block long, n long, center array<double>, radius double, worst double"
+    levels = [blocks.select("block", "n", "center", "radius", "worst")]
+    for _ in range(depth):
+        up = F.floor(F.col("block") / FAN).alias("up")
+        levels.append(written(levels[-1].select(up, "*").groupBy("up").applyInPandas(merge, schema)))
+    return levels[::-1]
+
+
+def _open_pairs(asked: list[DataFrame], data: list[DataFrame]) -> DataFrame:
+    """Pairs ``query_block, block`` of blocks, not their own, that can hold scores as good as the worst kth ones."""
+    side = lambda df, key, name: df.select(F.col("block").alias(key), F.struct("center", "radius", "worst").alias(name))
+    pairs = asked[0].select(F.col("block").alias("query_block"), "block")  # both roots have the number 0
+    for i in range(len(data)):
+        if i:
+            below = lambda key: F.explode(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda j: F.col(key) * FAN + j)).alias(key)
+            pairs = pairs.select("query_block", below("block")).join(side(data[i], "block", "c"), "block")
+            pairs = pairs.select("block", "c", below("query_block"))
+        else:
+            pairs = pairs.join(side(data[i], "block", "c"), "block")
+        pairs = pairs.join(side(asked[i], "query_block", "q"), "query_block")
+        pairs = written(pairs.filter(_reach("q", "c") >= F.col("q.worst")).select("query_block", "block"))
+    return pairs.filter("query_block <> block")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` best other rows of each query of ``vectors(vec_id, embedding)``: ``query_id, rank, vec_id, score``.
 
     All of them, if there are fewer; ties go to the smaller vec_id. Shorter vectors count as padded with zeros. A
-    query never finds rows of its own vec_id; a repeated query id is asked once. Null, empty and non-finite vectors
-    take no part as queries or candidates, nor do rows
-    without a vec_id; an empty vector scores 0 everywhere. No rows give no rows.
+    query never finds rows of its own vec_id; of a repeated query id the smallest vector is asked, and repeated rows
+    are candidates once each. Null and non-finite vectors and those with null components take no part as queries or
+    candidates, nor do rows without a vec_id; an empty vector scores 0 everywhere. Extra columns are ignored. No rows
+    give no rows.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = quantised(vectors, scale)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    if not drawn:
-        return empty
-    pivots = _matrix(pd.Series([r["v"] for r in drawn])).astype(np.float64)
-    cells = written(_in_cells(rows, pivots))
-    numbered, plan, n_blocks = _numbered(cells, BLOCK_ROWS)
-    data = written(_blocks(numbered, False))
-    asked = cells.filter(is_query).groupBy("vec_id").agg(F.min_by("v", F.lit(0)).alias("v"), F.min("cell").alias("cell"))
-    asked, _, n_asked = _numbered(written(asked), QUERY_ROWS)
-    if not n_asked:
+    placed, depth = _placed(quantised(vectors, scale), block_rows)
+    data = written(_blocks(placed, False))
+    asked = written(placed.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "block")).alias("s")).select("vec_id", "s.v", "s.block"))
+    if not asked.limit(1).count():
         return empty
     lowest = F.lit(LOWEST + 1).cast("long")
-    first = written(_blocks(asked.withColumn("floor", lowest), True))
-    chunk = F.pmod("query_block", F.lit(max(1, -(-n_asked // CHUNK))))
-    # Every query block meets the first data block of its own cell.
-    home_of = F.create_map(*[F.lit(x) for c, (at, _) in plan.items() for x in (c, at)])
-    homes = asked.groupBy("block").agg(F.element_at(home_of, F.first("cell")).alias("home"))
-    queries = first.withColumnRenamed("block", "query_block")
-    seeds = queries.join(homes.withColumnRenamed("block", "query_block"), "query_block").select(F.col("home").alias("block"), "query_block", F.col("data").alias("queries"))
-    found = written(_searched(seeds.withColumn("chunk", chunk), data, k))
+    first = _blocks(asked.withColumn("floor", lowest), True).select("block", F.lit(0).alias("chunk"), F.col("data").alias("queries"))
+    found = written(_searched(first, data, k))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     better = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", lowest))
-    queries = written(_blocks(better, True)).withColumnRenamed("block", "query_block")
-    # The other pairs of blocks, by number; those whose balls cannot reach the worst kth score are left.
-    pairs = queries.select("query_block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = pairs.join(homes.withColumnRenamed("block", "query_block"), "query_block").filter(F.col("block") != F.col("home"))
-    ball = lambda df, key, name: df.select(key, F.struct("center", "radius", "worst").alias(name))
-    pairs = pairs.join(ball(queries, "query_block", "q"), "query_block").join(ball(data, "block", "c"), "block")
-    pairs = pairs.filter(_reach("q", "c") >= F.col("q.worst")).select("block", "query_block")
-    pairs = pairs.join(queries.select("query_block", F.col("data").alias("queries")), "query_block")
-    rest = _searched(pairs.withColumn("chunk", chunk), data, k)
+    queries = written(_blocks(better, True))
+    pairs = written(_open_pairs(_balls(queries, depth), _balls(data, depth)))
+    # A data block that meets many query blocks is copied for each CHUNK of them.
+    meets = written(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.count(F.lit(1)).alias("weight")))
+    dealt = spread_join(pairs, meets, ["block"], "weight", pairs.count()).withColumn("chunk", F.pmod(F.xxhash64("query_block"), F.col("chunks")).cast("int"))
+    sent = dealt.join(queries.select(F.col("block").alias("query_block"), F.col("data").alias("queries")), "query_block")
+    rest = _searched(sent.select("block", "chunk", "queries"), data, k)
     best = found.unionByName(rest).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -18,17 +18,20 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import shared_dir, written
+from pathloom.llm.common import shared_dir, spread_join, written
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
 #: First capture time; a page's time is this plus its id in seconds, as the table has no dates.
 EPOCH = 1_600_000_000
 INDEX = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("at", pa.int64())])
-RUN_ROWS = 50_000
+#: Captures in a run; ranges in which the index is cut at most, and keys drawn for each, of so many letters.
+RUN_ROWS, MOST_RANGES, KEYS_A_RANGE, KEY_LETTERS = 50_000, 4096, 16, 200
+#: Shared digests up to this number (72 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 1_000_000
 RECORD_ID = "urn:x-page:"
 
 
@@ -67,15 +70,17 @@ def record(page_id: int | None, url: str | None, html: str | None, refers_to: in
 def record_types(pages: DataFrame) -> DataFrame:
     """``pages`` with ``payload_digest`` and ``refers_to``: the smallest page_id of an equal payload, null for responses.
 
-    Only digests that several rows share take part in the join. Their table has one row for each digest, repeated
-    under a few salts, so that copies of one payload are spread over as many tasks.
+    Digests that several rows share have one row each. Where these are few, they are broadcast and no payload is
+    shuffled; where they are many, only the digests that a large share of all rows has are.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("payload_digest"), F.length(payload).alias("__n"))
     many = rows.filter(F.col("__n") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
-    many = many.filter("c > 1").select("payload_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(16)).cast("int"))
-    found = salted.join(many, ["payload_digest", "salt"], "left")
+    many = written(many.filter("c > 1"))
+    if many.count() <= BROADCAST_DIGESTS:
+        found = rows.join(F.broadcast(many.drop("c")), "payload_digest", "left")
+    else:
+        found = spread_join(rows, many, ["payload_digest"], "c", pages.count(), "left")
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     return found.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
@@ -149,7 +154,8 @@ def _page(value: str) -> int | None:
 def sorted_runs(files: DataFrame, folder: str, run_rows: int = RUN_ROWS) -> DataFrame:
     """Read archives back and write their index as sorted runs: ``run, rows, keys``, the last a few keys for the ranges.
 
-    A response's digest is taken from its payload and must be the one in its header.
+    A response's size and digest are those of its payload as read; the digest must be the one in its header. A revisit
+    has no payload, so its header tells both.
     """
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +170,8 @@ def sorted_runs(files: DataFrame, folder: str, run_rows: int = RUN_ROWS) -> Data
                             raise ValueError(f"{name}: the payload at {at} does not have its digest")
                         refers = _page(head["WARC-Refers-To"]) if kind == "revisit" else None
                         key = f"{url_key(head['WARC-Target-URI'])} {_stamp(EPOCH + (page or 0))} {(page or 0):020d}"
-                        rows.append((key, page, int(head["X-Payload-Length"]), digest, kind, refers, name, at))
+                        size = len(payload) if kind == "response" else int(head["X-Payload-Length"])
+                        rows.append((key, page, size, digest, kind, refers, name, at))
                         if len(rows) >= run_rows:
                             yield run(rows, name, part)
                             rows, part = [], part + 1
@@ -178,7 +185,7 @@ def sorted_runs(files: DataFrame, folder: str, run_rows: int = RUN_ROWS) -> Data
             table = pa.table([pa.array(x, t.type) for x, t in zip(zip(*rows), INDEX)], schema=INDEX)
             writer.write_table(table, row_group_size=4096)
         step = max(1, len(rows) // 16)
-        return pd.DataFrame({"run": [run_name], "rows": [len(rows)], "keys": [[r[0] for r in rows[::step]]]})
+        return pd.DataFrame({"run": [run_name], "rows": [len(rows)], "keys": [[r[0][:KEY_LETTERS] for r in rows[step // 2 :: step]]]})
 
     return files.mapInPandas(index, "run string, rows long, keys array<string>")
 
@@ -230,53 +237,81 @@ def _segment(store: fs.FileSystem, path: str, lo: str | None, hi: str | None) ->
             yield from zip(*(c.to_pylist() for c in table.filter(keep).columns))
 
 
-def merge_pass(runs: DataFrame, folder: str, fan_in: int) -> DataFrame:
-    """Merge groups of about ``fan_in`` runs into one longer run each, every group in its own task."""
-    groups = -(-runs.count() // fan_in)
-    listed = runs.withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups))).groupBy("group").agg(F.collect_list("run").alias("runs"), F.flatten(F.collect_list("keys")).alias("keys"), F.sum("rows").alias("rows"))
+def _merge_rows(folder: str, names: list[str], lo: str | None, hi: str | None) -> Iterator[list[tuple]]:
+    """Blocks of the merged rows of some runs with lo <= key < hi; one row group of each run is in memory."""
+    store, base = _store(folder)
+    tree = iter(LoserTree([_segment(store, f"{base}/{n}", lo, hi) for n in names]))
+    while block := list(itertools.islice(tree, 20_000)):
+        yield block
+
+
+def _spans(runs: DataFrame, cuts: list[str], stride: int) -> DataFrame:
+    """A row for each run and each span of ``stride`` ranges that the run's own ranges cover: adds ``span, lo_key, hi_key``."""
+    bounds = [None, *cuts, None]
+    at = F.explode(F.sequence(F.floor(F.col("lo") / stride), F.floor((F.col("hi") - 1) / stride))).alias("span")
+    keys = runs.sparkSession.createDataFrame([(i // stride, bounds[i], bounds[min(i + stride, len(bounds) - 1)]) for i in range(0, len(bounds) - 1, stride)], "span long, lo_key string, hi_key string")
+    return runs.select("*", at).join(F.broadcast(keys), "span")  # at most MOST_RANGES keys
+
+
+def merge_pass(runs: DataFrame, folder: str, cuts: list[str], fan_in: int, stride: int) -> DataFrame:
+    """Merge groups of at most ``fan_in`` runs; every span of ``stride`` key ranges of a group is a task and a file.
+
+    ``runs``: ``run`` (a number), ``file``, and ``lo, hi``, the ranges that the file covers, ``rows``.
+    """
+    listed = _spans(runs.withColumn("group", F.floor(F.col("run") / fan_in)), cuts, stride)
+    listed = listed.groupBy("group", "span", "lo_key", "hi_key").agg(F.collect_list("file").alias("files"))
+    n_ranges = len(cuts) + 1
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for names, keys, rows in zip(batch["runs"], batch["keys"], batch["rows"]):
-                store, base = _store(folder)
-                run_name = f"{uuid.uuid4().hex}.run"
-                tree = iter(LoserTree([_segment(store, f"{base}/{n}", None, None) for n in names]))
-                with _File(folder, run_name) as out, pq.ParquetWriter(out, INDEX) as writer:
-                    while block := list(itertools.islice(tree, 4096)):
-                        writer.write_table(pa.table([pa.array(x, t.type) for x, t in zip(zip(*block), INDEX)], schema=INDEX))
-                step = max(1, len(keys) // 64)
-                yield pd.DataFrame({"run": [run_name], "rows": [rows], "keys": [list(keys)[::step]]})
+            for group, span, lo, hi, names in zip(*(batch[c] for c in ("group", "span", "lo_key", "hi_key", "files"))):
+                name, n = f"{uuid.uuid4().hex}.run", 0
+                with _File(folder, name) as out, pq.ParquetWriter(out, INDEX) as writer:
+                    for block in _merge_rows(folder, sorted(names), lo, hi):
+                        writer.write_table(pa.table([pa.array(x, t.type) for x, t in zip(zip(*block), INDEX)], schema=INDEX), row_group_size=4096)
+                        n += len(block)
+                yield pd.DataFrame({"run": [group], "file": [name], "lo": [span * stride], "hi": [min(n_ranges, (span + 1) * stride)], "rows": [n]})
 
-    return written(listed.mapInPandas(merge, "run string, rows long, keys array<string>"))
+    return written(listed.repartition("group", "span").mapInPandas(merge, "run long, file string, lo long, hi long, rows long"))
 
 
 def merged(runs: DataFrame, folder: str, fan_in: int = 64, range_rows: int = 20_000) -> DataFrame:
     """All captures in the order of url key, time and page: ``range`` and ``position`` in it, then the index columns.
 
-    Passes merge ``fan_in`` runs at a time until no more than so many are left; the last pass is split into key
-    ranges, each merged by one task with a loser tree that holds one row group of every run. Ranges are cut at
-    quantiles of at most 64 keys for each, which only balance the work. Times and pages are part of the key, so a url
-    with very many captures spans several ranges.
+    Passes merge ``fan_in`` runs at a time until no more than so many are left. Every pass is split by key range as
+    far as its runs are longer than ``range_rows``, so tasks stay equally small from the first pass to the last.
+    Ranges are cut at quantiles of a bounded sample of keys (at most ``MOST_RANGES * KEYS_A_RANGE`` of ``KEY_LETTERS``
+    letters come to the driver), which only balance the work. Times and pages are part of the key, so a url with very
+    many captures spans several ranges. Equal keys (repeated rows) come in the order of their runs.
     """
-    spark = runs.sparkSession
-    while runs.count() > fan_in:
-        runs = merge_pass(runs, folder, fan_in)
-    rows = runs.agg(F.sum("rows")).first()[0] or 0
-    ranges = max(1, -(-rows // range_rows))
-    keys = runs.select(F.explode("keys").alias("key")).orderBy(F.xxhash64("key")).limit(64 * ranges)
+    rows, n_runs = runs.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = min(MOST_RANGES, max(1, -(-rows // range_rows)))
+    keys = runs.select(F.explode("keys").alias("key")).orderBy(F.xxhash64("key")).limit(KEYS_A_RANGE * ranges)
     drawn = sorted(r[0] for r in keys.collect())
     cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
-    names = [r[0] for r in runs.select("run").orderBy("run").collect()]  # at most fan_in
-    spans = [(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None]))]
-    tasks = spark.createDataFrame(spans, "range long, lo string, hi string").repartition(len(spans), "range")
+    n_ranges = len(cuts) + 1
+    number = F.row_number().over(Window.partitionBy("part").orderBy("run")) - 1
+    # Runs are numbered densely by a count of each part first, so that no task holds them all.
+    parted = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(max(1, n_runs // 4096))))
+    heads = parted.groupBy("part").count().withColumn("head", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    now = parted.withColumn("run_number", number).join(F.broadcast(heads), "part")
+    now = written(now.select((F.col("run_number") + F.coalesce("head", F.lit(0))).cast("long").alias("run"), F.col("run").alias("file"), F.lit(0).cast("long").alias("lo"), F.lit(n_ranges).cast("long").alias("hi"), "rows"))
+    stride = 1
+    while stride < n_ranges:
+        stride *= 2
+    while n_runs > fan_in:
+        n_runs = -(-n_runs // fan_in)
+        wanted = max(1, rows // n_runs // range_rows)  # spans of each merged run
+        while stride > 1 and -(-n_ranges // stride) < wanted:
+            stride //= 2
+        now = merge_pass(now, folder, cuts, fan_in, stride)
+    last = _spans(now, cuts, 1).groupBy("span", "lo_key", "hi_key").agg(F.collect_list("file").alias("files"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = _store(folder)
         for batch in batches:
-            for number, lo, hi in zip(batch["range"], batch["lo"], batch["hi"]):
-                tree = iter(LoserTree([_segment(store, f"{base}/{n}", lo, hi) for n in names]))
+            for number, lo, hi, names in zip(batch["span"], batch["lo_key"], batch["hi_key"], batch["files"]):
                 at = 0
-                while block := list(itertools.islice(tree, 20_000)):
+                for block in _merge_rows(folder, sorted(names), lo, hi):
                     out = pd.DataFrame(block, columns=INDEX.names)
                     out.insert(0, "range", number)
                     out.insert(1, "position", range(at, at + len(block)))
@@ -284,7 +319,7 @@ def merged(runs: DataFrame, folder: str, fan_in: int = 64, range_rows: int = 20_
                     yield out
                     at += len(block)
 
-    return tasks.mapInPandas(merge, "range long, position long, key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long")
+    return last.repartition(n_ranges, "span").mapInPandas(merge, "range long, position long, key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -292,7 +327,8 @@ def archived(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, null url an empty target. Of equal payloads of at least 100 bytes those with the
     smallest page_id are responses (all of them, where rows repeat that id) and the others revisit it. Rows with a
-    null page_id are always responses. An empty table gives no rows.
+    null page_id are always responses. Ties of url and time are in the order of pages; payloads and urls of any length
+    are kept whole. Extra columns are ignored. An empty table gives no rows.
     """
     folder = shared_dir(pages.sparkSession)
     files = written(write_archives(record_types(pages), folder))

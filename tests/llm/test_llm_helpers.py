@@ -371,18 +371,35 @@ def test_dual_search_is_exact(width):
         assert [(-s, d) for s, d in others] == list(zip(best.score[i], best.id[i]))
 
 
-def test_cover_tree_radii_cover():
-    rng = np.random.default_rng(5)
-    tree = search.CoverTree(np.arange(500), rng.integers(-9, 9, size=(500, 4)))
-
-    def walk(node):
+@pytest.mark.parametrize("n, width", [(0, 3), (1, 3), (40, 2), (2500, 4), (2500, 30)])
+def test_cover_tree_keeps_its_invariants(n, width):
+    """Nesting, covering, separation of every level, and radii that hold all rows."""
+    rng = np.random.default_rng(n + width)
+    rows = rng.integers(-900, 900, size=(n, width)) // rng.choice([1, 40], size=(n, 1))
+    rows[: n // 5] = rows[:1]
+    tree = search.CoverTree(np.arange(n), rows)
+    assert sorted(tree.order.tolist()) == list(range(n))
+    centers: dict[int, int] = {}  # row of a centre, and the highest level that it is on
+
+    def walk(node, top):
         away = np.sqrt(((tree.rows[node.lo : node.hi] - node.center) ** 2).sum(axis=1))
-        assert away.max() <= node.radius + 1e-9
-        assert not node.children or (node.children[0].lo == node.lo and node.children[-1].hi == node.hi)
-        for c in node.children:
-            walk(c)
-
-    walk(tree.root)
+        assert away.max(initial=0) <= node.radius + 1e-9
+        centers[node.at] = max(centers.get(node.at, -(1 << 50)), top)
+        if node.children:
+            assert node.children[0].at == node.at and [c.lo for c in node.children[1:]] == [c.hi for c in node.children[:-1]]
+            assert (node.children[0].lo, node.children[-1].hi) == (node.lo, node.hi)
+            for c in node.children[1:]:
+                assert np.linalg.norm(c.center - node.center) <= 2.0 ** (node.level + 1)
+            for c in node.children:
+                assert c.level < node.level
+                walk(c, top if c.at == node.at else node.level)
+
+    walk(tree.root, 1 << 41)
+    for level in sorted(set(centers.values()))[:-1]:
+        own = rows[[k for k, top in centers.items() if top >= level]].astype(float)
+        gaps = np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2)) + np.where(np.eye(len(own)), np.inf, 0)
+        assert gaps.min() > 2.0**level
+    assert n < 100 or len(centers) > n // 100
 
 
 def test_rules_separate_and_are_few():

@@ -84,12 +84,13 @@ def test_mix_of_repeated_rows_and_schedule_spread(spark):
 
 
 def test_language_of_all_rows(docs):
-    model = language.learn(docs, per_language=50)
+    model = language.learn(docs, per_language=200)
     found = {r["doc_id"]: r for r in language.identify(clashing(docs), model).collect()}
     assert len(found) == docs.count()
     for i, text, *_ in some_docs():
         r = found[i]
         assert (r["lang_pred"] == "und") == (not text) and 0 <= r["score"] <= 1
+    assert {r["score_given"] for r in language.identify(clashing(docs), model).select("score_given").collect()} == {"x"}
     assert language.learn(docs.limit(0)) is None
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
@@ -245,6 +246,7 @@ def test_quality_scores_are_the_compiled_rules(docs, spark):
     hits = [(r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in scored if r["source"] == "s"]
     assert np.mean(hits) > 0.97
     assert quality.classify(docs.limit(0), model).count() == 0
+    assert {r["score_given"] for r in quality.classify(clashing(docs), model).select("score_given").collect()} == {"x"}
     assert {r["score"] for r in quality.classify(docs, quality.learn(df, labels.limit(0))).collect()} == {0.5}
 
 
@@ -266,6 +268,29 @@ def test_search_is_the_brute_one(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_search_over_a_deep_tree_of_blocks(spark, monkeypatch):
+    """Several levels of nodes, clusters, repeated vectors and repeated rows; pairs of blocks are pruned."""
+    monkeypatch.setattr(search, "ROWS_A_SALT", 50)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 6)) * 4
+    rows = [(i, (centers[i % 12] + rng.normal(size=6) * 0.2).tolist()) for i in range(1500)]
+    rows += [(1500 + i, rows[7][1]) for i in range(150)] + [(1700, rows[3][1])] * 60 + [(50, rows[1][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in search.top_k(clashing(df), F.col("vec_id") % 50 == 0, block_rows=40).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    ints = [(i, np.floor(256 * np.asarray(v)).astype(int)) for i, v in rows]
+    matrix, ids = np.stack([v for _, v in ints]), np.array([i for i, _ in ints])
+    asked = {i: min(tuple(v) for j, v in ints if j == i) for i in set(ids[ids % 50 == 0].tolist())}
+    assert set(found) == set(asked)
+    for q, v in asked.items():
+        scores = matrix @ np.asarray(v)
+        best = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != q)[:5]
+        assert sorted(found[q]) == [(k + 1, -s, i) for k, (s, i) in enumerate(best)]
+    placed, depth = search._placed(search.quantised(df), 40)
+    assert depth >= 2 and placed.count() == len(rows) and placed.groupBy("block").count().agg(F.max("count")).first()[0] <= 40
+
+
 def test_packing_keeps_every_id_once(docs):
     rows = packing.packed(clashing(docs), keep_ids=True).collect()
     enc, by_doc, by_seq = packing.encoder(None), {}, {}
@@ -324,8 +349,10 @@ def test_urls_without_parquet_statistics_are_merged_in_ranges(spark):
 
 
 def test_media_columns(docs):
-    rows = ogg.read_back(ogg.stored(clashing(docs).drop("media"))).select("doc_id", "n_bytes", "media", "__read.*").collect()
-    assert len(rows) == docs.count()
+    back = ogg.read_back(ogg.stored(clashing(docs)))
+    rows = back.select("doc_id", "n_bytes", "media", "media_given", "__read.*").collect()
+    assert len(rows) == docs.count() and {r["media_given"] for r in rows} == {"x"}
+    assert ogg.read_back(ogg.stored(docs.limit(0))).count() == 0
     for r in rows:
         raw = (next(t for d, t, *_ in some_docs() if d == r["doc_id"]) or "").encode()
         full = raw.ljust(max(192, -(-len(raw) // 192) * 192))
@@ -348,3 +375,40 @@ def test_personal_data_digest_and_redaction(spark, docs):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df, field).collect()}
     assert clean[0] == "write to [EMAIL] or call [PHONE] from [IP] with [CARD] ok" and clean[200] is None and clean[201] == ""
     assert pii.digest(df.limit(0), pii.learn(df.limit(0))).count() == 0
+
+
+def test_clashing_names_are_set_aside_in_any_case(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "PII int, pii_given int, other int")
+    assert common.set_aside(df, "pii").columns == ["PII_given_given", "pii_given", "other"]
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    left = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).alias("k"), "id").union(spark.range(5).select(F.lit(None).cast("long"), "id"))
+    right = left.filter("k is not null and k % 2 = 1").groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("id").alias("m"))
+    for how in ("inner", "left"):
+        want = left.join(right.drop("w"), "k", how)
+        for total in (10, 3005):
+            assert sorted(map(repr, common.spread_join(left, right, ["k"], "w", total, how).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
+def test_held_out_accuracy(spark):
+    """Figures of the README on documents that no model has learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    named = language.identify(docs, language.learn(docs)).filter(common.held_out()).filter("lang is not null and lang_pred <> 'und'")
+    right, n = named.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1))).first()
+    assert n > 1000 and right >= 0.98
+    scored = quality.classify(docs.select("doc_id", "text"), quality.learn(docs, labels)).filter(common.held_out()).join(labels, "doc_id").filter("quality is not null")
+    right, n = scored.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("quality")).cast("double")), F.count(F.lit(1))).first()
+    assert n > 200 and right >= 0.97
