@@ -18,13 +18,18 @@ from pathloom.sources.derive import cte, table
 x, y = "x", "y"
 
 
-def _whole():
-    return Window.partitionBy("ring_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _ring(rings: DataFrame) -> list[str]:
+    """The key of a ring: ids may repeat between geometries."""
+    return [c for c in ("geom_id", "ring_id") if c in rings.columns]
+
+
+def _whole(rings: DataFrame):
+    return Window.partitionBy(*_ring(rings)).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def edges(rings: DataFrame) -> DataFrame:
     """Each vertex with the next one around its ring, ``nx, ny``, and the one after that, ``mx, my``."""
-    w, whole = ordered("ring_id"), _whole()
+    w, whole = ordered(*_ring(rings)), _whole(rings)
     rows = rings.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__i", F.row_number().over(w))
     first = {c: F.first(c).over(whole) for c in (x, y)}
     second = {c: F.coalesce(F.nth_value(c, 2).over(whole), F.first(c).over(whole)) for c in (x, y)}
@@ -70,7 +75,7 @@ def group_bounds(rings: DataFrame) -> DataFrame:
 
 def corners(rings: DataFrame, concave: bool, threshold: float) -> DataFrame:
     """Vertices that turn the wanted way, with an interior angle of at least ``threshold`` degrees."""
-    w, whole = ordered("ring_id"), _whole()
+    w, whole = ordered(*_ring(rings)), _whole(rings)
     rows = edges(rings)
     before = {c: F.coalesce(F.lag(c).over(w), F.last(c).over(whole)) for c in (x, y)}
     rows = rows.select("*", before[x].alias("bx"), before[y].alias("by"), F.sum(shoelace(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).over(Window.partitionBy("ring_id")).alias("twice"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import hypot, on_segment
 from pathloom.functions.grid import in_cells, joined
-from pathloom.functions.loops import saved
+from pathloom.functions.loops import discard, saved
 from pathloom.operators.commands import rounded
 from pathloom.operators.rings import edges, ring_measures
 from pathloom.sources.derive import cte, table
@@ -29,69 +29,95 @@ def box_pairs(rings: DataFrame, size: float = CELL) -> DataFrame:
     return both.filter(touch & (F.col("ring_id") < F.col("other"))).select("geom_id", "ring_id", "other")
 
 
+def ring_edges(rings: DataFrame, *extra: str) -> DataFrame:
+    """Edges ``ring_id, seq, ax, ay, bx, by`` and the columns ``extra`` of the rings."""
+    return edges(rings).select(*extra, "ring_id", "seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
+
+
+def _band(y: Column, size: float) -> Column:
+    return F.floor(y / size)
+
+
+def in_own_ring(points: DataFrame, edge_rows: DataFrame, *keys: str, size: float = CELL) -> DataFrame:
+    """``keys, ring_id, on, odd`` of points ``(keys, ring_id, x, y)``: on an edge of that ring, or an odd number of
+    crossings to the right. A point meets the edges that reach its own band of Y only; points beside all bands are left out."""
+    bands = edge_rows.withColumn("band", F.explode(F.sequence(_band(F.least("ay", "by") - 1e-9, size), _band(F.greatest("ay", "by") + 1e-9, size))))
+    rows = points.withColumn("band", _band(F.col("y"), size)).join(bands.select("ring_id", "band", "ax", "ay", "bx", "by"), ["ring_id", "band"])
+    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
+    cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
+    on = (F.abs(cross) < 1e-9) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+    hit = ((ay > y) != (by > y)) & ((y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)) + ax > x)
+    return rows.groupBy(*keys, "ring_id").agg(F.max(on).alias("on"), (F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias("odd"))
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame, size: float = CELL, strict: bool = False) -> DataFrame:
     """Pairs of a point and a ring that holds it; points on an edge count unless ``strict``.
 
-    A point meets rings through the cells of their boxes, then the ring's edges; crossings to the right are counted.
+    A point meets rings through the cells of their boxes, then the ring's edges in its own band of Y.
     """
     p = in_cells(points, F.col("x"), F.col("y"), F.col("x"), F.col("y"), size)
     r = in_cells(ring_boxes(rings), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
     near = joined(p, r).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("point_id", "x", "y", "ring_id")
-    e = edges(rings).select("ring_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    rows = near.join(e, "ring_id")
-    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
-    cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
-    on = (F.abs(cross) < 1e-9) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-    hit = ((ay > y) != (by > y)) & ((y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)) + ax > x)
-    per = rows.groupBy("point_id", "ring_id").agg(F.max(on).alias("on"), (F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias("odd"))
+    per = in_own_ring(near, ring_edges(rings), "point_id", size=size)
     return per.filter(~F.col("on") & F.col("odd") if strict else F.col("on") | F.col("odd")).select("point_id", "ring_id")
 
 
-def signed_distances(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """Distance of each point to the rings of its geometry ``(point_id, geom_id, x, y)``: below 0 inside one that turns
-    left and in none that turns right."""
-    per = edges(rings).select("geom_id", "ring_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    rows = points.join(per, "geom_id")
-    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
-    d2 = on_segment(x, y, ax, ay, bx, by)[3]
-    cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
-    on = (F.abs(cross) < 1e-9) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-    hit = F.coalesce(((ay > y) != (by > y)) & ((y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)) + ax > x), F.lit(False))
-    per_ring = rows.groupBy("point_id", "geom_id", "ring_id").agg(F.min(d2).alias("d2"), (F.max(on) | (F.sum(hit.cast("int")) % 2 == 1)).alias("inside"), (F.sum(ax * by - bx * ay) > 0).alias("ccw"))
-    per_point = per_ring.groupBy("point_id", "geom_id").agg(F.min("d2").alias("d2"), F.max(F.col("inside") & F.col("ccw")).alias("solid"), F.max(F.col("inside") & ~F.col("ccw")).alias("hole"))
-    return per_point.select("point_id", "geom_id", (F.sqrt("d2") * F.when(F.col("solid") & ~F.col("hole"), -1.0).otherwise(1.0)).alias("distance"))
+def nearest_edges(points: DataFrame, edge_rows: DataFrame, *keys: str) -> DataFrame:
+    """The nearest edge of each point ``(point_id, x, y)`` among those of equal ``keys``: ``point_id, keys, d2, ring_id, seq``.
 
-
-def nearest_rings(points: DataFrame, rings: DataFrame, size: float = CELL) -> DataFrame:
-    """The nearest ring of each point, the first of equal ones, by growing squares of cells.
-
-    A point is done when its best distance lies within the cells that were searched; only the others go on.
+    Cells start at a size that holds a few edges each and double every round. A point meets the edges of the nine
+    cells around it and is done when its best distance lies within them; only the others go on, so a far point costs
+    a round for each doubling. Equal distances go to the smallest ring_id and seq. Points of keys without edges, and
+    those without coordinates, are left out.
     """
-    e = edges(rings).select("ring_id", "seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    e = saved(in_cells(e, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size).drop("cx0", "cy0"))
-    span = e.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first()
-    done, left, k = None, saved(points.select("point_id", "x", "y")), 1
+    length = hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    box = (F.max(F.greatest("ax", "bx")) - F.min(F.least("ax", "bx"))) * (F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by")))
+    per = edge_rows.groupBy(*keys) if keys else edge_rows.groupBy(F.lit(0).alias("all"))
+    area, total, n = per.agg(box.alias("area"), F.sum(length).alias("l"), F.count(F.lit(1)).alias("n")).agg(F.sum("area"), F.sum("l"), F.sum("n")).first()
+    size = max(8 * (area or 0.0) / total, total / n / 8) if total else 1.0
+    done, left = None, saved(points.filter("x is not null and y is not null").select("point_id", *keys, "x", "y"))
+    if keys:
+        left = saved(left.join(edge_rows.select(*keys).distinct(), list(keys), "left_semi"))
+    elif not n:
+        left = left.limit(0)
     while True:
-        px, py = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
-        around = left.withColumn("cx", F.explode(F.sequence(F.greatest(px - k, F.lit(span[2])), F.least(px + k, F.lit(span[4]))))).withColumn("cy", F.explode(F.sequence(F.greatest(py - k, F.lit(span[3])), F.least(py + k, F.lit(span[5])))))
-        around = around.filter((F.abs(F.col("cx") - px) <= k) & (F.abs(F.col("cy") - py) <= k))
-        t, qx, qy, d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        last = span[0] is None or k > 2 * (span[0] + span[1] + 2) * 50
-        # points that are still left lie very far away: against all edges, once each
-        pairs = left.crossJoin(e.select("ring_id", "seq", "ax", "ay", "bx", "by").distinct()) if last else around.join(e, ["cx", "cy"])
-        best = pairs.filter("x is not null and y is not null").withColumn("d2", d2).groupBy("point_id", "x", "y").agg(F.min(F.struct("d2", "ring_id", "seq")).alias("s"))
-        sure = F.lit(last) | (F.sqrt("s.d2") <= k * size)
-        found = saved(best.filter(sure).select("point_id", F.col("s.ring_id").alias("ring_id"), F.sqrt("s.d2").alias("distance")))
+        cells = in_cells(edge_rows, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size).drop("cx0", "cy0")
+        around = in_cells(left, F.col("x"), F.col("y"), F.col("x"), F.col("y"), size, reach=size).drop("cx0", "cy0")
+        d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[3]
+        best = around.join(cells, [*keys, "cx", "cy"]).withColumn("d2", d2).groupBy("point_id", *keys).agg(F.min(F.struct("d2", "ring_id", "seq")).alias("s"))
+        found = saved(best.filter(F.sqrt("s.d2") <= size).select("point_id", *keys, "s.d2", "s.ring_id", "s.seq"))
         done = found if done is None else done.unionByName(found)
-        left = saved(left.join(found.select("point_id"), "point_id", "left_anti"))
-        if last or not left.limit(1).count():
+        before, left = left, saved(left.join(found.select("point_id", *keys), ["point_id", *keys], "left_anti"))
+        discard(before)
+        if not left.limit(1).count():
             return done
-        k *= 2
+        size *= 2
+
+
+def nearest_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """The nearest ring of each point, the first of equal ones."""
+    return nearest_edges(points, ring_edges(rings)).select("point_id", "ring_id", F.sqrt("d2").alias("distance"))
 
 
-def crossings(rings: DataFrame, size: float = CELL) -> DataFrame:
-    """Pairs of edges of different rings of a geometry that properly cross."""
-    e = edges(rings).select("geom_id", "ring_id", "seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
+def signed_distances(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """Distance of each point to the rings of its geometry ``(point_id, geom_id, x, y)``: below 0 inside one that turns
+    left and in none that turns right."""
+    away = nearest_edges(points, ring_edges(rings, "geom_id"), "geom_id").select("point_id", "geom_id", "d2")
+    turn = ring_measures(rings).select("geom_id", "ring_id", (F.col("signed_area") > 0).alias("ccw"))
+    r = in_cells(ring_boxes(rings), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), CELL)
+    p = in_cells(points.select("point_id", "geom_id", "x", "y"), F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL)
+    near = joined(p, r, "geom_id").filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("point_id", "geom_id", "ring_id", "x", "y")
+    inside = in_own_ring(near, ring_edges(rings), "point_id", "geom_id").filter("on or odd").join(turn, ["geom_id", "ring_id"])
+    side = inside.groupBy("point_id", "geom_id").agg(F.bool_or("ccw").alias("solid"), F.bool_or(~F.col("ccw")).alias("hole"))
+    sign = F.when(F.col("solid") & ~F.col("hole"), -1.0).otherwise(1.0)
+    return away.join(side, ["point_id", "geom_id"], "left").select("point_id", "geom_id", (F.sqrt("d2") * sign).alias("distance"))
+
+
+def crossings(rings: DataFrame, size: float | None = None) -> DataFrame:
+    """Pairs of edges of different rings of a geometry that properly cross; cells of about the mean length of an edge."""
+    e = ring_edges(rings, "geom_id")
+    if size is None:
+        size = max(1e-6, e.agg(F.avg(hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0] or 1.0) / 2
     o = e.toDF("geom_id", "other", "other_seq", "px", "py", "qx", "qy")
     box = lambda df, a, b, c, d: in_cells(df, F.least(a, c), F.least(b, d), F.greatest(a, c), F.greatest(b, d), size)
     both = joined(box(e, "ax", "ay", "bx", "by"), box(o, "px", "py", "qx", "qy"), "geom_id").filter("ring_id < other")
@@ -101,26 +127,224 @@ def crossings(rings: DataFrame, size: float = CELL) -> DataFrame:
     return both.filter(apart).select("geom_id", "ring_id", "seq", "other", "other_seq")
 
 
-def hierarchy(rings: DataFrame) -> DataFrame:
-    """Depth and parent of each ring: its containers are larger by 1e-6 and hold all its vertices; the parent is the
-    smallest of them. Rings of a geometry must not cross."""
-    area = ring_measures(rings).select("geom_id", "ring_id", "area")
-    vertices = rings.select("geom_id", "ring_id", "seq", "x", "y")
+def _cut_params(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Parameters in (0, 1) at which segment a-b meets segment c-d; both ends of c-d where they lie on one line."""
+    rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
+    den, n = rx * sy - ry * sx, rx * rx + ry * ry
+    t = ((cx - ax) * sy - (cy - ay) * sx) / F.nullif(den, F.lit(0.0))
+    u = ((cx - ax) * ry - (cy - ay) * rx) / F.nullif(den, F.lit(0.0))
+    flat = F.abs(den) < 1e-12
+    along = F.abs((cx - ax) * ry - (cy - ay) * rx) < 1e-9
+    ends = F.array(((cx - ax) * rx + (cy - ay) * ry) / F.nullif(n, F.lit(0.0)), ((dx - ax) * rx + (dy - ay) * ry) / F.nullif(n, F.lit(0.0)))
+    hits = F.when(flat, F.when(along, ends).otherwise(F.array().cast("array<double>"))).when(u.between(-1e-12, 1 + 1e-12), F.array(t)).otherwise(F.array().cast("array<double>"))
+    return F.filter(hits, lambda v: (v > 1e-12) & (v < 1 - 1e-12))
+
+
+def pieces(segments: DataFrame, cutters: DataFrame, keys: list[str], on: list[str], size: float = CELL) -> DataFrame:
+    """``segments(keys, on, ax, ay, bx, by)`` cut where edges ``cutters(on, cx, cy, dx, dy)`` of equal ``on`` meet them.
+
+    A row for each piece: all columns of the segment and ``t0, t1``. Segments meet edges in cells; cuts of a segment are
+    one small array. Pieces shorter than 1e-9 of the segment are left out.
+    """
+    far = cutters.select(*on, *[F.col(c).alias(f"k{c}") for c in ("cx", "cy", "dx", "dy")])
+    a = in_cells(segments.select(*keys, *[c for c in on if c not in keys], "ax", "ay", "bx", "by"), F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size)
+    b = in_cells(far, F.least("kcx", "kdx"), F.least("kcy", "kdy"), F.greatest("kcx", "kdx"), F.greatest("kcy", "kdy"), size)
+    met = joined(a, b, *on).withColumn("t", F.explode(_cut_params(*(F.col(c) for c in ("ax", "ay", "bx", "by", "kcx", "kcy", "kdx", "kdy")))))
+    cuts = met.groupBy(*keys).agg(F.collect_set("t").alias("ts"))
+    rows = segments.join(cuts, keys, "left").withColumn("ts", F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("ts", F.array().cast("array<double>")))))
+    spans = F.arrays_zip(F.slice("ts", 1, F.size("ts") - 1).alias("t0"), F.slice("ts", 2, F.size("ts") - 1).alias("t1"))
+    return rows.select("*", F.inline(spans).alias("t0", "t1")).drop("ts").filter("t1 - t0 >= 1e-9")
+
+
+def overlap_areas(rings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Area that each pair ``(geom_id, ring_id, other)`` of simple rings has in common, convex or not: ``..., area``.
+
+    Its boundary is made of the pieces of either ring inside the other one, so the area is half the sum of their cross
+    products. Where both rings run along one line, the piece of the first counts, if its left side lies in the other.
+    """
+    measured = ring_measures(rings).select("geom_id", "ring_id", (F.col("signed_area") < 0).alias("cw"))
+    e = ring_edges(rings, "geom_id").join(measured, ["geom_id", "ring_id"])
+    swap = {n: F.when(F.col("cw"), F.col(b)).otherwise(F.col(a)) for n, a, b in (("ax", "ax", "bx"), ("ay", "ay", "by"), ("bx", "bx", "ax"), ("by", "by", "ay"))}
+    e = saved(e.withColumns(swap).drop("cw"))
+    one = pairs.select("geom_id", "ring_id", "other", F.lit(0).alias("side"), F.col("ring_id").alias("mine"), F.col("other").alias("theirs"))
+    two = pairs.select("geom_id", "ring_id", "other", F.lit(1).alias("side"), F.col("other").alias("mine"), F.col("ring_id").alias("theirs"))
+    segments = one.unionByName(two).join(e.withColumnRenamed("ring_id", "mine"), ["geom_id", "mine"])
+    cutters = e.select("geom_id", F.col("ring_id").alias("theirs"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    keys = ["geom_id", "ring_id", "other", "side", "seq"]
+    parts = saved(pieces(segments, cutters, keys, ["geom_id", "theirs"]))
+    at = lambda c, t: F.col(f"a{c}") + F.col(t) * (F.col(f"b{c}") - F.col(f"a{c}"))
+    parts = parts.withColumns({"x0": at("x", "t0"), "y0": at("y", "t0"), "x1": at("x", "t1"), "y1": at("y", "t1")})
+    n = F.nullif(hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), F.lit(0.0))
+    left = F.when(F.col("side") == 0, F.lit(1e-7)).otherwise(F.lit(0.0)) / n
+    probes = parts.select(*keys, "t0", F.col("theirs"), ((F.col("x0") + F.col("x1")) / 2 - (F.col("y1") - F.col("y0")) * left).alias("x"), ((F.col("y0") + F.col("y1")) / 2 + (F.col("x1") - F.col("x0")) * left).alias("y"))
+    probes = probes.select(*[F.col(k).alias(f"k_{k}") for k in keys], "t0", F.col("theirs").alias("ring_id"), "x", "y")
+    inside = in_own_ring(probes, e.drop("geom_id"), *[f"k_{k}" for k in keys], "t0").filter("odd and not on")
+    inside = inside.select(*[F.col(f"k_{k}").alias(k) for k in keys], "t0")
+    kept = parts.join(inside, [*keys, "t0"])
+    return kept.groupBy("geom_id", "ring_id", "other").agg((F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area"))
+
+
+def overlapping(rings: DataFrame, least: float) -> DataFrame:
+    """Pairs of rings of a geometry whose common area exceeds ``least``."""
+    return overlap_areas(rings, box_pairs(rings)).filter(F.col("area") > least)
+
+
+def containers(rings: DataFrame) -> DataFrame:
+    """Pairs ``geom_id, ring_id, container, container_area``: the container is larger by 1e-6 and covers at least 0.999 of
+    the ring's area. Where edges do not cross, one vertex decides; only crossing pairs need their common area."""
+    area = ring_measures(rings).filter("area > 1e-9").select("geom_id", "ring_id", "area")
     boxes = ring_boxes(rings).join(area, ["geom_id", "ring_id"])
     outer = boxes.toDF("geom_id", "container", "x0", "y0", "x1", "y1", "container_area")
     inner = boxes.toDF("geom_id", "ring_id", "u0", "v0", "u1", "v1", "area")
     pairs = joined(in_cells(outer, *map(F.col, ("x0", "y0", "x1", "y1")), CELL), in_cells(inner, *map(F.col, ("u0", "v0", "u1", "v1")), CELL), "geom_id")
-    fits = (F.col("x0") <= F.col("u0")) & (F.col("y0") <= F.col("v0")) & (F.col("x1") >= F.col("u1")) & (F.col("y1") >= F.col("v1")) & (F.col("container_area") > F.col("area") + 1e-6)
-    pairs = pairs.filter(fits).select("geom_id", "ring_id", "container", "container_area")
-    e = edges(rings).select(F.col("ring_id").alias("container"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    rows = pairs.join(vertices, ["geom_id", "ring_id"]).join(e, "container")
-    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
-    on = (F.abs((x - ax) * (by - ay) - (y - ay) * (bx - ax)) < 1e-9) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-    hit = F.coalesce(((ay > y) != (by > y)) & ((y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)) + ax > x), F.lit(False))
-    inside = rows.groupBy("geom_id", "ring_id", "container", "container_area", "seq").agg((F.max(on) | (F.sum(hit.cast("int")) % 2 == 1)).alias("i"))
-    holds = inside.groupBy("geom_id", "ring_id", "container", "container_area").agg(F.min("i").alias("i")).filter("i")
-    per = holds.groupBy("geom_id", "ring_id").agg(F.count(F.lit(1)).alias("depth"), F.min_by("container", F.struct("container_area", "container")).alias("parent"))
-    return area.join(per, ["geom_id", "ring_id"], "left").select("geom_id", "ring_id", F.coalesce("depth", F.lit(0)).alias("depth"), "parent")
+    touch = (F.col("x0") <= F.col("u1")) & (F.col("u0") <= F.col("x1")) & (F.col("y0") <= F.col("v1")) & (F.col("v0") <= F.col("y1")) & (F.col("container_area") > F.col("area") + 1e-6)
+    holds = (F.col("x0") <= F.col("u0")) & (F.col("y0") <= F.col("v0")) & (F.col("x1") >= F.col("u1")) & (F.col("y1") >= F.col("v1"))
+    pairs = pairs.filter(touch).select("geom_id", "ring_id", "container", "area", "container_area", holds.alias("holds"))
+    cross = crossings(rings).select("geom_id", F.col("ring_id").alias("p"), F.col("other").alias("q")).distinct()
+    pairs = saved(pairs.join(cross.withColumn("crossing", F.lit(True)), (pairs["geom_id"] == cross["geom_id"]) & (F.least("ring_id", "container") == F.col("p")) & (F.greatest("ring_id", "container") == F.col("q")), "left").select(pairs["geom_id"], "ring_id", "container", "area", "container_area", "holds", "crossing"))
+    first = rings.groupBy("geom_id", "ring_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p")).select("geom_id", "ring_id", "p.x", "p.y")
+    calm = pairs.filter("crossing is null and holds").join(first, ["geom_id", "ring_id"])
+    probes = calm.select("geom_id", F.col("ring_id").alias("child"), F.col("container").alias("ring_id"), "container_area", "x", "y")
+    inside = in_own_ring(probes, ring_edges(rings), "geom_id", "child", "container_area").filter("on or odd")
+    inside = inside.select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"), "container_area")
+    wild = pairs.filter("crossing")
+    common = overlap_areas(rings, wild.select("geom_id", "ring_id", F.col("container").alias("other"))).withColumnRenamed("area", "common").withColumnRenamed("other", "container")
+    covered = wild.join(common, ["geom_id", "ring_id", "container"]).filter(F.col("common") >= F.col("area") * 0.999)
+    return inside.unionByName(covered.select("geom_id", "ring_id", "container", "container_area"))
+
+
+def hierarchy(rings: DataFrame) -> DataFrame:
+    """Depth and parent of each ring: the number of its containers, and the smallest of them. Rings without an area have depth -1."""
+    area = ring_measures(rings).select("geom_id", "ring_id", "area")
+    per = containers(rings).groupBy("geom_id", "ring_id").agg(F.count(F.lit(1)).alias("depth"), F.min_by("container", F.struct("container_area", "container")).alias("parent"))
+    depth = F.when(F.col("area") > 1e-9, F.coalesce("depth", F.lit(0))).otherwise(F.lit(-1))
+    return area.join(per, ["geom_id", "ring_id"], "left").select("geom_id", "ring_id", depth.alias("depth"), "parent")
+
+
+def wound(rings: DataFrame) -> DataFrame:
+    """Rings with solids turning left and holes turning right: others get their vertices in reverse order; adds ``depth``."""
+    turn = ring_measures(rings).select("geom_id", "ring_id", "signed_area", "n")
+    rows = rings.join(hierarchy(rings).select("geom_id", "ring_id", "depth"), ["geom_id", "ring_id"]).join(turn, ["geom_id", "ring_id"])
+    wrong = (F.col("depth") >= 0) & ((F.col("depth") % 2 == 1) == (F.col("signed_area") > 0))
+    return rows.select("geom_id", "ring_id", F.when(wrong, F.col("n") - 1 - F.col("seq")).otherwise(F.col("seq")).alias("seq"), "x", "y", "depth")
+
+
+def external(rings: DataFrame) -> DataFrame:
+    """Only the solids, turning left: what remains when inner edges go."""
+    return wound(rings).filter("depth >= 0 and depth % 2 = 0").drop("depth")
+
+
+def enclosed(rings: DataFrame) -> DataFrame:
+    """Pairs ``geom_id, ring_id, container``: the box lies in the container's, no edges cross, and the first vertex lies in a
+    container that turns left."""
+    b = ring_boxes(rings)
+    outer = b.toDF("geom_id", "container", "x0", "y0", "x1", "y1")
+    inner = b.toDF("geom_id", "ring_id", "u0", "v0", "u1", "v1")
+    pairs = joined(in_cells(outer, *map(F.col, ("x0", "y0", "x1", "y1")), CELL), in_cells(inner, *map(F.col, ("u0", "v0", "u1", "v1")), CELL), "geom_id")
+    pairs = pairs.filter("x0 <= u0 and y0 <= v0 and x1 >= u1 and y1 >= v1 and container <> ring_id").select("geom_id", "ring_id", "container")
+    c = crossings(rings).select("geom_id", "ring_id", "other").distinct()
+    cross = c.toDF("geom_id", "ring_id", "container").unionByName(c.toDF("geom_id", "container", "ring_id"))
+    left = ring_measures(rings).filter("signed_area > 1e-9").select("geom_id", F.col("ring_id").alias("container"))
+    first = rings.groupBy("geom_id", "ring_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p")).select("geom_id", "ring_id", "p.x", "p.y")
+    rows = pairs.join(cross, ["geom_id", "ring_id", "container"], "left_anti").join(left, ["geom_id", "container"]).join(first, ["geom_id", "ring_id"])
+    probes = rows.select("geom_id", F.col("ring_id").alias("child"), F.col("container").alias("ring_id"), "x", "y")
+    return in_own_ring(probes, ring_edges(rings), "geom_id", "child").filter("on or odd").select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"))
+
+
+def within_sheets(rings: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of pairs ``placed(geom_id, ring_id, sheet)`` those whose part lies in its sheet, edges may touch: the box within
+    1e-6, all vertices inside, no crossing edges."""
+    b = ring_boxes(rings)
+    outer, inner = b.toDF("geom_id", "sheet", "x0", "y0", "x1", "y1"), b.toDF("geom_id", "ring_id", "u0", "v0", "u1", "v1")
+    pairs = placed.join(outer, ["geom_id", "sheet"]).join(inner, ["geom_id", "ring_id"]).filter("u0 >= x0 - 1e-6 and v0 >= y0 - 1e-6 and u1 <= x1 + 1e-6 and v1 <= y1 + 1e-6").select("geom_id", "ring_id", "sheet")
+    c = crossings(rings).select("geom_id", "ring_id", "other").distinct()
+    cross = c.toDF("geom_id", "ring_id", "sheet").unionByName(c.toDF("geom_id", "sheet", "ring_id"))
+    rows = pairs.join(cross, ["geom_id", "ring_id", "sheet"], "left_anti").join(rings.select("geom_id", "ring_id", "seq", "x", "y"), ["geom_id", "ring_id"])
+    probes = rows.select("geom_id", F.col("ring_id").alias("part"), F.col("sheet").alias("ring_id"), "seq", "x", "y")
+    inside = in_own_ring(probes, ring_edges(rings), "geom_id", "part", "seq").filter("on or odd").groupBy("geom_id", "part", "ring_id").agg(F.count(F.lit(1)).alias("k"))
+    size = rings.groupBy("geom_id", F.col("ring_id").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return inside.join(size, ["geom_id", "part"]).filter("k = n").select("geom_id", F.col("part").alias("ring_id"), F.col("ring_id").alias("sheet"))
+
+
+def boundary_distances(rings: DataFrame, reach: float) -> DataFrame:
+    """Smallest distance from an edge's midpoint of either ring to the other ring's edges, for pairs of a geometry within ``reach``.
+
+    Midpoints, grown by ``reach``, meet edges in cells; a pair met in several cells gives the same distance.
+    """
+    e = ring_edges(rings, "geom_id")
+    mid = e.select("geom_id", F.col("ring_id").alias("a"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    m = in_cells(mid, F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL, reach)
+    o = in_cells(e.withColumnRenamed("ring_id", "b"), F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), CELL)
+    d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[3]
+    per = joined(m, o, "geom_id").filter("a <> b").groupBy("geom_id", F.least("a", "b").alias("ring_id"), F.greatest("a", "b").alias("other")).agg(F.min(d2).alias("d2"))
+    return per.filter(F.col("d2") <= reach * reach).select("geom_id", "ring_id", "other", F.sqrt("d2").alias("distance"))
+
+
+def ray_hits(rays: DataFrame, rings: DataFrame, size: float = CELL) -> DataFrame:
+    """Nearest hit of each ray ``(ray_id, geom_id, x, y, dx, dy)`` with the rings of its geometry: ``ray_id, ring_id, hx, hy``.
+
+    Rays end at the geometry's box; they meet edges in the cells along them, column by column.
+    """
+    box = rings.groupBy("geom_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    far = lambda p, d, lo, hi: F.when(F.col(d) > 0, (F.col(hi) - F.col(p)) / F.col(d)).when(F.col(d) < 0, (F.col(lo) - F.col(p)) / F.col(d))
+    r = rays.filter("dx <> 0 or dy <> 0").join(box, "geom_id").withColumn("t", F.least(far("x", "dx", "x0", "x1"), far("y", "dy", "y0", "y1"))).filter("t >= 0")
+    r = r.withColumns({"ex": F.col("x") + F.col("t") * F.col("dx"), "ey": F.col("y") + F.col("t") * F.col("dy")})
+    cell = lambda v: F.floor(v / size)
+    r = r.withColumn("cx", F.explode(F.sequence(cell(F.least("x", "ex") - 1e-9), cell(F.greatest("x", "ex") + 1e-9))))
+    at = lambda px: F.col("y") + F.least(F.greatest((px - F.col("x")) / F.col("dx"), F.lit(0.0)), F.col("t")) * F.col("dy")
+    ya, yb = F.when(F.abs("dx") < 1e-12, F.col("y")).otherwise(at(F.col("cx") * size)), F.when(F.abs("dx") < 1e-12, F.col("ey")).otherwise(at((F.col("cx") + 1) * size))
+    r = r.withColumn("cy", F.explode(F.sequence(cell(F.least(ya, yb) - 1e-9), cell(F.greatest(ya, yb) + 1e-9)))).select("ray_id", "geom_id", "x", "y", "dx", "dy", "cx", "cy")
+    e = in_cells(ring_edges(rings, "geom_id"), F.least("ax", "bx") - 1e-9, F.least("ay", "by") - 1e-9, F.greatest("ax", "bx") + 1e-9, F.greatest("ay", "by") + 1e-9, size)
+    fx, fy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    den = F.nullif(fy * F.col("dx") - fx * F.col("dy"), F.lit(0.0))
+    t = (fy * (F.col("ax") - F.col("x")) - fx * (F.col("ay") - F.col("y"))) / den
+    rows = r.join(e, ["geom_id", "cx", "cy"]).withColumns({"t": t, "fx": fx, "fy": fy})
+    hx, hy = F.col("x") + F.col("t") * F.col("dx"), F.col("y") + F.col("t") * F.col("dy")
+    share = ((hx - F.col("ax")) * F.col("fx") + (hy - F.col("ay")) * F.col("fy")) / (F.col("fx") ** 2 + F.col("fy") ** 2)
+    hit = rows.filter((F.col("t") > 1e-12) & share.between(-1e-12, 1 + 1e-12)).groupBy("ray_id").agg(F.min(F.struct("t", "ring_id", hx.alias("hx"), hy.alias("hy"))).alias("s"))
+    return hit.select("ray_id", "s.ring_id", "s.hx", "s.hy")
+
+
+def segment_distance2(a, b, c, d) -> Column:
+    """Squared distance of two segments, points given as (x, y) columns; 0 where they cross."""
+    ends = [on_segment(*p, *q, *r)[3] for p, q, r in ((a, c, d), (b, c, d), (c, a, b), (d, a, b))]
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    cross = (side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0)
+    apart = side(a, b, c) * side(a, b, d) + side(c, d, a) * side(c, d, b) == 0  # ends or lines that touch: the ends decide
+    return F.when(cross & ~apart, F.lit(0.0)).otherwise(F.least(*ends))
+
+
+def near_edges(moves: DataFrame, edge_rows: DataFrame, reach: float, keys: list[str]) -> DataFrame:
+    """Pairs of moves ``(keys, .., x0, y0, x1, y1)`` and edges of equal ``keys`` nearer than ``reach``."""
+    m = in_cells(moves, F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), CELL, reach)
+    e = in_cells(edge_rows, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), CELL)
+    point = lambda x, y: (F.col(x), F.col(y))
+    d2 = segment_distance2(point("x0", "y0"), point("x1", "y1"), point("ax", "ay"), point("bx", "by"))
+    return joined(m, e, *keys).withColumn("d2", d2).filter(F.col("d2") < reach * reach)
+
+
+def confined(paths: DataFrame, rings: DataFrame, clearance: float) -> DataFrame:
+    """For paths ``(path_id, ring_id, seq, x, y)``: do all points lie inside the ring and no move come nearer to it than ``clearance``?"""
+    w = Window.partitionBy("path_id", "ring_id").orderBy("seq")
+    moves = paths.select("path_id", "ring_id", F.lag("x").over(w).alias("x0"), F.lag("y").over(w).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")).filter("x0 is not null")
+    near = near_edges(moves, ring_edges(rings), clearance, ["ring_id"]).select("path_id", "ring_id", F.lit(True).alias("near")).distinct()
+    inside = in_own_ring(paths.select("path_id", "ring_id", "seq", "x", "y"), ring_edges(rings), "path_id", "seq").filter("odd and not on").groupBy("path_id", "ring_id").agg(F.count(F.lit(1)).alias("k"))
+    size = paths.groupBy("path_id", "ring_id").agg(F.count(F.lit(1)).alias("n"))
+    both = size.join(inside, ["path_id", "ring_id"], "left").join(near, ["path_id", "ring_id"], "left")
+    return both.select("path_id", "ring_id", ((F.coalesce("k", F.lit(0)) == F.col("n")) & F.col("near").isNull()).alias("confined"))
+
+
+def enclose_circles(circles: DataFrame, rings: DataFrame) -> DataFrame:
+    """Pairs of a circle ``(circle_id, x, y, r)`` and a ring that holds it whole: box, centre, and no edge nearer than ``r``."""
+    c = in_cells(circles, F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL)
+    b = in_cells(ring_boxes(rings), *map(F.col, ("x0", "y0", "x1", "y1")), CELL)
+    near = joined(c, b).filter("x - r >= x0 and y - r >= y0 and x + r <= x1 and y + r <= y1").select("circle_id", "ring_id", "x", "y", "r")
+    inside = in_own_ring(near, ring_edges(rings), "circle_id").filter("odd and not on").select("circle_id", "ring_id")
+    e = in_cells(ring_edges(rings), F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), CELL).drop("cx0", "cy0")
+    d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[3]
+    wide = near.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x") - F.col("r")) / CELL), F.floor((F.col("x") + F.col("r")) / CELL)))).withColumn("cy", F.explode(F.sequence(F.floor((F.col("y") - F.col("r")) / CELL), F.floor((F.col("y") + F.col("r")) / CELL))))
+    cut = wide.join(e, ["ring_id", "cx", "cy"]).filter(d2 < F.col("r") * F.col("r")).select("circle_id", "ring_id")
+    return inside.join(cut, ["circle_id", "ring_id"], "left_anti")
 
 
 def solids(tree: DataFrame) -> DataFrame:
@@ -176,6 +400,27 @@ def _crossing(r: DataFrame) -> DataFrame:
     return r.withColumn("x", F.col("x") + ((F.col("ring_id") * 13) % 40).cast("double"))
 
 
+def _sheets(r: DataFrame) -> DataFrame:
+    big = r.groupBy("geom_id").agg(F.max_by("ring_id", F.struct("x", "ring_id")).alias("sheet"))
+    return r.select("geom_id", "ring_id").distinct().join(big, "geom_id").filter("ring_id <> sheet")
+
+
+def _rays(points: DataFrame) -> DataFrame:
+    k = F.col("point_id")
+    return points.select(k.alias("ray_id"), (k % 97).alias("geom_id"), "x", "y", (((k % 97) % 10) * 120.0 + (k % 7) * 3.0 - F.col("x") + 0.37).alias("dx"), (F.floor((k % 97) / 10) * 120.0 + (k % 5) * 3.0 - F.col("y") + 0.11).alias("dy"))
+
+
+def _inner_paths(rings: DataFrame) -> DataFrame:
+    """Every ring drawn in by a share of its size that differs, as a path inside it."""
+    m = rings.groupBy("ring_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    k = (F.col("ring_id") % 5 * 0.02 + 0.9)
+    return rings.join(m, "ring_id").select(F.col("ring_id").alias("path_id"), "ring_id", "seq", (F.col("mx") + (F.col("x") - F.col("mx")) * k).alias("x"), (F.col("my") + (F.col("y") - F.col("my")) * k).alias("y"))
+
+
+def _circles(points: DataFrame) -> DataFrame:
+    return points.select(F.col("point_id").alias("circle_id"), "x", "y", (F.col("point_id") % 9 * 1.5 + 0.5).alias("r"))
+
+
 QUERIES = {
     "box_pairs": _q(box_pairs, "rings"),
     "points_in_rings": _q(points_in_rings, "points", "rings"),
@@ -184,6 +429,16 @@ QUERIES = {
     "nearest_rings": _q(nearest_rings, "points", "rings"),
     "ring_crossings": _q(lambda r: crossings(_crossing(r)), "rings"),
     "ring_hierarchy": _q(hierarchy, "rings"),
+    "crossing_hierarchy": _q(lambda r: hierarchy(_crossing(r)), "rings"),
+    "overlap_areas": _q(lambda r: overlapping(_crossing(r), 1.0), "rings", digits=4),
+    "normal_winding": _q(lambda r: wound(_crossing(r)), "rings"),
+    "external_rings": _q(external, "rings"),
+    "enclosed_rings": _q(lambda r: enclosed(_crossing(r)), "rings"),
+    "parts_in_sheets": _q(lambda r: within_sheets(_crossing(r), _sheets(_crossing(r))), "rings"),
+    "boundary_distances": _q(lambda r: boundary_distances(_crossing(r), 6.0), "rings"),
+    "ray_hits": _q(lambda p, r: ray_hits(_rays(p), r), "points", "rings"),
+    "confined_paths": _q(lambda r: confined(_inner_paths(r), r, 2.0), "rings"),
+    "enclosed_circles": _q(lambda p, r: enclose_circles(_circles(p), r), "points", "rings"),
     "solids_and_holes": _q(lambda r: solids(hierarchy(r)), "rings"),
     "uncovered_cuts": _q(uncovered_cuts, "hatch"),
     "first_cuts": _q(first_cuts, "hatch"),
@@ -202,7 +457,30 @@ _HOLDS = f"""{_E}, ar AS (SELECT ring_id, abs(sum(ax * by_ - ay * bx) / 2) AS ar
  vi AS (SELECT pa.geom_id, pa.ring_id, pa.c, pa.area, r.seq, bool_or({_ON}) OR count(*) FILTER ({_HIT}) % 2 = 1 AS i FROM pa JOIN rings r ON r.ring_id = pa.ring_id JOIN e ON e.ring_id = pa.c GROUP BY ALL),
  ho AS (SELECT geom_id, ring_id, c, area FROM vi GROUP BY ALL HAVING bool_and(i)),
  tree AS (SELECT b.geom_id, b.ring_id, count(c) AS depth, arg_min(c, (area, c)) AS parent FROM b LEFT JOIN ho ON ho.ring_id = b.ring_id GROUP BY ALL)"""
+_SHIFT = f"""{cte('rings')}, sh AS (SELECT geom_id, ring_id, seq, x + (ring_id * 13) % 40 AS x, y FROM rings),
+ n AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY ring_id) AS n FROM sh),
+ e AS (SELECT a.geom_id, a.ring_id, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM n a JOIN n b ON b.ring_id = a.ring_id AND b.i = a.i % a.n + 1),
+ b AS (SELECT geom_id, ring_id, min(ax) AS x0, min(ay) AS y0, max(ax) AS x1, max(ay) AS y1, sum(ax * by_ - ay * bx) / 2 AS sa FROM e GROUP BY ALL),
+ o AS (SELECT i.geom_id, i.ring_id, c.ring_id AS c, abs(i.sa) AS ia, abs(c.sa) AS ca, i.x0 >= c.x0 AND i.y0 >= c.y0 AND i.x1 <= c.x1 AND i.y1 <= c.y1 AS holds, c.sa > 0 AS ccw,
+  greatest(0, least(i.x1, c.x1) - greatest(i.x0, c.x0)) * greatest(0, least(i.y1, c.y1) - greatest(i.y0, c.y0)) AS common FROM b i JOIN b c ON c.geom_id = i.geom_id AND c.ring_id <> i.ring_id),
+ tree AS (SELECT b.geom_id, b.ring_id, count(c) AS depth, arg_min(c, (ca, c)) AS parent FROM b LEFT JOIN o ON o.ring_id = b.ring_id AND ca > ia + 1e-6 AND common >= ia * 0.999 GROUP BY ALL)"""
 ORACLE_SQL = {
+    "crossing_hierarchy": f"{_SHIFT} SELECT * FROM tree",
+    "overlap_areas": f"{_SHIFT} SELECT geom_id, ring_id, c AS other, round(common, 4) AS area FROM o WHERE ring_id < c AND common > 1",
+    "normal_winding": f"""{_SHIFT} SELECT n.geom_id, n.ring_id, CASE WHEN (depth % 2 = 1) = (sa > 0) THEN n - 1 - seq ELSE seq END AS seq, round(x, 6) AS x, round(y, 6) AS y, depth
+ FROM n JOIN tree USING (ring_id) JOIN b ON b.ring_id = n.ring_id""",
+    "external_rings": f"""{_HOLDS} SELECT r.geom_id, r.ring_id, CASE WHEN r.ring_id % 2 = 1 THEN 3 - seq ELSE seq END AS seq, round(x, 6) AS x, round(y, 6) AS y FROM rings r JOIN tree ON tree.ring_id = r.ring_id AND depth % 2 = 0""",
+    "enclosed_rings": f"{_SHIFT} SELECT geom_id, ring_id, c AS container FROM o WHERE holds AND ccw",
+    "parts_in_sheets": f"""{_SHIFT}, big AS (SELECT geom_id, arg_max(ring_id, (x, ring_id)) AS sheet FROM sh GROUP BY geom_id) SELECT o.geom_id, ring_id, c AS sheet FROM o JOIN big ON big.geom_id = o.geom_id AND sheet = c WHERE holds""",
+    "boundary_distances": f"""{_SHIFT}, md AS (SELECT a.geom_id, a.ring_id AS a, c.ring_id AS b, (a.ax + a.bx) / 2 AS px, (a.ay + a.by_) / 2 AS py, c.ax, c.ay, c.bx, c.by_ FROM e a JOIN e c ON c.geom_id = a.geom_id AND c.ring_id <> a.ring_id),
+ mt AS (SELECT *, least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) AS t FROM md)
+ SELECT geom_id, least(a, b) AS ring_id, greatest(a, b) AS other, round(sqrt(min({_D2})), 6) AS distance FROM mt GROUP BY ALL HAVING min({_D2}) <= 36""",
+    "ray_hits": f"""{_PT}, ry AS (SELECT point_id AS ray_id, point_id % 97 AS geom_id, x, y, ((point_id % 97) % 10) * 120.0::DOUBLE + (point_id % 7) * 3 - x + 0.37::DOUBLE AS dx, floor((point_id % 97) / 10.0) * 120.0::DOUBLE + (point_id % 5) * 3 - y + 0.11::DOUBLE AS dy FROM points),
+ h AS (SELECT ray_id, ring_id, x, y, dx, dy, ax, ay, bx - ax AS fx, by_ - ay AS fy, ((by_ - ay) * (ax - x) - (bx - ax) * (ay - y)) / nullif((by_ - ay) * dx - (bx - ax) * dy, 0) AS t FROM ry JOIN e ON e.geom_id = ry.geom_id),
+ g AS (SELECT * FROM h WHERE t > 1e-12 AND ((x + t * dx - ax) * fx + (y + t * dy - ay) * fy) / (fx ** 2 + fy ** 2) BETWEEN -1e-12 AND 1 + 1e-12),
+ k AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, ring_id) AS i FROM g) SELECT ray_id, ring_id, round(x + t * dx, 6) AS hx, round(y + t * dy, 6) AS hy FROM k WHERE i = 1""",
+    "confined_paths": f"{_E} SELECT ring_id AS path_id, ring_id, (x1 - x0) / 2 * (1 - (ring_id % 5 * 0.02::DOUBLE + 0.9::DOUBLE)) >= 2 AS confined FROM b",
+    "enclosed_circles": f"{_PT} SELECT point_id AS circle_id, ring_id FROM points JOIN b ON least(x - x0, x1 - x, y - y0, y1 - y) >= point_id % 9 * 1.5 + 0.5",
     "box_pairs": f"{_E} SELECT a.geom_id, a.ring_id, o.ring_id AS other FROM b a JOIN b o ON a.geom_id = o.geom_id AND a.ring_id < o.ring_id AND a.x0 <= o.x1 AND o.x0 <= a.x1 AND a.y0 <= o.y1 AND o.y0 <= a.y1",
     "points_in_rings": f"{_IN} SELECT point_id, ring_id FROM k WHERE o OR odd",
     "points_strictly_in_rings": f"{_IN} SELECT point_id, ring_id FROM k WHERE NOT o AND odd",
