@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.llm.common import discard, share_of, spread_join, written
+from pathloom.llm.common import discard, share_of, small_batches, spread_join, written
 
 N_WORDS = 5
 #: Similarity as a fraction: links have 100 * intersection >= 80 * union.
@@ -34,9 +34,9 @@ SAFE, EXACT = 28.0, math.inf
 #: Components in a bucket from which it is searched by its rare shingles instead of by pairs.
 CROWD = 64
 #: Documents that tell frequent signatures and shingles, and how many of these are dealt over many tasks or come last.
-PROBE, HOT_SIGNATURES, LATE_SHINGLES = 20_000, 2048, 16_384
-#: Partners, and shingles of all partners, that meet one copy of a hub's set.
-HUB_PARTNERS, HUB_SHINGLES = 64, 20_000
+PROBE, HOT_SIGNATURES, LATE_PROBE, LATE_SHINGLES = 20_000, 2048, 1000, 16_384
+#: Partners that meet one copy of a hub's set.
+HUB_PARTNERS = 64
 #: Ids up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -276,19 +276,17 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (``a, b``) of ids whose texts are similar enough by their sets.
 
-    Partners of ``a`` are dealt over as many salts as their shingles (``sizes(doc_id, n)``) ask for; the text of ``a``
-    is sent once to each salt, and that of ``b`` once to each pair. Repeated ids have the same text or are one node.
+    Partners of ``a`` are dealt over salts of about ``HUB_PARTNERS``; the text of ``a`` is sent once to each salt, and that
+    of ``b`` once to each pair. Within a salt sets are read as a stream, the hub's first, so memory holds two of them.
     """
     pairs = written(pairs)
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = _texts_of(docs, ids)
-    sized = pairs.join(sizes.toDF("b", "n"), "b")
-    room = written(sized.groupBy("a").agg(F.greatest(F.sum("n") / HUB_SHINGLES, F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("salts"), F.count(F.lit(1)).alias("partners")))
-    n_pairs = pairs.agg(F.count(F.lit(1))).first()[0]
-    dealt = spread_join(pairs, room.select("a", "salts", "partners"), ["a"], "partners", n_pairs)
+    room = written(pairs.groupBy("a").agg((F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("salts"), F.count(F.lit(1)).alias("partners")))
+    dealt = spread_join(pairs, room, ["a"], "partners", pairs.count())
     right = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts") + 1)).select("a", "salt", "b").join(texts.toDF("b", "text"), "b")
     left = room.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long"))).alias("salt"), F.lit(None).cast("long").alias("b")).join(texts.toDF("a", "text"), "a")
     both = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -327,17 +325,30 @@ def _by_rare_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
             for s in shingle_sets(_texts(batch)):
                 yield pd.DataFrame({"g": s.view(np.int64)})
 
-    some = texts.filter(share_of(F.xxhash64(F.lit(37), F.col("doc_id")), F.lit(min(1.0, PROBE / max(1, n_members)))))
+    some = texts.filter(share_of(F.xxhash64(F.lit(37), F.col("doc_id")), F.lit(min(1.0, LATE_PROBE / max(1, n_members)))))
     often = some.select("text").mapInPandas(shingles, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 4")
-    late = np.sort(np.asarray([r["g"] for r in often.orderBy(F.desc("c"), "g").limit(LATE_SHINGLES).collect()], dtype=np.int64)).view(np.uint64)
+    late = np.sort(np.asarray([r["g"] for r in often.orderBy(F.desc("c"), "g").limit(LATE_SHINGLES).collect()], dtype=np.int64).view(np.uint64))
     names = ["doc_id", "component", "n", *[f"s{i}" for i in range(SKETCH)]]
 
     def first_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            grams, rows, held = [], [], 0
             for doc_id, component, s in zip(batch["doc_id"].tolist(), batch["component"].tolist(), shingle_sets(_texts(batch))):
                 n = len(s)
-                own = s[np.argsort(np.isin(s, late), kind="stable")][: n - -(-n * PERCENT // 100) + 1].view(np.int64)
-                yield pd.DataFrame({"g": own, **{k: v for k, v in zip(names, (doc_id, component, n, *sketch(s).tolist()))}})
+                place = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
+                frequent = late[place] == s if len(late) else np.zeros(n, dtype=bool)
+                grams.append(np.concatenate([s[~frequent], s[frequent]])[: n - -(-n * PERCENT // 100) + 1])
+                rows.append((doc_id, component, n, *sketch(s).tolist()))
+                held += len(grams[-1])
+                if held > 50_000:
+                    yield frame(grams, rows)
+                    grams, rows, held = [], [], 0
+            if rows:
+                yield frame(grams, rows)
+
+    def frame(grams: list[np.ndarray], rows: list[tuple]) -> pd.DataFrame:
+        each = np.repeat(np.asarray(rows, dtype=np.int64), [len(g) for g in grams], axis=0)
+        return pd.DataFrame({"g": np.concatenate(grams).view(np.int64), **{n: each[:, i] for i, n in enumerate(names)}})
 
     first = written(texts.select("doc_id", "component", "text").mapInPandas(first_ones, "g long, " + ", ".join(f"{n} long" for n in names)))
     x, y = first.alias("x"), first.alias("y")
@@ -350,15 +361,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sign = None
     while True:
-        both = written(edges.union(edges.select("v", "u")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("weight")))
-        total = both.count()
-        large = spread_join(both.filter("v > u"), low, ["u"], "weight", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.union(edges.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large.filter("u <> v"))
-        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("weight")))
-        small = spread_join(large, low, ["u"], "weight", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
         done, edges = edges, written(small)
-        discard(both, large, done)
+        discard(large, done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break
@@ -387,13 +397,12 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     classes = written(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     member = written(spread_join(sets.select("doc_id", "n", "h1", "h2"), classes, ["n", "h1", "h2"], "copies", total, "left").select("doc_id", "n", "rep"))
     sketches = named.drop("h1", "h2")
-    sizes = sketches.select("doc_id", "n")
     shared = _shared(docs, total, safe)
     stars = shared.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     side = lambda name: sketches.withColumnRenamed("doc_id", name).alias(name)
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_near_enough("a", "b")).select("a", "b").distinct()
     copies = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = _confirmed(docs, stars, sizes)
+    first = _confirmed(docs, stars)
     known = written(components(first.union(copies)))
     # What is left: buckets that hold several components.
     labelled = shared.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -407,7 +416,7 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     apart = apart & (F.col("x.doc_id") != F.col("x.low")) & (F.col("y.doc_id") != F.col("x.low"))
     rest = x.join(y, apart & _near_enough("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    second = _confirmed(docs, rest.union(_by_rare_shingles(docs, crowd)).distinct(), sizes)
+    second = _confirmed(docs, rest.union(_by_rare_shingles(docs, crowd)).distinct())
     groups = written(components(first.union(copies).union(second)))
     discard(shared, labelled, mixed, small)
     # A class without links is a component of its own.
@@ -452,6 +461,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def _op4(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return joined(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -203,7 +203,7 @@ def test_jaccard_join_is_the_brute_one(spark, seed):
 def test_jaccard_join_of_crowded_buckets(spark, monkeypatch):
     """A passage that very many documents share, small buckets and small hubs: no pair is lost, and pairs stay few."""
     monkeypatch.setattr(jaccard, "CROWD", 3)
-    monkeypatch.setattr(jaccard, "HUB_SHINGLES", 200)
+    monkeypatch.setattr(jaccard, "HUB_PARTNERS", 2)
     rows = near_copies(3)
     passage = " ".join(f"p{i}" for i in range(60))
     rng = random.Random(8)
