@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.loops import discard, saved, shared_folder, spread_join
 
-__all__ = ["WORD", "discard", "held_out", "learning_sample", "set_aside", "shared_dir", "size_of", "spread_join", "written"]
+__all__ = ["WORD", "discard", "held_out", "learning_sample", "set_aside", "share_of", "shared_dir", "size_of", "small_batches", "spread_join", "written"]
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,17 @@ def written(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return saved(df.select(*columns) if columns else df)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For the registered queries and the pipeline: hand 1,000 rows at a time to Python workers, unless the session says otherwise.
+
+    Whole texts make large batches; Spark bounds them by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB) as
+    well, which holds for operators that are called on their own.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in dict(spark.conf.getAll):
+        spark.conf.set(key, "1000")
+
+
 def set_aside(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with free room for new columns ``names``: columns of that name become ``<name>_given``, in any case.
 

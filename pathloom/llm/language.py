@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out, set_aside, share_of
+from pathloom.llm.common import held_out, set_aside, share_of, small_batches
 
 #: Bits of the hashed tables: pairs, triples, quadruples, whole words.
 BITS = (13, 15, 15, 16)
 #: Bound of the learning sample: passages of each language, and code points of a passage.
-PASSAGES, PASSAGE = 400, 1000
+PASSAGES, PASSAGE = 300, 1000
 #: Code points handled at a time.
 BLOCK = 1 << 18
 
@@ -307,6 +307,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def _op2(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     named = identify(docs.select("doc_id", "text"), learn(docs))
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import set_aside
+from pathloom.llm.common import set_aside, small_batches
 
 
 
@@ -197,6 +197,7 @@ def read_back(rows: DataFrame, media: str = "media") -> DataFrame:
 
 
 def _op9(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_back(stored(docs).select("doc_id", "n_bytes", "media")).select("doc_id", "n_bytes", "__read.*")
 

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import small_batches
+
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces in a group on average, and sequence numbers kept for each group.
-GROUP_PIECES = 8192
+GROUP_PIECES = 4096
 ID_SPAN = 1 << 32
 #: Words whose ids a Python worker remembers.
 MEMO_WORDS = 400_000
@@ -197,6 +199,7 @@ def padding(placed: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def _op7(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return packed(docs, keep_ids=False)
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import set_aside, share_of
+from pathloom.llm.common import set_aside, share_of, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -508,6 +508,7 @@ def digest(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def _op10(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digest(docs, learn(docs))
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out, learning_sample, set_aside
+from pathloom.llm.common import held_out, learning_sample, set_aside, small_batches
 
 #: Bound of the learning sample: rows of each label.
 ROWS_PER_LABEL = 3000
@@ -191,6 +191,7 @@ def classify(docs: DataFrame, model: Ensemble, text: str = "text") -> DataFrame:
 
 
 def _op5(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import shared_dir, spread_join, written
+from pathloom.llm.common import shared_dir, small_batches, spread_join, written
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -337,6 +337,7 @@ def archived(pages: DataFrame) -> DataFrame:
 
 
 def _op8(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
