@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import jaccard, language, mixing, packing, pii
-from pathloom.llm.common import written
+from pathloom.llm.common import small_batches, written
 
 #: Documents without letters go, and those whose words are of no one language for the most part.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -24,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged alike and all stay; texts of any length are read whole; an empty table stays empty. Extra columns stay, also
     those named ``lang_pred`` or ``score``.
     """
+    small_batches(spark)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # columns of any name keep their place
     named = language.identify(rows, language.learn(docs))
     return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("__row.*")
@@ -35,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id, and documents without words, are near to none and stay. Of rows that repeat an id one stays.
     Texts of any length are compared whole; an empty table stays empty; extra columns stay.
     """
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -44,6 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row stays. Null and empty texts stay as they are, texts of any length are read whole, repeated rows are
     changed alike, an empty table stays empty, and extra columns stay.
     """
+    small_batches(spark)
     clean = pii.redact(docs, pii.learn(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
@@ -54,6 +57,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words go. Null is a source of its own. Rows that repeat an id count each, ties go by a hash of
     the text. Texts of any length count whole; an empty table stays empty; extra columns stay.
     """
+    small_batches(spark)
     return mixing.repeated(docs)
 
 
@@ -64,6 +68,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as many pieces as needed; ties of length go by id and place; extra columns are left behind; an empty table gives
     no rows.
     """
+    small_batches(spark)
     return packing.packed(docs.select("doc_id", "text"))
 
 
