@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathloom.operators import commands, iterative, logs, mesh, raster, rings, spatial, sweeps, transforms
+from pathloom.operators import commands, contours, iterative, logs, mesh, raster, rings, spatial, sweeps, transforms
 from pathloom.sources import documents
 from pathloom.streaming import commands as streams
 
-MODULES = (commands, rings, raster, spatial, mesh, logs, transforms, sweeps, documents, iterative, streams)
+MODULES = (commands, rings, raster, spatial, mesh, logs, transforms, sweeps, contours, documents, iterative, streams)
 
 
 def queries() -> dict:
