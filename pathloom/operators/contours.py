@@ -156,7 +156,8 @@ def with_leads(df: DataFrame, lead_in: float, lead_out: float) -> DataFrame:
     vector = F.col("section_type") == "VECTOR_OUTLINE"
     marker = is_("OPS_SECTION_START", "OPS_SECTION_END")
     inside = F.coalesce(ffill(F.when(is_("OPS_SECTION_START") & vector, True).when(is_("OPS_SECTION_END") & vector, False), by_job()), F.lit(False))
-    rows = df.withColumn("__in", inside & ~marker).withColumn("__line", islands((is_("MOVE_TO") & F.col("__in")) | (marker & vector), by_job()))
+    edge = F.coalesce(marker & vector, F.lit(False))
+    rows = df.withColumn("__in", inside & ~edge).withColumn("__line", islands((is_("MOVE_TO") & F.col("__in")) | edge, by_job()))
     rows = rows.withColumn("__power", F.coalesce(ffill(F.when(is_("SET_POWER"), F.col("val")), by_job()), F.lit(0.0)))
     w = ordered("job_id", "__line")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -326,6 +327,29 @@ _CUT = f"""{_SHIFT.split(', sh AS')[0]}, {cte('hatch')[5:]}, bx AS (SELECT geom_
  ko AS (SELECT job_id, seg, row_number() OVER (PARTITION BY job_id, seg ORDER BY t0) - 1 AS part, p + t0 * (q - p) AS x0, y, z + t0 AS z0, p + t1 * (q - p) AS x1, z + t1 AS z1 FROM ki WHERE ins = {{inside}}),
  kp AS (SELECT *, lag(x1) OVER w AS lx, lag(y) OVER w AS ly, lag(z1) OVER w AS lz FROM ko WINDOW w AS (PARTITION BY job_id ORDER BY seg, part))
  SELECT job_id, seg, part::INT AS part, round(x0, 6) AS x0, round(y, 6) AS y0, round(z0, 6) AS z0, round(x1, 6) AS x1, round(y, 6) AS y1, round(z1, 6) AS z1, coalesce((lx - x0) ** 2 + (ly - y) ** 2 + (lz - z0) ** 2 > 1e-12, true) AS jump FROM kp"""
+_TABS = f"""{_SHIFT.split(', sh AS')[0]}, {cte('points')[5:]}, n AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY seq) AS i FROM rings),
+ ed AS (SELECT a.geom_id, a.ring_id, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS len FROM n a JOIN n b ON b.ring_id = a.ring_id AND b.i = a.i % 4 + 1),
+ ln AS (SELECT *, sum(len) OVER (PARTITION BY ring_id ORDER BY seq) - len AS e0, sum(len) OVER (PARTITION BY ring_id ORDER BY seq) AS e1, sum(len) OVER (PARTITION BY ring_id) AS total FROM ed),
+ cp AS (SELECT point_id, point_id % 97 AS geom_id, ((point_id % 97) % 10) * 120.0::DOUBLE + 3 + point_id % 41 AS px, floor((point_id % 97) / 10.0) * 120.0::DOUBLE + point_id % 13 * 0.31::DOUBLE AS py, point_id % 3 + 1.25::DOUBLE AS width FROM points),
+ tt AS (SELECT point_id, width, px, py, ln.*, least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (len * len))) AS t FROM cp JOIN ln ON ln.geom_id = cp.geom_id),
+ dd AS (SELECT *, (px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by_ - ay)) ** 2 AS d2 FROM tt),
+ tb AS (SELECT point_id, geom_id, ring_id, width, total, e0 + t * len AS "at" FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, ring_id, seq) AS k FROM dd) WHERE k = 1 AND d2 <= 4 * width * width)"""
+_J = "OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+_L = "OVER (PARTITION BY job_id, line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_LEAD = f"""{cte('commands')}, s AS (SELECT *, cmd IN ('OPS_SECTION_START', 'OPS_SECTION_END') AS mk, cmd IN ('LINE_TO', 'ARC_TO') AS cut, cmd IN ('MOVE_TO', 'LINE_TO', 'ARC_TO') AS mv, coalesce(last_value(CASE WHEN cmd = 'SET_POWER' THEN val END IGNORE NULLS) {_J}, 0) AS pw,
+  coalesce(last_value(CASE WHEN section_type = 'VECTOR_OUTLINE' THEN cmd = 'OPS_SECTION_START' END IGNORE NULLS) {_J}, false) AS v FROM commands),
+ l AS (SELECT *, v AND NOT (mk AND coalesce(section_type = 'VECTOR_OUTLINE', false)) AS ins, sum(CASE WHEN cmd = 'MOVE_TO' AND v OR mk AND section_type = 'VECTOR_OUTLINE' THEN 1 ELSE 0 END) {_J} AS line FROM s),
+ q AS (SELECT *, last_value(CASE WHEN mv THEN x END IGNORE NULLS) {_L} AS px, last_value(CASE WHEN mv THEN y END IGNORE NULLS) {_L} AS py, lead(cmd) OVER (PARTITION BY job_id, line ORDER BY seq) AS nx, CASE WHEN cw THEN -1 ELSE 1 END AS sd FROM l),
+ t AS (SELECT *, sqrt((x - px) ** 2 + (y - py) ** 2) >= 1e-9 AS ok, CASE WHEN cmd = 'ARC_TO' THEN cj * sd ELSE x - px END AS fx, CASE WHEN cmd = 'ARC_TO' THEN -ci * sd ELSE y - py END AS fy,
+  CASE WHEN cmd = 'ARC_TO' THEN -(y - py - cj) * sd ELSE x - px END AS bx, CASE WHEN cmd = 'ARC_TO' THEN (x - px - ci) * sd ELSE y - py END AS by_ FROM q),
+ g AS (SELECT job_id, line, min(seq) AS h, max(seq) AS tail, min(seq) FILTER (cut) AS f, max(seq) FILTER (mv) AS e FROM t WHERE ins GROUP BY ALL),
+ k AS (SELECT g.*, a.ok AND sqrt(a.fx ** 2 + a.fy ** 2) > 0 AS hin, coalesce(b.ok, false) AND b.cut AND sqrt(b.bx ** 2 + b.by_ ** 2) > 0 AS hout, a.fx / sqrt(a.fx ** 2 + a.fy ** 2) AS ux, a.fy / sqrt(a.fx ** 2 + a.fy ** 2) AS uy, b.bx / sqrt(b.bx ** 2 + b.by_ ** 2) AS wx, b.by_ / sqrt(b.bx ** 2 + b.by_ ** 2) AS wy,
+  a.pw AS fp, b.x AS ex, b.y AS ey, b.z AS ez FROM g JOIN t a ON a.job_id = g.job_id AND a.seq = g.f JOIN t b ON b.job_id = g.job_id AND b.seq = g.e JOIN t c ON c.job_id = g.job_id AND c.seq = g.h WHERE c.cmd = 'MOVE_TO'),
+ o AS (SELECT t.job_id, t.seq, 0 AS part, cmd, CASE WHEN k.hin AND t.seq = k.h THEN x - ux * 2 ELSE x END AS x, CASE WHEN k.hin AND t.seq = k.h THEN y - uy * 2 ELSE y END AS y, z, val FROM t LEFT JOIN k ON k.job_id = t.job_id AND k.line = t.line AND t.ins
+  UNION ALL SELECT job_id, h, 1, 'SET_POWER', NULL, NULL, NULL, 0 FROM k WHERE hin UNION ALL SELECT k.job_id, h, 2, 'LINE_TO', x, y, z, NULL FROM k JOIN t ON t.job_id = k.job_id AND t.seq = k.h WHERE hin
+  UNION ALL SELECT k.job_id, h, 3, 'SET_POWER', NULL, NULL, NULL, fp FROM k JOIN t ON t.job_id = k.job_id AND t.seq = k.h WHERE (hin OR hout) AND coalesce(nx <> 'SET_POWER', true)
+  UNION ALL SELECT job_id, tail, 4, 'SET_POWER', NULL, NULL, NULL, 0 FROM k WHERE hout UNION ALL SELECT job_id, tail, 5, 'LINE_TO', ex + wx * 1.5, ey + wy * 1.5, ez, NULL FROM k WHERE hout)
+ SELECT job_id, seq, part, cmd, round(x, 6) AS x, round(y, 6) AS y, z, round(val, 6) AS val FROM o"""
 _MV = "cmd IN ('MOVE_TO','LINE_TO','ARC_TO')"
 ORACLE_SQL = {
     "remove_repeated_cuts": f"""{cte('commands')}, s AS (SELECT *, greatest(count(*) FILTER (cmd = 'MOVE_TO') OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1, 0) AS sub FROM commands),
@@ -343,6 +367,13 @@ ORACLE_SQL = {
     "same_shapes": f"{cte('rings')} SELECT geom_id, geom_id % 7 <> 0 OR count(*) FILTER (ring_id % 3 <> 2) = 0 AS same FROM (SELECT DISTINCT geom_id, ring_id FROM rings) GROUP BY geom_id",
     "clip_to_regions": _CUT.format(inside="true"),
     "subtract_regions": _CUT.format(inside="false"),
+    "lead_in_out": _LEAD,
+    "assign_tabs": _TABS + ' SELECT point_id, geom_id, ring_id, width, round("at", 6) AS "at" FROM tb',
+    "tab_gaps": f"""{_TABS}, gp AS (SELECT geom_id, ring_id, "at" - width / 2 + k * total AS g0, "at" + width / 2 + k * total AS g1 FROM tb, range(-1, 2) t(k)),
+ cv AS (SELECT l.geom_id, l.ring_id, l.seq, e0, e1, greatest(g0, e0) AS g0, least(g1, e1) AS g1 FROM ln l JOIN gp ON gp.ring_id = l.ring_id AND g1 > e0 AND g0 < e1
+  UNION ALL SELECT geom_id, ring_id, seq, e0, e1, e1, e1 FROM ln WHERE ring_id IN (SELECT ring_id FROM tb)),
+ fr AS (SELECT *, greatest(e0, coalesce(max(g1) OVER (PARTITION BY ring_id, seq ORDER BY g0, g1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), e0)) AS done FROM cv)
+ SELECT geom_id, ring_id, seq, round(done, 6) AS "from", round(g0, 6) AS "to" FROM fr WHERE g0 > done + 1e-9""",
     "cut_corners": f"""{cte('rings')}, a AS (SELECT ring_id, seq, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM rings WINDOW w AS (PARTITION BY ring_id ORDER BY seq)),
  b AS (SELECT ring_id, seq, 0 AS i, CASE WHEN px IS NULL OR qx IS NULL THEN x ELSE x * 0.75 + px * 0.25 END AS x, CASE WHEN px IS NULL OR qx IS NULL THEN y ELSE y * 0.75 + py * 0.25 END AS y FROM a
   UNION ALL SELECT ring_id, seq, 1, x * 0.75 + qx * 0.25, y * 0.75 + qy * 0.25 FROM a WHERE px IS NOT NULL AND qx IS NOT NULL),

@@ -77,7 +77,7 @@ def overscanned(df: DataFrame, distance: float) -> DataFrame:
     """
     raster = F.col("section_type") == "RASTER_FILL"
     inside = F.coalesce(F.last(F.when(is_("OPS_SECTION_START") & raster, True).when(is_("OPS_SECTION_END") & raster, False), ignorenulls=True).over(by_job().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    marker = is_("OPS_SECTION_START", "OPS_SECTION_END")
+    marker = F.coalesce(is_("OPS_SECTION_START", "OPS_SECTION_END") & raster, F.lit(False))
     rows = df.withColumn("__in", inside & ~marker).withColumn("__line", islands((is_("MOVE_TO") & F.col("__in")) | marker, by_job()))
     whole = ordered("job_id", "__line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     move = F.when(is_moving(), F.struct("x", "y"))
