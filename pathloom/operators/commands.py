@@ -52,19 +52,22 @@ def without_state(df: DataFrame) -> DataFrame:
     return df.filter(is_moving() | is_marker())
 
 
-def with_state(df: DataFrame) -> DataFrame:
-    """Modal state in effect at each command. A pitch of 0 or less clears the pitch, so it is carried wrapped."""
+def with_state(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
+    """Modal state in effect at each command, all its fields. A pitch of 0 or less clears the pitch, so it is carried wrapped.
+
+    The plunge feed is a field of the state that no command sets; it is left out."""
+    w = w or by_job()
     def carried(name, value=F.col("val")):  # noqa: E306
-        return ffill(F.when(is_(name), value), by_job())
-    pitch = ffill(F.when(is_("SET_SYNC_PITCH"), F.struct(F.when(F.col("val") > 0, F.col("val")).alias("v"))), by_job())["v"]
-    return df.select(
-        "*", F.coalesce(carried("SET_POWER"), F.lit(0.0)).alias("power"), carried("SET_FEED_RATE").alias("feed_rate"),
-        carried("SET_RAPID_RATE").alias("rapid_rate"), carried("SET_SPINDLE_RPM").alias("spindle_rpm"), pitch.alias("sync_pitch"),
-        carried("SET_COOLANT", F.col("sval")).alias("coolant"), carried("DWELL").alias("dwell_ms"),
-    )
+        return ffill(F.when(is_(name), value), w)
+    pitch = ffill(F.when(is_("SET_SYNC_PITCH"), F.struct(F.when(F.col("val") > 0, F.col("val")).alias("v"))), w)["v"]
+    state = {"power": F.coalesce(carried("SET_POWER"), F.lit(0.0)), **{n: carried(c) for n, c in NUMBERS.items()}, "sync_pitch": pitch, **{n: carried(c, F.col("sval")) for n, c in WORDS.items()}}
+    return df.select("*", *[state[n].alias(n) for n in STATE])
 
 
-STATE = ("power", "feed_rate", "rapid_rate", "spindle_rpm", "sync_pitch", "coolant", "dwell_ms")
+#: Fields of the state that a command's number or word sets.
+NUMBERS = {"feed_rate": "SET_FEED_RATE", "rapid_rate": "SET_RAPID_RATE", "spindle_rpm": "SET_SPINDLE_RPM", "dwell_ms": "DWELL", "frequency": "SET_FREQUENCY", "pulse_width": "SET_PULSE_WIDTH"}
+WORDS = {"coolant": "SET_COOLANT", "active_head_uid": "SET_HEAD", "spindle_direction": "SET_SPINDLE_DIRECTION", "air_assist": "SET_AIR_ASSIST", "head_coolant": "SET_HEAD_COOLANT", "power_mode": "SET_POWER_MODE"}
+STATE = ("power", *NUMBERS, "sync_pitch", *WORDS)
 
 
 def preloaded(df: DataFrame) -> DataFrame:
@@ -73,12 +76,10 @@ def preloaded(df: DataFrame) -> DataFrame:
 
 
 def state_at(df: DataFrame, probes: DataFrame) -> DataFrame:
-    """State in effect at chosen positions ``probes(job_id, seq)``: an as-of join by union and forward fill."""
+    """The whole state in effect at chosen positions ``probes(job_id, seq)``, commands at them included: a union and a forward fill."""
     marked = df.withColumn("probe", F.lit(0)).unionByName(probes.withColumn("probe", F.lit(1)), allowMissingColumns=True)
     w = ordered("job_id").orderBy("seq", "probe")
-    power = F.coalesce(F.last(F.when(is_("SET_POWER"), F.col("val")), ignorenulls=True).over(so_far(w)), F.lit(0.0))
-    feed = F.last(F.when(is_("SET_FEED_RATE"), F.col("val")), ignorenulls=True).over(so_far(w))
-    return marked.select("job_id", "seq", "probe", power.alias("power"), feed.alias("feed_rate")).filter("probe = 1").drop("probe")
+    return with_state(marked, w).filter("probe = 1").select("job_id", "seq", *STATE)
 
 
 def with_previous(df: DataFrame) -> DataFrame:
@@ -137,17 +138,20 @@ def index_at_time(df: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def translate_layers(df: DataFrame, offsets: DataFrame, default: tuple[float, float, float]) -> DataFrame:
-    """Moves points by the offset of the open layer, or by the default one: ``offsets(layer, ox, oy, oz)``."""
+    """Moves points by the offset of the open layer, or by the default one: ``offsets(layer, ox, oy, oz)``.
+
+    All rows and columns stay, and ``layer`` comes besides; rows without a point are not changed."""
     opened = ffill(F.when(is_("LAYER_START"), F.struct(F.col("sval").alias("v"))).when(is_("LAYER_END"), F.struct(F.lit(None).cast("string").alias("v"))), by_job())["v"]
-    rows = df.withColumn("layer", opened).filter(is_moving()).join(offsets, "layer", "left")
-    return rows.select("job_id", "seq", "layer", *[(F.col(c) - F.coalesce(f"o{c}", F.lit(d))).alias(c) for c, d in zip("xyz", default)])
+    rows = df.withColumn("layer", opened).join(offsets, "layer", "left")
+    moved = {c: F.when(is_moving(), F.col(c) - F.coalesce(f"o{c}", F.lit(d))).otherwise(F.col(c)) for c, d in zip("xyz", default)}
+    return rows.withColumns(moved).select(*df.columns, "layer")
 
 
 def with_layers(df: DataFrame) -> DataFrame:
-    """The open layer and the open section's type at each command, null outside."""
+    """The open layer, workpiece and section's type at each command, null outside."""
     def opened(start, end, value):  # noqa: E306
         return ffill(F.when(is_(start), F.struct(value.alias("v"))).when(is_(end), F.struct(F.lit(None).cast("string").alias("v"))), by_job())["v"]
-    return df.select("*", opened("LAYER_START", "LAYER_END", F.col("sval")).alias("layer"), opened("OPS_SECTION_START", "OPS_SECTION_END", F.col("section_type")).alias("open_section"))
+    return df.select("*", opened("LAYER_START", "LAYER_END", F.col("sval")).alias("layer"), opened("WORKPIECE_START", "WORKPIECE_END", F.col("sval")).alias("workpiece"), opened("OPS_SECTION_START", "OPS_SECTION_END", F.col("section_type")).alias("open_section"))
 
 
 def with_subpaths(df: DataFrame) -> DataFrame:
@@ -185,11 +189,13 @@ def nesting_errors(df: DataFrame) -> DataFrame:
 
 
 def with_coolant_groups(df: DataFrame) -> DataFrame:
-    """Runs of moving commands of equal coolant; markers and rows without state stand alone."""
-    rows = with_state(df).withColumn("__s", F.when(is_moving(), F.struct("coolant")))
+    """Runs of moving commands of equal coolant, air assist and head coolant; markers and rows without state stand alone."""
+    rows = with_state(df).withColumn("__s", F.when(is_moving(), F.struct("coolant", "air_assist", "head_coolant")))
     last_marker = F.coalesce(F.lag(is_marker()).over(by_job()), F.lit(True))
     before_row = F.lag("__s").over(by_job())
-    same = F.col("__s").isNotNull() & before_row.isNotNull() & F.col("__s.coolant").eqNullSafe(before_row["coolant"])
+    same = F.col("__s").isNotNull() & before_row.isNotNull()
+    for c in ("coolant", "air_assist", "head_coolant"):
+        same = same & F.col("__s")[c].eqNullSafe(before_row[c])
     return rows.withColumn("regime", islands(is_marker() | last_marker | ~same, by_job()) - 1).drop("__s")
 
 
@@ -248,7 +254,7 @@ def long_jobs(df: DataFrame, block_rows: int = 1000) -> DataFrame:
 
 J = "OVER (PARTITION BY job_id ORDER BY seq"
 MOVE_SQL = "cmd IN ('MOVE_TO','LINE_TO','ARC_TO')"
-MARK_SQL = "cmd IN ('LAYER_START','LAYER_END','OPS_SECTION_START','OPS_SECTION_END')"
+MARK_SQL = "cmd IN ('LAYER_START','LAYER_END','WORKPIECE_START','WORKPIECE_END','OPS_SECTION_START','OPS_SECTION_END')"
 
 
 def _ff(x: str) -> str:
@@ -263,9 +269,10 @@ def _set(name: str, value: str = "val") -> str:
     return _ff(f"CASE WHEN cmd = '{name}' THEN {value} END")
 
 
-_STATE_SQL = f"""coalesce({_set('SET_POWER')}, 0.0) AS power, {_set('SET_FEED_RATE')} AS feed_rate, {_set('SET_RAPID_RATE')} AS rapid_rate,
- {_set('SET_SPINDLE_RPM')} AS spindle_rpm, {_ff("CASE WHEN cmd = 'SET_SYNC_PITCH' THEN {'v': CASE WHEN val > 0 THEN val END} END")}.v AS sync_pitch,
- {_set('SET_COOLANT', 'sval')} AS coolant, {_set('DWELL')} AS dwell_ms"""
+_STATE_SQL = ", ".join([
+    f"coalesce({_set('SET_POWER')}, 0.0) AS power", *[f"{_set(c)} AS {n}" for n, c in NUMBERS.items()],
+    _ff("CASE WHEN cmd = 'SET_SYNC_PITCH' THEN {'v': CASE WHEN val > 0 THEN val END} END") + ".v AS sync_pitch", *[f"{_set(c, 'sval')} AS {n}" for n, c in WORDS.items()],
+])
 _TIME_SQL = f"""{cte('commands')},
 a AS (SELECT *, {_lag('x')} AS px, {_lag('y')} AS py, coalesce({_set('SET_FEED_RATE')}, {FEED}) AS feed, coalesce({_set('SET_RAPID_RATE')}, {RAPID}) AS rapid,
  coalesce({_set('SET_SPINDLE_RPM')}, 0) AS rpm, coalesce({_set('SET_SYNC_PITCH')}, 0) AS pitch FROM commands),
@@ -276,6 +283,7 @@ c AS (SELECT *, CASE WHEN cmd = 'ARC_TO' THEN CASE WHEN r < 1e-9 THEN 0 ELSE r *
 timed AS (SELECT *, CASE WHEN {MOVE_SQL} THEN CASE WHEN len < 1e-9 THEN 0 WHEN len < v * v / {ACCELERATION} THEN 2 * sqrt(len / {ACCELERATION})
  ELSE 2 * v / {ACCELERATION} + (len - v * v / {ACCELERATION}) / v END WHEN cmd = 'DWELL' THEN val / 1000.0 ELSE 0 END AS duration,
  CASE WHEN {MOVE_SQL} THEN coalesce(sqrt((x - px) ** 2 + (y - py) ** 2), 0) ELSE 0 END AS length FROM c)"""
+_PIECE_SQL = _ff("CASE WHEN cmd = 'WORKPIECE_START' THEN {'v': sval} WHEN cmd = 'WORKPIECE_END' THEN {'v': NULL::VARCHAR} END") + ".v"
 _LAYER_SQL = _ff("CASE WHEN cmd = 'LAYER_START' THEN {'v': sval} WHEN cmd = 'LAYER_END' THEN {'v': NULL::VARCHAR} END") + ".v"
 _SECTION_SQL = _ff("CASE WHEN cmd = 'OPS_SECTION_START' THEN {'v': section_type} WHEN cmd = 'OPS_SECTION_END' THEN {'v': NULL::VARCHAR} END") + ".v"
 _BETWEEN = "CASE WHEN cw THEN CASE WHEN s < e THEN {t} <= s OR {t} >= e ELSE e <= {t} AND {t} <= s END ELSE CASE WHEN s > e THEN {t} >= s OR {t} <= e ELSE s <= {t} AND {t} <= e END END"
@@ -322,8 +330,8 @@ QUERIES = {
     "command_times": _q(lambda d: with_durations(d).select("job_id", "seq", "duration")),
     "cumulative_time": _q(lambda d: with_clock(with_durations(d)).select("job_id", "seq", "clock")),
     "index_at_time": _q(lambda d: index_at_time(d, _times(d))),
-    "translate_layers": _q(lambda d: translate_layers(d, _offsets(d), (0.5, 0.5, 0.0))),
-    "layer_labels": _q(lambda d: with_layers(d).select("job_id", "seq", "layer", "open_section")),
+    "translate_layers": _q(lambda d: translate_layers(d, _offsets(d), (0.5, 0.5, 0.0)).select("job_id", "seq", "layer", "cmd", "x", "y", "z", "val")),
+    "layer_labels": _q(lambda d: with_layers(d).select("job_id", "seq", "layer", "workpiece", "open_section")),
     "subpaths": _q(lambda d: with_subpaths(d).select("job_id", "seq", "subpath")),
     "segments": _q(lambda d: with_segments(d).select("job_id", "seq", "segment")),
     "sections": _q(lambda d: with_sections(d).select("job_id", "seq", "section", "open_section")),
@@ -343,7 +351,7 @@ ORACLE_SQL = {
  cmd = 'MOVE_TO' AS is_travel, cmd IN ('LINE_TO','ARC_TO') AS is_cutting, cmd = 'SCAN_LINE' AS is_scanline FROM commands""",
     "without_state": f"{cte('commands')} SELECT job_id, seq, cmd FROM commands WHERE {MOVE_SQL} OR {MARK_SQL}",
     "preload_state": f"{cte('commands')}, s AS (SELECT job_id, seq, cmd, {_STATE_SQL} FROM commands) SELECT * FROM s WHERE {MOVE_SQL}",
-    "state_at": f"""{cte('commands')}, s AS (SELECT job_id, seq, {_STATE_SQL} FROM commands) SELECT job_id, seq, power, feed_rate FROM s WHERE seq % 7 = 3""",
+    "state_at": f"""{cte('commands')}, s AS (SELECT job_id, seq, {_STATE_SQL} FROM commands) SELECT * FROM s WHERE seq % 7 = 3""",
     "move_length": f"{_TIME_SQL} SELECT job_id, seq, round(length, 6) AS length FROM timed",
     "command_times": f"{_TIME_SQL} SELECT job_id, seq, round(duration, 6) AS duration FROM timed",
     "cumulative_time": f"{_TIME_SQL} SELECT job_id, seq, round(sum(duration) {J} ROWS UNBOUNDED PRECEDING), 6) AS clock FROM timed",
@@ -352,8 +360,8 @@ ORACLE_SQL = {
  SELECT p.job_id, p.t, coalesce(max(seq), 0) AS at FROM p LEFT JOIN k ON k.job_id = p.job_id AND k.clock <= p.t GROUP BY p.job_id, p.t""",
     "translate_layers": f"""{cte('commands')}, l AS (SELECT *, {_LAYER_SQL} AS layer FROM commands),
  o AS (SELECT * FROM (VALUES ('layer-0', 1.0, 2.0, 3.0), ('layer-1', 4.0, 5.0, 6.0)) AS t(layer, ox, oy, oz))
- SELECT job_id, seq, l.layer, (x - coalesce(ox, 0.5))::DOUBLE AS x, (y - coalesce(oy, 0.5))::DOUBLE AS y, (z - coalesce(oz, 0.0))::DOUBLE AS z FROM l LEFT JOIN o ON o.layer = l.layer WHERE {MOVE_SQL}""",
-    "layer_labels": f"{cte('commands')} SELECT job_id, seq, {_LAYER_SQL} AS layer, {_SECTION_SQL} AS open_section FROM commands",
+ SELECT job_id, seq, l.layer, l.cmd, (x - coalesce(ox, 0.5))::DOUBLE AS x, (y - coalesce(oy, 0.5))::DOUBLE AS y, (z - coalesce(oz, 0.0))::DOUBLE AS z, val FROM l LEFT JOIN o ON o.layer = l.layer""",
+    "layer_labels": f"{cte('commands')} SELECT job_id, seq, {_LAYER_SQL} AS layer, {_PIECE_SQL} AS workpiece, {_SECTION_SQL} AS open_section FROM commands",
     "subpaths": f"{cte('commands')} SELECT job_id, seq, greatest(count(*) FILTER (cmd = 'MOVE_TO') {J} ROWS UNBOUNDED PRECEDING) - 1, 0) AS subpath FROM commands",
     "segments": f"""{cte('commands')}, ordered AS (SELECT *, {MOVE_SQL} AS m FROM commands),
  r AS (SELECT *, sum(CASE WHEN m IS DISTINCT FROM pm THEN 1 ELSE 0 END) {J} ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(m) {J}) AS pm FROM ordered)),
@@ -365,7 +373,7 @@ ORACLE_SQL = {
  + count(*) FILTER (cmd = 'OPS_SECTION_END') {J} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section, {_SECTION_SQL} AS open_section FROM commands""",
     "nesting_errors": f"""{cte('commands')}, d AS (SELECT job_id, seq, cmd, (sum(CASE cmd WHEN 'LAYER_START' THEN 1 WHEN 'LAYER_END' THEN -1 ELSE 0 END) {J} ROWS UNBOUNDED PRECEDING))::BIGINT AS depth FROM commands)
  SELECT * FROM d WHERE cmd IN ('LAYER_START', 'LAYER_END') AND depth NOT IN (0, 1)""",
-    "coolant_groups": f"""{cte('commands')}, s AS (SELECT *, {MARK_SQL} AS k, {MOVE_SQL} AS m, {_set('SET_COOLANT', 'sval')} AS c FROM commands),
+    "coolant_groups": f"""{cte('commands')}, s AS (SELECT *, {MARK_SQL} AS k, {MOVE_SQL} AS m, {{'a': {_set('SET_COOLANT', 'sval')}, 'b': {_set('SET_AIR_ASSIST', 'sval')}, 'c': {_set('SET_HEAD_COOLANT', 'sval')}}} AS c FROM commands),
  p AS (SELECT *, lag(k) {J}) AS pk, lag(m) {J}) AS pm, lag(c) {J}) AS pc FROM s)
  SELECT job_id, seq, (sum(CASE WHEN k OR coalesce(pk, true) OR NOT (m AND pm AND c IS NOT DISTINCT FROM pc) THEN 1 ELSE 0 END) {J} ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS regime FROM p""",
     "bounding_boxes": f"{_BOX_SQL} SELECT {_BOUNDS_SQL} FROM boxes GROUP BY job_id",

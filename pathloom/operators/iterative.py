@@ -38,12 +38,12 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
     """
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: E306
         for batch in batches:
-            for k, g in batch.groupby(key):
-                yield pd.DataFrame(hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(**{key: k})[[key, "x", "y"]]
+            for k, g in batch.groupby(key, dropna=False):
+                yield pd.DataFrame(hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(**{key: k})[[key, "x", "y"]].astype({key: "Int64"})
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         h = hull(group[["x", "y"]].to_numpy())
-        return pd.DataFrame({key: group[key].iloc[0], "i": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
+        return pd.DataFrame({key: pd.Series([group[key].iloc[0]] * len(h), dtype="Int64"), "i": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
     parts = points.select(F.col(key).cast("long").alias(key), "x", "y").mapInPandas(partial, f"{key} long, x double, y double")
     return parts.groupBy(key).applyInPandas(whole, f"{key} long, i long, x double, y double")

@@ -152,7 +152,7 @@ def components(ink: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("image_id", "y").orderBy("x")
     line = ink.withColumn("g", F.col("x") - F.row_number().over(w)).groupBy("image_id", "y", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    line = line.select("image_id", "y", "lo", "hi", (F.col("y") * 65536 + F.col("lo")).alias("run"))
+    line = line.select("image_id", "y", "lo", "hi", (F.shiftleft(F.col("y").cast("long"), 32) + F.col("lo")).alias("run"))
     up = line.select("image_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"), F.col("run").alias("urun"))
     touch = line.join(up, ["image_id", "y"]).filter((F.col("lo") <= F.col("uhi") + 1) & (F.col("ulo") <= F.col("hi") + 1))
     labels = component_labels(line.select("image_id", F.col("run").alias("node")), touch.select("image_id", F.col("run").alias("a"), F.col("urun").alias("b")))
@@ -257,7 +257,7 @@ ORACLE_SQL = {
     "depth_passes": f"""{_P}, l AS (SELECT *, ceil((1 - gray / 255.0) * 4)::INT AS level FROM pixels), d AS (SELECT *, unnest(range(1, level + 1))::INT AS pass FROM l WHERE level > 0)
  SELECT image_id, pass, y, count(*) AS n, min(x) AS lo, max(x) AS hi FROM d GROUP BY ALL""",
     "image_components": f"""{_P.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pixels WHERE gray <= 110),
- l AS (SELECT image_id, y, min(x) AS lo, max(x) AS hi, y * 65536 + min(x) AS run FROM k GROUP BY image_id, y, g),
+ l AS (SELECT image_id, y, min(x) AS lo, max(x) AS hi, y * 4294967296 + min(x) AS run FROM k GROUP BY image_id, y, g),
  t AS (SELECT a.image_id, a.run AS u, b.run AS v FROM l a JOIN l b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1),
  r AS (SELECT image_id, run AS node, run AS label FROM l UNION SELECT t.image_id, t.v, r.label FROM r JOIN t ON t.image_id = r.image_id AND t.u = r.node AND r.label < t.v),
  m AS (SELECT image_id, node, min(label) AS label FROM r GROUP BY ALL)

@@ -73,21 +73,24 @@ def multipass(df: DataFrame, passes: int, step: float) -> DataFrame:
 
 
 def flipped(df: DataFrame) -> DataFrame:
-    """The moving commands backwards: a travel to the last end, then each command to the end before it."""
-    moves = df.filter(is_moving())
-    rows = ops.with_previous(moves).withColumn("seq", (F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq"))) - 0).cast("long"))
-    body = rows.filter("px is not null").withColumns({
-        "x": F.col("px"), "y": F.col("py"), "z": F.col("pz"), "ci": F.col("px") + F.col("ci") - F.col("x"), "cj": F.col("py") + F.col("cj") - F.col("y"), "cw": ~F.col("cw"),
-    })
-    head = rows.filter("seq = 1").withColumns({"seq": F.lit(0).cast("long"), "cmd": F.lit("MOVE_TO"), **{k: F.lit(None).cast(t) for k, t in (("ci", "double"), ("cj", "double"), ("cw", "boolean"))}})
-    keep = ["job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw"]
-    return head.select(*keep).unionByName(body.select(*keep))
+    """The job backwards: a travel to the last end, then each moving command to the end before it; other rows keep their
+    place between the moves, in reverse order. Arcs turn round, and so do samples, where the table has them."""
+    keep = ["job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val", "sval", "section_type", *(["samples"] if "samples" in df.columns else [])]
+    rows = ops.with_previous(df).withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq"))).cast("long"))
+    last = F.col("seq") == F.min(F.when(is_moving(), F.col("seq"))).over(Window.partitionBy("job_id"))
+    moved = rows.filter(is_moving()).filter("px is not null").select("job_id", "seq", "cmd", *[(F.col("px") + F.col("ci") - F.col("x")).alias("ci2"), (F.col("py") + F.col("cj") - F.col("y")).alias("cj2")], "px", "py", "pz", "cw", *keep[9:])
+    moved = moved.select("job_id", "seq", "cmd", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.col("ci2").alias("ci"), F.col("cj2").alias("cj"), (~F.col("cw")).alias("cw"), *[F.reverse(c).alias(c) if c == "samples" else F.col(c) for c in keep[9:]])
+    null = {k: F.lit(None).cast(t) for k, t in (("ci", "double"), ("cj", "double"), ("cw", "boolean"), ("val", "double"), ("sval", "string"), ("section_type", "string"), *([("samples", "array<int>")] if "samples" in keep else []))}
+    head = rows.withColumn("__last", last).filter("__last").withColumns({"seq": F.lit(0).cast("long"), "cmd": F.lit("MOVE_TO"), **null})
+    rest = rows.filter(~is_moving())
+    return head.select(*keep).unionByName(moved.select(*keep)).unionByName(rest.select(*keep))
 
 
 def linked(df: DataFrame, safe_z: float) -> DataFrame:
-    """Subpaths as passes that are linked by a lift, a travel and a plunge, where these move at all."""
-    rows = ops.with_subpaths(df).filter(is_moving())
-    passes = rows.groupBy("job_id", "subpath").agg(F.min_by(F.struct("x", "y", "z"), "seq").alias("entry"), F.max_by(F.struct("x", "y", "z"), "seq").alias("exit"))
+    """Subpaths as passes that are linked by a lift, a travel and a plunge, where these move at all; all rows and columns stay."""
+    rows = ops.with_subpaths(df)
+    moves = rows.filter(is_moving())
+    passes = moves.groupBy("job_id", "subpath").agg(F.min_by(F.struct("x", "y", "z"), "seq").alias("entry"), F.max_by(F.struct("x", "y", "z"), "seq").alias("exit"), F.min("seq").alias("at"))
     w = Window.partitionBy("job_id").orderBy("subpath")
     gaps = passes.withColumn("from", F.lag("exit").over(w)).filter("from is not null")
     row = lambda i, x, y, z: F.struct(F.lit(i).alias("step"), x.alias("x"), y.alias("y"), z.alias("z"))
@@ -96,9 +99,9 @@ def linked(df: DataFrame, safe_z: float) -> DataFrame:
         row(0, F.col("from.x"), F.col("from.y"), F.lit(safe_z)), F.when(away, row(1, F.col("entry.x"), F.col("entry.y"), F.lit(safe_z))),
         F.when(F.abs(F.col("entry.z") - safe_z) > 1e-12, row(2, F.col("entry.x"), F.col("entry.y"), F.col("entry.z"))),
     ))
-    added = gaps.select("job_id", "subpath", F.inline(links), F.lit("MOVE_TO").alias("cmd"), F.lit(-1).cast("long").alias("seq"))
-    both = rows.select("job_id", "subpath", F.lit(9).alias("step"), "x", "y", "z", "cmd", "seq").unionByName(added)
-    return renumbered(both, "subpath", "step", "seq").select("job_id", "seq", "cmd", "x", "y", "z")
+    added = gaps.select("job_id", F.inline(links), F.lit("MOVE_TO").alias("cmd"), F.col("at").alias("seq"))
+    both = df.withColumn("step", F.lit(9)).unionByName(added, allowMissingColumns=True)
+    return renumbered(both, "seq", "step").select(*df.columns)
 
 
 def concatenated(*parts: DataFrame) -> DataFrame:
@@ -314,15 +317,18 @@ ORACLE_SQL = {
     "affine_stretch": f"{_LIN} SELECT job_id, seq, cmd, round(2 * x, 6) AS x, round(y, 6) AS y FROM l",
     "cap_power": f"{_C} SELECT job_id, seq, round(CASE WHEN cmd = 'SET_POWER' THEN least(val, 0.6) ELSE val END, 6) AS val FROM commands",
     "multipass": f"""{_C}, c AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM commands) SELECT job_id, (seq + p.p * n)::BIGINT AS seq, cmd, round(z - p.p * 0.5, 6) AS z FROM c, range(3) AS p(p)""",
-    "flip_paths": f"""{_C}, m AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS k, lag(x) {J}) AS px, lag(y) {J}) AS py, lag(z) {J}) AS pz FROM commands WHERE {MOVE})
- SELECT job_id, 0::BIGINT AS seq, 'MOVE_TO' AS cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, NULL::DOUBLE AS ci, NULL::DOUBLE AS cj, NULL::BOOLEAN AS cw FROM m WHERE k = 1
- UNION ALL SELECT job_id, k, cmd, round(px, 6), round(py, 6), round(pz, 6), round(px + ci - x, 6), round(py + cj - y, 6), NOT cw FROM m WHERE px IS NOT NULL""",
+    "flip_paths": f"""{_C}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS k FROM commands),
+ m AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS i, lag(x) {J}) AS px, lag(y) {J}) AS py, lag(z) {J}) AS pz FROM r WHERE {MOVE})
+ SELECT job_id, 0::BIGINT AS seq, 'MOVE_TO' AS cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, NULL::DOUBLE AS ci, NULL::DOUBLE AS cj, NULL::BOOLEAN AS cw, NULL::DOUBLE AS val, NULL::VARCHAR AS sval, NULL::VARCHAR AS section_type FROM m WHERE i = 1
+ UNION ALL SELECT job_id, k, cmd, round(px, 6), round(py, 6), round(pz, 6), round(px + ci - x, 6), round(py + cj - y, 6), NOT cw, round(val, 6), sval, section_type FROM m WHERE px IS NOT NULL
+ UNION ALL SELECT job_id, k, cmd, x, y, z, ci, cj, cw, round(val, 6), sval, section_type FROM r WHERE NOT ({MOVE})""",
     "link_passes": f"""{_C}, s AS (SELECT *, greatest(count(*) FILTER (cmd = 'MOVE_TO') {J} ROWS UNBOUNDED PRECEDING) - 1, 0) AS sp FROM commands), m AS (SELECT * FROM s WHERE {MOVE}),
- e AS (SELECT job_id, sp, arg_min(x, seq) AS ex, arg_min(y, seq) AS ey, arg_min(z, seq) AS ez, arg_max(x, seq) AS ox, arg_max(y, seq) AS oy FROM m GROUP BY ALL),
+ e AS (SELECT job_id, sp, min(seq) AS at0, arg_min(x, seq) AS ex, arg_min(y, seq) AS ey, arg_min(z, seq) AS ez, arg_max(x, seq) AS ox, arg_max(y, seq) AS oy FROM m GROUP BY ALL),
  g AS (SELECT *, lag(ox) OVER w AS fx, lag(oy) OVER w AS fy FROM e WINDOW w AS (PARTITION BY job_id ORDER BY sp)),
- u AS (SELECT job_id, sp, 9 AS step, seq, cmd, x, y, z FROM m UNION ALL SELECT job_id, sp, 0, -1, 'MOVE_TO', fx, fy, 10 FROM g WHERE fx IS NOT NULL
-  UNION ALL SELECT job_id, sp, 1, -1, 'MOVE_TO', ex, ey, 10 FROM g WHERE sqrt((ex - fx) ** 2 + (ey - fy) ** 2) > 1e-12 UNION ALL SELECT job_id, sp, 2, -1, 'MOVE_TO', ex, ey, ez FROM g WHERE fx IS NOT NULL AND abs(ez - 10) > 1e-12)
- SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY sp, step, seq) - 1)::BIGINT AS seq, cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM u""",
+ u AS (SELECT job_id, 9 AS step, seq, cmd, x, y, z, ci, cj, cw, val, sval, section_type FROM commands UNION ALL SELECT job_id, 0, at0, 'MOVE_TO', fx, fy, 10, NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE fx IS NOT NULL
+  UNION ALL SELECT job_id, 1, at0, 'MOVE_TO', ex, ey, 10, NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE sqrt((ex - fx) ** 2 + (ey - fy) ** 2) > 1e-12
+  UNION ALL SELECT job_id, 2, at0, 'MOVE_TO', ex, ey, ez, NULL, NULL, NULL, NULL, NULL, NULL FROM g WHERE fx IS NOT NULL AND abs(ez - 10) > 1e-12)
+ SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY seq, step) - 1)::BIGINT AS seq, cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(ci, 6) AS ci, round(cj, 6) AS cj, cw, round(val, 6) AS val, sval, section_type FROM u""",
     "concatenate": f"""{_C}, u AS (SELECT 0 AS p, job_id, seq, cmd FROM commands UNION ALL SELECT 1, job_id, seq, cmd FROM commands WHERE seq % 2 = 0)
  SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY p, seq) - 1)::BIGINT AS seq, cmd FROM u""",
     "height_correction": f"""{_C}, h AS (SELECT i.i, j.j, (i.i * 7 + j.j * 3) % 5 / 10.0 AS h FROM range(11) i(i), range(11) j(j)),

@@ -5,6 +5,8 @@ Each text is valid in Spark SQL and in DuckDB; only ``pixels`` unpacks its array
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Derived table -> SQL over the given tables, and which of those it reads.
@@ -15,6 +17,9 @@ WITH e AS (SELECT user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_i
 c AS (SELECT job_id, seq, value, k, CASE
   WHEN event_type = 'signup' THEN 'MOVE_TO' WHEN event_type = 'click' THEN 'LINE_TO'
   WHEN event_type = 'view' THEN 'ARC_TO' WHEN event_type = 'purchase' THEN 'SET_POWER'
+  WHEN k IN (60, 70) THEN 'SET_AIR_ASSIST' WHEN k = 80 THEN 'SET_FREQUENCY' WHEN k = 90 THEN 'SET_PULSE_WIDTH'
+  WHEN k = 74 THEN 'SET_SPINDLE_DIRECTION' WHEN k = 87 THEN 'SET_HEAD_COOLANT' WHEN k = 77 THEN 'SET_HEAD'
+  WHEN k = 78 THEN 'SET_POWER_MODE' WHEN k = 81 THEN 'WORKPIECE_START' WHEN k = 82 THEN 'WORKPIECE_END'
   WHEN k % 10 = 0 THEN 'DWELL' WHEN k % 10 = 1 THEN 'LAYER_START' WHEN k % 10 = 2 THEN 'LAYER_END'
   WHEN k % 10 = 3 THEN 'SET_SYNC_PITCH' WHEN k % 10 = 4 THEN 'SET_SPINDLE_RPM'
   WHEN k % 10 = 5 THEN 'OPS_SECTION_START' WHEN k % 10 = 6 THEN 'OPS_SECTION_END'
@@ -29,9 +34,15 @@ SELECT job_id, seq, cmd,
   CASE WHEN cmd = 'SET_POWER' THEN (k % 5) / 4.0e0 WHEN cmd = 'SET_FEED_RATE' THEN 600.0e0 + 10 * k
        WHEN cmd = 'SET_RAPID_RATE' THEN 3000.0e0 + 10 * k WHEN cmd = 'DWELL' THEN 100.0e0 * k
        WHEN cmd = 'SET_SYNC_PITCH' THEN CASE WHEN k < 50 THEN 0.0e0 ELSE 1.5e0 END
-       WHEN cmd = 'SET_SPINDLE_RPM' THEN 20.0e0 * k END AS val,
+       WHEN cmd = 'SET_SPINDLE_RPM' THEN 20.0e0 * k WHEN cmd = 'SET_FREQUENCY' THEN 1000.0e0 + floor(value)
+       WHEN cmd = 'SET_PULSE_WIDTH' THEN value / 10.0e0 END AS val,
   CASE WHEN cmd IN ('LAYER_START','LAYER_END') THEN concat('layer-', CAST(floor(k / 30.0e0) AS INT))
-       WHEN cmd = 'SET_COOLANT' THEN CASE WHEN k < 40 THEN 'OFF' ELSE 'FLOOD' END END AS sval,
+       WHEN cmd IN ('WORKPIECE_START','WORKPIECE_END') THEN concat('piece-', CAST(floor(value / 25.0e0) AS INT))
+       WHEN cmd = 'SET_COOLANT' THEN CASE WHEN k < 40 THEN 'OFF' ELSE 'FLOOD' END
+       WHEN cmd IN ('SET_AIR_ASSIST','SET_HEAD_COOLANT') THEN CASE WHEN k < 70 THEN 'ON' ELSE 'OFF' END
+       WHEN cmd = 'SET_SPINDLE_DIRECTION' THEN CASE WHEN value < 50 THEN 'CW' ELSE 'CCW' END
+       WHEN cmd = 'SET_HEAD' THEN concat('head-', CAST(floor(value / 40.0e0) AS INT))
+       WHEN cmd = 'SET_POWER_MODE' THEN CASE WHEN value < 50 THEN 'CONSTANT' ELSE 'DYNAMIC' END END AS sval,
   CASE WHEN cmd IN ('OPS_SECTION_START','OPS_SECTION_END')
        THEN CASE WHEN k < 50 THEN 'VECTOR_OUTLINE' ELSE 'RASTER_FILL' END END AS section_type
 FROM c
@@ -100,9 +111,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or a given one read from Parquet."""
     if name not in SOURCES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for base in SOURCES[name]:
-        spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-    return spark.sql(PIXELS_SPARK if name == "pixels" else SQL[name])
+    given = {base: spark.read.parquet(f"{sf_dir}/{base}.parquet") for base in SOURCES[name]}
+    text = PIXELS_SPARK if name == "pixels" else SQL[name]
+    for base in given:  # as parameters, so that no view of the caller is replaced
+        text = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 {{{base}}}", text)
+    return spark.sql(text, **given)
 
 
 def cte(*names: str) -> str:

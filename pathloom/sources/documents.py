@@ -12,14 +12,14 @@ from pathloom.sources.derive import cte, table
 
 #: Schema of a command document.
 DOCUMENT = "commands array<struct<type:string,`end`:array<double>,center_offset:array<double>,clockwise:boolean,value:double,text:string,section_type:string,control:array<double>,power_values:array<int>>>, last_move_to array<double>"
-#: Type codes of the columnar form, src/ops/enums.rs of the reference.
+#: Type codes of the columnar form.
 CODES = {
     "MOVE_TO": 1, "LINE_TO": 2, "ARC_TO": 3, "SCAN_LINE": 4, "DWELL": 5, "BEZIER_TO": 6, "QUADRATIC_BEZIER_TO": 7, "SET_POWER": 10, "SET_FEED_RATE": 11, "SET_RAPID_RATE": 12,
     "SET_HEAD": 15, "SET_FREQUENCY": 16, "SET_PULSE_WIDTH": 17, "SET_SPINDLE_RPM": 18, "SET_COOLANT": 20, "SET_AIR_ASSIST": 21, "SET_HEAD_COOLANT": 22, "SET_POWER_MODE": 23,
     "SET_SPINDLE_DIRECTION": 24, "SET_SYNC_PITCH": 25, "CUSTOM": 30, "JOB_START": 100, "JOB_END": 101, "LAYER_START": 102, "LAYER_END": 103, "WORKPIECE_START": 104, "WORKPIECE_END": 105,
     "OPS_SECTION_START": 106, "OPS_SECTION_END": 107, "STATE_BLOCK_START": 108, "STATE_BLOCK_END": 109,
 }
-#: Codes and columns that the SQL of the narrow queries fixes; the whole ones have the reference's.
+#: Codes and columns that the SQL of the narrow queries fixes; the whole ones have ``CODES``.
 SQL_CODES = {"MOVE_TO": 1, "LINE_TO": 2, "ARC_TO": 3, "BEZIER_TO": 4, "SCAN_LINE": 5, "SET_POWER": 10, "SET_FEED_RATE": 11, "SET_RAPID_RATE": 12}
 SQL_COLUMNS = ("job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val")
 #: Columns that a table of commands may lack: control points of curves, three numbers each, and power values of scanlines.
@@ -52,7 +52,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 
 def columnar(df: DataFrame) -> DataFrame:
-    """Type code (0 for a type that the reference lacks), end point, all further columns and a bucket of the job for partitioned files."""
+    """Type code (0 for an unknown type), end point, all further columns and a bucket of the job for partitioned files."""
     return _sides(df).select("job_id", "seq", _code(CODES), *SQL_COLUMNS[3:], *SIDE, (F.col("job_id") % 16).alias("bucket"))
 
 
@@ -161,7 +161,8 @@ ORACLE_SQL = {
     "document_round_trip_whole": f"{_C} SELECT job_id, seq, cmd, {_REST} FROM commands",
     "columnar_commands_whole": f"""{_C} SELECT job_id, seq, CASE cmd WHEN 'MOVE_TO' THEN 1 WHEN 'LINE_TO' THEN 2 WHEN 'ARC_TO' THEN 3 WHEN 'DWELL' THEN 5 WHEN 'SET_POWER' THEN 10 WHEN 'SET_FEED_RATE' THEN 11
  WHEN 'SET_RAPID_RATE' THEN 12 WHEN 'SET_SPINDLE_RPM' THEN 18 WHEN 'SET_COOLANT' THEN 20 WHEN 'SET_SYNC_PITCH' THEN 25 WHEN 'LAYER_START' THEN 102 WHEN 'LAYER_END' THEN 103 WHEN 'OPS_SECTION_START' THEN 106
- WHEN 'OPS_SECTION_END' THEN 107 END AS code, {_REST}, job_id % 16 AS bucket FROM commands""",
+ WHEN 'OPS_SECTION_END' THEN 107 WHEN 'SET_HEAD' THEN 15 WHEN 'SET_FREQUENCY' THEN 16 WHEN 'SET_PULSE_WIDTH' THEN 17 WHEN 'SET_AIR_ASSIST' THEN 21 WHEN 'SET_HEAD_COOLANT' THEN 22
+ WHEN 'SET_POWER_MODE' THEN 23 WHEN 'SET_SPINDLE_DIRECTION' THEN 24 WHEN 'WORKPIECE_START' THEN 104 WHEN 'WORKPIECE_END' THEN 105 END AS code, {_REST}, job_id % 16 AS bucket FROM commands""",
     "rings_to_commands": f"""{cte('rings')}, u AS (SELECT ring_id, seq, x, y FROM rings UNION ALL SELECT ring_id, max(seq) + 1, arg_min(x, seq), arg_min(y, seq) FROM rings GROUP BY ring_id)
  SELECT ring_id, seq, round(x, 6) AS x, round(y, 6) AS y, CASE seq WHEN 0 THEN 'MOVE_TO' ELSE 'LINE_TO' END AS cmd FROM u""",
     "point_lists": f"""{_C}, s AS (SELECT *, greatest(count(*) FILTER (cmd = 'MOVE_TO') {J} ROWS UNBOUNDED PRECEDING) - 1, 0) AS subpath FROM commands)

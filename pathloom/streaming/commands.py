@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,39 +20,50 @@ OUT = "job_id long, seq long, cmd string, power double, feed_rate double, distan
 #: Next seq, power, feed rate, last x and y, distance so far, and rows that wait for a gap to close.
 STATE = "next long, power double, feed double, x double, y double, distance double, waiting binary"
 MOVES = ("MOVE_TO", "LINE_TO", "ARC_TO")
+WAITING = pa.schema([("seq", pa.int64()), ("cmd", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("val", pa.float64())])
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a job in the order of ``seq``; rows that come early wait in the state until the gap closes."""
-    import io
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as Arrow bytes, which keep every digit."""
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows, schema=WAITING, preserve_index=False)
+    with pa.ipc.new_stream(out, WAITING) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, gaps: bool = True) -> Iterator[pd.DataFrame]:
+    """Rows of a job in the order of ``seq``; rows that come early wait in the state until the gap closes.
+
+    Where ``gaps`` is false, missing rows are given up and all that wait goes on.
+    """
     at, power, feed, x, y, distance, blob = state.get if state.exists else (0, 0.0, None, None, None, 0.0, None)
-    rows = pd.concat([*batches, *([pd.read_json(io.BytesIO(blob), orient="records", lines=True)] if blob else [])], ignore_index=True)
+    rows = pd.concat([*batches, *([pa.ipc.open_stream(blob).read_pandas()] if blob else [])], ignore_index=True)
     rows = rows.sort_values("seq", kind="stable").drop_duplicates("seq")
     rows = rows[rows["seq"] >= at]
     out, done = [], 0
     for r in rows.itertuples():
-        if r.seq != at:
+        if r.seq != at and gaps:
             break
-        if r.cmd == "SET_POWER":
+        if r.cmd == "SET_POWER" and pd.notna(r.val):
             power = float(r.val)
-        elif r.cmd == "SET_FEED_RATE":
+        elif r.cmd == "SET_FEED_RATE" and pd.notna(r.val):
             feed = float(r.val)
         elif r.cmd in MOVES:
             if x is not None:
                 distance += ((r.x - x) ** 2 + (r.y - y) ** 2) ** 0.5
             x, y = float(r.x), float(r.y)
         out.append((key[0], int(r.seq), r.cmd, power, feed, distance))
-        at, done = at + 1, done + 1
+        at, done = int(r.seq) + 1, done + 1
     left = rows.iloc[done:]
-    waiting = left[["seq", "cmd", "x", "y", "val"]].to_json(orient="records", lines=True).encode() if len(left) else None
-    state.update((at, power, feed, x, y, distance, waiting))
+    state.update((at, power, feed, x, y, distance, _packed(left[WAITING.names]) if len(left) else None))
     yield pd.DataFrame(out, columns=["job_id", "seq", "cmd", "power", "feed_rate", "distance"])
 
 
 def _expiring(milliseconds: int):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            yield from _advance(key, iter([pd.DataFrame(columns=WAITING.names)]), state, gaps=False)
             state.remove()
             return
         yield from _advance(key, batches, state)
@@ -63,7 +75,7 @@ def _expiring(milliseconds: int):
 def running_state(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """State and distance so far after each command of an unbounded stream ``(job_id, seq, cmd, x, y, val)``.
 
-    With ``idle_ms``, jobs without rows for so long are forgotten; without, their state stays (and a run over what
+    With ``idle_ms``, jobs without rows for so long are forgotten, after the rows that still wait for a gap are let through; without, their state stays (and a run over what
     is available comes to its end).
     """
     rows = stream.select("job_id", "seq", "cmd", "x", "y", "val")
