@@ -20,7 +20,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 GROUP_PIECES = 4096
 ID_SPAN = 1 << 32
 #: Words whose ids a Python worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class _Words(dict):
@@ -48,21 +48,26 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_file: str, rank_file: str, pattern: str):
+        import json
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.file, self.full = tokenizer_file, None
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.spaced = re.compile(r"\s ")
         self.words = _Words(self.plain.encode_ordinary)
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.full is None:  # such texts are rare, and the library's vocabulary takes memory in every worker
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.file)
             return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.spaced.search(text):
             return np.asarray(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
