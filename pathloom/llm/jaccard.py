@@ -285,8 +285,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = written(pairs)
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = _texts_of(docs, ids)
-    room = written(pairs.groupBy("a").agg((F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("salts"), F.count(F.lit(1)).alias("partners")))
-    dealt = spread_join(pairs, room, ["a"], "partners", pairs.count())
+    room = written(pairs.groupBy("a").agg((F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("salts")))
+    dealt = pairs.join(room, "a")
     right = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts") + 1)).select("a", "salt", "b").join(texts.toDF("b", "text"), "b")
     left = room.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long"))).alias("salt"), F.lit(None).cast("long").alias("b")).join(texts.toDF("a", "text"), "a")
     both = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
