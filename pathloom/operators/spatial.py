@@ -356,19 +356,22 @@ def solids(tree: DataFrame) -> DataFrame:
 def uncovered_cuts(cuts: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Straight cuts ``(job_id, seg, x0, y0, x1, y1, z)`` without what a longer one, or an earlier equal one, covers.
 
-    Cuts meet on the line that they lie on. Covered ranges of a cut are united by the running maximum of their ends;
+    Cuts meet on the line that they lie on: each is known by the two nearest multiples of the tolerance, so that lines on
+    both sides of a step meet, once, under the larger key of the two. Covered ranges of a cut are united by the running maximum of their ends;
     what lies between them stays, unless shorter than half the tolerance.
     """
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     flip = (dx < 0) | ((dx == 0) & (dy < 0))
     n = F.nullif(hypot(dx, dy), F.lit(0.0))
     ux, uy = F.when(flip, -dx).otherwise(dx) / n, F.when(flip, -dy).otherwise(dy) / n
-    rows = cuts.withColumns({"ux": F.round(ux, 6), "uy": F.round(uy, 6), "off": F.round((F.col("x0") * uy - F.col("y0") * ux) / tolerance), "len": n})
+    rows = cuts.withColumns({"ux": F.round(ux, 6), "uy": F.round(uy, 6), "v": (F.col("x0") * uy - F.col("y0") * ux) / tolerance, "len": n})
     rows = rows.withColumn("a", F.col("x0") * F.col("ux") + F.col("y0") * F.col("uy")).withColumn("b", F.col("x1") * F.col("ux") + F.col("y1") * F.col("uy"))
-    other = rows.select("job_id", "ux", "uy", "off", F.col("seg").alias("o"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("len").alias("olen"), F.col("z").alias("oz"))
+    keyed = rows.withColumn("low", F.floor("v")).withColumn("off", F.explode(F.array(F.col("low"), F.col("low") + 1)))
+    other = keyed.select("job_id", "ux", "uy", "off", F.col("v").alias("ov"), F.col("low").alias("olow"), F.col("seg").alias("o"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("len").alias("olen"), F.col("z").alias("oz"))
     wins = (F.col("olen") > F.col("len") + 1e-5) | ((F.abs(F.col("olen") - F.col("len")) <= 1e-5) & (F.col("o") < F.col("seg")))
     meet = (F.col("o") != F.col("seg")) & (F.col("oz") == F.col("z")) & wins & (F.col("lo") < F.greatest("a", "b") + tolerance) & (F.col("hi") > F.least("a", "b") - tolerance)
-    pair = rows.join(other, ["job_id", "ux", "uy", "off"]).filter(meet)
+    close = (F.col("off") == F.greatest("low", "olow")) & (F.abs(F.col("v") - F.col("ov")) <= 1)
+    pair = keyed.join(other, ["job_id", "ux", "uy", "off"]).filter(meet & close)
     t0, t1 = (F.col("lo") - F.least("a", "b") - tolerance) / F.col("len"), (F.col("hi") - F.least("a", "b") + tolerance) / F.col("len")
     cover = pair.select("job_id", "seg", F.greatest(F.lit(0.0), t0).alias("t0"), F.least(F.lit(1.0), t1).alias("t1")).filter("t0 < t1")
     ends = rows.select("job_id", "seg", F.lit(1.0).alias("t0"), F.lit(1.0).alias("t1"))
