@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions.geometry import hypot
 from pathloom.functions.loops import component_labels
 from pathloom.operators.commands import rounded
 from pathloom.sources.derive import cte, table
@@ -175,14 +176,29 @@ def burn_surface(rows: DataFrame, placements: DataFrame) -> DataFrame:
     return cells.groupBy("stock_id", "px", "py").agg(F.max("v").alias("power"))
 
 
-def edge_ramp(ink: DataFrame, reach: int) -> DataFrame:
-    """Distance along the row from each inked pixel to the nearest gap in it, clamped to ``reach`` and scaled to 1."""
-    w = Window.partitionBy("image_id", "y").orderBy("x")
-    rows = ink.withColumn("gap", F.when(F.col("ink") == 0, F.col("x")))
-    left = F.coalesce(F.last("gap", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-10**6))
-    right = F.coalesce(F.first("gap", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(10**6))
-    away = F.least(F.col("x") - left, right - F.col("x"))
-    return rows.select("image_id", "y", "x", "ink", (F.least(away, F.lit(reach)) / reach).alias("ramp")).filter("ink = 1").drop("ink")
+def edge_ramp(ink: DataFrame, length: float, per_mm_x: float, per_mm_y: float) -> DataFrame:
+    """Distance of every inked pixel to the edge of the ink in both directions, as a share of ``length`` (mm), at most 1.
+
+    The nearest pixel without ink by its centre counts, pixels outside the image included; the part of the way inside
+    that pixel is left out, and of equally near ones the smaller distance counts. Columns first, by windows: the nearest
+    gap above and below; then rows, by a join with the columns within reach only, as farther ones give 1.
+    """
+    sx, sy = 1.0 / per_mm_x, 1.0 / per_mm_y
+    reach = int(length * per_mm_x) + 2
+    size = ink.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    up = Window.partitionBy("image_id", "x").orderBy("y")
+    gap = F.when(F.col("ink") == 0, F.col("y"))
+    above = F.coalesce(F.last(gap, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
+    below = F.coalesce(F.first(gap, ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing)), F.col("h"))
+    rows = ink.join(size, "image_id").withColumn("dy", F.least(F.col("y") - above, below - F.col("y")))
+    near = rows.filter("ink = 1").select("image_id", "y", F.col("x").alias("me"), "w", F.explode(F.sequence(F.greatest(F.col("x") - reach, F.lit(-1)), F.least(F.col("x") + reach, F.col("w")))).alias("x"))
+    met = near.join(rows.select("image_id", "y", "x", "dy"), ["image_id", "y", "x"], "left")
+    dx, dy = F.abs(F.col("x") - F.col("me")) * sx, F.coalesce("dy", F.lit(0)) * sy
+    half = lambda d, s: F.when(d == 0, F.lit(float("inf"))).otherwise(F.lit(s / 2) / d)
+    away = hypot(dx, dy)
+    edge = away * (F.lit(1.0) - F.least(half(dx, sx), half(dy, sy), F.lit(1.0)))
+    best = met.groupBy("image_id", "y", F.col("me").alias("x")).agg(F.min(F.struct(F.round(away, 9).alias("d"), edge.alias("e"))).alias("s"))
+    return best.select("image_id", "y", "x", F.least(F.col("s.e") / length, F.lit(1.0)).alias("ramp"))
 
 
 # Queries and their SQL ----------------------------------------------------------------------------------------------
@@ -222,7 +238,7 @@ QUERIES = {
     "image_components": _q(lambda p: components(_ink(p))),
     "fluence_map": _q(lambda p: fluence(_rows(p), 4, 12.5)),
     "burn_surface": _q(lambda p: burn_surface(_rows(p), _placements(p))),
-    "edge_ramp": _q(lambda p: edge_ramp(p.select("image_id", "y", "x", (F.col("gray") <= 150).cast("int").alias("ink")), 4)),
+    "edge_ramp": _q(lambda p: edge_ramp(p.filter("y < 100").select("image_id", "y", "x", (F.col("gray") <= 150).cast("int").alias("ink")), 0.45, 10.0, 8.0)),
 }
 _P = cte("pixels")
 _H = f"{_P}, h AS (SELECT image_id, gray, count(*) AS n FROM pixels GROUP BY ALL)"
@@ -265,7 +281,10 @@ ORACLE_SQL = {
     "fluence_map": f"{_POWER} SELECT image_id, y // 4 AS cy, (x // 4)::BIGINT AS cx, round(max(power) / 255.0 * 12.5, 6)::DOUBLE AS fluence FROM pw GROUP BY ALL",
     "burn_surface": f"""{_POWER}, pl AS (SELECT DISTINCT image_id, image_id % 3 AS stock_id, image_id % 2 + 1 AS k, image_id * 5 AS tx, image_id * 3 AS ty FROM pixels)
  SELECT stock_id, x * k + i.i + tx AS px, y * k + j.j + ty AS py, max(power) AS power FROM pw JOIN pl USING (image_id), range(2) i(i), range(2) j(j) WHERE power > 0 AND i.i < k AND j.j < k GROUP BY ALL""",
-    "edge_ramp": f"""{_P}, g AS (SELECT image_id, y, x, gray <= 150 AS ink, CASE WHEN gray > 150 THEN x END AS gap FROM pixels),
- d AS (SELECT *, coalesce(last_value(gap IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1000000) AS l, coalesce(first_value(gap IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1000000) AS r FROM g WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
- SELECT image_id, y, x, least(x - l, r - x, 4) / 4.0::DOUBLE AS ramp FROM d WHERE ink""",
+    "edge_ramp": f"""{_P}, g AS MATERIALIZED (SELECT image_id, y, x, gray <= 150 AS ink FROM pixels WHERE y < 100), sz AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM g GROUP BY image_id),
+ nb AS (SELECT a.image_id, a.y, a.x, abs(dx) * 0.1::DOUBLE AS px, abs(dy) * 0.125::DOUBLE AS py FROM g a JOIN sz ON sz.image_id = a.image_id, range(-7, 8) i(dx), range(-6, 7) j(dy)
+  WHERE a.ink AND a.x + dx BETWEEN -1 AND w AND a.y + dy BETWEEN -1 AND h AND NOT EXISTS (SELECT 1 FROM g b WHERE b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.ink)),
+ di AS (SELECT *, sqrt(px * px + py * py) AS d, sqrt(px * px + py * py) * (1 - least(CASE WHEN px = 0 THEN 1 ELSE 0.05 / px END, CASE WHEN py = 0 THEN 1 ELSE 0.0625 / py END, 1)) AS e FROM nb),
+ ed AS (SELECT image_id, y, x, arg_min(e, (round(d, 9), e)) AS e FROM di GROUP BY ALL)
+ SELECT g.image_id, g.y, g.x, round(least(coalesce(e, 9) / 0.45, 1), 6)::DOUBLE AS ramp FROM g LEFT JOIN ed ON ed.image_id = g.image_id AND ed.y = g.y AND ed.x = g.x WHERE ink""",
 }

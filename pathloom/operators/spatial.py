@@ -392,6 +392,22 @@ def first_cuts(cuts: DataFrame) -> DataFrame:
     return cuts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def sweep_hits(moves: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
+    """Moves ``(move_id, geom_id, x0, y0, x1, y1)`` that a disc of ``radius`` cannot make without touching solid ground.
+
+    Touched are moves that come nearer than the radius to an edge of their geometry's rings, and moves with an end where
+    the rings that turn left and hold it outnumber those that turn right.
+    """
+    near = near_edges(moves, ring_edges(rings, "geom_id"), radius, ["geom_id"]).select("move_id").distinct()
+    turn = ring_measures(rings).select("geom_id", "ring_id", F.when(F.col("signed_area") > 0, 1).otherwise(-1).alias("turn"))
+    ends = moves.select("move_id", "geom_id", F.inline(F.array(*[F.struct(F.lit(i).alias("end"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (0, 1)])))
+    boxes = in_cells(ring_boxes(rings), *map(F.col, ("x0", "y0", "x1", "y1")), CELL)
+    met = joined(in_cells(ends, F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL), boxes, "geom_id").filter("x between x0 and x1 and y between y0 and y1")
+    inside = in_own_ring(met.select("move_id", "end", "geom_id", "ring_id", "x", "y"), ring_edges(rings), "move_id", "end", "geom_id").filter("on or odd")
+    solid = inside.join(turn, ["geom_id", "ring_id"]).groupBy("move_id", "end").agg(F.sum("turn").alias("t")).filter("t > 0").select("move_id").distinct()
+    return near.unionByName(solid).distinct()
+
+
 # Queries and their SQL ----------------------------------------------------------------------------------------------
 
 
@@ -413,6 +429,13 @@ def _rays(points: DataFrame) -> DataFrame:
     return points.select(k.alias("ray_id"), (k % 97).alias("geom_id"), "x", "y", (((k % 97) % 10) * 120.0 + (k % 7) * 3.0 - F.col("x") + 0.37).alias("dx"), (F.floor((k % 97) / 10) * 120.0 + (k % 5) * 3.0 - F.col("y") + 0.11).alias("dy"))
 
 
+def _moves(points: DataFrame) -> DataFrame:
+    """Short level moves near the middle of each point's geometry."""
+    k = F.col("point_id")
+    x, y = ((k % 97) % 10) * 120.0 - 50.0 + k % 89, F.floor((k % 97) / 10) * 120.0 - 50.0 + k % 83 * 1.1
+    return points.select(k.alias("move_id"), (k % 97).alias("geom_id"), x.alias("x0"), y.alias("y0"), (x + 0.75 + k % 4).alias("x1"), y.alias("y1"))
+
+
 def _inner_paths(rings: DataFrame) -> DataFrame:
     """Every ring drawn in by a share of its size that differs, as a path inside it."""
     m = rings.groupBy("ring_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -442,6 +465,7 @@ QUERIES = {
     "ray_hits": _q(lambda p, r: ray_hits(_rays(p), r), "points", "rings"),
     "confined_paths": _q(lambda r: confined(_inner_paths(r), r, 2.0), "rings"),
     "enclosed_circles": _q(lambda p, r: enclose_circles(_circles(p), r), "points", "rings"),
+    "sweep_hits": _q(lambda p, r: sweep_hits(_moves(p), r.filter("ring_id % 6 < 3"), 0.4), "points", "rings"),
     "solids_and_holes": _q(lambda r: solids(hierarchy(r)), "rings"),
     "uncovered_cuts": _q(uncovered_cuts, "hatch"),
     "first_cuts": _q(first_cuts, "hatch"),
@@ -484,6 +508,13 @@ ORACLE_SQL = {
  k AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, ring_id) AS i FROM g) SELECT ray_id, ring_id, round(x + t * dx, 6) AS hx, round(y + t * dy, 6) AS hy FROM k WHERE i = 1""",
     "confined_paths": f"{_E} SELECT ring_id AS path_id, ring_id, (x1 - x0) / 2 * (1 - (ring_id % 5 * 0.02::DOUBLE + 0.9::DOUBLE)) >= 2 AS confined FROM b",
     "enclosed_circles": f"{_PT} SELECT point_id AS circle_id, ring_id FROM points JOIN b ON least(x - x0, x1 - x, y - y0, y1 - y) >= point_id % 9 * 1.5 + 0.5",
+    "sweep_hits": f"""{_PT}, mo AS (SELECT point_id AS move_id, point_id % 97 AS geom_id, ((point_id % 97) % 10) * 120.0::DOUBLE - 50 + point_id % 89 AS p, floor((point_id % 97) / 10.0) * 120.0::DOUBLE - 50 + point_id % 83 * 1.1::DOUBLE AS y, 0.75::DOUBLE + point_id % 4 AS l FROM points),
+ rb AS (SELECT *, ring_id % 2 = 0 AS ccw FROM b WHERE ring_id % 6 < 3),
+ ed AS (SELECT move_id FROM mo JOIN rb ON rb.geom_id = mo.geom_id WHERE sqrt(greatest(x0 - p - l, p - x1, 0) ** 2 + (y - y0) ** 2) < 0.4 OR sqrt(greatest(x0 - p - l, p - x1, 0) ** 2 + (y - y1) ** 2) < 0.4
+  OR sqrt(greatest(x0 - p - l, p - x0, 0) ** 2 + greatest(y0 - y, y - y1, 0) ** 2) < 0.4 OR sqrt(greatest(x1 - p - l, p - x1, 0) ** 2 + greatest(y0 - y, y - y1, 0) ** 2) < 0.4),
+ en AS (SELECT move_id, geom_id, unnest([p, p + l]) AS x, y, unnest([0, 1]) AS i FROM mo),
+ so AS (SELECT move_id FROM en JOIN rb ON rb.geom_id = en.geom_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY move_id, i HAVING sum(CASE WHEN ccw THEN 1 ELSE -1 END) > 0)
+ SELECT move_id FROM ed UNION SELECT move_id FROM so""",
     "box_pairs": f"{_E} SELECT a.geom_id, a.ring_id, o.ring_id AS other FROM b a JOIN b o ON a.geom_id = o.geom_id AND a.ring_id < o.ring_id AND a.x0 <= o.x1 AND o.x0 <= a.x1 AND a.y0 <= o.y1 AND o.y0 <= a.y1",
     "points_in_rings": f"{_IN} SELECT point_id, ring_id FROM k WHERE o OR odd",
     "points_strictly_in_rings": f"{_IN} SELECT point_id, ring_id FROM k WHERE NOT o AND odd",
