@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.geometry import hypot
 from pathloom.functions.windows import before, islands, ordered
 from pathloom.operators.commands import by_job, is_, is_moving, rounded
-from pathloom.operators.raster import _POWER, power, runs, scan_rows
+from pathloom.operators.raster import _POWER, _RUNS, power, runs, scan_rows
 from pathloom.sources.derive import cte, table
 
 #: Fixed value: bytes of a command in memory, as the container's estimate counts them.
@@ -42,6 +42,28 @@ def from_rows(rows: DataFrame, pitch: float) -> DataFrame:
     return lines.unionByName(ends).withColumn("seq", seq).select("job_id", "seq", "cmd", "x", F.col("line_y").alias("y"), z.alias("z"), "samples", kind.alias("section_type"))
 
 
+def segmented(rows: DataFrame, pitch: float) -> DataFrame:
+    """A line for each run of non-zero samples: ``job_id, y, x0, x1, samples``, all from left to right, on a grid of ``pitch``."""
+    cut = runs(rows).select("image_id", "y", "lo", "hi").join(rows, ["image_id", "y"])
+    return cut.select(F.col("image_id").alias("job_id"), "y", (F.col("lo") * pitch).alias("x0"), (F.col("hi") * pitch).alias("x1"), F.slice("samples", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("samples"))
+
+
+def merged_lines(lines: DataFrame, most_gap: float) -> DataFrame:
+    """Lines of one row that are at most ``most_gap`` apart as one sweep, its samples with zeros for the gaps.
+
+    A gap gets as many zeros as the samples of the line after it have in that length. Gaps and islands: one window for
+    each row of a job, and one array for each sweep.
+    """
+    w = Window.partitionBy("job_id", "y").orderBy("x0", "x1")
+    gap = F.col("x0") - F.lag("x1").over(w)
+    rows = lines.withColumn("gap", gap).withColumn("new", F.coalesce(F.col("gap") > most_gap + 1e-9, F.lit(True)))
+    rows = rows.withColumn("sweep", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    zeros = F.round(F.greatest(F.col("gap"), F.lit(0.0)) * F.size("samples") / (F.col("x1") - F.col("x0"))).cast("int")
+    padded = F.when(F.col("new"), F.col("samples")).otherwise(F.concat(F.array_repeat(F.lit(0), zeros), "samples"))
+    per = rows.withColumn("part", F.struct("x0", padded.alias("s"))).groupBy("job_id", "y", "sweep").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("part")).alias("parts"))
+    return per.select("job_id", "y", "x0", "x1", "n", F.flatten(F.transform("parts", lambda q: q["s"])).alias("samples"))
+
+
 def scanline_boxes(df: DataFrame) -> DataFrame:
     """Box of each job's scanlines: they start where the MOVE_TO or SCAN_LINE before them ended, at first at the origin."""
     rows = df.filter(is_("MOVE_TO", "SCAN_LINE"))
@@ -273,6 +295,8 @@ def _effects(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "image_sweeps": _pixels(lambda p: _flat(_sweeps(p))),
+    "image_segments": _pixels(lambda p: segmented(scan_rows(power(p, 0.1, 0.9, 16)), 0.1).withColumn("samples", F.array_join("samples", ","))),
+    "merge_scanlines": _pixels(lambda p: merged_lines(segmented(scan_rows(power(p, 0.1, 0.9, 16)), 0.1), 0.1).withColumn("samples", F.array_join("samples", ","))),
     "scanline_boxes": _pixels(lambda p: scanline_boxes(_sweeps(p))),
     "container_bytes": _pixels(lambda p: container_bytes(_sweeps(p))),
     "cap_samples": _pixels(lambda p: _flat(capped(_sweeps(p), 0.4))),
@@ -305,6 +329,10 @@ _POS = """, bx AS (SELECT image_id, min(y) FILTER (gray <= 150) AS y_min, max(y)
  po AS (SELECT image_id, r::INT AS row, first + r * {i} AS y_mm, least(greatest((first + r * {i}) * 10, 0), height - 1)::DOUBLE AS y_px FROM ps, range(4000) t(r) WHERE r < ceil((high - first) / {i} - 1e-9))"""
 ORACLE_SQL = {
     "image_sweeps": f"{_SWEEP} SELECT job_id, seq, cmd, round(x, 6) AS x, round(y, 6) AS y, {_TXT} FROM sw",
+    "image_segments": f"{_RUNS} SELECT r.image_id AS job_id, r.y, round(lo * 0.1, 6)::DOUBLE AS x0, round(hi * 0.1, 6)::DOUBLE AS x1, string_agg(power, ',' ORDER BY x) AS samples FROM runs r JOIN pw ON pw.image_id = r.image_id AND pw.y = r.y AND x >= lo AND x < hi GROUP BY r.image_id, r.y, lo, hi",
+    "merge_scanlines": f"""{_RUNS}, g AS (SELECT *, coalesce(lo - lag(hi) OVER w > 1, true) AS new FROM runs WINDOW w AS (PARTITION BY image_id, y ORDER BY lo)),
+ k AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, y ORDER BY lo ROWS UNBOUNDED PRECEDING) AS i FROM g), m AS (SELECT image_id, y, i, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM k GROUP BY ALL)
+ SELECT m.image_id AS job_id, m.y, round(lo * 0.1, 6)::DOUBLE AS x0, round(hi * 0.1, 6)::DOUBLE AS x1, n, string_agg(power, ',' ORDER BY x) AS samples FROM m JOIN pw ON pw.image_id = m.image_id AND pw.y = m.y AND x >= lo AND x < hi GROUP BY m.image_id, m.y, lo, hi, n""",
     "scanline_boxes": f"""{_PAIRS} SELECT job_id, round(min(least(ax, bx)), 6) AS min_x, round(min(least(ay, by_)), 6) AS min_y, round(max(greatest(ax, bx)) - min(least(ax, bx)), 6) AS width,
  round(max(greatest(ay, by_)) - min(least(ay, by_)), 6) AS height FROM ab GROUP BY job_id""",
     "container_bytes": f"{_SWEEP} SELECT job_id, (count(*) * {COMMAND_BYTES} + coalesce(sum(len(samples)), 0))::BIGINT AS bytes FROM sw GROUP BY job_id",

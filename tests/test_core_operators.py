@@ -259,3 +259,35 @@ def test_field_that_does_not_converge_is_an_error(spark):
     tris = spark.createDataFrame([(2 * n + h, *((p, r, s) if h else (p, s, q))) for n, (p, q, r, s) in enumerate(cells) for h in (0, 1)], "t long, a long, b long, c long")
     with pytest.raises(RuntimeError):
         mesh.laplace(tris, verts, most=1)
+
+
+def test_only_those_that_equal_a_kept_one_are_dropped(spark):
+    """A chain 1-2-3-4 of equal pairs keeps 1 and 3: 3 equals only the dropped 2, and 4 equals 3."""
+    from pathloom.operators.contours import first_kept
+
+    nodes = spark.createDataFrame([(0, i) for i in range(1, 7)], "k int, node int")
+    pairs = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 5, 6), (0, 5, 6)], "k int, a int, b int")
+    assert sorted(r["node"] for r in first_kept(nodes, pairs, ["k"]).collect()) == [1, 3, 5]
+
+
+def test_state_of_waiting_rows_keeps_every_digit():
+    import pandas as pd
+    import pyarrow as pa
+
+    from pathloom.streaming import commands as streams
+
+    rows = pd.DataFrame({"seq": [3], "cmd": ["LINE_TO"], "x": [0.1234567890123456], "y": [1e-17], "val": [None]})
+    back = pa.ipc.open_stream(streams._packed(rows)).read_pandas()
+    assert back["x"][0] == 0.1234567890123456 and back["y"][0] == 1e-17 and back["val"].isna().all()
+
+
+def test_areas_of_rings_that_are_not_convex(spark):
+    from pathloom.operators.spatial import overlap_areas
+
+    shapes = {1: [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], 2: [(0, 2), (0, 0), (4, 0), (4, 2)], 3: [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]}
+    rings = spark.createDataFrame([(0, k, i, float(x), float(y)) for k, ring in shapes.items() for i, (x, y) in enumerate(ring)], "geom_id int, ring_id int, seq int, x double, y double")
+    pairs = spark.createDataFrame([(0, 1, 2), (0, 1, 3)], "geom_id int, ring_id int, other int")
+    found = {r["other"]: r["area"] for r in overlap_areas(rings, pairs).collect()}
+    whole = 4 * 4 - 0.5 * 4 * 3
+    # above y = 1 the notch of the first ring is (y - 1) * 4 / 3 wide
+    assert abs(found[3] - whole) < 1e-6 and abs(found[2] - (8 - 2 / 3)) < 1e-6
