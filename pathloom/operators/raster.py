@@ -5,6 +5,10 @@ Projections stay on pixels; runs and scanlines work on one array per row, so an
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +94,57 @@ def bayer(pixels: DataFrame, cell: int = 1) -> DataFrame:
     return pixels.select("image_id", "y", "x", (F.col("gray") <= F.get(matrix, place.cast("int")) * (255.0 / 16)).cast("int").alias("ink"))
 
 
+@lru_cache
+def spot_levels(samples: int = 256) -> tuple[float, ...]:
+    """For each gray level the spot value above which a pixel of that level is inked.
+
+    The share of a cell below a spot value, sampled on a grid of ``samples`` each way, is the brightness up to which it inks.
+    """
+    at = np.cos(2 * np.pi * (np.arange(samples) + 0.5) / samples)
+    values = np.sort((at[:, None] + at[None, :]).ravel() / 4 + 0.5)
+    least = [math.floor(g / 255 * len(values) - 0.5) + 1 for g in range(256)]  # the first rank whose share exceeds the level
+    return tuple(-1.0 if k < 1 else 2.0 if k > len(values) else float(values[k - 1]) for k in least)
+
+
+def halftone(pixels: DataFrame, cell: float, degrees: float, per_mm_x: float, per_mm_y: float, invert: bool = False) -> DataFrame:
+    """Round dots on a lattice of ``cell`` mm turned by an angle; darker pixels are inked further from a dot's centre."""
+    c, s = math.cos(math.radians(degrees)) / cell, math.sin(math.radians(degrees)) / cell
+    x, y = (F.col("x") + 0.5) / per_mm_x, (F.col("y") + 0.5) / per_mm_y
+    u, v = x * c + y * s, y * c - x * s
+    spot = (F.cos(u * (2 * math.pi)) + F.cos(v * (2 * math.pi))) / 4 + 0.5
+    ink = spot > F.get(F.array(*map(F.lit, spot_levels())), F.col("gray").cast("int"))
+    return pixels.select("image_id", "y", "x", (~ink if invert else ink).cast("int").alias("ink"))
+
+
+def newsprint_ranks(size: int = 8) -> list[int]:
+    """Order in which the pixels of a screen cell darken, dots on a lattice at 45 degrees; equal ones by rows."""
+    at = (np.arange(size) + 0.5) / size
+    u, v = at[None, :], at[:, None]
+    spot = np.round((np.cos(2 * np.pi * (u + v)) + np.cos(2 * np.pi * (u - v))) / 4 + 0.5, 12).ravel()
+    ranks = np.empty(size * size, dtype=int)
+    ranks[np.argsort(-spot, kind="stable")] = np.arange(size * size)
+    return ranks.tolist()
+
+
+def newsprint(pixels: DataFrame, cell: int, per_mm_x: float, per_mm_y: float, invert: bool = False) -> DataFrame:
+    """Clustered dots by an 8 x 8 matrix of ranks, each entry ``cell`` pixels wide and as high in mm."""
+    tall = max(1, int(cell * per_mm_y / per_mm_x + 0.5))
+    place = F.pmod(F.floor(F.col("y") / tall), F.lit(8)) * 8 + F.pmod(F.floor(F.col("x") / cell), F.lit(8))
+    levels = F.array(*[F.lit(255.0 * (1.0 - (r + 0.5) / 64)) for r in newsprint_ranks()])
+    ink = F.col("gray") < F.get(levels, place.cast("int"))
+    return pixels.select("image_id", "y", "x", (~ink if invert else ink).cast("int").alias("ink"))
+
+
+def gray_from_rgba(pixels: DataFrame) -> DataFrame:
+    """Gray levels of premultiplied colours ``(r, g, b, a)``, blended over white in linear light."""
+    share = F.col("a") / 255.0
+    def light(c):  # noqa: E306
+        v = F.floor(F.least(F.greatest(F.col(c) / F.greatest(share, F.lit(1e-6)), F.lit(0.0)), F.lit(255.0))) / 255.0
+        return F.lit(1.0) - (F.lit(1.0) - to_linear(v)) * share
+    line = light("r") * 0.2989 + light("g") * 0.5870 + light("b") * 0.1140
+    return pixels.select("image_id", "y", "x", half_up(from_linear(F.least(F.greatest(line, F.lit(0.0)), F.lit(1.0))) * 255.0).alias("gray"), share.alias("alpha"))
+
+
 def transparent_by_brightness(pixels: DataFrame, threshold: int) -> DataFrame:
     light = F.shiftright(F.col("gray") * 77 + F.col("gray") * 150 + F.col("gray") * 29, 8)
     return pixels.select("image_id", "y", "x", F.when(light >= threshold, 0).otherwise(F.col("a")).alias("a"))
@@ -218,6 +273,11 @@ def _rows(p: DataFrame) -> DataFrame:
     return scan_rows(power(p, 0.1, 0.9, 16))
 
 
+def _rgba(p: DataFrame) -> DataFrame:
+    a = (F.col("gray") * 5 + F.col("x") * 51) % 256
+    return p.filter("x < 24").select("image_id", "y", "x", *[F.floor((F.col("gray") * k + F.col("y")) % 256 * a / 255).alias(c) for c, k in (("r", 1), ("g", 3), ("b", 7))], a.alias("a"))
+
+
 _ink = lambda p: p.filter("gray <= 110").select("image_id", "y", "x")
 
 QUERIES = {
@@ -228,6 +288,9 @@ QUERIES = {
     "binary_image": _q(lambda p: binary(p, otsu(p))),
     "pixel_power": _q(lambda p: power(p, 0.1, 0.9, 16)),
     "bayer_dither": _q(lambda p: bayer(p, 2)),
+    "halftone_dither": _q(lambda p: halftone(p, 0.7, 30.0, 10.0, 8.0)),
+    "newsprint_dither": _q(lambda p: newsprint(p, 2, 10.0, 16.0)),
+    "gray_from_rgba": _q(lambda p: gray_from_rgba(_rgba(p))),
     "transparent_bright": _q(lambda p: transparent_by_brightness(p, 160)),
     "content_box": _q(lambda p: content_box(p, 90)),
     "sample_runs": _q(lambda p: runs(_rows(p))),
@@ -260,6 +323,14 @@ ORACLE_SQL = {
     "binary_image": f"{_OTSU} SELECT image_id, y, x, (gray <= threshold)::INT AS ink FROM pixels JOIN o USING (image_id)",
     "pixel_power": f"{_POWER} SELECT * FROM pw",
     "bayer_dither": f"""{_P} SELECT image_id, y, x, (gray <= [{', '.join(str(v) for r in BAYER for v in r)}][(y // 2 % 4 * 4 + x // 2 % 4 + 1)::INT] * 255.0 / 16)::INT AS ink FROM pixels""",
+    "halftone_dither": f"""{_P} SELECT image_id, y, x, ((cos(2 * pi() * ((x + 0.5) / 10.0 * cos(radians(30)) + (y + 0.5) / 8.0 * sin(radians(30))) / 0.7) + cos(2 * pi() * ((y + 0.5) / 8.0 * cos(radians(30)) - (x + 0.5) / 10.0 * sin(radians(30))) / 0.7)) / 4 + 0.5
+ > list_extract([{', '.join(f'{v!r}::DOUBLE' for v in spot_levels())}], gray + 1))::INT AS ink FROM pixels""",
+    "newsprint_dither": f"{_P} SELECT image_id, y, x, (gray < 255.0 * (1 - ([{', '.join(map(str, newsprint_ranks()))}][(y // 3 % 8 * 8 + x // 2 % 8 + 1)::INT] + 0.5) / 64))::INT AS ink FROM pixels",
+    "gray_from_rgba": f"""{_P}, c AS (SELECT image_id, y, x, (gray * 5 + x * 51) % 256 AS a, gray, unnest([1, 3, 7]) AS k FROM pixels WHERE x < 24),
+ v AS (SELECT *, floor(least(greatest(floor((gray * k + y) % 256 * a / 255) / greatest(a / 255, 1e-6), 0), 255)) / 255 AS v FROM c),
+ l AS (SELECT *, 1 - (1 - CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE ((v + 0.055) / 1.055) ** 2.4 END) * (a / 255) AS l FROM v),
+ s AS (SELECT image_id, y, x, a, sum(l * CASE k WHEN 1 THEN 0.2989 WHEN 3 THEN 0.587 ELSE 0.114 END) AS l FROM l GROUP BY ALL)
+ SELECT image_id, y, x, floor(CASE WHEN l <= 0.0031308 THEN l * 12.92 ELSE l ** (1 / 2.4) * 1.055 - 0.055 END * 255 + 0.5)::BIGINT AS gray, round(a / 255, 6)::DOUBLE AS alpha FROM s""",
     "transparent_bright": f"{_P} SELECT image_id, y, x, CASE WHEN (gray * 256) >> 8 >= 160 THEN 0 ELSE a END AS a FROM pixels",
     "content_box": f"{_P} SELECT image_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM pixels WHERE gray <= 90 AND a > 0 GROUP BY image_id",
     "sample_runs": f"{_RUNS} SELECT image_id, y, lo, hi, total FROM runs",
