@@ -227,9 +227,10 @@ def _bounds(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("x0").alias("min_x"), F.min("y0").alias("min_y"), F.max("x1").alias("max_x"), F.max("y1").alias("max_y"))
 
 
-def bounding_boxes(df: DataFrame) -> DataFrame:
-    """Box of each job's cuts."""
-    return _bounds(_boxes(df).filter(~is_("MOVE_TO")), "job_id")
+def bounding_boxes(df: DataFrame, travel: bool = False) -> DataFrame:
+    """Box of each job's cuts, or of all its moves; a travel counts with its end and where it came from."""
+    rows = _boxes(df)
+    return _bounds(rows if travel else rows.filter(~is_("MOVE_TO")), "job_id")
 
 
 def powered_boxes(df: DataFrame) -> DataFrame:
@@ -237,11 +238,14 @@ def powered_boxes(df: DataFrame) -> DataFrame:
     return _bounds(_boxes(df).filter(~is_("MOVE_TO") & (F.col("power") > 0)), "job_id")
 
 
-def frames(df: DataFrame) -> DataFrame:
-    """A closed rectangle around each job's cuts, as commands."""
-    corner = lambda i, c, x, y: F.struct(F.lit(i).alias("seq"), F.lit(c).alias("cmd"), F.col(x).alias("x"), F.col(y).alias("y"))
+def frames(df: DataFrame, power: float | None = None, feed_rate: float | None = None) -> DataFrame:
+    """A closed rectangle around each job's cuts, as commands, behind rows that set power and feed rate where these are given."""
+    null = F.lit(None).cast("double")
+    state = [(c, null, null, F.lit(float(v))) for c, v in (("SET_POWER", power), ("SET_FEED_RATE", feed_rate)) if v is not None]
     path = [("MOVE_TO", "min_x", "min_y"), ("LINE_TO", "min_x", "max_y"), ("LINE_TO", "max_x", "max_y"), ("LINE_TO", "max_x", "min_y"), ("LINE_TO", "min_x", "min_y")]
-    return bounding_boxes(df).select("job_id", F.inline(F.array(*[corner(i, *p) for i, p in enumerate(path)])))
+    rows = state + [(c, F.col(x), F.col(y), null) for c, x, y in path]
+    structs = [F.struct(F.lit(i).alias("seq"), F.lit(c).alias("cmd"), x.alias("x"), y.alias("y"), v.alias("val")) for i, (c, x, y, v) in enumerate(rows)]
+    return bounding_boxes(df).select("job_id", F.inline(F.array(*structs)))
 
 
 def long_jobs(df: DataFrame, block_rows: int = 1000) -> DataFrame:
@@ -339,7 +343,8 @@ QUERIES = {
     "coolant_groups": _q(lambda d: with_coolant_groups(d).select("job_id", "seq", "regime")),
     "bounding_boxes": _q(bounding_boxes),
     "powered_boxes": _q(powered_boxes),
-    "frames": _q(frames),
+    "moves_boxes": _q(lambda d: bounding_boxes(d, travel=True)),
+    "frames": _q(lambda d: frames(d, 0.25, 1200.0)),
     "long_job_scan": _q(long_jobs),
 }
 
@@ -378,8 +383,10 @@ ORACLE_SQL = {
  SELECT job_id, seq, (sum(CASE WHEN k OR coalesce(pk, true) OR NOT (m AND pm AND c IS NOT DISTINCT FROM pc) THEN 1 ELSE 0 END) {J} ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS regime FROM p""",
     "bounding_boxes": f"{_BOX_SQL} SELECT {_BOUNDS_SQL} FROM boxes GROUP BY job_id",
     "powered_boxes": f"{_BOX_SQL} SELECT {_BOUNDS_SQL} FROM boxes WHERE power > 0 GROUP BY job_id",
+    "moves_boxes": f"""{_BOX_SQL}, tr AS (SELECT job_id, x, y, coalesce({_lag('x')}, 0) AS px, coalesce({_lag('y')}, 0) AS py, cmd FROM commands),
+ al AS (SELECT job_id, x0, y0, x1, y1 FROM boxes UNION ALL SELECT job_id, least(px, x), least(py, y), greatest(px, x), greatest(py, y) FROM tr WHERE cmd = 'MOVE_TO') SELECT {_BOUNDS_SQL} FROM al GROUP BY job_id""",
     "frames": f"""{_BOX_SQL}, b2 AS (SELECT {_BOUNDS_SQL} FROM boxes GROUP BY job_id)
- SELECT job_id, t.seq, t.cmd, CASE WHEN t.fx = 0 THEN min_x ELSE max_x END AS x, CASE WHEN t.fy = 0 THEN min_y ELSE max_y END AS y
- FROM b2, (VALUES (0, 'MOVE_TO', 0, 0), (1, 'LINE_TO', 0, 1), (2, 'LINE_TO', 1, 1), (3, 'LINE_TO', 1, 0), (4, 'LINE_TO', 0, 0)) AS t(seq, cmd, fx, fy)""",
+ SELECT job_id, t.seq, t.cmd, CASE t.fx WHEN 0 THEN min_x WHEN 1 THEN max_x END AS x, CASE t.fy WHEN 0 THEN min_y WHEN 1 THEN max_y END AS y, t.val::DOUBLE AS val
+ FROM b2, (VALUES (0, 'SET_POWER', 9, 9, 0.25), (1, 'SET_FEED_RATE', 9, 9, 1200), (2, 'MOVE_TO', 0, 0, NULL), (3, 'LINE_TO', 0, 1, NULL), (4, 'LINE_TO', 1, 1, NULL), (5, 'LINE_TO', 1, 0, NULL), (6, 'LINE_TO', 0, 0, NULL)) AS t(seq, cmd, fx, fy, val)""",
     "long_job_scan": f"{cte('commands')} SELECT job_id, seq, round(sum(coalesce(x, 0)) {J} ROWS UNBOUNDED PRECEDING), 6) AS sum_x, {_set('SET_POWER')} AS power FROM commands",
 }

@@ -179,6 +179,22 @@ def trimmed(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("image_id", "y", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(near(i), 0).otherwise(F.get("samples", i))).alias("samples"))
 
 
+def zero_runs(rows: DataFrame) -> DataFrame:
+    """Runs of zeros of each row between its first and last non-zero sample: half-open index ranges."""
+    at = rows.select("image_id", "y", F.posexplode("samples").alias("i", "v"))
+    ink = at.filter("v <> 0").withColumn("next", F.lead("i").over(Window.partitionBy("image_id", "y").orderBy("i")))
+    return ink.filter("next > i + 1").select("image_id", "y", (F.col("i") + 1).alias("lo"), F.col("next").alias("hi"))
+
+
+def long_runs(rows: DataFrame, least: int) -> DataFrame:
+    """Samples without the runs shorter than ``least``: a sample stays if ``least`` non-zero ones in a row hold it."""
+    def held(i):  # noqa: E306
+        def whole(o):  # noqa: E306
+            return F.forall(F.sequence(F.lit(0), F.lit(least - 1)), lambda k: F.coalesce(F.get("samples", i + o + k), F.lit(0)) != 0)
+        return F.exists(F.sequence(F.lit(1 - least), F.lit(0)), whole)
+    return rows.select("image_id", "y", F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: F.when(held(i), F.get("samples", i)).otherwise(0)).alias("samples"))
+
+
 def downsampled(rows: DataFrame, n: int) -> DataFrame:
     """``n`` samples of each row at equal steps from its first to its last one."""
     step = (F.size("samples") - 1) / F.lit(float(n - 1))
@@ -295,6 +311,8 @@ QUERIES = {
     "content_box": _q(lambda p: content_box(p, 90)),
     "sample_runs": _q(lambda p: runs(_rows(p))),
     "trim_runs": _q(lambda p: trimmed(_rows(p), 1).select("image_id", "y", F.array_join("samples", ",").alias("samples"))),
+    "zero_runs": _q(lambda p: zero_runs(_rows(p))),
+    "long_runs": _q(lambda p: long_runs(_rows(p), 3).select("image_id", "y", F.array_join("samples", ",").alias("samples"))),
     "downsample_rows": _q(lambda p: downsampled(_rows(p), 17).select("image_id", "y", F.array_join("samples", ",").alias("samples"))),
     "scan_lines": _q(lambda p: scan_lines(_rows(p), 0.1)),
     "depth_passes": _q(lambda p: depth_passes(p, 4)),
@@ -336,6 +354,8 @@ ORACLE_SQL = {
     "sample_runs": f"{_RUNS} SELECT image_id, y, lo, hi, total FROM runs",
     "trim_runs": f"""{_POWER}, t AS (SELECT image_id, y, x, CASE WHEN least(coalesce(lag(power) OVER w, 0), power, coalesce(lead(power) OVER w, 0)) = 0 THEN 0 ELSE power END AS p FROM pw WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
  SELECT image_id, y, string_agg(p, ',' ORDER BY x) AS samples FROM t GROUP BY image_id, y""",
+    "zero_runs": f"{_RUNS}, n AS (SELECT *, lead(lo) OVER (PARTITION BY image_id, y ORDER BY lo) AS nx FROM runs) SELECT image_id, y, hi AS lo, nx AS hi FROM n WHERE nx IS NOT NULL",
+    "long_runs": f"""{_RUNS} SELECT pw.image_id, pw.y, string_agg(CASE WHEN hi - lo >= 3 THEN power ELSE 0 END, ',' ORDER BY x) AS samples FROM pw LEFT JOIN runs r ON r.image_id = pw.image_id AND r.y = pw.y AND x >= lo AND x < hi GROUP BY pw.image_id, pw.y""",
     "downsample_rows": f"""{_POWER}, r AS (SELECT image_id, y, list(power ORDER BY x) AS s FROM pw GROUP BY image_id, y)
  SELECT image_id, y, array_to_string([s[(floor(i * ((len(s) - 1) / 16.0)) + 1)::INT] FOR i IN range(17)], ',') AS samples FROM r""",
     "scan_lines": f"""{_RUNS}, s AS (SELECT image_id, y, min(lo) AS lo, max(hi) AS hi, sum(total)::BIGINT AS total FROM runs GROUP BY image_id, y)

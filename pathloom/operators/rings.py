@@ -176,7 +176,7 @@ def holes(rings: DataFrame, spacing: float, tolerance: float) -> DataFrame:
     return fit_circles(resample(rings, spacing).select("ring_id", "x", "y")).filter(F.col("residual") <= tolerance)
 
 
-def chord_deviation(rings: DataFrame) -> DataFrame:
+def chord_deviation(rings: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Largest distance of inner vertices from the line through a path's ends, and the first vertex where it is."""
     ends = rings.groupBy("ring_id").agg(F.min_by(F.struct("x", "y", "seq"), "seq").alias("a"), F.max_by(F.struct("x", "y", "seq"), "seq").alias("b"))
     rows = rings.join(ends, "ring_id").filter((F.col("seq") > F.col("a.seq")) & (F.col("seq") < F.col("b.seq")))
@@ -185,7 +185,7 @@ def chord_deviation(rings: DataFrame) -> DataFrame:
     n = dx * dx + dy * dy
     d2 = F.when(n < 1e-12, ux * ux + uy * uy).otherwise((ux * dy - uy * dx) * (ux * dy - uy * dx) / F.nullif(n, F.lit(0.0)))
     best = rows.withColumn("d2", d2).groupBy("ring_id").agg(F.max(F.struct("d2", (-F.col("seq")).alias("m"))).alias("s"))
-    return best.select("ring_id", F.sqrt("s.d2").alias("deviation"), (-F.col("s.m")).alias("seq"))
+    return best.select("ring_id", F.sqrt("s.d2").alias("deviation"), (-F.col("s.m")).alias("seq"), (F.sqrt("s.d2") <= tolerance).alias("straight"))
 
 
 def at_origin(rings: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ QUERIES = {
     "path_lengths": _q(path_lengths),
     "fit_circles": _q(fit_circles),
     "holes": _q(lambda r: holes(r, 0.5, 5.0)),
-    "chord_deviation": _q(chord_deviation),
+    "chord_deviation": _q(lambda r: chord_deviation(r, 8.0)),
     "rings_at_origin": _q(at_origin),
     "mirror_rings": _q(lambda r: transformed(r, -1.0, 0.0, 0.0, 1.0, 3.0, 0.5)),
     "transform_boxes": _q(lambda r: rectangles(ring_measures(r), 0.6, -0.8, 0.8, 0.6, 1.0, 2.0)),
@@ -341,4 +341,4 @@ ORACLE_SQL["holes"] = f"""{_EDGES}, pa AS (SELECT *, greatest(ceil(sqrt((nx - x)
  q AS (SELECT ring_id, x + part / parts * (nx - x) AS x, y + part / parts * (ny - y) AS y FROM se)""" + _CIRCLE.format("q") + " WHERE residual <= 5"
 ORACLE_SQL["chord_deviation"] = f"""{cte('rings')}, en AS (SELECT ring_id, arg_min(x, seq) AS ax, arg_min(y, seq) AS ay, min(seq) AS lo, arg_max(x, seq) AS bx, arg_max(y, seq) AS by_, max(seq) AS hi FROM rings GROUP BY ring_id),
  di AS (SELECT ring_id, seq, ((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) ** 2 / ((bx - ax) ** 2 + (by_ - ay) ** 2) AS d2 FROM rings JOIN en USING (ring_id) WHERE seq > lo AND seq < hi),
- ra AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY d2 DESC, seq) AS i FROM di) SELECT ring_id, round(sqrt(d2), 6) AS deviation, seq FROM ra WHERE i = 1"""
+ ra AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY d2 DESC, seq) AS i FROM di) SELECT ring_id, round(sqrt(d2), 6) AS deviation, seq, sqrt(d2) <= 8 AS straight FROM ra WHERE i = 1"""

@@ -62,6 +62,17 @@ def affine(df: DataFrame, a: float, b: float, c: float, d: float, tx: float, ty:
     return rows.withColumns({"x": x + tx, "y": y + ty, "ci": ci, "cj": cj, "cw": ~F.col("cw") if a * d - b * c < 0 else F.col("cw")})
 
 
+def scaled(df: DataFrame, sx: float, sy: float, about: tuple[float, float] = (0.0, 0.0), resolution: float = 1.0) -> DataFrame:
+    """Points scaled about a point; uneven scales make chords of arcs."""
+    return affine(df, sx, 0.0, 0.0, sy, about[0] * (1 - sx), about[1] * (1 - sy), resolution)
+
+
+def rotated(df: DataFrame, degrees: float, about: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Points turned about a point, counter-clockwise."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return affine(df, c, -s, s, c, about[0] - c * about[0] + s * about[1], about[1] - s * about[0] - c * about[1])
+
+
 def cap_power(df: DataFrame, most: float) -> DataFrame:
     return df.withColumn("val", F.when(is_("SET_POWER"), F.least("val", F.lit(most))).otherwise(F.col("val")))
 
@@ -280,6 +291,8 @@ _DOUBLE = Transformer("double", 1, lambda d: d.withColumn("x", F.col("x") * 2.0)
 QUERIES = {
     "linearize_arcs": _q(lambda d: renumbered(linearized(d, 2.0), "seq", "part").select("job_id", "seq", "cmd", "x", "y", "z")),
     "affine_mirror": _q(lambda d: affine(d, -0.6, 0.8, 0.8, 0.6, 1.0, 2.0).select("job_id", "seq", "x", "y", "ci", "cj", "cw")),
+    "rotate_about": _q(lambda d: rotated(d, 30.0, (5.0, -2.0)).select("job_id", "seq", "x", "y", "ci", "cj", "cw")),
+    "scale_about": _q(lambda d: scaled(d, 1.5, 1.5, (10.0, 20.0)).select("job_id", "seq", "x", "y", "ci", "cj", "cw")),
     "affine_stretch": _q(lambda d: affine(d, 2.0, 0.0, 0.0, 1.0, 0.0, 0.0, 2.0).select("job_id", "seq", "cmd", "x", "y")),
     "cap_power": _q(lambda d: cap_power(d, 0.6).select("job_id", "seq", "val")),
     "multipass": _q(lambda d: multipass(d, 3, 0.5).select("job_id", "seq", "cmd", "z")),
@@ -313,6 +326,9 @@ _LIN = f"""{_C}, p AS (SELECT *, coalesce({_lag('x')}, 0) AS px, coalesce({_lag(
   CASE WHEN part < n THEN cy + (r0 + part / n * (r1 - r0)) * sin(a0 + CASE WHEN cw THEN -1 ELSE 1 END * part / n * sweep) ELSE y END AS y, CASE WHEN part < n THEN pz + part / n * (z - pz) ELSE z END AS z FROM k)"""
 ORACLE_SQL = {
     "linearize_arcs": f"{_LIN} SELECT job_id, seq, cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM l",
+    "rotate_about": f"""{_C} SELECT job_id, seq, round(5 + cos(pi() / 6) * (x - 5) - sin(pi() / 6) * (y + 2), 6) AS x, round(-2 + sin(pi() / 6) * (x - 5) + cos(pi() / 6) * (y + 2), 6) AS y,
+ round(cos(pi() / 6) * ci - sin(pi() / 6) * cj, 6) AS ci, round(sin(pi() / 6) * ci + cos(pi() / 6) * cj, 6) AS cj, cw FROM commands""",
+    "scale_about": f"{_C} SELECT job_id, seq, round(10 + (x - 10) * 1.5, 6)::DOUBLE AS x, round(20 + (y - 20) * 1.5, 6)::DOUBLE AS y, round(ci * 1.5, 6)::DOUBLE AS ci, round(cj * 1.5, 6)::DOUBLE AS cj, cw FROM commands",
     "affine_mirror": f"""{_C} SELECT job_id, seq, round(-0.6 * x + 0.8 * y + 1, 6) AS x, round(0.8 * x + 0.6 * y + 2, 6) AS y, round(-0.6 * ci + 0.8 * cj, 6) AS ci, round(0.8 * ci + 0.6 * cj, 6) AS cj, NOT cw AS cw FROM commands""",
     "affine_stretch": f"{_LIN} SELECT job_id, seq, cmd, round(2 * x, 6) AS x, round(y, 6) AS y FROM l",
     "cap_power": f"{_C} SELECT job_id, seq, round(CASE WHEN cmd = 'SET_POWER' THEN least(val, 0.6) ELSE val END, 6) AS val FROM commands",
