@@ -144,13 +144,14 @@ class Scheme:
         salts = np.arange(self.n1 * len(self.subsets), dtype=np.uint64).reshape(len(self.subsets), self.n1)
         self.salts = _mix(salts * _U(1 << 20) + _U(number * 2 + 1), 3)
 
-    def signatures(self, s: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray, mixed: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
         if self.kind == "subsets":
             size = len(s)
             first = size - -(-size * PERCENT // 100) + self.t
             if first > size:
                 return np.zeros(0, dtype=np.uint64)
-            return _mix(mixed[:first][_choices(first, self.t)].sum(axis=1) + _U(self.number), 4)
+            own = mixed[:first] if order is None else mixed[order[:first]]
+            return _mix(own[_choices(first, self.t)].sum(axis=1) + _U(self.number), 4)
         if self.kind == "none":
             return np.zeros(0, dtype=np.uint64)
         cuts = np.searchsorted(s, self.bounds)
@@ -189,14 +190,25 @@ def band(size: int) -> int:
     return number
 
 
-def signatures(s: np.ndarray, safe: float = SAFE) -> np.ndarray:
-    """All signatures of a set: those of its own band, and those of the band before, for smaller partners there."""
+def late_order(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Places of the set's shingles in the order of their hashes, those among the sorted ``late`` behind all others."""
+    frequent = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), dtype=bool)
+    return np.concatenate([np.flatnonzero(~frequent), np.flatnonzero(frequent)])
+
+
+def signatures(s: np.ndarray, safe: float = SAFE, late: np.ndarray | None = None) -> np.ndarray:
+    """All signatures of a set: those of its own band, and those of the band before, for smaller partners there.
+
+    First shingles are those in the order of ``late_order``; any order will do that is the same for all sets.
+    """
     if not len(s):
         return np.zeros(0, dtype=np.uint64)
     mixed, own = _mix(s, 0), band(len(s))
-    out = [_scheme(own, safe).signatures(s, mixed)]
+    small = any(_scheme(b, safe).kind == "subsets" for b in (own, max(0, own - 1)))
+    order = late_order(s, late) if small and late is not None else None
+    out = [_scheme(own, safe).signatures(s, mixed, order)]
     if own and len(s) * PERCENT <= _scheme(own - 1).high * 100:
-        out.append(_scheme(own - 1, safe).signatures(s, mixed))
+        out.append(_scheme(own - 1, safe).signatures(s, mixed, order))
     return np.concatenate(out)
 
 
@@ -235,7 +247,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(measure, schema)
 
 
-def signature_rows(docs: DataFrame, safe: float = SAFE) -> DataFrame:
+def signature_rows(docs: DataFrame, safe: float = SAFE, late: np.ndarray | None = None) -> DataFrame:
     """``sig, doc_id``: signatures of every set; sets that a task has already met are not sent again by that task."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +259,7 @@ def signature_rows(docs: DataFrame, safe: float = SAFE) -> DataFrame:
                 if key is None or key in known:
                     continue
                 known.add(key)
-                sigs.append(signatures(s, safe))
+                sigs.append(signatures(s, safe, late))
                 ids.append(doc_id)
                 held += len(sigs[-1])
                 if held > 200_000:
@@ -308,26 +320,30 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.mapInPandas(compare, "a long, b long").distinct())
 
 
-def _by_rare_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ``members(doc_id, component)`` of different components that share one of their first shingles.
+def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
+    """At most ``LATE_SHINGLES`` shingles that are frequent among about ``LATE_PROBE`` of ``total`` documents, sorted.
 
-    Two sets that are similar enough share a shingle among the n - ceil(0.8 n) + 1 first ones of each in any order
-    that is the same for all. Shingles that are frequent in a sample of the members come last in it, so a passage that
-    all of them hold makes no pairs; the sample orders shingles only, whatever it holds. Sketches are compared in the
-    join.
+    They come last where first shingles are taken, so that a passage of many documents makes no bucket of them. They
+    order shingles only: results are the same whatever the sample holds.
     """
-    n_members = members.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(members) if n_members <= BROADCAST_IDS else members, "doc_id")
-
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in shingle_sets(_texts(batch)):
                 yield pd.DataFrame({"g": s.view(np.int64)})
 
-    some = texts.filter(share_of(F.xxhash64(F.lit(37), F.col("doc_id")), F.lit(min(1.0, LATE_PROBE / max(1, n_members)))))
-    often = some.select("text").mapInPandas(shingles, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 4")
-    late = np.sort(np.asarray([r["g"] for r in often.orderBy(F.desc("c"), "g").limit(LATE_SHINGLES).collect()], dtype=np.int64).view(np.uint64))
+    some = docs.filter(share_of(F.xxhash64(F.lit(37), F.col("doc_id")), F.lit(min(1.0, LATE_PROBE / max(1, total)))))
+    often = some.select(F.col("text").cast("string").alias("text")).mapInPandas(shingles, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 4")
+    return np.sort(np.asarray([r["g"] for r in often.orderBy(F.desc("c"), "g").limit(LATE_SHINGLES).collect()], dtype=np.int64).view(np.uint64))
+
+
+def _by_rare_shingles(docs: DataFrame, members: DataFrame, late: np.ndarray) -> DataFrame:
+    """Pairs of ``members(doc_id, component)`` of different components that share one of their first shingles.
+
+    Two sets that are similar enough share a shingle among the n - ceil(0.8 n) + 1 first ones of each in any order
+    that is the same for all, here that of ``late_order``. Sketches are compared in the join.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "doc_id")
     names = ["doc_id", "component", "n", *[f"s{i}" for i in range(SKETCH)]]
 
     def first_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,9 +351,7 @@ def _by_rare_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
             grams, rows, held = [], [], 0
             for doc_id, component, s in zip(batch["doc_id"].tolist(), batch["component"].tolist(), shingle_sets(_texts(batch))):
                 n = len(s)
-                place = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
-                frequent = late[place] == s if len(late) else np.zeros(n, dtype=bool)
-                grams.append(np.concatenate([s[~frequent], s[frequent]])[: n - -(-n * PERCENT // 100) + 1])
+                grams.append(s[late_order(s, late)[: n - -(-n * PERCENT // 100) + 1]])
                 rows.append((doc_id, component, n, *sketch(s).tolist()))
                 held += len(grams[-1])
                 if held > 50_000:
@@ -397,7 +411,8 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     classes = written(named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     member = written(spread_join(sets.select("doc_id", "n", "h1", "h2"), classes, ["n", "h1", "h2"], "copies", total, "left").select("doc_id", "n", "rep"))
     sketches = named.drop("h1", "h2")
-    shared = _shared(docs, total, safe)
+    late = frequent_shingles(docs, total)
+    shared = _shared(docs, total, safe, late)
     stars = shared.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     side = lambda name: sketches.withColumnRenamed("doc_id", name).alias(name)
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_near_enough("a", "b")).select("a", "b").distinct()
@@ -416,7 +431,7 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     apart = apart & (F.col("x.doc_id") != F.col("x.low")) & (F.col("y.doc_id") != F.col("x.low"))
     rest = x.join(y, apart & _near_enough("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    second = _confirmed(docs, rest.union(_by_rare_shingles(docs, crowd)).distinct())
+    second = _confirmed(docs, rest.union(_by_rare_shingles(docs, crowd, late)).distinct())
     groups = written(components(first.union(copies).union(second)))
     discard(shared, labelled, mixed, small)
     # A class without links is a component of its own.
@@ -425,16 +440,16 @@ def joined(docs: DataFrame, safe: float = SAFE) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _shared(docs: DataFrame, total: int, safe: float) -> DataFrame:
+def _shared(docs: DataFrame, total: int, safe: float, late: np.ndarray) -> DataFrame:
     """``sig, doc_id, low``: rows of signatures that several documents have, with the smallest doc_id among these.
 
     Signatures that are frequent in a sample of about ``PROBE`` documents are dealt over many tasks each, and what
     these found is put together again. The sample shapes the tasks only, never the result.
     """
-    probe = signature_rows(docs.filter(share_of(F.xxhash64(F.lit(31), F.col("doc_id")), F.lit(min(1.0, PROBE / max(1, total))))), safe)
+    probe = signature_rows(docs.filter(share_of(F.xxhash64(F.lit(31), F.col("doc_id")), F.lit(min(1.0, PROBE / max(1, total))))), safe, late)
     often = probe.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") * 512 > min(total, PROBE)) & (F.col("c") > 4))
     hot = written(often.orderBy(F.desc("c"), "sig").limit(HOT_SIGNATURES).select("sig", F.lit(True).alias("hot")))
-    rows = signature_rows(docs, safe).join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(256))))
+    rows = signature_rows(docs, safe, late).join(F.broadcast(hot), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(256))))
     own = Window.partitionBy("sig", "salt")
     local = rows.withColumn("low", F.min("doc_id").over(own)).withColumn("high", F.max("doc_id").over(own))
     local = written(local.filter("hot or low < high").select("sig", "doc_id", "low", "high", "hot"))
