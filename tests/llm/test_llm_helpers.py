@@ -312,6 +312,8 @@ def test_sets_at_the_limit_share_a_signature(n):
         assert not differing or len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
         assert sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard.sketch(a) ^ jaccard.sketch(b)) <= differing
         assert abs(jaccard.band(len(a)) - jaccard.band(len(b))) <= 1
+        late = np.sort(rng.choice(np.union1d(a, b), size=max(1, n // 2), replace=False))  # frequent ones come last
+        assert not differing or len(np.intersect1d(jaccard.signatures(a, jaccard.SAFE, late), jaccard.signatures(b, jaccard.SAFE, late)))
 
 
 def test_first_fit_decreasing_is_the_plain_one():
