@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import jaccard, language, mixing, ogg, packing, pii, quality, search, url_filter, warc
+from pathloom.llm import jaccard, language, mixing, ogg, packing, pii, quality, search, suffixes, url_filter, warc
 
-MODULES = (language, mixing, url_filter, jaccard, quality, search, packing, warc, ogg, pii)
+MODULES = (language, mixing, url_filter, jaccard, quality, search, packing, warc, ogg, pii, suffixes)
 
 
 def queries() -> dict:
