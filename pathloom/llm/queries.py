@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathloom.llm import jaccard, language, mixing, ogg, packing, pii, quality, search, suffixes, url_filter, warc
+from pathloom.llm import jaccard, language, mixing, ogg, packing, pii, quality, search, spelling, suffixes, url_filter, warc, whitening
 
-MODULES = (language, mixing, url_filter, jaccard, quality, search, packing, warc, ogg, pii, suffixes)
+MODULES = (language, mixing, url_filter, jaccard, quality, search, packing, warc, ogg, pii, whitening, spelling, suffixes)
 
 
 def queries() -> dict:
