@@ -14,67 +14,72 @@ pivot, its place, both lengths and about half of what is left of the word, and k
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import discard, small_batches, written
 
-#: Runs of letters, letters that are lower-cased, runs that lose a letter.
-RUN, UPPER, TYPO_OF = r"[A-Za-zÀ-ÿ]+", {i: i + 32 for i in range(65, 91)}, 97
+#: Letters are A to Z, lower-cased, a to z and the characters from 192 to 255; of so many runs one loses a letter.
+TYPO_OF = 97
+#: Of each byte in Latin-1 its letter, or a space.
+LETTERS = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 192 else 32 for i in range(256))
 #: Code points and occurrences of a word, and how many times as frequent a word's form is.
 SHORTEST, LEAST, RATIO = 5, 3, 2
 #: Different words that a task counts before it sends their counts on, and rows that it sends at a time.
 COUNTED, SENT = 200_000, 20_000
+#: Characters of a text that are split into runs at a time, and on to the end of a run.
+PART = 1 << 20
 
 
 # Words --------------------------------------------------------------------------------------------------------------
 
 
+def runs_of(text: str) -> Iterator[list[bytes]]:
+    """The lower-cased runs of letters of a text, as Latin-1, a part of the text at a time. Other characters are not letters."""
+    line = text.encode("latin-1", "replace").translate(LETTERS)
+    lo = 0
+    while lo < len(line):
+        hi = line.find(b" ", lo + PART)
+        hi = len(line) if hi < 0 else hi
+        yield line[lo:hi].split()
+        lo = hi
+
+
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the texts, with deletions made, counted within the task. Runs are lower-cased in A to Z only."""
-    found: Counter = Counter()
+    """Words of the texts, with deletions made, counted within the task."""
+    found: dict[bytes, int] = {}
 
     def sent() -> Iterator[pa.RecordBatch]:
         words = list(found)
         for lo in range(0, len(words), SENT):
             own = words[lo : lo + SENT]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([found[w] for w in own], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in own]), pa.array([found[w] for w in own], pa.int64())], ["word", "n"])
         found.clear()
 
     for batch in batches:
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
             head = zlib.crc32(f"{doc}:".encode()) if doc is not None else None
-            own: Counter = Counter()
-            for run in re.finditer(RUN, text.as_py()):
-                own[run[0]] += 1
-                if len(own) >= COUNTED:
-                    _add(found, own, head)
-                    own = Counter()
-                    if len(found) >= COUNTED:
-                        yield from sent()
-            _add(found, own, head)
-            if len(found) >= COUNTED:
-                yield from sent()
+            for runs in runs_of(text.as_py()):
+                for run, n in Counter(runs).items():
+                    if head is not None:
+                        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), head)
+                        if h % TYPO_OF == 0:
+                            at = h % len(run)
+                            run = run[:at] + run[at + 1 :]
+                    if len(run) >= SHORTEST:
+                        found[run] = found.get(run, 0) + n
+                if len(found) >= COUNTED:
+                    yield from sent()
     yield from sent()
 
 
-def _add(found: Counter, own: Counter, head: int | None) -> None:
-    """The runs ``own`` of a document to ``found``. ``head`` is the checksum of the id and colon."""
-    for run, n in own.items():
-        word = run.translate(UPPER)
-        if head is not None and (h := zlib.crc32(word.encode(), head)) % TYPO_OF == 0:
-            at = h % len(word)
-            word = word[:at] + word[at + 1 :]
-        if len(word) >= SHORTEST:
-            found[word] += n
-
-
 def counted_words(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``word, n``: words of at least ``SHORTEST`` code points with at least ``LEAST`` occurrences in all texts."""
     rows = docs.select(F.col(id).cast("string").alias("doc"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
@@ -129,36 +134,45 @@ def keys(word: str, at: int, left: bool, own_length: int, other_length: int) ->
     return f"{side}n{fixed}|{near}", f"{side}f{fixed}|{far}"
 
 
-_KEYS = "low int, high int, key string, role boolean, word string, n bigint, end_n bigint, end string"
+_KEYS = "key bigint, role boolean, word string, n bigint, end int"
 
 
 def _key_rows(frequency: dict[str, int]):
-    """Words to their keys as pivots (``role`` true) and as gram prefixes; ``low, high`` are the lengths of this word and its partner."""
+    """Words to digests of their keys as pivots (``role`` true) and as gram prefixes; ``end`` is where the prefix ends in the order of bigrams.
+
+    A key also holds the lengths of the pivots' word and of the other one. What digests confuse is checked later.
+    """
+    place = {gram: i for i, (_, gram) in enumerate(sorted((n, g) for g, n in frequency.items()))}
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["low", "high", "key", "role", "word", "n", "end_n", "end"]
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        out: list[tuple] = []
+        digests: list[int] = []
+        own: list[tuple] = []  # (rows, role, word, n, end)
 
         def sent() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [[]] * 8
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-            out.clear()
+            times = np.array([t for t, *_ in own], np.int64)
+            role, word, n, end = (list(c) for c in zip(*[o[1:] for o in own], strict=True)) if own else ([], [], [], [])
+            at = pa.array(np.repeat(np.arange(len(own)), times))
+            columns = [pa.array(c, kind).take(at) for c, kind in ((role, pa.bool_()), (word, pa.string()), (n, pa.int64()), (end, pa.int32()))]
+            batch = pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), *columns], ["key", "role", "word", "n", "end"])
+            digests.clear()
+            own.clear()
             return batch
 
         for batch in batches:
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 size, prefix = len(word), gram_prefix(word, frequency)
-                end_n, end, _ = prefix[-1]
                 first, second = pivots(prefix)
-                places = [(True, True, first), (True, False, second)] + [(False, left, at) for _, _, at in prefix for left in (True, False)]
-                for role, left, at in places:
-                    for other in (size - 1, size, size + 1):
-                        if (at + 2 if left else size - at) > other:
-                            continue  # the partner is too short to agree
-                        mine, its = (size, other) if role else (other, size)  # lengths of the pivots' word and of the other
-                        out.extend((mine, its, key, role, word, n, end_n, end) for key in keys(word, at, left, size, other))
-                if len(out) >= SENT:
+                for role, places in ((True, ((True, first), (False, second))), (False, [(left, at) for _, _, at in prefix for left in (True, False)])):
+                    before = len(digests)
+                    for left, at in places:
+                        for other in (size - 1, size, size + 1):
+                            if (at + 2 if left else size - at) > other:
+                                continue  # the partner is too short to agree
+                            lengths = f"{size},{other}" if role else f"{other},{size}"
+                            for key in keys(word, at, left, size, other):
+                                digests.append(xxhash.xxh3_64_intdigest(lengths + key))
+                    own.append((len(digests) - before, role, word, n, place[prefix[-1][1]]))
+                if len(digests) >= SENT:
                     yield sent()
         yield sent()
 
@@ -174,11 +188,9 @@ def near_words(words: DataFrame) -> DataFrame:
     grams = words.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substr("word", i, F.lit(2))))).alias("g"))
     frequency = {r["g"]: r["k"] for r in grams.groupBy("g").agg(F.count(F.lit(1)).alias("k")).collect()}
     rows = written(words.mapInArrow(_key_rows(frequency), _KEYS))
-    mine = rows.filter("role").drop("role")
-    its = rows.filter("not role").select("low", "high", "key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("end_n").alias("other_end_n"), F.col("end").alias("other_end"))
-    order = lambda *c: F.struct(*[F.col(x).alias(f"c{i}") for i, x in enumerate(c)])
-    later = order("end_n", "end", "word") < order("other_end_n", "other_end", "other")
-    found = mine.join(its, ["key", "low", "high"]).filter(later & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n").distinct()
+    its = rows.filter("not role").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("end").alias("other_end"))
+    later = (F.col("end") < F.col("other_end")) | (F.col("end") == F.col("other_end")) & (F.col("word") < F.col("other"))
+    found = rows.filter("role").join(its, "key").filter(later & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n").distinct()
     pairs = written(found)
     discard(rows)
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))

@@ -59,7 +59,7 @@ def random_docs(seed: int, letters: str) -> list[tuple]:
         words.append(w[:at] + ("" if kind == 0 else rng.choice(letters)) + w[at + (kind != 1) :])
     weights = [1 / (1 + i) for i in range(len(words))]
     rows = [(i, " ".join(rng.choices(words, weights, k=rng.randint(0, 120)))) for i in range(150)]
-    return rows + [(3, rows[3][1]), (None, rows[4][1]), (900, None), (901, ""), (902, "1 2 3 – ÷×÷×÷ ÷×÷×÷ ÷×÷×÷ STRAßE Straße straße"), (903, "a" * 3000 + " " + "a" * 3000 + " " + "a" * 3000 + " " + ("a" * 2999 + " ") * 7)]
+    return rows + [(3, rows[3][1]), (None, rows[4][1]), (900, None), (901, ""), (902, "1 2 3 – ÷×÷×÷ ÷×÷×÷ ÷×÷×÷ STRAßE Straße straße"), (902, "Łódź straßen naïveté… naïveté naïveté 日本naïveté語"), (903, "a" * 3000 + " " + "a" * 3000 + " " + "a" * 3000 + " " + ("a" * 2999 + " ") * 7)]
 
 
 @pytest.mark.parametrize(("seed", "letters"), [(1, "abc"), (2, "abcdefghij"), (3, "aéÉàbßÿ"), (4, "ab")])
@@ -83,12 +83,12 @@ def test_pivots_are_the_cheapest_disjoint_pair():
 
 def test_counts_leave_tasks_in_parts(spark):
     rows = [(1, " ".join(f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}" for i in range(300)))]
-    make, most = spelling._counts, spelling.COUNTED
-    spelling.COUNTED = 7
+    make, most, part = spelling._counts, spelling.COUNTED, spelling.PART
+    spelling.COUNTED, spelling.PART = 7, 100
     try:
         parts = [b for batch in spark.createDataFrame(rows, "doc string, text string").toArrow().to_batches() for b in make([batch])]
     finally:
-        spelling.COUNTED = most
+        spelling.COUNTED, spelling.PART = most, part
     total: Counter = Counter()
     for b in parts:
         total.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True)))
