@@ -67,6 +67,14 @@ def bezier_steps(x0, y0, c1x, c1y, c2x, c2y, x1, y1) -> Column:
     return F.greatest(F.ceil(rough / 0.1), F.lit(2)).cast("int")
 
 
+def bezier_chords(tolerance: float, *axes: tuple) -> Column:
+    """Chords of even steps that stay within ``tolerance`` of a cubic: its second derivative is at most six times the larger
+    second difference of its points, and a chord of 1/n of the way strays by an eighth of that over n squared. ``axes`` are
+    (start, control, control, end) for each coordinate."""
+    bend = lambda i: F.sqrt(sum((p[i] - F.lit(2.0) * p[i + 1] + p[i + 2]) * (p[i] - F.lit(2.0) * p[i + 1] + p[i + 2]) for p in axes))
+    return F.greatest(F.ceil(F.sqrt(F.greatest(bend(0), bend(1)) * (0.75 / tolerance))), F.lit(1)).cast("int")
+
+
 def bezier_length(steps: Column, x0, y0, c1x, c1y, c2x, c2y, x1, y1) -> Column:
     """Length by ``steps`` chords; ``steps`` and the points should be plain columns, as they are used for every chord."""
     def add(acc, i):  # noqa: E306

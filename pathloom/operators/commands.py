@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from pathloom.functions.geometry import COLLINEAR, arc_box, arc_length, hypot
+from pathloom.functions.geometry import COLLINEAR, arc_box, arc_length, bezier_length, bezier_steps, hypot
 from pathloom.functions.windows import before, ffill, islands, long_scan, ordered, so_far
 from pathloom.sources.derive import cte, table
 
@@ -20,6 +20,14 @@ FEED, RAPID, ACCELERATION = 1000.0, 3000.0, 500.0
 
 
 
+#: Columns of the two control points of a BEZIER_TO; tables without curves do without them.
+CONTROLS = ("c1x", "c1y", "c1z", "c2x", "c2y", "c2z")
+
+
+def has_curves(df: DataFrame) -> bool:
+    return set(CONTROLS) <= set(df.columns)
+
+
 def by_job() -> WindowSpec:
     return ordered("job_id")
 
@@ -106,7 +114,7 @@ def trapezoid(distance: Column, speed: Column, acceleration: float) -> Column:
 
 def with_durations(df: DataFrame, feed: float = FEED, rapid: float = RAPID, acceleration: float = ACCELERATION) -> DataFrame:
     """Seconds of each command: travel at the rapid rate, cuts at pitch times revolutions when both are set, else at
-    the feed rate; dwells by their milliseconds. Lengths are true arc lengths and the path starts at the origin."""
+    the feed rate; dwells by their milliseconds. Lengths are true lengths of arcs and curves, and the path starts at the origin."""
     def carried(name, default):  # noqa: E306
         return F.coalesce(ffill(F.when(is_(name), F.col("val")), by_job()), F.lit(default))
     rows = with_previous(df).select(
@@ -115,12 +123,17 @@ def with_durations(df: DataFrame, feed: float = FEED, rapid: float = RAPID, acce
     )
     px, py = F.coalesce("px", F.lit(0.0)), F.coalesce("py", F.lit(0.0))
     x, y = F.col("x"), F.col("y")
-    length = F.when(is_("ARC_TO"), arc_length(px, py, x, y, F.col("ci"), F.col("cj"), F.col("cw"))).otherwise(hypot(x - px, y - py))
+    length = F.when(is_("ARC_TO"), arc_length(px, py, x, y, F.col("ci"), F.col("cj"), F.col("cw")))
+    if has_curves(df):
+        points = (px, py, F.col("c1x"), F.col("c1y"), F.col("c2x"), F.col("c2y"), x, y)
+        rows = rows.withColumn("__steps", F.when(is_("BEZIER_TO"), bezier_steps(*points)))
+        length = length.when(is_("BEZIER_TO"), bezier_length(F.col("__steps"), *points))
+    length = length.otherwise(hypot(x - px, y - py))
     synced = F.when((F.col("__pitch") > 0) & (F.col("__rpm") > 0), F.col("__pitch") * F.col("__rpm")).otherwise(F.col("__feed"))
     speed = F.when(is_("MOVE_TO"), F.col("__rapid")).otherwise(synced)
     seconds = F.when(is_moving(), F.when(F.col("__length") < COLLINEAR, F.lit(0.0)).otherwise(trapezoid(F.col("__length"), speed, acceleration)))
     seconds = seconds.when(is_("DWELL"), F.col("val") / 1000.0).otherwise(F.lit(0.0))
-    return rows.withColumn("__length", length).withColumn("duration", seconds).drop("__feed", "__rapid", "__rpm", "__pitch", "__length")
+    return rows.withColumn("__length", length).withColumn("duration", seconds).drop("__feed", "__rapid", "__rpm", "__pitch", "__length", "__steps")
 
 
 def with_clock(df: DataFrame) -> DataFrame:
@@ -211,7 +224,7 @@ def job_measures(df: DataFrame) -> DataFrame:
 
 
 def _boxes(df: DataFrame) -> DataFrame:
-    """Bounds of each moving command; cuts before any travel start at the origin."""
+    """Bounds of each moving command, control points of curves included; cuts before any travel start at the origin."""
     rows = with_state(with_previous(df)).filter(is_moving())
     px, py, x, y = F.coalesce("px", F.lit(0.0)), F.coalesce("py", F.lit(0.0)), F.col("x"), F.col("y")
     ci, cj, r = F.col("ci"), F.col("cj"), hypot(F.col("ci"), F.col("cj"))
@@ -220,7 +233,8 @@ def _boxes(df: DataFrame) -> DataFrame:
     plain = (F.least(px, x), F.least(py, y), F.greatest(px, x), F.greatest(py, y))
     arc = arc_box(px, py, x, y, ci, cj, F.col("cw"))
     names = ("x0", "y0", "x1", "y1")
-    return rows.select("*", *[F.when(is_("ARC_TO"), F.when(circle, c).otherwise(a)).otherwise(p).alias(n) for n, c, a, p in zip(names, round_box, arc, plain)])
+    curve = [f(p, *[F.col(f"c{k}{n[0]}") for k in (1, 2)]) for n, p, f in zip(names, plain, (F.least, F.least, F.greatest, F.greatest))] if has_curves(df) else plain
+    return rows.select("*", *[F.when(is_("ARC_TO"), F.when(circle, c).otherwise(a)).when(is_("BEZIER_TO"), b).otherwise(p).alias(n) for n, c, a, p, b in zip(names, round_box, arc, plain, curve)])
 
 
 def _bounds(rows: DataFrame, *keys: str) -> DataFrame:

@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.geometry import TAU, bezier_at, bezier_length, bezier_steps, hypot
-from pathloom.functions.windows import ffill, ordered, so_far
+from pathloom.functions.geometry import TAU, bezier_at, bezier_chords, bezier_length, bezier_steps, hypot
+from pathloom.functions.windows import before, ffill, ordered, so_far
 from pathloom.operators import commands as ops
 from pathloom.operators.commands import by_job, is_, is_moving, rounded
 from pathloom.operators.rings import edges
@@ -19,8 +19,9 @@ from pathloom.sources.derive import cte, table
 BASE = ("job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val", "sval", "section_type")
 
 
-def linearized(df: DataFrame, resolution: float) -> DataFrame:
-    """Arcs as chords of at most ``resolution``, two at least; radius and height change evenly on the way.
+def linearized(df: DataFrame, resolution: float, tolerance: float = 0.01) -> DataFrame:
+    """Arcs as chords of at most ``resolution``, two at least; radius and height change evenly on the way. Curves, where the
+    table has control points, as chords of even steps that stay within ``tolerance``.
 
     New rows keep their command's ``seq`` and are told apart by ``part``; ``renumbered`` gives them a dense order.
     """
@@ -33,15 +34,20 @@ def linearized(df: DataFrame, resolution: float) -> DataFrame:
     r0, r1 = hypot(F.col("ci"), F.col("cj")), hypot(F.col("x") - cx, F.col("y") - cy)
     rows = rows.withColumns({"__cx": cx, "__cy": cy, "__a0": a0, "__sweep": sweep, "__r0": r0, "__r1": r1})
     n = F.greatest(F.ceil(F.col("__sweep") * (F.col("__r0") + F.col("__r1")) / 2 / resolution), F.lit(2))
-    parts = F.when(is_("ARC_TO") & (F.col("__r0") >= 1e-9), n).otherwise(F.lit(1)).cast("int")
-    rows = rows.withColumn("__n", parts).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    parts = F.when(is_("ARC_TO") & (F.col("__r0") >= 1e-9), n)
+    curves = {c: tuple(F.col(f"{p}{c}") for p in ("p", "c1", "c2", "")) for c in "xyz"} if ops.has_curves(df) else {}
+    if curves:
+        parts = parts.when(is_("BEZIER_TO"), bezier_chords(tolerance, *curves.values()))
+    rows = rows.withColumn("__n", parts.otherwise(F.lit(1)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     t = F.col("part") / F.col("__n")
     angle = F.col("__a0") + F.when(F.col("cw"), -t * F.col("__sweep")).otherwise(t * F.col("__sweep"))
     radius = F.col("__r0") + t * (F.col("__r1") - F.col("__r0"))
     inner = F.col("part") < F.col("__n")
+    arc = {"x": F.col("__cx") + radius * F.cos(angle), "y": F.col("__cy") + radius * F.sin(angle), "z": F.col("pz") + t * (F.col("z") - F.col("pz"))}
+    on = {c: F.when(is_("BEZIER_TO"), bezier_at(*curves[c], t)).otherwise(arc[c]) if curves else arc[c] for c in "xyz"}
+    gone = is_("ARC_TO", "BEZIER_TO") if curves else is_("ARC_TO")
     out = {
-        "x": F.when(inner, F.col("__cx") + radius * F.cos(angle)).otherwise(F.col("x")), "y": F.when(inner, F.col("__cy") + radius * F.sin(angle)).otherwise(F.col("y")),
-        "z": F.when(inner, F.col("pz") + t * (F.col("z") - F.col("pz"))).otherwise(F.col("z")), "cmd": F.when(is_("ARC_TO"), "LINE_TO").otherwise(F.col("cmd")),
+        **{c: F.when(inner, on[c]).otherwise(F.col(c)) for c in "xyz"}, "cmd": F.when(gone, "LINE_TO").otherwise(F.col("cmd")),
         "ci": F.lit(None).cast("double"), "cj": F.lit(None).cast("double"), "cw": F.lit(None).cast("boolean"),
     }
     return rows.withColumns(out).select(*BASE, "part")
@@ -85,13 +91,19 @@ def multipass(df: DataFrame, passes: int, step: float) -> DataFrame:
 
 def flipped(df: DataFrame) -> DataFrame:
     """The job backwards: a travel to the last end, then each moving command to the end before it; other rows keep their
-    place between the moves, in reverse order. Arcs turn round, and so do samples, where the table has them."""
-    keep = ["job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val", "sval", "section_type", *(["samples"] if "samples" in df.columns else [])]
-    rows = ops.with_previous(df).withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq"))).cast("long"))
+    place between the moves, in reverse order. Arcs turn round, and so do samples and control points, where the table has them.
+    The axes of ``extra_axes`` belong to a move's end, so they go to the move that ends there now."""
+    more = [c for c in ("samples", *ops.CONTROLS, "extra_axes") if c in df.columns]
+    keep = ["job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val", "sval", "section_type", *more]
+    rows = ops.with_previous(df)
+    if "extra_axes" in more:
+        rows = rows.withColumn("__axes", F.last(F.when(is_moving(), F.struct("extra_axes")), ignorenulls=True).over(before(by_job()))["extra_axes"])
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq"))).cast("long"))
     last = F.col("seq") == F.min(F.when(is_moving(), F.col("seq"))).over(Window.partitionBy("job_id"))
-    moved = rows.filter(is_moving()).filter("px is not null").select("job_id", "seq", "cmd", *[(F.col("px") + F.col("ci") - F.col("x")).alias("ci2"), (F.col("py") + F.col("cj") - F.col("y")).alias("cj2")], "px", "py", "pz", "cw", *keep[9:])
-    moved = moved.select("job_id", "seq", "cmd", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.col("ci2").alias("ci"), F.col("cj2").alias("cj"), (~F.col("cw")).alias("cw"), *[F.reverse(c).alias(c) if c == "samples" else F.col(c) for c in keep[9:]])
-    null = {k: F.lit(None).cast(t) for k, t in (("ci", "double"), ("cj", "double"), ("cw", "boolean"), ("val", "double"), ("sval", "string"), ("section_type", "string"), *([("samples", "array<int>")] if "samples" in keep else []))}
+    moved = rows.filter(is_moving()).filter("px is not null").select("job_id", "seq", "cmd", *[(F.col("px") + F.col("ci") - F.col("x")).alias("ci2"), (F.col("py") + F.col("cj") - F.col("y")).alias("cj2")], "px", "py", "pz", "cw", *keep[9:], *(["__axes"] if "extra_axes" in more else []))
+    swapped = {"samples": F.reverse("samples") if "samples" in more else None, **{c: F.col(f"c{3 - int(c[1])}{c[2]}") for c in ops.CONTROLS}, "extra_axes": F.col("__axes")}
+    moved = moved.select("job_id", "seq", "cmd", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.col("ci2").alias("ci"), F.col("cj2").alias("cj"), (~F.col("cw")).alias("cw"), *[swapped[c].alias(c) if c in more else F.col(c) for c in keep[9:]])
+    null = {k: F.lit(None).cast(df.schema[k].dataType) for k in ("ci", "cj", "cw", "val", "sval", "section_type", *[c for c in more if c != "extra_axes"])}
     head = rows.withColumn("__last", last).filter("__last").withColumns({"seq": F.lit(0).cast("long"), "cmd": F.lit("MOVE_TO"), **null})
     rest = rows.filter(~is_moving())
     return head.select(*keep).unionByName(moved.select(*keep)).unionByName(rest.select(*keep))
@@ -169,10 +181,14 @@ def engagement(df: DataFrame, radius: float) -> DataFrame:
     )
 
 
+def fluence_at(power: Column, watts: float, spot_x: float, spot_y: float, speed: float) -> Column:
+    """Energy per square centimetre of a spot at a share of the power, kept between 0 and 1."""
+    return F.least(F.greatest(power, F.lit(0.0)), F.lit(1.0)) * watts * (spot_y / speed) / (spot_x * spot_y / 100)
+
+
 def fluence(df: DataFrame, watts: float, spot_x: float, spot_y: float, speed: float) -> DataFrame:
     """Energy per square centimetre at each cut's power."""
-    share = F.least(F.greatest(F.col("power"), F.lit(0.0)), F.lit(1.0))
-    return ops.with_state(df).filter(is_moving()).select("job_id", "seq", (share * watts * (spot_y / speed) / (spot_x * spot_y / 100)).alias("fluence"))
+    return ops.with_state(df).filter(is_moving()).select("job_id", "seq", fluence_at(F.col("power"), watts, spot_x, spot_y, speed).alias("fluence"))
 
 
 def headings(df: DataFrame, tolerance: float) -> DataFrame:

@@ -92,6 +92,23 @@ SELECT event_id AS seq, 1000 + user_id % 100 AS span, event_type AS source,
 """,
 }
 
+#: Commands with every third arc as a curve of two control points instead.
+SQL["curves"] = f"""
+WITH co AS ({SQL['commands']}), cu AS (SELECT *, cmd = 'ARC_TO' AND seq % 3 = 1 AS curve FROM co)
+SELECT job_id, seq, CASE WHEN curve THEN 'BEZIER_TO' ELSE cmd END AS cmd, x, y, z, CASE WHEN NOT curve THEN ci END AS ci, CASE WHEN NOT curve THEN cj END AS cj, CASE WHEN NOT curve THEN cw END AS cw,
+  val, sval, section_type, CASE WHEN curve THEN x - ci * 4.0e0 END AS c1x, CASE WHEN curve THEN y + cj END AS c1y, CASE WHEN curve THEN z END AS c1z,
+  CASE WHEN curve THEN x + cj END AS c2x, CASE WHEN curve THEN y - ci * 3.0e0 END AS c2y, CASE WHEN curve THEN z + 1.0e0 END AS c2z
+FROM cu
+"""
+
+#: Commands with layers as named blocks of state, some of them nested, unclosed or without a start.
+SQL["blocks"] = f"""
+WITH co AS ({SQL['commands']})
+SELECT job_id, seq, CASE cmd WHEN 'LAYER_START' THEN 'STATE_BLOCK_START' WHEN 'LAYER_END' THEN 'STATE_BLOCK_END' ELSE cmd END AS cmd, x, y, z, ci, cj, cw, val,
+  CASE WHEN cmd = 'LAYER_START' THEN concat(CASE WHEN seq % 3 = 0 THEN 'post-' ELSE 'pre-' END, CAST(seq % 20 AS INT)) WHEN cmd = 'LAYER_END' THEN NULL ELSE sval END AS sval, section_type
+FROM co
+"""
+
 PIXELS_DUCKDB = """
 SELECT image_id, y, x, CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 0.55e0) * 240.0e0))) AS INT) AS gray,
  CASE WHEN (y + x) % 11 = 0 THEN 0 ELSE 255 END AS a FROM (SELECT image_id, y, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS x
@@ -103,7 +120,7 @@ SELECT image_id, y, x, CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 0.
  FROM (SELECT label AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS y, embedding FROM embeddings))
 """
 
-SOURCES = {"commands": ["events"], "rings": ["part"], "points": ["customer"], "hatch": ["lineitem"], "mesh_verts": ["part"], "mesh_tris": ["part"], "requests": ["lineitem"], "trace_spans": ["region", "nation", "supplier"], "trace_events": ["events"]} | {"pixels": ["embeddings"]}
+SOURCES = {"commands": ["events"], "curves": ["events"], "blocks": ["events"], "rings": ["part"], "points": ["customer"], "hatch": ["lineitem"], "mesh_verts": ["part"], "mesh_tris": ["part"], "requests": ["lineitem"], "trace_spans": ["region", "nation", "supplier"], "trace_events": ["events"]} | {"pixels": ["embeddings"]}
 
 
 
