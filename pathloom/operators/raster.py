@@ -81,10 +81,11 @@ def binary(pixels: DataFrame, thresholds: DataFrame, invert: bool = False) -> Da
 
 
 def power(pixels: DataFrame, low: float, high: float, levels: int) -> DataFrame:
-    """Power bytes: darker is stronger, transparent is 0, quantised to ``levels``."""
+    """Power bytes: darker is stronger, transparent is 0, quantised to ``levels``. Columns besides those of pixels stay."""
     pv = half_up((F.lit(low) + (F.lit(1.0) - F.col("gray") / 255.0) * (high - low)) * 255.0)
     pv = F.when(F.col("a") == 0, F.lit(0)).otherwise(pv)
-    return pixels.select("image_id", "y", "x", half_up(half_up(pv * (levels - 1) / 255.0) * 255.0 / (levels - 1)).cast("int").alias("power"))
+    more = [c for c in pixels.columns if c not in ("image_id", "y", "x", "gray", "a")]
+    return pixels.select("image_id", "y", "x", *more, half_up(half_up(pv * (levels - 1) / 255.0) * 255.0 / (levels - 1)).cast("int").alias("power"))
 
 
 def bayer(pixels: DataFrame, cell: int = 1) -> DataFrame:
@@ -291,7 +292,7 @@ def _rows(p: DataFrame) -> DataFrame:
 
 def _rgba(p: DataFrame) -> DataFrame:
     a = (F.col("gray") * 5 + F.col("x") * 51) % 256
-    return p.filter("x < 24").select("image_id", "y", "x", *[F.floor((F.col("gray") * k + F.col("y")) % 256 * a / 255).alias(c) for c, k in (("r", 1), ("g", 3), ("b", 7))], a.alias("a"))
+    return p.select("image_id", "y", "x", *[F.floor((F.col("gray") * k + F.col("y")) % 256 * a / 255).alias(c) for c, k in (("r", 1), ("g", 3), ("b", 7))], a.alias("a"))
 
 
 _ink = lambda p: p.filter("gray <= 110").select("image_id", "y", "x")
@@ -332,6 +333,12 @@ _OTSU = f"""{_H}, c AS (SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY gr
 _POWER = f"""{_P}, pw AS (SELECT image_id, y, x, floor(floor(CASE WHEN a = 0 THEN 0 ELSE floor((0.1 + (1 - gray / 255.0) * 0.8) * 255 + 0.5) END * 15 / 255.0 + 0.5) * 255.0 / 15 + 0.5)::INT AS power FROM pixels)"""
 _RUNS = f"""{_POWER}, i AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pw WHERE power <> 0),
  runs AS (SELECT image_id, y, min(x) AS lo, max(x) + 1 AS hi, sum(power)::BIGINT AS total FROM i GROUP BY image_id, y, g)"""
+_COMPONENTS = f"""{_P.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pixels WHERE gray <= 110),
+ l AS (SELECT image_id, y, min(x) AS lo, max(x) AS hi, y * 4294967296 + min(x) AS run FROM k GROUP BY image_id, y, g),
+ t AS (SELECT a.image_id, a.run AS u, b.run AS v FROM l a JOIN l b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1),
+ r AS (SELECT image_id, run AS node, run AS label FROM l UNION SELECT t.image_id, t.v, r.label FROM r JOIN t ON t.image_id = r.image_id AND t.u = r.node AND r.label < t.v),
+ m AS (SELECT image_id, node, min(label) AS label FROM r GROUP BY ALL),
+ ar AS (SELECT m.image_id, label, sum(hi - lo + 1)::BIGINT AS area FROM m JOIN l ON l.image_id = m.image_id AND l.run = m.node GROUP BY ALL)"""
 ORACLE_SQL = {
     "srgb": f"""{_P}, l AS (SELECT *, CASE WHEN gray / 255.0 <= 0.04045 THEN gray / 255.0 / 12.92 ELSE ((gray / 255.0 + 0.055) / 1.055) ** 2.4 END AS v FROM pixels)
  SELECT image_id, y, x, round(v::DOUBLE, 6) AS linear, floor(CASE WHEN v <= 0.0031308 THEN v * 12.92 ELSE v ** (1 / 2.4) * 1.055 - 0.055 END * 255 + 0.5)::BIGINT AS back FROM l""",
@@ -344,7 +351,7 @@ ORACLE_SQL = {
     "halftone_dither": f"""{_P} SELECT image_id, y, x, ((cos(2 * pi() * ((x + 0.5) / 10.0 * cos(radians(30)) + (y + 0.5) / 8.0 * sin(radians(30))) / 0.7) + cos(2 * pi() * ((y + 0.5) / 8.0 * cos(radians(30)) - (x + 0.5) / 10.0 * sin(radians(30))) / 0.7)) / 4 + 0.5
  > list_extract([{', '.join(f'{v!r}::DOUBLE' for v in spot_levels())}], gray + 1))::INT AS ink FROM pixels""",
     "newsprint_dither": f"{_P} SELECT image_id, y, x, (gray < 255.0 * (1 - ([{', '.join(map(str, newsprint_ranks()))}][(y // 3 % 8 * 8 + x // 2 % 8 + 1)::INT] + 0.5) / 64))::INT AS ink FROM pixels",
-    "gray_from_rgba": f"""{_P}, c AS (SELECT image_id, y, x, (gray * 5 + x * 51) % 256 AS a, gray, unnest([1, 3, 7]) AS k FROM pixels WHERE x < 24),
+    "gray_from_rgba": f"""{_P}, c AS (SELECT image_id, y, x, (gray * 5 + x * 51) % 256 AS a, gray, unnest([1, 3, 7]) AS k FROM pixels),
  v AS (SELECT *, floor(least(greatest(floor((gray * k + y) % 256 * a / 255) / greatest(a / 255, 1e-6), 0), 255)) / 255 AS v FROM c),
  l AS (SELECT *, 1 - (1 - CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE ((v + 0.055) / 1.055) ** 2.4 END) * (a / 255) AS l FROM v),
  s AS (SELECT image_id, y, x, a, sum(l * CASE k WHEN 1 THEN 0.2989 WHEN 3 THEN 0.587 ELSE 0.114 END) AS l FROM l GROUP BY ALL)
@@ -363,12 +370,7 @@ ORACLE_SQL = {
  CASE part WHEN 1 THEN total END AS total FROM s, (VALUES (0), (1)) AS t(part)""",
     "depth_passes": f"""{_P}, l AS (SELECT *, ceil((1 - gray / 255.0) * 4)::INT AS level FROM pixels), d AS (SELECT *, unnest(range(1, level + 1))::INT AS pass FROM l WHERE level > 0)
  SELECT image_id, pass, y, count(*) AS n, min(x) AS lo, max(x) AS hi FROM d GROUP BY ALL""",
-    "image_components": f"""{_P.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pixels WHERE gray <= 110),
- l AS (SELECT image_id, y, min(x) AS lo, max(x) AS hi, y * 4294967296 + min(x) AS run FROM k GROUP BY image_id, y, g),
- t AS (SELECT a.image_id, a.run AS u, b.run AS v FROM l a JOIN l b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1),
- r AS (SELECT image_id, run AS node, run AS label FROM l UNION SELECT t.image_id, t.v, r.label FROM r JOIN t ON t.image_id = r.image_id AND t.u = r.node AND r.label < t.v),
- m AS (SELECT image_id, node, min(label) AS label FROM r GROUP BY ALL)
- SELECT m.image_id, label, sum(hi - lo + 1)::BIGINT AS area FROM m JOIN l ON l.image_id = m.image_id AND l.run = m.node GROUP BY ALL""",
+    "image_components": f"{_COMPONENTS} SELECT * FROM ar",
     "fluence_map": f"{_POWER} SELECT image_id, y // 4 AS cy, (x // 4)::BIGINT AS cx, round(max(power) / 255.0 * 12.5, 6)::DOUBLE AS fluence FROM pw GROUP BY ALL",
     "burn_surface": f"""{_POWER}, pl AS (SELECT DISTINCT image_id, image_id % 3 AS stock_id, image_id % 2 + 1 AS k, image_id * 5 AS tx, image_id * 3 AS ty FROM pixels)
  SELECT stock_id, x * k + i.i + tx AS px, y * k + j.j + ty AS py, max(power) AS power FROM pw JOIN pl USING (image_id), range(2) i(i), range(2) j(j) WHERE power > 0 AND i.i < k AND j.j < k GROUP BY ALL""",

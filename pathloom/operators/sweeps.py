@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.geometry import hypot
 from pathloom.functions.windows import before, islands, ordered
 from pathloom.operators.commands import by_job, is_, is_moving, rounded
-from pathloom.operators.raster import _POWER, _RUNS, power, runs, scan_rows
+from pathloom.operators.raster import _COMPONENTS, _POWER, _RUNS, components, power, runs, scan_rows
 from pathloom.sources.derive import cte, table
 
 #: Fixed value: bytes of a command in memory, as the container's estimate counts them.
@@ -258,7 +258,7 @@ def _pixels(f):
 
 
 def _sweeps(p: DataFrame) -> DataFrame:
-    return from_rows(scan_rows(power(p.filter("x < 40 and y < 60"), 0.1, 0.9, 16)), 0.1)
+    return from_rows(scan_rows(power(p, 0.1, 0.9, 16)), 0.1)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -271,18 +271,17 @@ def _boxes(p: DataFrame) -> DataFrame:
 
 
 def _areas(p: DataFrame) -> DataFrame:
-    """Areas as they come from components: here the sizes of rows' runs, which need no labels."""
-    w = Window.partitionBy("image_id", "y").orderBy("x")
-    line = p.filter("gray <= 110").withColumn("g", F.col("x") - F.row_number().over(w)).groupBy("image_id", "y", "g").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("lo"))
-    return line.select("image_id", (F.col("y") * 65536 + F.col("lo")).alias("label"), "area")
+    """Components of the dark pixels with their areas."""
+    return components(p.filter("gray <= 110"))
 
 
 def _composite(p: DataFrame) -> DataFrame:
-    low = p.filter("image_id < 8 and y < 12 and x < 12").withColumn("alpha", ((F.col("gray") * 7 + F.col("x") * 31) % 4 * 85).cast("int"))
+    low = p.withColumn("alpha", ((F.col("gray") * 7 + F.col("x") * 31) % 4 * 85).cast("int"))
     sources = low.select("image_id", "y", "x", F.floor(F.col("gray") * F.col("alpha") / 255).cast("int").alias("v"), F.col("alpha").alias("a"))
     i = F.col("image_id")
-    views = low.select("image_id").distinct().select((i % 2).alias("target_id"), i.alias("ord"), "image_id", F.lit(12).alias("w"), F.lit(12).alias("h"), (i * 2.5 - 3.0).alias("dst_x"), (i * 1.5).alias("dst_y"), (F.lit(0.5) + i % 3 * 0.75).alias("scale_x"), (F.lit(1.0) + i % 2 * 0.5).alias("scale_y"))
-    return composited(sources, views, 24, 24)
+    size = low.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).cast("int").alias("h"))
+    views = size.select((i % 2).alias("target_id"), i.alias("ord"), "image_id", "w", "h", (i * 2.5 - 3.0).alias("dst_x"), (i * 1.5).alias("dst_y"), (F.lit(0.5) + i % 3 * 0.75).alias("scale_x"), (F.lit(1.0) + i % 2 * 0.5).alias("scale_y"))
+    return composited(sources, views, 96, 96)
 
 
 def _effects(spark, sf_dir: str) -> DataFrame:
@@ -304,7 +303,7 @@ QUERIES = {
     "bidirectional_offset": _pixels(lambda p: _flat(bidirectional_offset(_sweeps(p), 0.7))),
     "clip_sweeps_to_rect": _pixels(lambda p: _flat(clipped_rect(_sweeps(p), (0.55, 0.3, 2.75, 4.05)))),
     "scan_positions": _pixels(lambda p: scan_positions(_boxes(p), 10.0, 0.25, 0.13)),
-    "resample_rows": _pixels(lambda p: resampled_rows(p.filter("x < 30"), scan_positions(_boxes(p), 10.0, 0.75, 0.13))),
+    "resample_rows": _pixels(lambda p: resampled_rows(p, scan_positions(_boxes(p), 10.0, 0.75, 0.13))),
     "adaptive_sizes": _pixels(lambda p: adaptive_sizes(_areas(p))),
     "denoise": _pixels(lambda p: denoised(_areas(p))),
     "composite_views": _pixels(_composite),
@@ -312,7 +311,7 @@ QUERIES = {
     "grid_coordinates": lambda spark, sf_dir: rounded(grid_coordinates(table(spark, sf_dir, "mesh_verts"), (1.5, -2.0), (4.0, 8.0), (200, 160))),
 }
 
-_SWEEP = f"""{_POWER}, i0 AS (SELECT image_id, y, min(x) FILTER (power <> 0) AS lo, max(x) FILTER (power <> 0) + 1 AS hi, list(power ORDER BY x) AS s FROM pw WHERE x < 40 AND y < 60 GROUP BY image_id, y),
+_SWEEP = f"""{_POWER}, i0 AS (SELECT image_id, y, min(x) FILTER (power <> 0) AS lo, max(x) FILTER (power <> 0) + 1 AS hi, list(power ORDER BY x) AS s FROM pw GROUP BY image_id, y),
  i1 AS (SELECT *, y % 2 = 1 AS back, s[lo + 1:hi] AS cut FROM i0 WHERE lo IS NOT NULL),
  i2 AS (SELECT image_id AS job_id, y AS line, 1 AS part, 'MOVE_TO' AS cmd, CASE WHEN back THEN hi ELSE lo END * 0.1::DOUBLE AS x, y * 0.1::DOUBLE AS y, NULL::INT[] AS samples FROM i1
   UNION ALL SELECT image_id, y, 2, 'SCAN_LINE', CASE WHEN back THEN lo ELSE hi END * 0.1::DOUBLE, y * 0.1::DOUBLE, CASE WHEN back THEN list_reverse(cut) ELSE cut END FROM i1
@@ -320,8 +319,7 @@ _SWEEP = f"""{_POWER}, i0 AS (SELECT image_id, y, min(x) FILTER (power <> 0) AS
  sw AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY line, part) - 1 AS seq, cmd, x, y, samples FROM i2)"""
 _TXT = "array_to_string(samples, ',') AS samples"
 _PAIRS = f"""{_SWEEP}, ab AS (SELECT a.job_id, a.seq AS s, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, b.samples FROM sw a JOIN sw b ON b.job_id = a.job_id AND b.seq = a.seq + 1 WHERE b.cmd = 'SCAN_LINE')"""
-_AREAS = f"""{_SWEEP.split(', i0 AS')[0]}, k AS (SELECT image_id, y, x, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM pixels WHERE gray <= 110),
- ar AS (SELECT image_id, y * 65536 + min(x) AS label, count(*) AS area FROM k GROUP BY image_id, y, g),
+_AREAS = f"""{_COMPONENTS},
  bn AS (SELECT image_id, area, count(*) AS n FROM ar GROUP BY ALL), gp AS (SELECT *, lag(area) OVER (PARTITION BY image_id ORDER BY area) AS below FROM bn),
  sz AS (SELECT image_id, CASE WHEN bool_and(area > 10 AND n < 10) OR count(*) <= 1 THEN 2 ELSE greatest(2, least(100, arg_max(below, (area - below, -below)) FILTER (below IS NOT NULL) + 1)) END::INT AS min_area FROM gp GROUP BY image_id)"""
 _POS = """, bx AS (SELECT image_id, min(y) FILTER (gray <= 150) AS y_min, max(y) FILTER (gray <= 150) AS y_max, max(y) + 1 AS height FROM pixels GROUP BY image_id),
@@ -350,13 +348,13 @@ ORACLE_SQL = {
  UNION ALL SELECT job_id, seq, 1, cmd, NULL, NULL, NULL FROM sw WHERE cmd LIKE 'OPS%'""",
     "scan_positions": f"{_POWER}{_POS.format(i='0.25::DOUBLE')} SELECT image_id, row, round(y_mm, 6) AS y_mm, round(y_px, 6) AS y_px FROM po",
     "resample_rows": f"""{_POWER}{_POS.format(i='0.75::DOUBLE')} SELECT po.image_id, po.row, a.x, round(a.gray * (1 - (y_px - floor(y_px))) + b.gray * (y_px - floor(y_px)), 6) AS gray
- FROM po JOIN pixels a ON a.image_id = po.image_id AND a.y = floor(y_px) AND a.x < 30 JOIN pixels b ON b.image_id = po.image_id AND b.y = ceil(y_px) AND b.x = a.x""",
+ FROM po JOIN pixels a ON a.image_id = po.image_id AND a.y = floor(y_px) JOIN pixels b ON b.image_id = po.image_id AND b.y = ceil(y_px) AND b.x = a.x""",
     "adaptive_sizes": f"{_AREAS} SELECT image_id, min_area FROM sz",
     "denoise": f"{_AREAS} SELECT image_id, label, area FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS c FROM ar) JOIN sz USING (image_id) WHERE area >= min_area OR c = 1",
-    "composite_views": f"""{_POWER.replace('WITH', 'WITH RECURSIVE', 1)}, so AS MATERIALIZED (SELECT image_id, y, x, gray * a // 255 AS v, a FROM (SELECT image_id, y, x, gray, (gray * 7 + x * 31) % 4 * 85 AS a FROM pixels WHERE image_id < 8 AND y < 12 AND x < 12)),
- vw AS (SELECT DISTINCT image_id, image_id % 2 AS target_id, (image_id * 2.5 - 3.0)::DOUBLE AS dx, (image_id * 1.5)::DOUBLE AS dy, (0.5 + image_id % 3 * 0.75)::DOUBLE AS sx, (1.0 + image_id % 2 * 0.5)::DOUBLE AS sy FROM so),
- ce AS (SELECT target_id, image_id, px, py, greatest(least(floor((px - dx + 0.5) / sx), 11), 0)::BIGINT AS x, greatest(least(floor((py - dy + 0.5) / sy), 11), 0)::BIGINT AS y FROM vw, range(24) a(px), range(24) b(py)
-  WHERE px >= floor(dx) AND px < ceil(dx + 12 * sx) AND py >= floor(dy) AND py < ceil(dy + 12 * sy)),
+    "composite_views": f"""{_POWER.replace('WITH', 'WITH RECURSIVE', 1)}, so AS MATERIALIZED (SELECT image_id, y, x, gray * a // 255 AS v, a FROM (SELECT image_id, y, x, gray, (gray * 7 + x * 31) % 4 * 85 AS a FROM pixels)),
+ vw AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h, image_id % 2 AS target_id, (image_id * 2.5 - 3.0)::DOUBLE AS dx, (image_id * 1.5)::DOUBLE AS dy, (0.5 + image_id % 3 * 0.75)::DOUBLE AS sx, (1.0 + image_id % 2 * 0.5)::DOUBLE AS sy FROM so GROUP BY image_id),
+ ce AS (SELECT target_id, image_id, px, py, greatest(least(floor((px - dx + 0.5) / sx), w - 1), 0)::BIGINT AS x, greatest(least(floor((py - dy + 0.5) / sy), h - 1), 0)::BIGINT AS y FROM vw, range(96) a(px), range(96) b(py)
+  WHERE px >= floor(dx) AND px < ceil(dx + w * sx) AND py >= floor(dy) AND py < ceil(dy + h * sy)),
  la AS (SELECT ce.*, v, a, row_number() OVER (PARTITION BY target_id, py, px ORDER BY ce.image_id) AS i, count(*) OVER (PARTITION BY target_id, py, px) AS n FROM ce JOIN so ON so.image_id = ce.image_id AND so.x = ce.x AND so.y = ce.y WHERE a > 0),
  fo AS (SELECT target_id, py, px, i, n, v::INT AS v, a::INT AS a FROM la WHERE i = 1 UNION ALL
   SELECT la.target_id, la.py, la.px, la.i, la.n, (la.v + (fo.v * (255 - la.a) + 127) // 255)::INT, (la.a + (fo.a * (255 - la.a) + 127) // 255)::INT FROM fo JOIN la ON la.target_id = fo.target_id AND la.py = fo.py AND la.px = fo.px AND la.i = fo.i + 1)
