@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import hypot, on_segment
 from pathloom.functions.grid import in_cells, joined
-from pathloom.functions.loops import saved
+from pathloom.functions.loops import discard, saved
 from pathloom.functions.windows import before, ffill, islands, ordered
 from pathloom.operators.commands import by_job, is_, is_moving, rounded, with_subpaths
 from pathloom.operators.rings import edges, ring_measures
@@ -23,20 +23,36 @@ SAMPLES = 32
 def first_kept(nodes: DataFrame, pairs: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
     """``nodes(keys, node)`` that stay when each is dropped if it equals an earlier one that stayed: ``pairs(keys, a, b)``, a before b.
 
-    A round keeps open nodes that no open or kept earlier one equals, and drops those that a kept one equals; only nodes
-    in pairs take part, and every round settles at least the first of each chain.
+    Only nodes in pairs take part. In a round, nodes with nothing before them stay. A node with one node before it is the
+    opposite of that one, so chains of such nodes are settled at once, by jumps that double: a node at an even distance from
+    a chain's head that stays, stays too. What equals a node that stays goes, and pairs with settled nodes are done.
+    Chains of any length so take one round; rounds grow only with chains of nodes that equal several earlier ones.
     """
-    pairs = saved(pairs.distinct())
+    pairs = saved(pairs.select(*keys, "a", "b").distinct())
     out: list[DataFrame] = []
     left = pairs
     while left.limit(1).count():
-        later = left.select(*keys, F.col("b").alias(node)).distinct()
-        keep = saved(left.select(*keys, F.col("a").alias(node)).distinct().join(later, [*keys, node], "left_anti"))
-        gone = saved(left.join(keep.withColumnRenamed(node, "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias(node)).distinct())
+        before = saved(left.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("top")))
+        heads = left.select(*keys, F.col("a").alias("b")).distinct().join(before, [*keys, "b"], "left_anti")
+        chain = saved(before.filter("n = 1").select(*keys, "b", "top", F.lit(True).alias("odd")))
+        while True:
+            above = chain.select(*keys, F.col("b").alias("top"), F.col("top").alias("over"), F.col("odd").alias("o"))
+            longer = saved(chain.join(above, [*keys, "top"], "left").select(*keys, "b", F.coalesce("over", "top").alias("top"), F.when(F.col("o").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("o")).alias("odd"), F.col("over").isNotNull().alias("moved")))
+            discard(chain)
+            chain = longer.drop("moved")
+            if not longer.filter("moved").limit(1).count():
+                break
+        settled = chain.join(heads.withColumnRenamed("b", "top"), [*keys, "top"], "left_semi")
+        keep = saved(heads.unionByName(settled.filter("not odd").select(*keys, "b")))
+        gone = left.join(keep.withColumnRenamed("b", "a"), [*keys, "a"], "left_semi").select(*keys, "b").unionByName(settled.filter("odd").select(*keys, "b"))
+        gone = saved(gone.distinct().withColumnRenamed("b", node))
         out.append(gone)
+        done = keep.withColumnRenamed("b", node).unionByName(gone)
+        rest = left
         for end in ("a", "b"):
-            left = left.join(gone.withColumnRenamed(node, end), [*keys, end], "left_anti")
-        left = saved(left.join(keep.withColumnRenamed(node, "a"), [*keys, "a"], "left_anti"))
+            rest = rest.join(done.withColumnRenamed(node, end), [*keys, end], "left_anti")
+        used, left = left, saved(rest)
+        discard(used, before, longer, keep)
     return nodes.join(reduce(DataFrame.unionByName, out), [*keys, node], "left_anti") if out else nodes
 
 
@@ -137,7 +153,7 @@ def cut_by_regions(cuts: DataFrame, regions: DataFrame, keep_inside: bool) -> Da
     probe = parts.select("job_id", "seg", "geom_id", "t0", at("x", middle).alias("x"), at("y", middle).alias("y"))
     boxes = in_cells(ring_boxes(regions), *map(F.col, ("x0", "y0", "x1", "y1")), CELL)
     near = joined(in_cells(probe, F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL), boxes, "geom_id").filter("x between x0 and x1 and y between y0 and y1")
-    inside = in_own_ring(near.select("job_id", "seg", "t0", "ring_id", "x", "y"), ring_edges(regions), "job_id", "seg", "t0").filter("on or odd").select("job_id", "seg", "t0").distinct()
+    inside = in_own_ring(near.select("job_id", "seg", "t0", "geom_id", "ring_id", "x", "y"), ring_edges(regions, "geom_id"), "job_id", "seg", "t0").filter("on or odd").select("job_id", "seg", "t0").distinct()
     kept = parts.join(inside, ["job_id", "seg", "t0"], "left_semi" if keep_inside else "left_anti")
     w = ordered("job_id", "seg", by="t0")
     out = kept.select("job_id", "seg", (F.row_number().over(w) - 1).alias("part"), "t0", "t1", *[at(c, F.col(t)).alias(f"{c}{t[1]}") for t in ("t0", "t1") for c in "xyz"])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.loops import component_labels, saved
 from pathloom.operators import commands as ops
-from pathloom.operators.commands import is_, is_moving, rounded
+from pathloom.functions.windows import so_far
+from pathloom.operators.commands import by_job, is_, is_moving, rounded
 from pathloom.sources.derive import table
 
 
@@ -161,6 +162,58 @@ def nearest_order(df: DataFrame) -> DataFrame:
     return paths.groupBy("job_id").applyInPandas(walk, "job_id long, subpath long, rank long")
 
 
+def piece_walk(a: np.ndarray, b: np.ndarray, flips: np.ndarray) -> list[tuple[int, bool]]:
+    """Pieces in the order of the walk from the first one: always the nearest entry ``a`` or exit ``b`` of those left; a piece met at
+    its exit is run backwards if it can be. Of equally near points the one of the first piece counts, its entry before its exit."""
+    ends = np.stack([a, b], axis=1).reshape(-1, 2)  # rows 2 i and 2 i + 1
+    points, out, done = Starts(ends), [(0, False)], np.zeros(len(a), dtype=bool)
+    here, first = b[0], 0
+    for at in (0, 1):
+        points.drop(at)
+    done[0] = True
+    while len(out) < len(a):
+        row = points.nearest(*here.tolist()) if np.isfinite(here).all() else -1
+        if row < 0:  # unknown places: the first piece left
+            while done[first]:
+                first += 1
+            row = 2 * first
+        piece, back = row // 2, bool(row % 2 and flips[row // 2])
+        out.append((piece, back))
+        here = a[piece] if back else b[piece]
+        done[piece] = True
+        for at in (2 * piece, 2 * piece + 1):
+            points.drop(at)
+    return out
+
+
+def workpiece_order(df: DataFrame) -> DataFrame:
+    """Order of a job's workpieces: ``job_id, piece, uid, rank, flipped``; ``piece`` is the row of its start marker.
+
+    A workpiece is what moves between its markers; one without moves is left out, one that another start interrupts too, and
+    the last one may lack its end. Pieces are reduced to entry, exit and whether they cut (only those can be run
+    backwards) before the walk, which is sequential per job: a step takes about the logarithm of their count.
+    """
+    w = so_far(by_job())
+    start = is_("WORKPIECE_START")
+    rows = df.withColumn("piece", F.max(F.when(start, F.col("seq"))).over(w))
+    rows = rows.filter(F.col("piece").isNotNull())
+    ends = rows.groupBy("job_id", "piece").agg(F.min(F.when(is_("WORKPIECE_END"), F.col("seq"))).alias("end"), F.max_by("sval", F.when(start, F.col("seq"))).alias("uid"))
+    last = Window.partitionBy("job_id")
+    ends = ends.withColumn("whole", F.col("end").isNotNull() | (F.col("piece") == F.max("piece").over(last))).filter("whole")
+    moves = rows.filter(is_moving()).join(ends, ["job_id", "piece"]).filter(F.col("end").isNull() | (F.col("seq") < F.col("end")))
+    pieces = moves.groupBy("job_id", "piece").agg(
+        F.first("uid").alias("uid"), F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"), F.bool_or(~is_("MOVE_TO")).alias("cuts"),
+    ).select("job_id", "piece", "uid", "cuts", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("piece", ignore_index=True)
+        order = piece_walk(g[["ax", "ay"]].to_numpy(dtype=float), g[["bx", "by"]].to_numpy(dtype=float), g["cuts"].to_numpy(dtype=bool))
+        own = g.iloc[[p for p, _ in order]]
+        return pd.DataFrame({"job_id": own["job_id"], "piece": own["piece"], "uid": own["uid"], "rank": np.arange(len(own)), "flipped": [f for _, f in order]})
+
+    return pieces.groupBy("job_id").applyInPandas(walk, "job_id long, piece long, uid string, rank long, flipped boolean")
+
+
 def simplified(points: DataFrame, tolerance: float) -> DataFrame:
     """Paths ``(path, seq, x, y)`` without points nearer than ``tolerance`` to the line between the kept ones.
 
@@ -211,6 +264,11 @@ def _q(f, *names):
     return lambda spark, sf_dir: rounded(f(*[table(spark, sf_dir, n) for n in names]))
 
 
+def _as_pieces(d: DataFrame) -> DataFrame:
+    """Layers as workpieces, so that jobs have many."""
+    return d.withColumn("cmd", F.when(is_("LAYER_START"), "WORKPIECE_START").when(is_("LAYER_END"), "WORKPIECE_END").otherwise(F.col("cmd")))
+
+
 def _groups(r: DataFrame) -> DataFrame:
     from pathloom.operators.spatial import hierarchy
 
@@ -220,6 +278,7 @@ def _groups(r: DataFrame) -> DataFrame:
 QUERIES = {
     "convex_hulls": _q(lambda d: convex_hulls(d.filter(is_moving()), "job_id"), "commands"),
     "nearest_order": _q(nearest_order, "commands"),
+    "workpiece_order": _q(lambda d: workpiece_order(_as_pieces(d)), "commands"),
     "simplified_paths": _q(lambda d: simplified(d.filter(is_moving()).select(F.col("job_id").alias("path"), "seq", "x", "y"), 25.0), "commands"),
     "containment_groups": _q(_groups, "rings"),
     "cleared_cells": _q(lambda d: cleared_cells(d, 2.0, 2.0), "commands"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +43,16 @@ def _band(y: Column, size: float) -> Column:
 
 def in_own_ring(points: DataFrame, edge_rows: DataFrame, *keys: str, size: float = CELL) -> DataFrame:
     """``keys, ring_id, on, odd`` of points ``(keys, ring_id, x, y)``: on an edge of that ring, or an odd number of
-    crossings to the right. A point meets the edges that reach its own band of Y only; points beside all bands are left out."""
+    crossings to the right. A point meets the edges that reach its own band of Y only; points beside all bands are left out.
+    Where both tables have ``geom_id``, it is part of a ring's name, and of the result."""
     bands = edge_rows.withColumn("band", F.explode(F.sequence(_band(F.least("ay", "by") - 1e-9, size), _band(F.greatest("ay", "by") + 1e-9, size))))
-    rows = points.withColumn("band", _band(F.col("y"), size)).join(bands.select("ring_id", "band", "ax", "ay", "bx", "by"), ["ring_id", "band"])
+    own = ["geom_id"] if "geom_id" in points.columns and "geom_id" in edge_rows.columns else []
+    rows = points.withColumn("band", _band(F.col("y"), size)).join(bands.select(*own, "ring_id", "band", "ax", "ay", "bx", "by"), [*own, "ring_id", "band"])
     x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
     cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
     on = (F.abs(cross) < 1e-9) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
     hit = ((ay > y) != (by > y)) & ((y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)) + ax > x)
-    return rows.groupBy(*keys, "ring_id").agg(F.max(on).alias("on"), (F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias("odd"))
+    return rows.groupBy(*dict.fromkeys([*keys, *own, "ring_id"])).agg(F.max(on).alias("on"), (F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias("odd"))
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, size: float = CELL, strict: bool = False) -> DataFrame:
@@ -55,43 +60,62 @@ def points_in_rings(points: DataFrame, rings: DataFrame, size: float = CELL, str
 
     A point meets rings through the cells of their boxes, then the ring's edges in its own band of Y.
     """
-    p = in_cells(points, F.col("x"), F.col("y"), F.col("x"), F.col("y"), size)
+    p = in_cells(points.drop("geom_id"), F.col("x"), F.col("y"), F.col("x"), F.col("y"), size)
     r = in_cells(ring_boxes(rings), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
-    near = joined(p, r).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("point_id", "x", "y", "ring_id")
-    per = in_own_ring(near, ring_edges(rings), "point_id", size=size)
+    near = joined(p, r).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("point_id", "x", "y", "geom_id", "ring_id")
+    per = in_own_ring(near, ring_edges(rings, "geom_id"), "point_id", size=size)
     return per.filter(~F.col("on") & F.col("odd") if strict else F.col("on") | F.col("odd")).select("point_id", "ring_id")
 
 
 def nearest_edges(points: DataFrame, edge_rows: DataFrame, *keys: str) -> DataFrame:
     """The nearest edge of each point ``(point_id, x, y)`` among those of equal ``keys``: ``point_id, keys, d2, ring_id, seq``.
 
-    Cells start at a size that holds a few edges each and double every round. A point meets the edges of the nine
-    cells around it and is done when its best distance lies within them; only the others go on, so a far point costs
-    a round for each doubling. Equal distances go to the smallest ring_id and seq. Points of keys without edges, and
-    those without coordinates, are left out.
+    Edges lie in a tree of cells, each in one as large as itself; a cell knows the box of all edges below it, and has
+    sixteen cells below. Points go down level by level, only into cells whose box may hold something nearer than the
+    farthest corner of the best box so far, so however far a point is, it meets the edges of a few cells. Rounds are the
+    levels: about the logarithm of the extent over the size of a cell with a few edges. Equal distances go to the smallest
+    ring_id and seq. Points and edges with null, infinite or undefined coordinates, and points of keys without edges,
+    are left out.
     """
+    k, finite = list(keys), lambda *c: reduce(Column.__and__, [F.abs(F.col(x)) < float("inf") for x in c])
+    edge_rows = edge_rows.filter(finite("ax", "ay", "bx", "by"))
+    points = points.filter(finite("x", "y")).select("point_id", *k, "x", "y")
     length = hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    box = (F.max(F.greatest("ax", "bx")) - F.min(F.least("ax", "bx"))) * (F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by")))
-    per = edge_rows.groupBy(*keys) if keys else edge_rows.groupBy(F.lit(0).alias("all"))
-    area, total, n = per.agg(box.alias("area"), F.sum(length).alias("l"), F.count(F.lit(1)).alias("n")).agg(F.sum("area"), F.sum("l"), F.sum("n")).first()
-    size = max(8 * (area or 0.0) / total, total / n / 8) if total else 1.0
-    done, left = None, saved(points.filter("x is not null and y is not null").select("point_id", *keys, "x", "y"))
-    if keys:
-        left = saved(left.join(edge_rows.select(*keys).distinct(), list(keys), "left_semi"))
-    elif not n:
-        left = left.limit(0)
-    while True:
-        cells = in_cells(edge_rows, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size).drop("cx0", "cy0")
-        around = in_cells(left, F.col("x"), F.col("y"), F.col("x"), F.col("y"), size, reach=size).drop("cx0", "cy0")
-        d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[3]
-        best = around.join(cells, [*keys, "cx", "cy"]).withColumn("d2", d2).groupBy("point_id", *keys).agg(F.min(F.struct("d2", "ring_id", "seq")).alias("s"))
-        found = saved(best.filter(F.sqrt("s.d2") <= size).select("point_id", *keys, "s.d2", "s.ring_id", "s.seq"))
-        done = found if done is None else done.unionByName(found)
-        before, left = left, saved(left.join(found.select("point_id", *keys), ["point_id", *keys], "left_anti"))
-        discard(before)
-        if not left.limit(1).count():
-            return done
-        size *= 2
+    x0, y0, x1, y1 = F.min(F.least("ax", "bx")).alias("x0"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.max(F.greatest("ay", "by")).alias("y1")
+    per = edge_rows.groupBy(*k).agg(x0, y0, x1, y1, F.sum(length).alias("l"), F.count(F.lit(1)).alias("n"))
+    left, low, right, top, area, total, n = per.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), F.sum("l"), F.sum("n")).first()
+    if not n:
+        none = edge_rows.limit(0).select(*k, "ring_id", "seq")
+        return points.limit(0).join(none, k).select("point_id", *k, F.lit(0.0).alias("d2"), "ring_id", "seq") if k else points.limit(0).crossJoin(none).select("point_id", F.lit(0.0).alias("d2"), "ring_id", "seq")
+    extent = max(right - left, top - low)
+    size = max(8 * (area or 0.0) / total, total / n / 8, extent / 2.0**40) if total else max(extent / 1024, 1e-9)
+    depth = max(0, math.ceil(math.log(max(extent / size, 1.0), 4) + 1e-9))
+    level = F.least(F.greatest(F.ceil(F.log(F.greatest(length, F.lit(1e-300)) / size) / math.log(4)), F.lit(0)), F.lit(depth)).cast("int")
+    at = lambda c, lo: F.floor(F.floor(((F.col(f"a{c}") + F.col(f"b{c}")) / 2 - lo) / size) / F.pow(F.lit(4.0), "level"))
+    placed = edge_rows.select(*k, "ring_id", "seq", "ax", "ay", "bx", "by").withColumn("level", level)
+    placed = saved(placed.withColumns({"cx": at("x", left), "cy": at("y", low)}))
+    cell = placed.groupBy(*k, "level", "cx", "cy").agg(x0, y0, x1, y1).withColumn("on", F.explode(F.sequence("level", F.lit(depth))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), F.col("on") - F.col("level")))
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    nodes = saved(cell.select(*k, "on", up("cx").alias("cx"), up("cy").alias("cy"), "x0", "y0", "x1", "y1", (F.col("on") == F.col("level")).alias("own")).groupBy(*k, "on", "cx", "cy").agg(*box, F.bool_or("own").alias("own")))
+    apart = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+    reach = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(hi) - F.col(p)))
+    least, most = apart("x", "x0", "x1") ** 2 + apart("y", "y0", "y1") ** 2, reach("x", "x0", "x1") ** 2 + reach("y", "y0", "y1") ** 2
+    w = Window.partitionBy("point_id", *k)
+    front = points.select("*", F.lit(0).cast("long").alias("ux"), F.lit(0).cast("long").alias("uy"), F.lit(float("inf")).alias("bound"))
+    steps, found = [], []
+    for on in range(depth, -1, -1):
+        below = nodes.filter(F.col("on") == on).withColumns({"ux": F.floor(F.col("cx") / 4) if on < depth else F.lit(0).cast("long"), "uy": F.floor(F.col("cy") / 4) if on < depth else F.lit(0).cast("long")})
+        met = front.join(below, [*k, "ux", "uy"]).withColumns({"least": least, "bound": F.least("bound", F.min(most).over(w))})
+        steps.append(saved(met.filter(F.col("least") <= F.col("bound") * (1 + 1e-12)).select("point_id", *k, "x", "y", "cx", "cy", "own", "least", "bound")))
+        found.append(steps[-1].filter("own").drop("own").withColumn("level", F.lit(on)))
+        front = steps[-1].select("point_id", *k, "x", "y", F.col("cx").alias("ux"), F.col("cy").alias("uy"), "bound")
+    near = reduce(DataFrame.unionByName, found).withColumn("bound", F.min("bound").over(w)).filter(F.col("least") <= F.col("bound") * (1 + 1e-12))
+    d2 = on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))[3]
+    best = near.join(placed, [*k, "level", "cx", "cy"]).withColumn("d2", d2).groupBy("point_id", *k).agg(F.min(F.struct("d2", "ring_id", "seq")).alias("s"))
+    out = saved(best.select("point_id", *k, "s.d2", "s.ring_id", "s.seq"))
+    discard(placed, nodes, *steps)
+    return out
 
 
 def nearest_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
@@ -107,7 +131,7 @@ def signed_distances(points: DataFrame, rings: DataFrame) -> DataFrame:
     r = in_cells(ring_boxes(rings), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), CELL)
     p = in_cells(points.select("point_id", "geom_id", "x", "y"), F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL)
     near = joined(p, r, "geom_id").filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select("point_id", "geom_id", "ring_id", "x", "y")
-    inside = in_own_ring(near, ring_edges(rings), "point_id", "geom_id").filter("on or odd").join(turn, ["geom_id", "ring_id"])
+    inside = in_own_ring(near, ring_edges(rings, "geom_id"), "point_id", "geom_id").filter("on or odd").join(turn, ["geom_id", "ring_id"])
     side = inside.groupBy("point_id", "geom_id").agg(F.bool_or("ccw").alias("solid"), F.bool_or(~F.col("ccw")).alias("hole"))
     sign = F.when(F.col("solid") & ~F.col("hole"), -1.0).otherwise(1.0)
     return away.join(side, ["point_id", "geom_id"], "left").select("point_id", "geom_id", (F.sqrt("d2") * sign).alias("distance"))
@@ -205,7 +229,7 @@ def containers(rings: DataFrame) -> DataFrame:
     first = rings.groupBy("geom_id", "ring_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p")).select("geom_id", "ring_id", "p.x", "p.y")
     calm = pairs.filter("crossing is null and holds").join(first, ["geom_id", "ring_id"])
     probes = calm.select("geom_id", F.col("ring_id").alias("child"), F.col("container").alias("ring_id"), "container_area", "x", "y")
-    inside = in_own_ring(probes, ring_edges(rings), "geom_id", "child", "container_area").filter("on or odd")
+    inside = in_own_ring(probes, ring_edges(rings, "geom_id"), "geom_id", "child", "container_area").filter("on or odd")
     inside = inside.select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"), "container_area")
     wild = pairs.filter("crossing")
     common = overlap_areas(rings, wild.select("geom_id", "ring_id", F.col("container").alias("other"))).withColumnRenamed("area", "common").withColumnRenamed("other", "container")
@@ -248,7 +272,7 @@ def enclosed(rings: DataFrame) -> DataFrame:
     first = rings.groupBy("geom_id", "ring_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p")).select("geom_id", "ring_id", "p.x", "p.y")
     rows = pairs.join(cross, ["geom_id", "ring_id", "container"], "left_anti").join(left, ["geom_id", "container"]).join(first, ["geom_id", "ring_id"])
     probes = rows.select("geom_id", F.col("ring_id").alias("child"), F.col("container").alias("ring_id"), "x", "y")
-    return in_own_ring(probes, ring_edges(rings), "geom_id", "child").filter("on or odd").select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"))
+    return in_own_ring(probes, ring_edges(rings, "geom_id"), "geom_id", "child").filter("on or odd").select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"))
 
 
 def within_sheets(rings: DataFrame, placed: DataFrame) -> DataFrame:
@@ -261,7 +285,7 @@ def within_sheets(rings: DataFrame, placed: DataFrame) -> DataFrame:
     cross = c.toDF("geom_id", "ring_id", "sheet").unionByName(c.toDF("geom_id", "sheet", "ring_id"))
     rows = pairs.join(cross, ["geom_id", "ring_id", "sheet"], "left_anti").join(rings.select("geom_id", "ring_id", "seq", "x", "y"), ["geom_id", "ring_id"])
     probes = rows.select("geom_id", F.col("ring_id").alias("part"), F.col("sheet").alias("ring_id"), "seq", "x", "y")
-    inside = in_own_ring(probes, ring_edges(rings), "geom_id", "part", "seq").filter("on or odd").groupBy("geom_id", "part", "ring_id").agg(F.count(F.lit(1)).alias("k"))
+    inside = in_own_ring(probes, ring_edges(rings, "geom_id"), "geom_id", "part", "seq").filter("on or odd").groupBy("geom_id", "part", "ring_id").agg(F.count(F.lit(1)).alias("k"))
     size = rings.groupBy("geom_id", F.col("ring_id").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     return inside.join(size, ["geom_id", "part"]).filter("k = n").select("geom_id", F.col("part").alias("ring_id"), F.col("ring_id").alias("sheet"))
 
@@ -403,7 +427,7 @@ def sweep_hits(moves: DataFrame, rings: DataFrame, radius: float) -> DataFrame:
     ends = moves.select("move_id", "geom_id", F.inline(F.array(*[F.struct(F.lit(i).alias("end"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (0, 1)])))
     boxes = in_cells(ring_boxes(rings), *map(F.col, ("x0", "y0", "x1", "y1")), CELL)
     met = joined(in_cells(ends, F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL), boxes, "geom_id").filter("x between x0 and x1 and y between y0 and y1")
-    inside = in_own_ring(met.select("move_id", "end", "geom_id", "ring_id", "x", "y"), ring_edges(rings), "move_id", "end", "geom_id").filter("on or odd")
+    inside = in_own_ring(met.select("move_id", "end", "geom_id", "ring_id", "x", "y"), ring_edges(rings, "geom_id"), "move_id", "end", "geom_id").filter("on or odd")
     solid = inside.join(turn, ["geom_id", "ring_id"]).groupBy("move_id", "end").agg(F.sum("turn").alias("t")).filter("t > 0").select("move_id").distinct()
     return near.unionByName(solid).distinct()
 

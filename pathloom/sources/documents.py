@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.loops import shared_folder
 from pathloom.functions.windows import ordered, so_far
 from pathloom.operators import commands as ops
 from pathloom.operators.commands import by_job, is_, is_moving, rounded
@@ -19,8 +20,8 @@ CODES = {
     "SET_SPINDLE_DIRECTION": 24, "SET_SYNC_PITCH": 25, "CUSTOM": 30, "JOB_START": 100, "JOB_END": 101, "LAYER_START": 102, "LAYER_END": 103, "WORKPIECE_START": 104, "WORKPIECE_END": 105,
     "OPS_SECTION_START": 106, "OPS_SECTION_END": 107, "STATE_BLOCK_START": 108, "STATE_BLOCK_END": 109,
 }
-#: Codes and columns that the SQL of the narrow queries fixes; the whole ones have ``CODES``.
-SQL_CODES = {"MOVE_TO": 1, "LINE_TO": 2, "ARC_TO": 3, "BEZIER_TO": 4, "SCAN_LINE": 5, "SET_POWER": 10, "SET_FEED_RATE": 11, "SET_RAPID_RATE": 12}
+#: Columns of the narrow queries, and buckets of the partitioned form.
+BUCKETS = 16
 SQL_COLUMNS = ("job_id", "seq", "cmd", "x", "y", "z", "ci", "cj", "cw", "val")
 #: Columns that a table of commands may lack: control points of curves, three numbers each, and power values of scanlines.
 SIDE = {"sval": "string", "section_type": "string", "control": "array<double>", "power_values": "array<int>"}
@@ -53,7 +54,29 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 def columnar(df: DataFrame) -> DataFrame:
     """Type code (0 for an unknown type), end point, all further columns and a bucket of the job for partitioned files."""
-    return _sides(df).select("job_id", "seq", _code(CODES), *SQL_COLUMNS[3:], *SIDE, (F.col("job_id") % 16).alias("bucket"))
+    return _sides(df).select("job_id", "seq", _code(CODES), *SQL_COLUMNS[3:], *SIDE, bucket_of().alias("bucket"))
+
+
+def bucket_of(job: Column | str = "job_id", buckets: int = BUCKETS) -> Column:
+    """The bucket of a job: null ids have the first one."""
+    return F.coalesce(F.pmod(F.col(job) if isinstance(job, str) else job, F.lit(buckets)), F.lit(0))
+
+
+def write_columnar(df: DataFrame, path: str, block_rows: int = 1_000_000) -> None:
+    """The columnar form as Parquet below ``path``, a folder for each bucket, rows of a file in order.
+
+    Rows are dealt by bucket and block of ``seq``, so a bucket or a job of any size is as many tasks and files as it needs.
+    """
+    rows = columnar(df).withColumn("__block", F.floor(F.col("seq") / block_rows))
+    rows.repartition("bucket", "__block").sortWithinPartitions("job_id", "seq").drop("__block").write.partitionBy("bucket").parquet(path)
+
+
+def read_columnar(spark: SparkSession, path: str, jobs: list[int] | None = None) -> DataFrame:
+    """Rows of the columnar form; of ``jobs`` only where given: folders of other buckets are not read."""
+    rows = spark.read.parquet(path)
+    if jobs is None:
+        return rows
+    return rows.filter(F.col("bucket").isin(sorted({j % BUCKETS for j in jobs})) & F.col("job_id").isin(jobs))
 
 
 def _code(codes: dict[str, int]) -> Column:
@@ -62,8 +85,8 @@ def _code(codes: dict[str, int]) -> Column:
 
 
 def narrow_columnar(df: DataFrame) -> DataFrame:
-    """End points with the codes of ``SQL_CODES``, all others 0."""
-    return df.select("job_id", "seq", _code(SQL_CODES), "x", "y", "z", (F.col("job_id") % 16).alias("bucket"))
+    """Type codes and end points only."""
+    return df.select("job_id", "seq", _code(CODES), "x", "y", "z", bucket_of().alias("bucket"))
 
 
 def from_points(points: DataFrame, close: bool) -> DataFrame:
@@ -133,10 +156,18 @@ def _q(f, name="commands"):
     return lambda spark, sf_dir: rounded(f(table(spark, sf_dir, name)))
 
 
+def _one_bucket(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Jobs of one bucket, from the partitioned form of all of them."""
+    path = shared_folder(spark)
+    write_columnar(df, path)
+    return rounded(spark.read.parquet(path).filter(F.col("bucket") == 3).select("job_id", "seq", "code", "x", "y", "z", "val", "sval", F.col("bucket").cast("long").alias("bucket")))
+
+
 QUERIES = {
     "document_round_trip": _q(lambda d: from_documents(to_documents(d)).select(*SQL_COLUMNS)),
     "document_round_trip_whole": _q(lambda d: from_documents(to_documents(d))),
     "columnar_commands": _q(narrow_columnar),
+    "columnar_bucket": lambda spark, sf_dir: _one_bucket(spark, table(spark, sf_dir, "commands")),
     "columnar_commands_whole": _q(columnar),
     "rings_to_commands": _q(lambda r: from_points(r, True), "rings"),
     "point_lists": _q(point_lists),
@@ -157,7 +188,8 @@ _CODE = f"""{_C}, p AS (SELECT *, {_lag('x')} AS px, {_lag('y')} AS py, {_lag('z
 _REST = ", ".join(f"round({c}, 6) AS {c}" for c in ("x", "y", "z", "ci", "cj", "val")) + ", cw, sval, section_type, NULL AS control, NULL AS power_values"
 ORACLE_SQL = {
     "document_round_trip": f"{_C} SELECT job_id, seq, cmd, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(ci, 6) AS ci, round(cj, 6) AS cj, cw, round(val, 6) AS val FROM commands",
-    "columnar_commands": f"{_C} SELECT job_id, seq, CASE cmd {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in SQL_CODES.items())} ELSE 0 END AS code, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, job_id % 16 AS bucket FROM commands",
+    "columnar_bucket": f"{_C} SELECT job_id, seq, CASE cmd {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in CODES.items())} ELSE 0 END AS code, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(val, 6) AS val, sval, job_id % 16 AS bucket FROM commands WHERE job_id % 16 = 3",
+    "columnar_commands": f"{_C} SELECT job_id, seq, CASE cmd {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in CODES.items())} ELSE 0 END AS code, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, job_id % 16 AS bucket FROM commands",
     "document_round_trip_whole": f"{_C} SELECT job_id, seq, cmd, {_REST} FROM commands",
     "columnar_commands_whole": f"""{_C} SELECT job_id, seq, CASE cmd WHEN 'MOVE_TO' THEN 1 WHEN 'LINE_TO' THEN 2 WHEN 'ARC_TO' THEN 3 WHEN 'DWELL' THEN 5 WHEN 'SET_POWER' THEN 10 WHEN 'SET_FEED_RATE' THEN 11
  WHEN 'SET_RAPID_RATE' THEN 12 WHEN 'SET_SPINDLE_RPM' THEN 18 WHEN 'SET_COOLANT' THEN 20 WHEN 'SET_SYNC_PITCH' THEN 25 WHEN 'LAYER_START' THEN 102 WHEN 'LAYER_END' THEN 103 WHEN 'OPS_SECTION_START' THEN 106

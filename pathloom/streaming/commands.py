@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,13 +88,34 @@ def newest_requests(stream: DataFrame) -> DataFrame:
     return stream.groupBy("req_key").agg(F.max("generation").alias("generation"), F.max_by("payload", "generation").alias("payload"))
 
 
-def scan_slabs(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that turns slabs of pixel rows into scanline rows as they arrive and appends them to ``path``."""
+SLAB_OUT = "image_id long, y long, samples array<int>"
+SLAB_STATE = "x array<int>, power array<int>"
 
-    def slab(batch: DataFrame, epoch: int) -> None:
-        raster.scan_rows(raster.power(batch, 0.1, 0.9, 16)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(slab).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _row_parts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Pixels of one row: kept until all ``width`` of them are there, then sent on once; a pixel that comes again changes nothing."""
+    known = dict(zip(*state.get, strict=True)) if state.exists else {}
+    width = -1
+    for batch in batches:
+        width = int(batch["width"].max())
+        for x, power in zip(batch["x"].tolist(), batch["power"].tolist(), strict=True):
+            known.setdefault(int(x), int(power))
+        if len(known) >= width and width >= 0:
+            break
+    before = state.exists and len(state.get[0]) >= width >= 0
+    state.update(([int(x) for x in known], list(known.values())))
+    if not before and len(known) >= width >= 0:
+        yield pd.DataFrame({"image_id": [key[0]], "y": [key[1]], "samples": [[known[x] for x in sorted(known)]]})
+
+
+def scan_slabs(stream: DataFrame) -> DataFrame:
+    """Scanline rows ``image_id, y, samples`` of a stream of slabs of pixels ``(image_id, y, x, gray, a, width)``, each once.
+
+    A row may be split over any slabs and files: its pixels wait in the state of its key until ``width`` of them have
+    come. The state of a finished row stays as its mark, so pixels that are sent again make no second row.
+    """
+    rows = raster.power(stream, 0.1, 0.9, 16).select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("int").alias("x"), F.col("power").cast("int").alias("power"), "width")
+    return rows.groupBy("image_id", "y").applyInPandasWithState(_row_parts, SLAB_OUT, SLAB_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # Queries: a derived table becomes files of a stream, which runs until they are read ---------------------------------
@@ -125,8 +146,18 @@ def _newest(spark, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("req_key").agg(F.max("generation").alias("generation"), F.max_by("payload", F.struct("generation", "epoch")).alias("payload")))
 
 
-QUERIES = {"stream_running_state": _carried, "stream_newest_requests": _newest}
+def _slabs(spark, sf_dir: str) -> DataFrame:
+    """Pixels of all images in files that cut rows at any place, read two files at a time."""
+    out = shared_folder(spark)
+    pixels = table(spark, sf_dir, "pixels").withColumn("width", F.count(F.lit(1)).over(Window.partitionBy("image_id", "y")))
+    live = scan_slabs(_streamed(pixels, 6))
+    live.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(SLAB_OUT).parquet(out).withColumn("samples", F.array_join("samples", ","))
+
+
+QUERIES = {"stream_running_state": _carried, "stream_newest_requests": _newest, "stream_scan_slabs": _slabs}
 ORACLE_SQL = {
+    "stream_scan_slabs": f"{raster._POWER} SELECT image_id, y, string_agg(power, ',' ORDER BY x) AS samples FROM pw GROUP BY image_id, y",
     "stream_running_state": f"""{cte('commands')}, p AS (SELECT *, {ops._lag('x')} AS px, {ops._lag('y')} AS py, coalesce({ops._set('SET_POWER')}, 0) AS power, {ops._set('SET_FEED_RATE')} AS feed_rate FROM commands)
  SELECT job_id, seq, cmd, power, feed_rate, round(sum(CASE WHEN {ops.MOVE_SQL} THEN coalesce(sqrt((x - px) ** 2 + (y - py) ** 2), 0) ELSE 0 END) {ops.J} ROWS UNBOUNDED PRECEDING), 6) AS distance FROM p""",
     "stream_newest_requests": f"{cte('requests')} SELECT req_key, max(generation) AS generation, round(arg_max(payload, (generation, -payload)), 6) AS payload FROM requests GROUP BY req_key",

@@ -189,17 +189,13 @@ def test_streams_carry_state_over_batches(spark, tmp_path):
     assert got == {(1, 0): (0.0, 0.0), (1, 1): (0.0, 5.0), (1, 2): (0.0, 10.0), (1, 3): (0.5, 10.0), (1, 4): (0.5, 13.0), (2, 0): (0.0, 0.0)}
 
 
-def test_stream_of_generations_and_slabs(spark, tmp_path):
+def test_stream_of_generations(spark, tmp_path):
     table(spark, DATA, "requests").write.parquet(f"{tmp_path}/r")
     live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/r").schema).parquet(f"{tmp_path}/r")
     q = streams.newest_requests(live).writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     want = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/r").groupBy("req_key").agg(F.max("generation")).collect()}
     assert {r["req_key"]: r["generation"] for r in spark.sql("select * from newest").collect()} == want
-    table(spark, DATA, "pixels").write.parquet(f"{tmp_path}/p")
-    pixels = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/p").schema).parquet(f"{tmp_path}/p")
-    streams.scan_slabs(pixels, f"{tmp_path}/out", f"{tmp_path}/k").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(f"{tmp_path}/p").select("image_id", "y").distinct().count()
 
 
 def test_walks_of_any_size_take_the_nearest_start(spark):
