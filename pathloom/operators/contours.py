@@ -13,7 +13,7 @@ from pathloom.functions.loops import discard, saved
 from pathloom.functions.windows import before, ffill, islands, ordered
 from pathloom.operators.commands import by_job, is_, is_moving, rounded, with_subpaths
 from pathloom.operators.rings import edges, ring_measures
-from pathloom.operators.spatial import _SHIFT, CELL, _crossing, in_own_ring, nearest_edges, pieces, ring_boxes, ring_edges
+from pathloom.operators.spatial import _SHIFT, CELL, _crossing, in_own_ring, nearest_edges, pieces, ring_boxes, ring_edges, sweep_hits
 from pathloom.sources.derive import cte, table
 
 #: Points compared along a contour, besides its vertices.
@@ -142,19 +142,29 @@ def same_shapes(ours: DataFrame, theirs: DataFrame, tolerance: float) -> DataFra
 def cut_by_regions(cuts: DataFrame, regions: DataFrame, keep_inside: bool) -> DataFrame:
     """Pieces of straight cuts ``(job_id, seg, geom_id, x0, y0, x1, y1, z0, z1)`` inside, or outside, any ring of their geometry.
 
-    Cuts meet edges in cells; a piece's middle decides, by the rings whose box holds it. Edges belong to the inside. Z
-    changes evenly along a cut. ``part`` numbers the pieces of a cut, ``jump`` tells those that the pen has to travel to.
+    Cuts that miss the box of their geometry's rings are whole and outside. The others meet edges in cells as large as
+    the mean edge; a piece's middle decides, by the rings whose box holds it. Edges belong to the inside. Z changes evenly
+    along a cut. ``part`` numbers the pieces of a cut, ``jump`` tells those that the pen has to travel to.
     """
-    segments = cuts.withColumns({"ax": F.col("x0"), "ay": F.col("y0"), "bx": F.col("x1"), "by": F.col("y1")})
-    cutters = ring_edges(regions, "geom_id").select("geom_id", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    parts = saved(pieces(segments, cutters, ["job_id", "seg"], ["geom_id"]).drop("ax", "ay", "bx", "by"))
+    edge_rows = saved(ring_edges(regions, "geom_id"))
+    around = edge_rows.groupBy("geom_id").agg(F.min(F.least("ax", "bx")).alias("u0"), F.min(F.least("ay", "by")).alias("v0"), F.max(F.greatest("ax", "bx")).alias("u1"), F.max(F.greatest("ay", "by")).alias("v1"), F.sum(hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("l"), F.count(F.lit(1)).alias("n"))
+    around = saved(around)
+    length, edge_count = around.agg(F.sum("l"), F.sum("n")).first()
+    size = max((length or 0.0) / max(edge_count or 1, 1), 1e-6) if length else CELL
+    hits = (F.least("x0", "x1") <= F.col("u1")) & (F.greatest("x0", "x1") >= F.col("u0")) & (F.least("y0", "y1") <= F.col("v1")) & (F.greatest("y0", "y1") >= F.col("v0"))
+    known = cuts.join(around.drop("l", "n"), "geom_id", "left").withColumn("__hits", F.coalesce(hits, F.lit(False))).drop("u0", "v0", "u1", "v1")
+    segments = known.filter("__hits").drop("__hits").withColumns({"ax": F.col("x0"), "ay": F.col("y0"), "bx": F.col("x1"), "by": F.col("y1")})
+    cutters = edge_rows.select("geom_id", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    parts = saved(pieces(segments, cutters, ["job_id", "seg"], ["geom_id"], size).drop("ax", "ay", "bx", "by"))
     at = lambda c, t: F.col(f"{c}0") + t * (F.col(f"{c}1") - F.col(f"{c}0"))
     middle = (F.col("t0") + F.col("t1")) / 2
     probe = parts.select("job_id", "seg", "geom_id", "t0", at("x", middle).alias("x"), at("y", middle).alias("y"))
-    boxes = in_cells(ring_boxes(regions), *map(F.col, ("x0", "y0", "x1", "y1")), CELL)
-    near = joined(in_cells(probe, F.col("x"), F.col("y"), F.col("x"), F.col("y"), CELL), boxes, "geom_id").filter("x between x0 and x1 and y between y0 and y1")
-    inside = in_own_ring(near.select("job_id", "seg", "t0", "geom_id", "ring_id", "x", "y"), ring_edges(regions, "geom_id"), "job_id", "seg", "t0").filter("on or odd").select("job_id", "seg", "t0").distinct()
+    boxes = in_cells(ring_boxes(regions), *map(F.col, ("x0", "y0", "x1", "y1")), size)
+    near = joined(in_cells(probe, F.col("x"), F.col("y"), F.col("x"), F.col("y"), size), boxes, "geom_id").filter("x between x0 and x1 and y between y0 and y1")
+    inside = in_own_ring(near.select("job_id", "seg", "t0", "geom_id", "ring_id", "x", "y"), edge_rows, "job_id", "seg", "t0", size=size).filter("on or odd").select("job_id", "seg", "t0").distinct()
     kept = parts.join(inside, ["job_id", "seg", "t0"], "left_semi" if keep_inside else "left_anti")
+    if not keep_inside:
+        kept = kept.unionByName(known.filter(~F.col("__hits")).drop("__hits").withColumns({"t0": F.lit(0.0), "t1": F.lit(1.0)}))
     w = ordered("job_id", "seg", by="t0")
     out = kept.select("job_id", "seg", (F.row_number().over(w) - 1).alias("part"), "t0", "t1", *[at(c, F.col(t)).alias(f"{c}{t[1]}") for t in ("t0", "t1") for c in "xyz"])
     pen = F.lag(F.struct("x1", "y1", "z1")).over(Window.partitionBy("job_id").orderBy("seg", "part"))
@@ -249,19 +259,33 @@ def tab_gaps(clips: DataFrame, rings: DataFrame) -> DataFrame:
     return free.filter(F.col("g0") > F.col("done") + 1e-9).select("geom_id", "ring_id", "seq", F.col("done").alias("from"), F.col("g0").alias("to"))
 
 
-def corners_cut(points: DataFrame, rounds: int) -> DataFrame:
-    """Paths ``(ring_id, seq, x, y)`` whose corners sharper than about 45 degrees are cut off at a quarter of both sides, ``rounds`` times."""
+def corners_cut(points: DataFrame, rounds: int, obstacles: DataFrame | None = None, clearance: float = 0.0) -> DataFrame:
+    """Paths ``(ring_id, seq, x, y)`` whose corners sharper than about 45 degrees are cut off at a quarter of both sides, ``rounds`` times.
+
+    With ``obstacles``, rings of the paths' ``geom_id``, a corner stays where the way from the point before it over the cut to the
+    point after it would come nearer than ``clearance`` to solid ground; every round looks at its own cuts, by an anti
+    join of the corners with those whose moves hit.
+    """
+    keys = ["geom_id", "ring_id"] if obstacles is not None else ["ring_id"]
     for _ in range(rounds):
-        w = ordered("ring_id")
-        rows = points.select("ring_id", "seq", "x", "y", *[f(c).over(w).alias(f"{n}{c}") for c in "xy" for f, n in ((F.lag, "p"), (F.lead, "q"))])
+        w = ordered(*keys)
+        rows = points.select(*keys, "seq", "x", "y", *[f(c).over(w).alias(f"{n}{c}") for c in "xy" for f, n in ((F.lag, "p"), (F.lead, "q"))])
         ux, uy, vx, vy = F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
         long = (hypot(ux, uy) >= 1e-12) & (hypot(vx, vy) >= 1e-12)
-        sharp = F.coalesce(long & ((ux * vx + uy * vy) / (hypot(ux, uy) * hypot(vx, vy)) < 0.707), F.lit(False))
+        sharp = F.coalesce(long & ((ux * vx + uy * vy) / F.nullif(hypot(ux, uy) * hypot(vx, vy), F.lit(0.0)) < 0.707), F.lit(False))
         mixed = lambda n, c: F.col(c) * 0.75 + F.col(f"{n}{c}") * 0.25
+        rows = rows.withColumn("sharp", sharp)
+        if obstacles is not None:
+            rows = saved(rows)
+            way = [(F.col("px"), F.col("py")), (mixed("p", "x"), mixed("p", "y")), (mixed("q", "x"), mixed("q", "y")), (F.col("qx"), F.col("qy"))]
+            moves = F.array(*[F.struct(F.lit(i).alias("part"), a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1")) for i, (a, b) in enumerate(zip(way, way[1:], strict=False))])
+            tried = rows.filter("sharp").select(*keys, "seq", F.inline(moves)).withColumn("move_id", F.struct(*keys, "seq", "part")).drop("ring_id", "seq", "part")
+            hit = sweep_hits(tried, obstacles, clearance).select("move_id.geom_id", "move_id.ring_id", "move_id.seq").distinct().withColumn("hit", F.lit(True))
+            rows = rows.join(hit, [*keys, "seq"], "left").withColumn("sharp", F.col("sharp") & F.col("hit").isNull())
         at = lambda i, x, y: F.struct(F.lit(i).alias("i"), x.alias("nx"), y.alias("ny"))
-        out = F.when(sharp, F.array(at(0, mixed("p", "x"), mixed("p", "y")), at(1, mixed("q", "x"), mixed("q", "y")))).otherwise(F.array(at(0, F.col("x"), F.col("y"))))
-        cut = rows.select("ring_id", "seq", F.inline(out))
-        points = cut.select("ring_id", (F.row_number().over(Window.partitionBy("ring_id").orderBy("seq", "i")) - 1).alias("seq"), F.col("nx").alias("x"), F.col("ny").alias("y"))
+        out = F.when(F.col("sharp"), F.array(at(0, mixed("p", "x"), mixed("p", "y")), at(1, mixed("q", "x"), mixed("q", "y")))).otherwise(F.array(at(0, F.col("x"), F.col("y"))))
+        cut = rows.select(*keys, "seq", F.inline(out))
+        points = cut.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "i")) - 1).alias("seq"), F.col("nx").alias("x"), F.col("ny").alias("y"))
     return points
 
 
@@ -304,11 +328,11 @@ def _doubled(r: DataFrame) -> DataFrame:
 
 
 def _cuts(h: DataFrame) -> DataFrame:
-    return h.filter("job_id % 10 < 5 and seg % 4 = 0").select("job_id", "seg", (F.col("job_id") % 5).alias("geom_id"), "x0", (F.col("y0") - 60.03).alias("y0"), "x1", (F.col("y1") - 60.03).alias("y1"), F.col("z").alias("z0"), (F.col("z") + 1.0).alias("z1"))
+    return h.select("job_id", "seg", (F.col("job_id") % 97).alias("geom_id"), "x0", (F.col("y0") - 60.03).alias("y0"), "x1", (F.col("y1") - 60.03).alias("y1"), F.col("z").alias("z0"), (F.col("z") + 1.0).alias("z1"))
 
 
 def _regions(r: DataFrame) -> DataFrame:
-    return _crossing(r).filter("geom_id < 5 and ring_id % 4 = 1")
+    return _crossing(r)
 
 
 def _tabs(p: DataFrame) -> DataFrame:
@@ -321,6 +345,11 @@ def _zigzag(r: DataFrame) -> DataFrame:
     return r.select("ring_id", "seq", "x", "y")
 
 
+def _free_paths(r: DataFrame) -> DataFrame:
+    """Rings that are no obstacles as open paths, from their second vertex on a little to the side."""
+    return r.filter("ring_id % 4 <> 1").select("geom_id", "ring_id", "seq", (F.col("x") + F.col("ring_id") % 11 * 0.3).alias("x"), "y")
+
+
 QUERIES = {
     "remove_repeated_cuts": _q(lambda d: deduplicated(_repeated(d), 1e-3).select("job_id", "seq", "cmd"), "commands"),
     "close_gaps": _q(lambda d: gaps_closed(d, 12.0).select("job_id", "seq", "cmd", "x", "y", "z"), "commands"),
@@ -332,11 +361,12 @@ QUERIES = {
     "assign_tabs": _q(lambda p, r: assign_tabs(_tabs(p), r), "points", "rings"),
     "tab_gaps": _q(lambda p, r: tab_gaps(_tabs(p), r), "points", "rings"),
     "cut_corners": _q(lambda r: corners_cut(_zigzag(r), 2), "rings"),
+    "cut_free_corners": _q(lambda r: corners_cut(_free_paths(r), 1, r.filter("ring_id % 4 = 1"), 0.4), "rings"),
     "ring_heights": _q(lambda r: ring_heights(r.withColumn("z", (F.col("ring_id") % 3 * F.col("seq") * 0.5)), 1e-6), "rings"),
     "rotary_positions": _q(lambda d: rotary_positions(d.withColumn("extra_axes", F.when(F.col("seq") % 4 == 1, F.create_map(F.lit("B"), F.col("seq") * 0.5)).when(F.col("seq") % 4 == 2, F.create_map(F.lit("X"), F.lit(1.0))))).select("job_id", "seq", "cmd", "x", "y"), "commands"),
 }
-_CUT = f"""{_SHIFT.split(', sh AS')[0]}, {cte('hatch')[5:]}, bx AS (SELECT geom_id, ring_id, min(x) AS u0, min(y) AS v0, max(x) AS u1, max(y) AS v1 FROM (SELECT geom_id, ring_id, x + (ring_id * 13) % 40 AS x, y FROM rings WHERE geom_id < 5 AND ring_id % 4 = 1) GROUP BY ALL),
- cu AS (SELECT job_id, seg, job_id % 5 AS geom_id, x0, x1, y0 - 60.03::DOUBLE AS y, z FROM hatch WHERE job_id % 10 < 5 AND seg % 4 = 0),
+_CUT = f"""{_SHIFT.split(', sh AS')[0]}, {cte('hatch')[5:]}, bx AS (SELECT geom_id, ring_id, min(x) AS u0, min(y) AS v0, max(x) AS u1, max(y) AS v1 FROM (SELECT geom_id, ring_id, x + (ring_id * 13) % 40 AS x, y FROM rings) GROUP BY ALL),
+ cu AS (SELECT job_id, seg, job_id % 97 AS geom_id, x0, x1, y0 - 60.03::DOUBLE AS y, z FROM hatch),
  ts AS (SELECT job_id, seg, 0::DOUBLE AS t FROM cu UNION SELECT job_id, seg, 1 FROM cu UNION SELECT job_id, seg, (u - x0) / (x1 - x0) FROM (SELECT cu.*, unnest([u0, u1]) AS u FROM cu JOIN bx ON bx.geom_id = cu.geom_id AND y BETWEEN v0 AND v1) WHERE (u - x0) / (x1 - x0) > 1e-12 AND (u - x0) / (x1 - x0) < 1 - 1e-12),
  pi AS (SELECT *, lead(t) OVER (PARTITION BY job_id, seg ORDER BY t) AS t1 FROM ts), pp AS (SELECT pi.job_id, pi.seg, pi.t AS t0, t1, cu.x0 AS p, cu.x1 AS q, y, z, geom_id FROM pi JOIN cu ON cu.job_id = pi.job_id AND cu.seg = pi.seg WHERE t1 - t >= 1e-9),
  ki AS (SELECT pp.*, EXISTS (SELECT 1 FROM bx WHERE bx.geom_id = pp.geom_id AND y BETWEEN v0 AND v1 AND p + (t0 + t1) / 2 * (q - p) BETWEEN u0 AND u1) AS ins FROM pp),
@@ -367,6 +397,14 @@ _LEAD = f"""{cte('commands')}, s AS (SELECT *, cmd IN ('OPS_SECTION_START', 'OPS
   UNION ALL SELECT job_id, tail, 4, 'SET_POWER', NULL, NULL, NULL, 0 FROM k WHERE hout UNION ALL SELECT job_id, tail, 5, 'LINE_TO', ex + wx * 1.5, ey + wy * 1.5, ez, NULL FROM k WHERE hout)
  SELECT job_id, seq, part, cmd, round(x, 6) AS x, round(y, 6) AS y, z, round(val, 6) AS val FROM o"""
 _MV = "cmd IN ('MOVE_TO','LINE_TO','ARC_TO')"
+
+
+def _to_line(x: str, y: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """SQL of the squared distance of a point to a segment."""
+    t = f"least(1, greatest(0, (({x} - {ax}) * ({bx} - {ax}) + ({y} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2, 0)))"
+    return f"(({x} - {ax} - coalesce({t}, 0) * ({bx} - {ax})) ** 2 + ({y} - {ay} - coalesce({t}, 0) * ({by} - {ay})) ** 2)"
+
+
 ORACLE_SQL = {
     "remove_repeated_cuts": f"""{cte('commands')}, s AS (SELECT *, greatest(count(*) FILTER (cmd = 'MOVE_TO') OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1, 0) AS sub FROM commands),
  d AS (SELECT job_id, seq * 2 AS seq, cmd, sub, x, y, z, ci, cj, cw FROM s UNION ALL SELECT job_id, seq * 2 + 1, cmd, sub, x, y, z, ci, cj, cw FROM s WHERE cmd IN ('LINE_TO', 'ARC_TO') AND seq % 3 <> 0),
@@ -398,6 +436,18 @@ ORACLE_SQL = {
  e AS (SELECT *, coalesce(((x - px) * (qx - x) + (y - py) * (qy - y)) / (sqrt((x - px) ** 2 + (y - py) ** 2) * sqrt((qx - x) ** 2 + (qy - y) ** 2)) < 0.707, false) AS s FROM d),
  f AS (SELECT ring_id, seq, 0 AS i, CASE WHEN s THEN x * 0.75 + px * 0.25 ELSE x END AS x, CASE WHEN s THEN y * 0.75 + py * 0.25 ELSE y END AS y FROM e UNION ALL SELECT ring_id, seq, 1, x * 0.75 + qx * 0.25, y * 0.75 + qy * 0.25 FROM e WHERE s)
  SELECT ring_id, (row_number() OVER (PARTITION BY ring_id ORDER BY seq, i) - 1)::INT AS seq, round(x, 6) AS x, round(y, 6) AS y FROM f""",
+    "cut_free_corners": f"""{cte('rings')}, pa AS (SELECT geom_id, ring_id, seq, x + ring_id % 11 * 0.3::DOUBLE AS x, y FROM rings WHERE ring_id % 4 <> 1),
+ a AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM pa WINDOW w AS (PARTITION BY geom_id, ring_id ORDER BY seq)), c AS (SELECT *, px IS NOT NULL AND qx IS NOT NULL AS sharp FROM a),
+ m AS (SELECT geom_id, ring_id, seq, px AS x0, py AS y0, x * 0.75 + px * 0.25 AS x1, y * 0.75 + py * 0.25 AS y1 FROM c WHERE sharp UNION ALL SELECT geom_id, ring_id, seq, x * 0.75 + px * 0.25, y * 0.75 + py * 0.25, x * 0.75 + qx * 0.25, y * 0.75 + qy * 0.25 FROM c WHERE sharp
+  UNION ALL SELECT geom_id, ring_id, seq, x * 0.75 + qx * 0.25, y * 0.75 + qy * 0.25, qx, qy FROM c WHERE sharp),
+ n AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY seq) AS i FROM rings WHERE ring_id % 4 = 1), e AS (SELECT p.geom_id, p.ring_id AS o, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM n p JOIN n q ON q.ring_id = p.ring_id AND q.i = p.i % 4 + 1),
+ b AS (SELECT geom_id, ring_id AS o, min(x) AS u0, max(x) AS u1, min(y) AS v0, max(y) AS v1, ring_id % 2 = 0 AS ccw FROM n GROUP BY ALL),
+ k AS (SELECT m.*, e.ax, e.ay, e.bx, e.by_, (x1 - x0) * (ay - y0) - (y1 - y0) * (ax - x0) AS s0, (x1 - x0) * (by_ - y0) - (y1 - y0) * (bx - x0) AS s1, (bx - ax) * (y0 - ay) - (by_ - ay) * (x0 - ax) AS s2, (bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax) AS s3 FROM m JOIN e ON e.geom_id = m.geom_id),
+ h AS (SELECT DISTINCT geom_id, ring_id, seq FROM k WHERE s0 * s1 <= 0 AND s2 * s3 <= 0 AND s0 * s1 + s2 * s3 <> 0 OR least({_to_line('x0', 'y0', 'ax', 'ay', 'bx', 'by_')}, {_to_line('x1', 'y1', 'ax', 'ay', 'bx', 'by_')}, {_to_line('ax', 'ay', 'x0', 'y0', 'x1', 'y1')}, {_to_line('bx', 'by_', 'x0', 'y0', 'x1', 'y1')}) < 0.16
+  UNION SELECT geom_id, ring_id, seq FROM (SELECT m.geom_id, m.ring_id, m.seq, x1 + y1 AS z, i, sum(CASE WHEN ccw THEN 1 ELSE -1 END) AS t FROM (SELECT *, unnest([x0, x1]) AS x, unnest([y0, y1]) AS y, unnest([0, 1]) AS i FROM m) m JOIN b ON b.geom_id = m.geom_id AND x BETWEEN u0 AND u1 AND y BETWEEN v0 AND v1 GROUP BY ALL) WHERE t > 0),
+ f AS (SELECT c.*, sharp AND h.seq IS NULL AS cut FROM c LEFT JOIN h ON h.geom_id = c.geom_id AND h.ring_id = c.ring_id AND h.seq = c.seq),
+ o AS (SELECT geom_id, ring_id, seq, 0 AS i, CASE WHEN cut THEN x * 0.75 + px * 0.25 ELSE x END AS x, CASE WHEN cut THEN y * 0.75 + py * 0.25 ELSE y END AS y FROM f UNION ALL SELECT geom_id, ring_id, seq, 1, x * 0.75 + qx * 0.25, y * 0.75 + qy * 0.25 FROM f WHERE cut)
+ SELECT geom_id, ring_id, (row_number() OVER (PARTITION BY geom_id, ring_id ORDER BY seq, i) - 1)::INT AS seq, round(x, 6) AS x, round(y, 6) AS y FROM o""",
     "ring_heights": f"""{cte('rings')}, z AS (SELECT *, ring_id % 3 * seq * 0.5::DOUBLE AS z FROM rings), n AS (SELECT *, row_number() OVER (PARTITION BY ring_id ORDER BY seq) AS i FROM z),
  e AS (SELECT a.geom_id, a.ring_id, a.seq, a.z, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) AS d FROM n a JOIN n b ON b.ring_id = a.ring_id AND b.i = a.i % 4 + 1)
  SELECT geom_id, ring_id, round(sum(d), 6) AS perimeter, min(z) AS min_z, max(z) AS max_z, round(avg(z), 6) AS mean_z, CASE WHEN max(z) - arg_min(z, seq) <= 1e-6 THEN arg_min(z, seq) END AS common_z FROM e GROUP BY ALL""",

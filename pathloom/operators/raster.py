@@ -320,7 +320,7 @@ QUERIES = {
     "image_components": _q(lambda p: components(_ink(p))),
     "fluence_map": _q(lambda p: fluence(_rows(p), 4, 12.5)),
     "burn_surface": _q(lambda p: burn_surface(_rows(p), _placements(p))),
-    "edge_ramp": _q(lambda p: edge_ramp(p.filter("y < 100").select("image_id", "y", "x", (F.col("gray") <= 150).cast("int").alias("ink")), 0.45, 10.0, 8.0)),
+    "edge_ramp": _q(lambda p: edge_ramp(p.select("image_id", "y", "x", (F.col("gray") <= 150).cast("int").alias("ink")), 0.45, 10.0, 8.0)),
 }
 _P = cte("pixels")
 _H = f"{_P}, h AS (SELECT image_id, gray, count(*) AS n FROM pixels GROUP BY ALL)"
@@ -374,7 +374,7 @@ ORACLE_SQL = {
     "fluence_map": f"{_POWER} SELECT image_id, y // 4 AS cy, (x // 4)::BIGINT AS cx, round(max(power) / 255.0 * 12.5, 6)::DOUBLE AS fluence FROM pw GROUP BY ALL",
     "burn_surface": f"""{_POWER}, pl AS (SELECT DISTINCT image_id, image_id % 3 AS stock_id, image_id % 2 + 1 AS k, image_id * 5 AS tx, image_id * 3 AS ty FROM pixels)
  SELECT stock_id, x * k + i.i + tx AS px, y * k + j.j + ty AS py, max(power) AS power FROM pw JOIN pl USING (image_id), range(2) i(i), range(2) j(j) WHERE power > 0 AND i.i < k AND j.j < k GROUP BY ALL""",
-    "edge_ramp": f"""{_P}, g AS MATERIALIZED (SELECT image_id, y, x, gray <= 150 AS ink FROM pixels WHERE y < 100), sz AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM g GROUP BY image_id),
+    "edge_ramp": f"""{_P}, g AS MATERIALIZED (SELECT image_id, y, x, gray <= 150 AS ink FROM pixels), sz AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM g GROUP BY image_id),
  nb AS (SELECT a.image_id, a.y, a.x, abs(dx) * 0.1::DOUBLE AS px, abs(dy) * 0.125::DOUBLE AS py FROM g a JOIN sz ON sz.image_id = a.image_id, range(-7, 8) i(dx), range(-6, 7) j(dy)
   WHERE a.ink AND a.x + dx BETWEEN -1 AND w AND a.y + dy BETWEEN -1 AND h AND NOT EXISTS (SELECT 1 FROM g b WHERE b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.ink)),
  di AS (SELECT *, sqrt(px * px + py * py) AS d, sqrt(px * px + py * py) * (1 - least(CASE WHEN px = 0 THEN 1 ELSE 0.05 / px END, CASE WHEN py = 0 THEN 1 ELSE 0.0625 / py END, 1)) AS e FROM nb),

@@ -489,7 +489,7 @@ QUERIES = {
     "ray_hits": _q(lambda p, r: ray_hits(_rays(p), r), "points", "rings"),
     "confined_paths": _q(lambda r: confined(_inner_paths(r), r, 2.0), "rings"),
     "enclosed_circles": _q(lambda p, r: enclose_circles(_circles(p), r), "points", "rings"),
-    "sweep_hits": _q(lambda p, r: sweep_hits(_moves(p), r.filter("ring_id % 6 < 3"), 0.4), "points", "rings"),
+    "sweep_hits": _q(lambda p, r: sweep_hits(_moves(p), r, 0.4), "points", "rings"),
     "solids_and_holes": _q(lambda r: solids(hierarchy(r)), "rings"),
     "uncovered_cuts": _q(uncovered_cuts, "hatch"),
     "first_cuts": _q(first_cuts, "hatch"),
@@ -533,7 +533,7 @@ ORACLE_SQL = {
     "confined_paths": f"{_E} SELECT ring_id AS path_id, ring_id, (x1 - x0) / 2 * (1 - (ring_id % 5 * 0.02::DOUBLE + 0.9::DOUBLE)) >= 2 AS confined FROM b",
     "enclosed_circles": f"{_PT} SELECT point_id AS circle_id, ring_id FROM points JOIN b ON least(x - x0, x1 - x, y - y0, y1 - y) >= point_id % 9 * 1.5 + 0.5",
     "sweep_hits": f"""{_PT}, mo AS (SELECT point_id AS move_id, point_id % 97 AS geom_id, ((point_id % 97) % 10) * 120.0::DOUBLE - 50 + point_id % 89 AS p, floor((point_id % 97) / 10.0) * 120.0::DOUBLE - 50 + point_id % 83 * 1.1::DOUBLE AS y, 0.75::DOUBLE + point_id % 4 AS l FROM points),
- rb AS (SELECT *, ring_id % 2 = 0 AS ccw FROM b WHERE ring_id % 6 < 3),
+ rb AS (SELECT *, ring_id % 2 = 0 AS ccw FROM b),
  ed AS (SELECT move_id FROM mo JOIN rb ON rb.geom_id = mo.geom_id WHERE sqrt(greatest(x0 - p - l, p - x1, 0) ** 2 + (y - y0) ** 2) < 0.4 OR sqrt(greatest(x0 - p - l, p - x1, 0) ** 2 + (y - y1) ** 2) < 0.4
   OR sqrt(greatest(x0 - p - l, p - x0, 0) ** 2 + greatest(y0 - y, y - y1, 0) ** 2) < 0.4 OR sqrt(greatest(x1 - p - l, p - x1, 0) ** 2 + greatest(y0 - y, y - y1, 0) ** 2) < 0.4),
  en AS (SELECT move_id, geom_id, unnest([p, p + l]) AS x, y, unnest([0, 1]) AS i FROM mo),
