@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import hypot
-from pathloom.functions.loops import component_labels
+from pathloom.functions.loops import component_labels, saved
 from pathloom.operators.commands import rounded
 from pathloom.sources.derive import cte, table
 
@@ -225,11 +225,11 @@ def components(ink: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("image_id", "y").orderBy("x")
     line = ink.withColumn("g", F.col("x") - F.row_number().over(w)).groupBy("image_id", "y", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    line = line.select("image_id", "y", "lo", "hi", (F.shiftleft(F.col("y").cast("long"), 32) + F.col("lo")).alias("run"))
+    line = saved(line.select("image_id", "y", "lo", "hi", (F.shiftleft(F.col("y").cast("long"), 32) + F.col("lo")).alias("run")))
     up = line.select("image_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"), F.col("run").alias("urun"))
     touch = line.join(up, ["image_id", "y"]).filter((F.col("lo") <= F.col("uhi") + 1) & (F.col("ulo") <= F.col("hi") + 1))
     labels = component_labels(line.select("image_id", F.col("run").alias("node")), touch.select("image_id", F.col("run").alias("a"), F.col("urun").alias("b")))
-    sizes = line.join(labels, (line["image_id"] == labels["image_id"]) & (line["run"] == labels["node"])).select(line["image_id"], "label", (F.col("hi") - F.col("lo") + 1).alias("n"))
+    sizes = line.join(labels.withColumnRenamed("node", "run"), ["image_id", "run"]).select("image_id", "label", (F.col("hi") - F.col("lo") + 1).alias("n"))
     return sizes.groupBy("image_id", "label").agg(F.sum("n").alias("area"))
 
 

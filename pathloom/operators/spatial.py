@@ -139,7 +139,11 @@ def signed_distances(points: DataFrame, rings: DataFrame) -> DataFrame:
 
 def crossings(rings: DataFrame, size: float | None = None) -> DataFrame:
     """Pairs of edges of different rings of a geometry that properly cross; cells of about the mean length of an edge."""
-    e = ring_edges(rings, "geom_id")
+    return crossing_edges(ring_edges(rings, "geom_id"), size)
+
+
+def crossing_edges(e: DataFrame, size: float | None = None) -> DataFrame:
+    """The same from edges ``(geom_id, ring_id, seq, ax, ay, bx, by)``."""
     if size is None:
         size = max(1e-6, e.agg(F.avg(hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0] or 1.0) / 2
     o = e.toDF("geom_id", "other", "other_seq", "px", "py", "qx", "qy")
@@ -213,28 +217,41 @@ def overlapping(rings: DataFrame, least: float) -> DataFrame:
     return overlap_areas(rings, box_pairs(rings)).filter(F.col("area") > least)
 
 
+def box_cell(boxes: DataFrame) -> float:
+    """A cell as large as the mean box of ``(x0, y0, x1, y1)``, so that a box touches a few cells whatever the scale."""
+    side = boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    return max(side or 0.0, 1e-6) if side else CELL
+
+
 def containers(rings: DataFrame) -> DataFrame:
     """Pairs ``geom_id, ring_id, container, container_area``: the container is larger by 1e-6 and covers at least 0.999 of
-    the ring's area. Where edges do not cross, one vertex decides; only crossing pairs need their common area."""
-    area = ring_measures(rings).filter("area > 1e-9").select("geom_id", "ring_id", "area")
-    boxes = ring_boxes(rings).join(area, ["geom_id", "ring_id"])
-    outer = boxes.toDF("geom_id", "container", "x0", "y0", "x1", "y1", "container_area")
-    inner = boxes.toDF("geom_id", "ring_id", "u0", "v0", "u1", "v1", "area")
-    pairs = joined(in_cells(outer, *map(F.col, ("x0", "y0", "x1", "y1")), CELL), in_cells(inner, *map(F.col, ("u0", "v0", "u1", "v1")), CELL), "geom_id")
+    the ring's area. Where edges do not cross, one vertex decides; only crossing pairs need their common area.
+
+    Boxes, areas, first vertices and edges are made once. Cells are as large as the mean box.
+    """
+    area = ring_measures(rings).filter("area > 1e-9").select("geom_id", "ring_id", "area", "min_x", "min_y", "max_x", "max_y")
+    first = rings.groupBy("geom_id", "ring_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p"))
+    boxes = saved(area.join(first, ["geom_id", "ring_id"]).select("geom_id", "ring_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"), "area", "p.x", "p.y"))
+    edge_rows = saved(ring_edges(rings, "geom_id"))
+    size = box_cell(boxes)
+    outer = boxes.select("geom_id", F.col("ring_id").alias("container"), "x0", "y0", "x1", "y1", F.col("area").alias("container_area"))
+    inner = boxes.select("geom_id", "ring_id", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), "area", "x", "y")
+    pairs = joined(in_cells(outer, *map(F.col, ("x0", "y0", "x1", "y1")), size), in_cells(inner, *map(F.col, ("u0", "v0", "u1", "v1")), size), "geom_id")
     touch = (F.col("x0") <= F.col("u1")) & (F.col("u0") <= F.col("x1")) & (F.col("y0") <= F.col("v1")) & (F.col("v0") <= F.col("y1")) & (F.col("container_area") > F.col("area") + 1e-6)
     holds = (F.col("x0") <= F.col("u0")) & (F.col("y0") <= F.col("v0")) & (F.col("x1") >= F.col("u1")) & (F.col("y1") >= F.col("v1"))
-    pairs = pairs.filter(touch).select("geom_id", "ring_id", "container", "area", "container_area", holds.alias("holds"))
-    cross = crossings(rings).select("geom_id", F.col("ring_id").alias("p"), F.col("other").alias("q")).distinct()
-    pairs = saved(pairs.join(cross.withColumn("crossing", F.lit(True)), (pairs["geom_id"] == cross["geom_id"]) & (F.least("ring_id", "container") == F.col("p")) & (F.greatest("ring_id", "container") == F.col("q")), "left").select(pairs["geom_id"], "ring_id", "container", "area", "container_area", "holds", "crossing"))
-    first = rings.groupBy("geom_id", "ring_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("p")).select("geom_id", "ring_id", "p.x", "p.y")
-    calm = pairs.filter("crossing is null and holds").join(first, ["geom_id", "ring_id"])
-    probes = calm.select("geom_id", F.col("ring_id").alias("child"), F.col("container").alias("ring_id"), "container_area", "x", "y")
-    inside = in_own_ring(probes, ring_edges(rings, "geom_id"), "geom_id", "child", "container_area").filter("on or odd")
-    inside = inside.select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"), "container_area")
+    pairs = pairs.filter(touch).select("geom_id", "ring_id", "container", "area", "container_area", holds.alias("holds"), "x", "y")
+    crossing = saved(crossing_edges(edge_rows).select("geom_id", F.col("ring_id").alias("p"), F.col("other").alias("q")).distinct())
+    probe = lambda calm: calm.select("geom_id", F.col("ring_id").alias("child"), F.col("container").alias("ring_id"), "container_area", "x", "y")
+    found = lambda calm: in_own_ring(probe(calm), edge_rows, "geom_id", "child", "container_area", size=size).filter("on or odd").select("geom_id", F.col("child").alias("ring_id"), F.col("ring_id").alias("container"), "container_area")
+    if not crossing.limit(1).count():
+        return found(pairs.filter("holds"))
+    low, high = F.least("ring_id", "container"), F.greatest("ring_id", "container")
+    pairs = pairs.withColumns({"p": low, "q": high}).join(crossing.withColumn("crossing", F.lit(True)), ["geom_id", "p", "q"], "left")
+    pairs = saved(pairs.filter("crossing or holds").drop("p", "q"))
     wild = pairs.filter("crossing")
     common = overlap_areas(rings, wild.select("geom_id", "ring_id", F.col("container").alias("other"))).withColumnRenamed("area", "common").withColumnRenamed("other", "container")
     covered = wild.join(common, ["geom_id", "ring_id", "container"]).filter(F.col("common") >= F.col("area") * 0.999)
-    return inside.unionByName(covered.select("geom_id", "ring_id", "container", "container_area"))
+    return found(pairs.filter("crossing is null and holds")).unionByName(covered.select("geom_id", "ring_id", "container", "container_area"))
 
 
 def hierarchy(rings: DataFrame) -> DataFrame:

@@ -142,3 +142,29 @@ def test_texture_of_level_and_slanted_lines(spark):
     assert got == {(1, 1, 3): 255, (2, 1, 3): 9, (2, 2, 2): 9, (2, 3, 1): 9}
     wide = {(r["px"], r["py"]) for r in textures.to_texture(df.filter("job_id = 1"), 4, 4, (1.0, 1.0), radius=1).collect()}
     assert wide == {(x, y) for x in (0, 1, 2) for y in (2, 3)}
+
+
+def test_components_of_edges_in_any_order(spark, monkeypatch):
+    from pathloom.functions import loops
+
+    rng = random.Random(8)
+    edges = [(k, *rng.sample(range(400), 2)) for k in (1, 2) for _ in range(250)] + [(3, i + 1, i) for i in range(5000)] + [(4, 7, 7)]
+    rng.shuffle(edges)
+    nodes = {(k, n) for k, a, b in edges for n in (a, b)} | {(5, 1)}
+    parent = {n: n for n in nodes}
+
+    def top(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for k, a, b in edges:
+        x, y = sorted((top((k, a)), top((k, b))))
+        parent[y] = x
+    df = spark.createDataFrame(edges, "image_id long, a long, b long").repartition(7)
+    whole = loops.contracted
+    for most in (1 << 20, 64):  # also where a task holds few edges at a time
+        monkeypatch.setattr(loops, "contracted", lambda e, key, most=most: whole(e, key, most))
+        got = loops.component_labels(spark.createDataFrame(list(nodes), "image_id long, node long"), df)
+        assert {(r["image_id"], r["node"]): r["label"] for r in got.collect()} == {n: top(n)[1] for n in nodes}
