@@ -13,7 +13,7 @@ from pathloom.functions.loops import discard, saved
 from pathloom.functions.windows import before, ffill, islands, ordered
 from pathloom.operators.commands import by_job, is_, is_moving, rounded, with_subpaths
 from pathloom.operators.rings import edges, ring_measures
-from pathloom.operators.spatial import _SHIFT, CELL, _crossing, in_own_ring, nearest_edges, pieces, ring_boxes, ring_edges, sweep_hits
+from pathloom.operators.spatial import _SHIFT, _crossing, box_cell, in_own_ring, nearest_edges, pieces, ring_boxes, ring_edges, sweep_hits
 from pathloom.sources.derive import cte, table
 
 #: Points compared along a contour, besides its vertices.
@@ -142,33 +142,37 @@ def same_shapes(ours: DataFrame, theirs: DataFrame, tolerance: float) -> DataFra
 def cut_by_regions(cuts: DataFrame, regions: DataFrame, keep_inside: bool) -> DataFrame:
     """Pieces of straight cuts ``(job_id, seg, geom_id, x0, y0, x1, y1, z0, z1)`` inside, or outside, any ring of their geometry.
 
-    Cuts that miss the box of their geometry's rings are whole and outside. The others meet edges in cells as large as
-    the mean edge; a piece's middle decides, by the rings whose box holds it. Edges belong to the inside. Z changes evenly
-    along a cut. ``part`` numbers the pieces of a cut, ``jump`` tells those that the pen has to travel to.
+    A cut meets the rings whose box it touches, each for itself: it is cut where it crosses the ring's edges, and the middle
+    of every part is tested against that ring alone. Then all crossings of a cut are put in order, with how many rings
+    begin and end to hold it there, and a running sum tells the pieces that any ring holds; so work grows with the
+    crossings, not with pieces times rings. Edges belong to the inside. Z changes evenly along a cut. ``part`` numbers the
+    pieces of a cut, ``jump`` tells those that the pen has to travel to. Cells are as large as the mean box.
     """
+    boxes = saved(ring_boxes(regions))
     edge_rows = saved(ring_edges(regions, "geom_id"))
-    around = edge_rows.groupBy("geom_id").agg(F.min(F.least("ax", "bx")).alias("u0"), F.min(F.least("ay", "by")).alias("v0"), F.max(F.greatest("ax", "bx")).alias("u1"), F.max(F.greatest("ay", "by")).alias("v1"), F.sum(hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("l"), F.count(F.lit(1)).alias("n"))
-    around = saved(around)
-    length, edge_count = around.agg(F.sum("l"), F.sum("n")).first()
-    size = max((length or 0.0) / max(edge_count or 1, 1), 1e-6) if length else CELL
-    hits = (F.least("x0", "x1") <= F.col("u1")) & (F.greatest("x0", "x1") >= F.col("u0")) & (F.least("y0", "y1") <= F.col("v1")) & (F.greatest("y0", "y1") >= F.col("v0"))
-    known = cuts.join(around.drop("l", "n"), "geom_id", "left").withColumn("__hits", F.coalesce(hits, F.lit(False))).drop("u0", "v0", "u1", "v1")
-    segments = known.filter("__hits").drop("__hits").withColumns({"ax": F.col("x0"), "ay": F.col("y0"), "bx": F.col("x1"), "by": F.col("y1")})
-    cutters = edge_rows.select("geom_id", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    parts = saved(pieces(segments, cutters, ["job_id", "seg"], ["geom_id"], size).drop("ax", "ay", "bx", "by"))
-    at = lambda c, t: F.col(f"{c}0") + t * (F.col(f"{c}1") - F.col(f"{c}0"))
+    size = box_cell(boxes)
+    segments = cuts.select("job_id", "seg", "geom_id", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
+    low, high = (F.least("ax", "bx"), F.least("ay", "by")), (F.greatest("ax", "bx"), F.greatest("ay", "by"))
+    around = boxes.groupBy("geom_id").agg(F.min("x0").alias("u0"), F.min("y0").alias("v0"), F.max("x1").alias("u1"), F.max("y1").alias("v1"))
+    near = segments.join(around, "geom_id").filter((low[0] <= F.col("u1")) & (high[0] >= F.col("u0")) & (low[1] <= F.col("v1")) & (high[1] >= F.col("v0"))).drop("u0", "v0", "u1", "v1")
+    met = joined(in_cells(near, *low, *high, size), in_cells(boxes, *map(F.col, ("x0", "y0", "x1", "y1")), size), "geom_id")
+    pairs = met.filter((low[0] <= F.col("x1")) & (high[0] >= F.col("x0")) & (low[1] <= F.col("y1")) & (high[1] >= F.col("y0"))).drop("x0", "y0", "x1", "y1")
+    cutters = edge_rows.select("geom_id", "ring_id", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
+    parts = saved(pieces(pairs, cutters, ["job_id", "seg", "ring_id"], ["geom_id", "ring_id"], size))
     middle = (F.col("t0") + F.col("t1")) / 2
-    probe = parts.select("job_id", "seg", "geom_id", "t0", at("x", middle).alias("x"), at("y", middle).alias("y"))
-    boxes = in_cells(ring_boxes(regions), *map(F.col, ("x0", "y0", "x1", "y1")), size)
-    near = joined(in_cells(probe, F.col("x"), F.col("y"), F.col("x"), F.col("y"), size), boxes, "geom_id").filter("x between x0 and x1 and y between y0 and y1")
-    inside = in_own_ring(near.select("job_id", "seg", "t0", "geom_id", "ring_id", "x", "y"), edge_rows, "job_id", "seg", "t0", size=size).filter("on or odd").select("job_id", "seg", "t0").distinct()
-    kept = parts.join(inside, ["job_id", "seg", "t0"], "left_semi" if keep_inside else "left_anti")
+    probe = parts.select("job_id", "seg", "geom_id", "ring_id", "t0", "t1", *[(F.col(f"a{c}") + middle * (F.col(f"b{c}") - F.col(f"a{c}"))).alias(c) for c in "xy"])
+    held = in_own_ring(probe, edge_rows, "job_id", "seg", "t0", "t1", size=size).filter("on or odd").select("job_id", "seg", F.inline(F.array(F.struct(F.col("t0").alias("t"), F.lit(1).alias("k")), F.struct(F.col("t1").alias("t"), F.lit(-1).alias("k")))))
+    at_all = parts.select("job_id", "seg", F.explode(F.array("t0", "t1")).alias("t"), F.lit(0).alias("k"))
     if not keep_inside:
-        kept = kept.unionByName(known.filter(~F.col("__hits")).drop("__hits").withColumns({"t0": F.lit(0.0), "t1": F.lit(1.0)}))
-    w = ordered("job_id", "seg", by="t0")
-    out = kept.select("job_id", "seg", (F.row_number().over(w) - 1).alias("part"), "t0", "t1", *[at(c, F.col(t)).alias(f"{c}{t[1]}") for t in ("t0", "t1") for c in "xyz"])
+        at_all = at_all.unionByName(cuts.select("job_id", "seg", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), F.lit(0).alias("k")))
+    w = ordered("job_id", "seg", by="t")
+    steps = at_all.unionByName(held).groupBy("job_id", "seg", "t").agg(F.sum("k").alias("k"))
+    steps = steps.select("job_id", "seg", F.col("t").alias("t0"), F.lead("t").over(w).alias("t1"), (F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0).alias("inside"))
+    kept = steps.filter((F.col("t1") - F.col("t0") >= 1e-9) & (F.col("inside") if keep_inside else ~F.col("inside"))).join(cuts.drop("geom_id"), ["job_id", "seg"])
+    at = lambda c, t: F.col(f"{c}0") + t * (F.col(f"{c}1") - F.col(f"{c}0"))
+    out = kept.select("job_id", "seg", (F.row_number().over(ordered("job_id", "seg", by="t0")) - 1).alias("part"), *[at(c, F.col(t)).alias(f"{c}{t[1]}") for t in ("t0", "t1") for c in "xyz"])
     pen = F.lag(F.struct("x1", "y1", "z1")).over(Window.partitionBy("job_id").orderBy("seg", "part"))
-    return out.withColumn("pen", pen).withColumn("jump", F.coalesce((F.col("pen.x1") - F.col("x0")) ** 2 + (F.col("pen.y1") - F.col("y0")) ** 2 + (F.col("pen.z1") - F.col("z0")) ** 2 > 1e-12, F.lit(True))).drop("pen", "t0", "t1")
+    return out.withColumn("pen", pen).withColumn("jump", F.coalesce((F.col("pen.x1") - F.col("x0")) ** 2 + (F.col("pen.y1") - F.col("y0")) ** 2 + (F.col("pen.z1") - F.col("z0")) ** 2 > 1e-12, F.lit(True))).drop("pen")
 
 
 def with_leads(df: DataFrame, lead_in: float, lead_out: float) -> DataFrame:
