@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathloom.operators import chains, commands, contours, curves, iterative, logs, mesh, raster, rings, spatial, structure, sweeps, tabs, textures, transforms
+from pathloom.operators import chains, commands, contours, curves, iterative, logs, long_jobs, mesh, raster, rings, spatial, structure, sweeps, tabs, textures, transforms
 from pathloom.sources import documents
 from pathloom.streaming import commands as streams
 
-MODULES = (commands, rings, raster, spatial, mesh, logs, transforms, sweeps, contours, curves, structure, textures, tabs, chains, documents, iterative, streams)
+MODULES = (commands, long_jobs, rings, raster, spatial, mesh, logs, transforms, sweeps, contours, curves, structure, textures, tabs, chains, documents, iterative, streams)
 
 
 def queries() -> dict:

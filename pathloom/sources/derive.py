@@ -101,6 +101,8 @@ SELECT job_id, seq, CASE WHEN curve THEN 'BEZIER_TO' ELSE cmd END AS cmd, x, y,
 FROM cu
 """
 
+#: The same rows as one giant job, in the order of the events.
+SQL["giant"] = SQL["commands"].replace("user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS seq", "CAST(0 AS BIGINT) AS job_id, event_id AS seq")
 #: Commands with layers as named blocks of state, some of them nested, unclosed or without a start.
 SQL["blocks"] = f"""
 WITH co AS ({SQL['commands']})
@@ -120,7 +122,7 @@ SELECT image_id, y, x, CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 0.
  FROM (SELECT label AS image_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS y, embedding FROM embeddings))
 """
 
-SOURCES = {"commands": ["events"], "curves": ["events"], "blocks": ["events"], "rings": ["part"], "points": ["customer"], "hatch": ["lineitem"], "mesh_verts": ["part"], "mesh_tris": ["part"], "requests": ["lineitem"], "trace_spans": ["region", "nation", "supplier"], "trace_events": ["events"]} | {"pixels": ["embeddings"]}
+SOURCES = {"commands": ["events"], "curves": ["events"], "blocks": ["events"], "giant": ["events"], "rings": ["part"], "points": ["customer"], "hatch": ["lineitem"], "mesh_verts": ["part"], "mesh_tris": ["part"], "requests": ["lineitem"], "trace_spans": ["region", "nation", "supplier"], "trace_events": ["events"]} | {"pixels": ["embeddings"]}
 
 
 

@@ -168,3 +168,21 @@ def test_components_of_edges_in_any_order(spark, monkeypatch):
         monkeypatch.setattr(loops, "contracted", lambda e, key, most=most: whole(e, key, most))
         got = loops.component_labels(spark.createDataFrame(list(nodes), "image_id long, node long"), df)
         assert {(r["image_id"], r["node"]): r["label"] for r in got.collect()} == {n: top(n)[1] for n in nodes}
+
+
+def test_one_giant_job_is_many_tasks(spark):
+    from pathloom.operators import commands, long_jobs
+
+    n = 40_000
+    job = spark.range(n).select(F.lit(1).cast("long").alias("job_id"), F.col("id").alias("seq"), F.when(F.col("id") % 10 == 0, "SET_FEED_RATE").when(F.col("id") % 7 == 0, "MOVE_TO").otherwise("LINE_TO").alias("cmd"), (F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    job = job.withColumns({"z": F.lit(0.0), "val": F.when(F.col("cmd") == "SET_FEED_RATE", 500.0 + F.col("seq") % 300), **{c: F.lit(None).cast("double") for c in ("ci", "cj")}, "cw": F.lit(None).cast("boolean"), "sval": F.lit(None).cast("string"), "section_type": F.lit(None).cast("string")})
+    job = job.withColumns({c: F.when(F.col("cmd") != "SET_FEED_RATE", F.col(c)) for c in "xyz"})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = long_jobs.with_durations(job, block_rows=1000)
+        most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most[0] < 0.7 * n and most[1] >= 3
+    a, b = long_jobs.job_measures(job, 1000).first().asDict(), commands.job_measures(job).first().asDict()
+    assert all(a[k] == pytest.approx(b[k]) for k in b)
