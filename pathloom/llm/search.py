@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import discard, spread_join, written
 
-#: Children of a node, rows in a block, rows for each centre of an in-memory tree.
-FAN, BLOCK_ROWS, LEAF = 16, 8192, 48
+#: Children of a node, rows in a block, rows for each centre of an in-memory tree of data, and of one of queries.
+FAN, BLOCK_ROWS, LEAF, QUERY_LEAF = 16, 8192, 48, 1
 #: Rows of a node that a task deals to its children at a time.
 ROWS_A_SALT = 100_000
 #: Query blocks that meet one copy of a data block.
@@ -49,6 +49,15 @@ class Node:
     at: int = 0
     children: list[Node] = field(default_factory=list)
 
+    def fan(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centres, radii and the centres' lengths of the children, kept once made."""
+        if self.made is None:
+            centers = np.stack([c.center for c in self.children])
+            self.made = centers, np.array([c.radius for c in self.children]), np.sqrt((centers**2).sum(axis=1))
+        return self.made
+
+    made: tuple | None = None
+
 
 class CoverTree:
     """A cover tree over the rows of a matrix; ``order`` puts the rows of each node side by side.
@@ -59,7 +68,8 @@ class CoverTree:
     where they crowd, and below the last level each row belongs to its nearest centre.
     """
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int | None = None):
+        self.leaf = leaf or LEAF
         x = rows.astype(np.float64)
         chosen, reach, parent = self._centers(x)
         levels = [1 << 40 if np.isinf(r) else int(np.ceil(np.log2(r))) - 1 for r in reach]
@@ -115,8 +125,8 @@ class CoverTree:
             best[nearer], self.owner[nearer] = d[nearer], len(chosen) - 1
             far = int(best.argmax())
             distance = best[far]
-            small = len(chosen) * LEAF >= n and np.bincount(self.owner).max() <= 4 * LEAF
-            if distance == 0.0 or small or len(chosen) * LEAF >= 4 * n:
+            small = len(chosen) * self.leaf >= n and np.bincount(self.owner).max() <= 4 * self.leaf
+            if distance == 0.0 or small or len(chosen) * self.leaf >= 4 * n:
                 return chosen, reach, parent
 
 
@@ -155,23 +165,29 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width < 2**52
     qf, cf = (q.astype(np.float64), c.astype(np.float64)) if exact else (q, c)
 
-    def bound(a: Node, b: Node) -> float:
-        n = min(len(a.center), len(b.center))
-        reach = a.center[:n] @ b.center[:n] + np.linalg.norm(a.center) * b.radius + np.linalg.norm(b.center) * a.radius + a.radius * b.radius
-        return float(reach) + 1e-6 * (abs(float(reach)) + 1.0)
+    def bounds(a: Node, centers: np.ndarray, radii: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Largest possible scores of the rows of ``a`` with those of other nodes."""
+        n = min(len(a.center), centers.shape[1])
+        reach = centers[:, :n] @ a.center[:n] + np.linalg.norm(a.center) * radii + lengths * a.radius + a.radius * radii
+        return reach + 1e-6 * (np.abs(reach) + 1.0)
 
-    stack = [(bound(queries.root, data.root), queries.root, data.root)]
+    first = data.root
+    stack = [(float(bounds(queries.root, first.center[None, :], np.array([first.radius]), np.array([np.linalg.norm(first.center)]))[0]), queries.root, first)]
     while stack:
         reach, a, b = stack.pop()
-        if reach < best.worst(a.lo, a.hi):
+        worst = best.worst(a.lo, a.hi)
+        if reach < worst:
             continue
         if not a.children and not b.children:
             scores = np.rint(qf[a.lo : a.hi] @ cf[b.lo : b.hi].T).astype(np.int64) if exact else qf[a.lo : a.hi] @ cf[b.lo : b.hi].T
             best.add(a.lo, scores, data.ids[b.lo : b.hi], queries.ids[a.lo : a.hi])
             continue
-        # The wider ball is opened, so that both sides come down together.
-        pairs = [(x, b) for x in a.children] if a.children and (a.radius > b.radius or not b.children) else [(a, y) for y in b.children]
-        stack += sorted(((bound(x, y), x, y) for x, y in pairs), key=lambda t: t[0])
+        # The wider ball is opened, so that both sides come down together; the most promising pair is taken first.
+        if a.children and (a.radius > b.radius or not b.children):
+            found, pairs = bounds(b, *a.fan()), [(x, b) for x in a.children]
+        else:
+            found, pairs = bounds(a, *b.fan()), [(a, y) for y in b.children]
+        stack += [(float(found[i]), *pairs[i]) for i in np.argsort(found, kind="stable") if found[i] >= worst]
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -280,7 +296,7 @@ def _searched(pairs: DataFrame, data: DataFrame, k: int) -> DataFrame:
             tree = CoverTree(d["ids"], d["rows"])
             for blob in right["queries"]:
                 b = np.load(io.BytesIO(blob))
-                asked = CoverTree(b["ids"], b["rows"])
+                asked = CoverTree(b["ids"], b["rows"], QUERY_LEAF)
                 best = Best(len(asked.ids), k, b["floor"][asked.order])
                 dual_search(asked, tree, best)
                 row, col = np.nonzero(best.id != np.iinfo(np.int64).max)

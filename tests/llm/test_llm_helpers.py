@@ -412,3 +412,28 @@ def test_rules_separate_and_are_few():
     assert ((model.predict(x) >= 0.5) == y).mean() > 0.98
     assert 0 < len(model.rules) < 200
     assert quality.fit(x[:0], y[:0]).rules == [] and quality.fit(x[:3], np.ones(3)).predict(x[:1])[0] > 0.9
+
+
+def test_walks_prune_where_vectors_form_groups():
+    """On vectors in groups the walk compares few pairs. Where directions are evenly spread over many dimensions nothing can be pruned."""
+    from pathloom.llm import search
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(60, 32)) * 200
+    rows = np.rint(centers[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 32)) * 4).astype(np.int64)
+    ids = np.arange(len(rows))
+    data, queries = search.CoverTree(ids, rows), search.CoverTree(ids[::50], rows[::50], search.QUERY_LEAF)
+    seen = []
+
+    class Counting(search.Best):
+        def add(self, lo, scores, found, own):
+            seen.append(scores.size)
+            super().add(lo, scores, found, own)
+
+    best = Counting(len(queries.ids), 5, np.full(len(queries.ids), search.LOWEST))
+    search.dual_search(queries, data, best)
+    for row, own in zip(best.id, queries.ids, strict=True):
+        scores = rows @ rows[own]
+        scores[own] = search.LOWEST
+        assert sorted(row.tolist()) == sorted(np.lexsort((ids, -scores))[:5].tolist())
+    assert sum(seen) < 0.15 * len(queries.ids) * len(rows)
