@@ -103,12 +103,14 @@ FROM cu
 
 #: The same rows as one giant job, in the order of the events.
 SQL["giant"] = SQL["commands"].replace("user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS seq", "CAST(0 AS BIGINT) AS job_id, event_id AS seq")
-#: Commands with layers as named blocks of state, some of them nested, unclosed or without a start.
+#: Commands with named blocks of state: every ninth row starts one that ends three rows on, unless a marker of a section is there;
+#: in every fourth job layers are blocks instead, some of them nested, unclosed or without a start.
 SQL["blocks"] = f"""
-WITH co AS ({SQL['commands']})
-SELECT job_id, seq, CASE cmd WHEN 'LAYER_START' THEN 'STATE_BLOCK_START' WHEN 'LAYER_END' THEN 'STATE_BLOCK_END' ELSE cmd END AS cmd, x, y, z, ci, cj, cw, val,
-  CASE WHEN cmd = 'LAYER_START' THEN concat(CASE WHEN seq % 3 = 0 THEN 'post-' ELSE 'pre-' END, CAST(seq % 20 AS INT)) WHEN cmd = 'LAYER_END' THEN NULL ELSE sval END AS sval, section_type
-FROM co
+WITH co AS ({SQL['commands']}), ma AS (SELECT *, CASE WHEN cmd IN ('OPS_SECTION_START', 'OPS_SECTION_END') THEN 0
+  WHEN job_id % 4 = 0 THEN CASE cmd WHEN 'LAYER_START' THEN 1 WHEN 'LAYER_END' THEN -1 ELSE 0 END WHEN seq % 9 = 2 THEN 1 WHEN seq % 9 = 5 THEN -1 ELSE 0 END AS edge FROM co)
+SELECT job_id, seq, CASE edge WHEN 1 THEN 'STATE_BLOCK_START' WHEN -1 THEN 'STATE_BLOCK_END' ELSE cmd END AS cmd, x, y, z, ci, cj, cw, val,
+  CASE edge WHEN 1 THEN concat(CASE WHEN seq % 2 = 0 THEN 'post-' ELSE 'pre-' END, CAST(seq % 20 AS INT)) WHEN -1 THEN NULL ELSE sval END AS sval, section_type
+FROM ma
 """
 
 PIXELS_DUCKDB = """
