@@ -37,6 +37,8 @@ CROWD = 64
 PROBE, HOT_SIGNATURES, LATE_PROBE, LATE_SHINGLES = 20_000, 2048, 1000, 16_384
 #: Partners that meet one copy of a hub's set.
 HUB_PARTNERS = 64
+#: Sets that a task remembers, so that copies are sent once; beyond, it forgets all and starts anew.
+REMEMBERED = 500_000
 #: Ids up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -248,7 +250,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, safe: float = SAFE, late: np.ndarray | None = None) -> DataFrame:
-    """``sig, doc_id``: signatures of every set; sets that a task has already met are not sent again by that task."""
+    """``sig, doc_id``: signatures of every set; of the last ``REMEMBERED`` sets a task sends none again."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[tuple[int, int]] = set()
@@ -258,6 +260,8 @@ def signature_rows(docs: DataFrame, safe: float = SAFE, late: np.ndarray | None
                 key = (len(s), int(s.sum(dtype=np.uint64)) ^ int(_mix(s, 1).sum(dtype=np.uint64)) << 64) if len(s) else None
                 if key is None or key in known:
                     continue
+                if len(known) >= REMEMBERED:
+                    known.clear()
                 known.add(key)
                 sigs.append(signatures(s, safe, late))
                 ids.append(doc_id)
