@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import discard, spread_join, written
 
-#: Children of a node, rows in a block, rows for each centre of an in-memory tree of data, and of one of queries.
-FAN, BLOCK_ROWS, LEAF, QUERY_LEAF = 16, 8192, 48, 1
+#: Children of a node, rows in a block, rows for each centre of an in-memory tree.
+FAN, BLOCK_ROWS, LEAF = 16, 8192, 48
 #: Rows of a node that a task deals to its children at a time.
 ROWS_A_SALT = 100_000
 #: Query blocks that meet one copy of a data block.
@@ -146,16 +146,21 @@ class Best:
         """A score that some query of [lo, hi) still has to reach; below it nothing matters to the group."""
         return float(np.maximum(self.score[lo:hi, -1], self.floor[lo:hi]).min())
 
-    def add(self, lo: int, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+    def limits(self, lo: int, hi: int) -> np.ndarray:
+        """For each query of [lo, hi) the score that still matters to it."""
+        return np.maximum(self.score[lo:hi, -1], self.floor[lo:hi])
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """Scores of the queries ``rows``, whose ids are ``own``, with the data ``ids``."""
         same = ids[None, :] == own[:, None]
         if same.any():
             scores = np.where(same, LOWEST, scores)
-        limit = np.maximum(self.score[lo : lo + len(scores), -1], self.floor[lo : lo + len(scores)])
+        limit = np.maximum(self.score[rows, -1], self.floor[rows])
         for i in np.flatnonzero((scores >= limit[:, None]).any(axis=1)):
-            take = np.flatnonzero(scores[i] >= limit[i])
-            s, d = np.r_[self.score[lo + i], scores[i, take]], np.r_[self.id[lo + i], ids[take]]
+            take, at = np.flatnonzero(scores[i] >= limit[i]), rows[i]
+            s, d = np.r_[self.score[at], scores[i, take]], np.r_[self.id[at], ids[take]]
             top = np.lexsort((d, -s))[: self.k]
-            self.score[lo + i], self.id[lo + i] = s[top], d[top]
+            self.score[at], self.id[at] = s[top], d[top]
 
 
 def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
@@ -165,6 +170,8 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width < 2**52
     qf, cf = (q.astype(np.float64), c.astype(np.float64)) if exact else (q, c)
 
+    length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+
     def bounds(a: Node, centers: np.ndarray, radii: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Largest possible scores of the rows of ``a`` with those of other nodes."""
         n = min(len(a.center), centers.shape[1])
@@ -179,8 +186,13 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
         if reach < worst:
             continue
         if not a.children and not b.children:
-            scores = np.rint(qf[a.lo : a.hi] @ cf[b.lo : b.hi].T).astype(np.int64) if exact else qf[a.lo : a.hi] @ cf[b.lo : b.hi].T
-            best.add(a.lo, scores, data.ids[b.lo : b.hi], queries.ids[a.lo : a.hi])
+            # Each query of the group for itself: what the ball can reach against its own kth score.
+            n = len(b.center)
+            most = q[a.lo : a.hi, :n].astype(np.float64) @ b.center + length[a.lo : a.hi] * b.radius
+            rows = a.lo + np.flatnonzero(most + 1e-6 * (np.abs(most) + 1.0) >= best.limits(a.lo, a.hi))
+            if len(rows):
+                scores = np.rint(qf[rows] @ cf[b.lo : b.hi].T).astype(np.int64) if exact else qf[rows] @ cf[b.lo : b.hi].T
+                best.add(rows, scores, data.ids[b.lo : b.hi], queries.ids[rows])
             continue
         # The wider ball is opened, so that both sides come down together; the most promising pair is taken first.
         if a.children and (a.radius > b.radius or not b.children):
@@ -296,7 +308,7 @@ def _searched(pairs: DataFrame, data: DataFrame, k: int) -> DataFrame:
             tree = CoverTree(d["ids"], d["rows"])
             for blob in right["queries"]:
                 b = np.load(io.BytesIO(blob))
-                asked = CoverTree(b["ids"], b["rows"], QUERY_LEAF)
+                asked = CoverTree(b["ids"], b["rows"])
                 best = Best(len(asked.ids), k, b["floor"][asked.order])
                 dual_search(asked, tree, best)
                 row, col = np.nonzero(best.id != np.iinfo(np.int64).max)

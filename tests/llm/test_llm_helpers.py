@@ -422,13 +422,13 @@ def test_walks_prune_where_vectors_form_groups():
     centers = rng.normal(size=(60, 32)) * 200
     rows = np.rint(centers[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 32)) * 4).astype(np.int64)
     ids = np.arange(len(rows))
-    data, queries = search.CoverTree(ids, rows), search.CoverTree(ids[::50], rows[::50], search.QUERY_LEAF)
+    data, queries = search.CoverTree(ids, rows), search.CoverTree(ids[::50], rows[::50])
     seen = []
 
     class Counting(search.Best):
-        def add(self, lo, scores, found, own):
+        def add(self, rows, scores, found, own):
             seen.append(scores.size)
-            super().add(lo, scores, found, own)
+            super().add(rows, scores, found, own)
 
     best = Counting(len(queries.ids), 5, np.full(len(queries.ids), search.LOWEST))
     search.dual_search(queries, data, best)
