@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.windows import before
 from pathloom.operators.commands import by_job, is_, rounded
 from pathloom.operators.raster import _POWER, power, scan_rows
-from pathloom.operators.sweeps import _SWEEP, _sweeps
+from pathloom.operators.sweeps import _SWEEP, _sweeps, from_rows
 from pathloom.operators.transforms import fluence_at
 from pathloom.sources.derive import cte, table
 
@@ -54,6 +54,20 @@ def fluence_map(df: DataFrame, size_mm: tuple[float, float], per_mm: float, watt
     return burnt.select("job_id", "px", (height - 1 - F.col("py")).alias("py"), fluence_at(F.col("power") / 255.0, watts, *spot, speed).alias("fluence"))
 
 
+def depth_commands(pixels: DataFrame, passes: int, pitch: float, step: float) -> DataFrame:
+    """Gray levels as passes of full power, one below the other: ``job_id, pass, seq, cmd, x, y, z, samples, section_type``.
+
+    A pixel burns in as many passes as its darkness asks for; pass p lies ``step`` times p - 1 lower. Each pass is a raster
+    section of its own, its rows from content to content; every image has all passes, those without ink only their markers.
+    """
+    level = F.ceil((F.lit(1.0) - F.col("gray") / 255.0) * passes)
+    deep = pixels.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    burnt = deep.select((F.col("image_id") * passes + F.col("pass")).alias("image_id"), "y", "x", F.when(level > F.col("pass"), 255).otherwise(0).alias("power"))
+    rows = from_rows(scan_rows(burnt), pitch)
+    number = F.pmod(F.col("job_id"), F.lit(passes))
+    return rows.select(F.floor(F.col("job_id") / passes).alias("job_id"), (number + 1).cast("int").alias("pass"), "seq", "cmd", "x", "y", (F.col("z") - number * step).alias("z"), "samples", "section_type")
+
+
 def placed_surface(rasters: DataFrame, grids: DataFrame, placements: DataFrame, stocks: DataFrame) -> DataFrame:
     """Largest value of all rasters on each cell of their stock: ``stock_id, cx, cy, value``, cells under none are left out.
 
@@ -114,6 +128,7 @@ def _surface(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     "commands_to_texture": lambda spark, sf_dir: to_texture(_slanted(table(spark, sf_dir, "pixels")), 60, 300, (8.0, 8.0), (-0.5, -0.25), 1),
     "fluence_maps": lambda spark, sf_dir: rounded(fluence_map(_sweeps(table(spark, sf_dir, "pixels")), (6.5, 25.0), 6.0, 40.0, (0.1, 0.2), 50.0)),
+    "depth_commands": lambda spark, sf_dir: rounded(depth_commands(table(spark, sf_dir, "pixels"), 4, 0.1, 0.25).withColumn("samples", F.array_join("samples", ","))),
     "placed_surface": _surface,
 }
 _LINES = """{sweep}, sl AS (SELECT job_id, seq, cmd, x, {y} AS y, samples FROM sw), ab AS (SELECT a.job_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, b.samples, len(b.samples) AS n FROM sl a JOIN sl b ON b.job_id = a.job_id AND b.seq = a.seq + 1 WHERE b.cmd = 'SCAN_LINE'),
@@ -127,7 +142,10 @@ _LINES = """{sweep}, sl AS (SELECT job_id, seq, cmd, x, {y} AS y, samples FROM s
  sc AS (SELECT job_id, v, x0 + sign(x1 - x0)::BIGINT * CASE WHEN n = 0 THEN 0 ELSE (2 * k * a + n) // (2 * n) END AS cx, y0 + sign(y1 - y0)::BIGINT * CASE WHEN n = 0 THEN 0 ELSE (2 * k * b + n) // (2 * n) END AS cy FROM sk),
  sx_ AS (SELECT job_id, v, cx + ix AS px, cy + iy AS py FROM sc, range(-{r}, {r} + 1) p(ix), range(-{r}, {r} + 1) q(iy)),
  te AS (SELECT job_id, px, py, max(v) AS power FROM (SELECT job_id, px, py, v FROM ly UNION ALL SELECT job_id, px, py, v FROM sx_ WHERE px BETWEEN 0 AND {w} - 1 AND py BETWEEN 0 AND {h} - 1) GROUP BY ALL)"""
+_DEPTH = f"""{cte('pixels')}, pw AS (SELECT image_id * 4 + p AS image_id, y, x, CASE WHEN ceil((1 - gray / 255.0::DOUBLE) * 4) > p THEN 255 ELSE 0 END AS power FROM pixels, range(4) r(p))""" + _SWEEP.removeprefix(_POWER)
 ORACLE_SQL = {
+    "depth_commands": f"""{_DEPTH} SELECT (job_id - job_id % 4) // 4 AS job_id, (job_id % 4 + 1)::INT AS pass, seq, cmd, round(x, 6) AS x, round(y, 6) AS y, CASE WHEN cmd NOT LIKE 'OPS%' THEN round(0 - job_id % 4 * 0.25::DOUBLE, 6) END AS z,
+ array_to_string(samples, ',') AS samples, CASE WHEN cmd LIKE 'OPS%' THEN 'RASTER_FILL' END AS section_type FROM sw""",
     "commands_to_texture": _LINES.format(sweep=_SWEEP, y="CASE WHEN job_id % 2 = 1 THEN y + x * 0.3717::DOUBLE ELSE y END", ox="-0.5::DOUBLE", oy="-0.25::DOUBLE", k=8, h=300, w=60, r=1) + " SELECT * FROM te",
     "fluence_maps": _LINES.format(sweep=_SWEEP, y="y", ox="0", oy="0", k=6, h=150, w=39, r=0) + " SELECT job_id, px, 149 - py AS py, round(power / 255.0::DOUBLE * 40 * (0.2 / 50) / (0.1 * 0.2 / 100), 6)::DOUBLE AS fluence FROM te",
     "placed_surface": f"""{_POWER}, gr AS (SELECT image_id AS k, max(x) + 1 AS w, max(y) + 1 AS h FROM pw GROUP BY image_id),
