@@ -2,7 +2,7 @@
 
 Every window of ``window`` bytes of a text belongs to the smallest hash of the ``MARK``-byte strings inside it, so equal
 windows belong to equal hashes. Neighbouring windows of one hash are a piece: rows of numbers, no text. Hashes seen once
-have no repeated window. Those whose pieces are all the same text repeat as a whole. Only pieces of the others are cut
+have no repeated window, unless they are there twice within the one piece, as in periodic text. Those whose pieces are all the same text repeat as a whole. Only pieces of the others are cut
 from their documents, each different one once, and dealt by hash to shards of a bounded size. A shard sorts its
 suffixes by induced sorting, reads the common prefixes of neighbours in text order, and marks every window whose
 neighbour agrees with it on all its bytes. A hash with too many different pieces for a shard has its windows counted by
@@ -222,8 +222,19 @@ def _powers(n: int, base: int) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def smallest_marks(data: np.ndarray, window: int, mark: int) -> np.ndarray:
-    """For each window of ``data`` the smallest hash of its ``mark``-byte strings."""
+def _sliding(values: np.ndarray, span: int, pick: np.ufunc, idle: int) -> np.ndarray:
+    """The smallest or largest of every ``span`` neighbours: from both ends of blocks of that length."""
+    blocks = np.full(-(-len(values) // span) * span, idle, np.uint64)
+    blocks[: len(values)] = values
+    blocks = blocks.reshape(-1, span)
+    ahead = pick.accumulate(blocks, axis=1).ravel()
+    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(values) - span + 1
+    return pick(back[:count], ahead[span - 1 : span - 1 + count])
+
+
+def smallest_marks(data: np.ndarray, window: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``mark``-byte strings of ``data``, and for each window the smallest of its own."""
     n = len(data)
     if len(_POWERS.get("up", ())) <= n:
         size = max(n + 1, CHUNK + window)
@@ -235,13 +246,21 @@ def smallest_marks(data: np.ndarray, window: int, mark: int) -> np.ndarray:
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
     h ^= h >> np.uint64(32)
-    span, count = window - mark + 1, n - window + 1
-    blocks = np.full(-(-len(h) // span) * span, np.iinfo(np.uint64).max, np.uint64)
-    blocks[: len(h)] = h
-    blocks = blocks.reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:count], ahead[span - 1 : span - 1 + count])
+    return h, _sliding(h, window - mark + 1, np.minimum, np.iinfo(np.uint64).max)
+
+
+def _twice(h: np.ndarray, least: np.ndarray, starts: np.ndarray, sizes: np.ndarray, span: int) -> np.ndarray:
+    """Which pieces have their smallest hash at more than one place; only their windows can repeat within them.
+
+    A place is one of the smallest of some window if the largest of the windows' smallest hashes there is its own.
+    """
+    wide = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
+    places = np.flatnonzero(h == _sliding(wide, span, np.maximum, 0))
+    lo, hi = np.searchsorted(places, starts), np.searchsorted(places, starts + sizes + span - 1)
+    each = hi - lo
+    piece = np.repeat(np.arange(len(starts)), each)
+    at = places[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)]
+    return np.bincount(piece[h[at] == least[starts][piece]], minlength=len(starts)) > 1
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -256,13 +275,14 @@ def _long(digest: bytes) -> int:
 
 
 def pieces_of(offsets: np.ndarray, data: np.ndarray, window: int, mark: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pieces of documents that lie end to end: number of the document, start in ``data``, windows, hash; a chunk at a time.
+    """Pieces of documents that lie end to end: number of the document, start in ``data``, windows, hash, and whether the hash is there
+    twice; a chunk at a time.
 
     Where a chunk or ``PIECE`` ends, a piece is cut; its windows keep their hash, so results are the same.
     """
     for lo in range(int(offsets[0]), int(offsets[-1]) - window + 1, CHUNK):
         part = data[lo : min(lo + CHUNK + window - 1, int(offsets[-1]))]
-        least = smallest_marks(part, window, mark)
+        h, least = smallest_marks(part, window, mark)
         cut = np.ones(len(least), bool)
         cut[1:] = least[1:] != least[:-1]
         for edge in (offsets - lo, offsets[1:] - window + 1 - lo):
@@ -276,7 +296,8 @@ def pieces_of(offsets: np.ndarray, data: np.ndarray, window: int, mark: int) ->
             starts = np.repeat(starts, whole) + inner * PIECE
         number = np.searchsorted(offsets, starts + lo, side="right") - 1
         kept = starts + lo + window <= offsets[number + 1]
-        yield number[kept], starts[kept] + lo, sizes[kept], least[starts[kept]].view(np.int64)
+        starts, sizes = starts[kept], sizes[kept]
+        yield number[kept], starts + lo, sizes, least[starts].view(np.int64), _twice(h, least, starts, sizes, window - mark + 1)
 
 
 def _piece_rows(window: int, mark: int):
@@ -284,10 +305,10 @@ def _piece_rows(window: int, mark: int):
         for batch in batches:
             docs, (offsets, data) = batch.column("doc"), _buffers(batch.column("body"))
             view = memoryview(data)
-            for number, start, size, key in pieces_of(offsets, data, window, mark):
+            for number, start, size, key, loop in pieces_of(offsets, data, window, mark):
                 content = [_long(hashlib.blake2b(view[s : s + n + window - 1], digest_size=8).digest()) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
-                names = ["doc", "start", "n", "key", "content"]
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(number)), pa.array(start - offsets[number]), pa.array(size), pa.array(key), pa.array(content, pa.int64())], names)
+                names = ["doc", "start", "n", "key", "content", "loop"]
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(number)), pa.array(start - offsets[number]), pa.array(size), pa.array(key), pa.array(content, pa.int64()), pa.array(loop)], names)
 
     return rows
 
@@ -377,10 +398,10 @@ def removed_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, mar
     named = _named(docs, text, window)
     copies = written(named.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")))
     rows = copies.agg(F.sum("copies")).first()[0] or 0
-    pieces = written(named.mapInArrow(_piece_rows(window, mark), "doc binary, start bigint, n bigint, key bigint, content bigint"))
-    keys = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), (F.min("content") != F.max("content")).alias("mixed")).filter("seen > 1")
-    keys = written(keys)
-    met = written(spread_join(pieces, keys, ["key"], "seen", pieces.count()))
+    pieces = written(named.mapInArrow(_piece_rows(window, mark), "doc binary, start bigint, n bigint, key bigint, content bigint, loop boolean"))
+    keys = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), (F.min("content") != F.max("content")).alias("mixed"), F.max("loop").alias("loop")).filter("seen > 1 or loop")
+    keys = written(keys.select("key", "seen", (F.col("mixed") | (F.col("seen") == 1)).alias("mixed")))
+    met = written(spread_join(pieces.drop("loop"), keys, ["key"], "seen", pieces.count()))
     discard(pieces, keys)
     mixed = met.filter("mixed")
     contents = mixed.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start", "n")).alias("s")).select("key", "content", "times", "s.*")

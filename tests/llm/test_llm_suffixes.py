@@ -105,3 +105,10 @@ def test_edge_cases(spark):
     assert rows == {(1, 0), (None, 0), (2, 399)}
     assert {"spans_given", "kept_given", "doc", "copies"} <= set(suffixes.without_repeats(given).columns)
     assert suffixes.without_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["z" * 41, "abcdefg" * 30, "x" + "0123456789abcdefghijklm" * 4 + "y", "q" * 39 + "w" + "q" * 39])
+def test_a_text_that_repeats_within_itself_only(spark, text):
+    """Its hash is in one piece of all documents."""
+    docs = spark.createDataFrame([(0, text), (1, "another text that has nothing in common with it, and is long enough")], SCHEMA)
+    assert digest(suffixes.without_repeats(docs, window=40, mark=8)) == plain([text, "another text that has nothing in common with it, and is long enough"], 40)

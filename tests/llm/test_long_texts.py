@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathloom.llm import jaccard, language, mixing, ogg, packing, pii, quality
+from pathloom.llm import jaccard, language, mixing, ogg, packing, pii, quality, spelling, suffixes
 
 SIZE = int(os.environ.get("LONG_TEXT_BYTES", 3_000_000))
 
@@ -44,6 +44,15 @@ def test_every_operator(docs, spark):
     assert found == {1: 0, 2: 0, 3: 0, 9: -(-(SIZE // 60) // 5000)}
 
 
+def test_words_and_repeats(docs):
+    """The long text is made of lines that differ by a number, so no 400 bytes of it repeat; beside a copy of its half, that half does."""
+    words = {r["word"]: r["n"] for r in spelling.variants(docs).collect()}
+    assert words["house"] > 0.9 * (SIZE // 60) and "there" not in words
+    half = docs.filter("doc_id = 9").select(F.lit(10).cast("long").alias("doc_id"), F.expr("substring(text, 1, length(text) div 2)").alias("text"))
+    rows = {r["doc_id"]: (r["size"], r["kept"]) for r in suffixes.without_repeats(docs.select("doc_id", "text").unionByName(half)).select("doc_id", F.octet_length("text").alias("size"), F.octet_length("kept").alias("kept")).collect()}
+    assert rows[10][1] == 0 and rows[9][0] - rows[9][1] == rows[10][0] and rows[3] == (0, 0)
+
+
 def test_every_stage(docs, spark):
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
