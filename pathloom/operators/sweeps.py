@@ -324,7 +324,7 @@ _AREAS = f"""{_COMPONENTS},
  sz AS (SELECT image_id, CASE WHEN bool_and(area > 10 AND n < 10) OR count(*) <= 1 THEN 2 ELSE greatest(2, least(100, arg_max(below, (area - below, -below)) FILTER (below IS NOT NULL) + 1)) END::INT AS min_area FROM gp GROUP BY image_id)"""
 _POS = """, bx AS (SELECT image_id, min(y) FILTER (gray <= 150) AS y_min, max(y) FILTER (gray <= 150) AS y_max, max(y) + 1 AS height FROM pixels GROUP BY image_id),
  ps AS (SELECT image_id, height, ceil((y_min / 10.0::DOUBLE + 0.13) / {i}) * {i} - 0.13 AS first, (y_max + 1) / 10.0::DOUBLE AS high FROM bx WHERE y_min IS NOT NULL),
- po AS (SELECT image_id, r::INT AS row, first + r * {i} AS y_mm, least(greatest((first + r * {i}) * 10, 0), height - 1)::DOUBLE AS y_px FROM ps, range(4000) t(r) WHERE r < ceil((high - first) / {i} - 1e-9))"""
+ po AS (SELECT image_id, r::INT AS row, first + r * {i} AS y_mm, least(greatest((first + r * {i}) * 10, 0), height - 1)::DOUBLE AS y_px FROM (SELECT *, unnest(range(greatest(ceil((high - first) / {i} - 1e-9), 0)::BIGINT)) AS r FROM ps))"""
 ORACLE_SQL = {
     "image_sweeps": f"{_SWEEP} SELECT job_id, seq, cmd, round(x, 6) AS x, round(y, 6) AS y, {_TXT} FROM sw",
     "image_segments": f"{_RUNS} SELECT r.image_id AS job_id, r.y, round(lo * 0.1, 6)::DOUBLE AS x0, round(hi * 0.1, 6)::DOUBLE AS x1, string_agg(power, ',' ORDER BY x) AS samples FROM runs r JOIN pw ON pw.image_id = r.image_id AND pw.y = r.y AND x >= lo AND x < hi GROUP BY r.image_id, r.y, lo, hi",

@@ -24,3 +24,9 @@ def test_rings_with_ids_above_a_million(spark, tmp_path, name):
     duckdb.sql(f"copy (select r + (r // 60) * 999900 AS p_partkey, (1 + r % 50)::INT AS p_size from range(120) t(r)) to '{tmp_path}/part.parquet'")
     got, want = both(spark, tmp_path, name)
     assert got == want
+
+
+def test_images_of_many_rows(spark, tmp_path):
+    duckdb.sql(f"copy (select r AS vec_id, 3 AS label, [-0.3, 0.4]::FLOAT[] AS embedding from range(12000) t(r)) to '{tmp_path}/embeddings.parquet'")
+    got, want = both(spark, tmp_path, "scan_positions")
+    assert len(got) == 4800 and got == want
