@@ -250,14 +250,18 @@ def containment_groups(tree: DataFrame) -> DataFrame:
 
 
 def cleared_cells(df: DataFrame, radius: float, size: float) -> DataFrame:
-    """Cells whose centre a disc of ``radius`` sweeps along the cuts, per job: ``cells`` and their area."""
+    """Cells whose centre a disc of ``radius`` sweeps along the cuts, its edge included, per job: ``cells`` and their area.
+
+    Centres beside a cut count by their distance from its line, all others by that from the nearer end as given."""
     rows = ops.with_previous(df).filter(is_("LINE_TO") & F.col("px").isNotNull())
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / size), F.floor((F.greatest(a, b) + radius) / size))
     cells = rows.withColumn("cx", F.explode(span("px", "x"))).withColumn("cy", F.explode(span("py", "y")))
-    from pathloom.functions.geometry import on_segment
-
-    d2 = on_segment((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("px"), F.col("py"), F.col("x"), F.col("y"))[3]
-    return cells.filter(d2 <= radius * radius).select("job_id", "cx", "cy").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * size * size).alias("area"))
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    at = [((F.col(f"c{c}") + 0.5) * size) for c in "xy"]
+    ux, uy, vx, vy = at[0] - F.col("px"), at[1] - F.col("py"), at[0] - F.col("x"), at[1] - F.col("y")
+    n, along, across, r2 = dx * dx + dy * dy, ux * dx + uy * dy, ux * dy - uy * dx, F.lit(float(radius * radius))
+    near = F.when((n < 1e-18) | (along <= 0), ux * ux + uy * uy <= r2).when(along >= n, vx * vx + vy * vy <= r2).otherwise(across * across <= r2 * n)
+    return cells.filter(near).select("job_id", "cx", "cy").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * size * size).alias("area"))
 
 
 def _q(f, *names):
@@ -294,7 +298,8 @@ ORACLE_SQL = {
     "cleared_cells": f"""{cte('commands')}, p AS (SELECT *, {_lag('x')} AS px, {_lag('y')} AS py FROM commands), l AS (SELECT * FROM p WHERE cmd = 'LINE_TO' AND px IS NOT NULL),
  c AS (SELECT l.*, unnest(range(floor((least(px, x) - 2) / 2)::BIGINT, floor((greatest(px, x) + 2) / 2)::BIGINT + 1)) AS cx FROM l),
  d AS (SELECT c.*, unnest(range(floor((least(py, y) - 2) / 2)::BIGINT, floor((greatest(py, y) + 2) / 2)::BIGINT + 1)) AS cy FROM c),
- t AS (SELECT *, CASE WHEN (x - px) ** 2 + (y - py) ** 2 < 1e-18 THEN 0 ELSE least(1, greatest(0, ((cx * 2 + 1 - px) * (x - px) + (cy * 2 + 1 - py) * (y - py)) / ((x - px) ** 2 + (y - py) ** 2))) END AS t FROM d),
- u AS (SELECT DISTINCT job_id, cx, cy FROM t WHERE (cx * 2 + 1 - px - t * (x - px)) ** 2 + (cy * 2 + 1 - py - t * (y - py)) ** 2 <= 4)
+ t AS (SELECT *, (x - px) * (x - px) + (y - py) * (y - py) AS n, (cx * 2 + 1 - px) * (x - px) + (cy * 2 + 1 - py) * (y - py) AS along, (cx * 2 + 1 - px) * (y - py) - (cy * 2 + 1 - py) * (x - px) AS across FROM d),
+ u AS (SELECT DISTINCT job_id, cx, cy FROM t WHERE CASE WHEN n < 1e-18 OR along <= 0 THEN (cx * 2 + 1 - px) * (cx * 2 + 1 - px) + (cy * 2 + 1 - py) * (cy * 2 + 1 - py) <= 4
+  WHEN along >= n THEN (cx * 2 + 1 - x) * (cx * 2 + 1 - x) + (cy * 2 + 1 - y) * (cy * 2 + 1 - y) <= 4 ELSE across * across <= 4 * n END)
  SELECT job_id, count(*) AS cells, count(*) * 4.0::DOUBLE AS area FROM u GROUP BY job_id""",
 }
