@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from pathloom.operators import curves, iterative
+from pathloom.operators import commands, curves, iterative
 
+WHOLE = [("signup", 3.0, 8), ("view", 0.0, 8), ("click", 9.0, 8), ("x", 0.0, 60)]  # an arc from and to direction pi
 BACK = [("x", 0.0, 15), ("signup", 9.0, 20), ("click", 3.0, 20), ("click", 8.0, 20)]  # there and back along x
 TOUCH = [("signup", 5.12, 9), ("click", 37.0, 15)]  # ends at an odd whole number, two radii from centres
 
@@ -29,6 +30,7 @@ def both(spark, folder, module, name, jobs):
 @pytest.mark.parametrize(("module", "name", "jobs"), [
     (iterative, "cleared_cells", [[("signup", round(0.07 * i + 0.01, 2), 9), ("click", 37.0, 11 + i % 7 * 2)] for i in range(60)] + [TOUCH]),
     (curves, "blade_offset", [BACK, BACK[:1] + [("signup", 1.0, 20), ("click", 9.0, 20), ("click", 4.0, 20), ("click", 11.0, 20)]]),
+    (commands, "job_costing", [WHOLE]),
 ])
 def test_query_is_its_sql(spark, tmp_path, module, name, jobs):
     found, wanted = both(spark, tmp_path, module, name, jobs)
