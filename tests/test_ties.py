@@ -31,6 +31,7 @@ def both(spark, folder, module, name, jobs):
     (iterative, "cleared_cells", [[("signup", round(0.07 * i + 0.01, 2), 9), ("click", 37.0, 11 + i % 7 * 2)] for i in range(60)] + [TOUCH]),
     (curves, "blade_offset", [BACK, BACK[:1] + [("signup", 1.0, 20), ("click", 9.0, 20), ("click", 4.0, 20), ("click", 11.0, 20)]]),
     (commands, "job_costing", [WHOLE]),
+    (commands, "index_at_time", [WHOLE + [("x", 0.0, 40)]]),
 ])
 def test_query_is_its_sql(spark, tmp_path, module, name, jobs):
     found, wanted = both(spark, tmp_path, module, name, jobs)
