@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import INTERSECT, hypot
 from pathloom.functions.grid import in_cells, joined
+from pathloom.functions.loops import saved
 from pathloom.functions.windows import ordered, so_far
 from pathloom.operators import commands as ops
 from pathloom.operators.commands import is_, is_moving, rounded
@@ -78,19 +79,23 @@ def ring_segments(rings: DataFrame) -> DataFrame:
     return rows.select("geom_id", "ring_id", "seq", "k", F.lit(1).alias("part"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"), F.col("nx").alias("ex"), F.col("ny").alias("ey"))
 
 
-def meetings(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of pieces of equal ``keys`` that meet, ends included and parallel ones not, once each: all columns of ``ours``, those
-    of ``theirs`` with ``o_`` in front, and the place ``mx, my``. Cells are as large as the mean piece."""
+def meetings(ours: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of pieces of equal ``keys`` that meet, ends included and parallel ones not, once each: all columns of the one, those
+    of the other with ``o_`` in front, and the place ``mx, my``. Cells are as large as the mean piece; pieces are made once and saved."""
+    ours = saved(ours)
     size = max(1e-6, ours.agg(F.avg(hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0] or 1.0)
     box = lambda df, o: in_cells(df, F.least(f"{o}ax", f"{o}bx"), F.least(f"{o}ay", f"{o}by"), F.greatest(f"{o}ax", f"{o}bx"), F.greatest(f"{o}ay", f"{o}by"), size)
-    other = theirs.select(*keys, *[F.col(c).alias(f"o_{c}") for c in theirs.columns if c not in keys])
+    other = ours.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ours.columns if c not in keys])
     pairs = joined(box(ours, ""), box(other, "o_"), *keys)
     ax, ay, bx, by, cx, cy, dx, dy = (F.col(c) for c in ("ax", "ay", "bx", "by", "o_ax", "o_ay", "o_bx", "o_by"))
     den = (ax - bx) * (cy - dy) - (ay - by) * (cx - dx)
     safe = F.nullif(den, F.lit(0.0))
     t = ((ax - cx) * (cy - dy) - (ay - cy) * (cx - dx)) / safe
     u = -((ax - bx) * (ay - cy) - (ay - by) * (ax - cx)) / safe
-    return pairs.filter((F.abs(den) >= 1e-9) & t.between(0, 1) & u.between(0, 1)).withColumns({"mx": ax + (bx - ax) * t, "my": ay + (by - ay) * t})
+    # as a generated row, so that the optimizer does not copy these into every use of them in the join's condition
+    met = pairs.select("*", F.inline(F.array(F.struct(F.abs(den).alias("__den"), t.alias("__t"), u.alias("__u")))))
+    met = met.filter((F.col("__den") >= 1e-9) & F.col("__t").between(0, 1) & F.col("__u").between(0, 1))
+    return met.withColumns({"mx": ax + (bx - ax) * F.col("__t"), "my": ay + (by - ay) * F.col("__t")}).drop("__den", "__t", "__u")
 
 
 def self_crossings(pieces: DataFrame, keys: list[str], touching: bool = False) -> DataFrame:
@@ -99,7 +104,7 @@ def self_crossings(pieces: DataFrame, keys: list[str], touching: bool = False) -
     Pieces of one command do not count, nor does the point that a command shares with the next one. Elsewhere a meeting
     at an end of a piece counts only where ``touching``.
     """
-    met = meetings(pieces, pieces, keys).filter("k < o_k")
+    met = meetings(pieces, keys).filter("k < o_k")
     near = lambda x, y: (F.col("mx") - F.col(x)) ** 2 + (F.col("my") - F.col(y)) ** 2 < INTERSECT
     at_end = near("ax", "ay") | near("bx", "by") | near("o_ax", "o_ay") | near("o_bx", "o_by")
     counts = F.when(F.col("o_k") == F.col("k") + 1, ~near("ex", "ey")).otherwise(F.lit(True) if touching else ~at_end)
@@ -109,7 +114,7 @@ def self_crossings(pieces: DataFrame, keys: list[str], touching: bool = False) -
 def path_meetings(pieces: DataFrame, keys: list[str], path: str) -> DataFrame:
     """Pairs of different paths of equal ``keys`` that meet anywhere, their ends included: ``keys, path, other``."""
     rows = pieces.select(*keys, path, "ax", "ay", "bx", "by")
-    return meetings(rows, rows, keys).filter(F.col(path) < F.col(f"o_{path}")).select(*keys, path, F.col(f"o_{path}").alias("other")).distinct()
+    return meetings(rows, keys).filter(F.col(path) < F.col(f"o_{path}")).select(*keys, path, F.col(f"o_{path}").alias("other")).distinct()
 
 
 # Queries and their SQL ----------------------------------------------------------------------------------------------

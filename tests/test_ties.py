@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from pathloom.operators import commands, curves, iterative
+from pathloom.operators import commands, curves, iterative, structure
 
 WHOLE = [("signup", 3.0, 8), ("view", 0.0, 8), ("click", 9.0, 8), ("x", 0.0, 60)]  # an arc from and to direction pi
 BACK = [("x", 0.0, 15), ("signup", 9.0, 20), ("click", 3.0, 20), ("click", 8.0, 20)]  # there and back along x
@@ -36,3 +36,13 @@ def both(spark, folder, module, name, jobs):
 def test_query_is_its_sql(spark, tmp_path, module, name, jobs):
     found, wanted = both(spark, tmp_path, module, name, jobs)
     assert found == wanted and found
+
+
+@pytest.mark.parametrize("name", ["path_meetings"])
+def test_pieces_of_paths_are_made_once(spark, tmp_path, name):
+    """The pairs read saved pieces, whose size is known, and not plans of their windows."""
+    jobs = [[("signup", 1.0, 10), ("click", 9.0, 20), ("click", 1.0, 20), ("click", 9.0, 10), ("signup", 5.0, 5), ("click", 5.0, 30)]]
+    found, wanted = both(spark, tmp_path, structure, name, jobs)
+    assert found == wanted and found
+    plan = structure.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Relation") == 2
