@@ -38,7 +38,7 @@ def test_query_is_its_sql(spark, tmp_path, module, name, jobs):
     assert found == wanted and found
 
 
-@pytest.mark.parametrize("name", ["path_meetings"])
+@pytest.mark.parametrize("name", ["path_meetings", "path_self_crossings"])
 def test_pieces_of_paths_are_made_once(spark, tmp_path, name):
     """The pairs read saved pieces, whose size is known, and not plans of their windows."""
     jobs = [[("signup", 1.0, 10), ("click", 9.0, 20), ("click", 1.0, 20), ("click", 9.0, 10), ("signup", 5.0, 5), ("click", 5.0, 30)]]
