@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def hull(points: np.ndarray) -> np.ndarray:
         return p
     def half(rows):  # noqa: E306
         out: list = []
-        for q in rows:
+        for q in rows.tolist():
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(q)
@@ -33,21 +34,33 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def convex_hulls(points: DataFrame, key: str) -> DataFrame:
-    """Hull of each group of ``points(key, x, y)``: hulls of the parts that a task sees, then hulls of hulls.
+    """Hull of each group of ``points(key, x, y)``: hulls of the parts that a batch holds, then hulls of hulls, batches of groups at a time.
 
     A group's raw points never meet in one task; what meets are the few corners of its parts' hulls.
     """
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: E306
-        for batch in batches:
-            for k, g in batch.groupby(key, dropna=False):
-                yield pd.DataFrame(hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(**{key: k})[[key, "x", "y"]].astype({key: "Int64"})
-
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        h = hull(group[["x", "y"]].to_numpy())
-        return pd.DataFrame({key: pd.Series([group[key].iloc[0]] * len(h), dtype="Int64"), "i": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
-
-    parts = points.select(F.col(key).cast("long").alias(key), "x", "y").mapInPandas(partial, f"{key} long, x double, y double")
-    return parts.groupBy(key).applyInPandas(whole, f"{key} long, i long, x double, y double")
+    def hulls(batches: Iterator[pa.RecordBatch], listed: bool) -> Iterator[pa.RecordBatch]:  # noqa: E306
+        for b in batches:
+            keys, at = b.column(0), b.column(1).flatten() if listed else None
+            xy = np.column_stack([(c.cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in ((at.field(0), at.field(1)) if listed else (b.column(1), b.column(2)))])
+            if listed:  # a row is a group
+                ends, which = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False)), np.arange(len(keys))
+                parts = np.split(xy, ends[:-1])
+            else:  # equal keys of the batch are a group
+                null, ids = keys.is_null().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy(zero_copy_only=False)
+                order = np.lexsort((ids, null))
+                first = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(null[order].astype(int)) != 0)][: len(ids)])
+                parts, which = np.split(xy[order], first[1:]), order[first]
+            shapes = [hull(p) for p in parts if len(p)]
+            if shapes:
+                sizes = [len(h) for h in shapes]
+                corners = np.concatenate(shapes)
+                out = {key: keys.take(pa.array(np.repeat(which, sizes))), "i": pa.array(np.concatenate([np.arange(n) for n in sizes])), "x": pa.array(corners[:, 0], from_pandas=True), "y": pa.array(corners[:, 1], from_pandas=True)}
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = f"{key} long, i long, x double, y double"
+    parts = points.select(F.col(key).cast("long").alias(key), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInArrow(lambda batches: hulls(batches, False), schema)
+    corners = parts.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("corners"))
+    return corners.mapInArrow(lambda batches: hulls(batches, True), schema)
 
 
 class Starts:

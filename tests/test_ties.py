@@ -46,3 +46,10 @@ def test_pieces_of_paths_are_made_once(spark, tmp_path, name):
     assert found == wanted and found
     plan = structure.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Relation") == 2
+
+
+def test_hulls_keep_large_keys_beside_null(spark):
+    big = 2**53 + 1
+    rows = [(None, 1.0, 2.0), (None, 3.0, 2.0), (None, 2.0, 5.0), (None, 2.0, 3.0), (big, 1.0, 1.0), (big, 2.0, 2.0), (big, 3.0, 3.0)]
+    found = iterative.convex_hulls(spark.createDataFrame(rows, "k long, x double, y double").coalesce(1), "k").collect()
+    assert sorted((r.k or 0, r.i, r.x, r.y) for r in found) == [(0, 0, 1.0, 2.0), (0, 1, 3.0, 2.0), (0, 2, 2.0, 5.0), (big, 0, 1.0, 1.0), (big, 1, 3.0, 3.0)]
