@@ -112,9 +112,12 @@ class Scheme:
 
     ``kind`` subsets: the finest partition, single shingles in hash order; any ``t`` of a set's first ones. ``kind``
     groups: ``n1`` groups of ``n2`` partitions (equal ranges of the hashed domain), in each all subsets of n2 - k2 of
-    them. With n1 * (k2 + 1) > k some group has at most k2 differences, so one of its subsets agrees; ``spare`` more
-    groups let signatures without any shingle be left out, unless a set has more groups with such than spare ones.
-    For large k fewer partitions than differences do: at least one agrees but for a chance below exp(-safe).
+    them. With n1 * (k2 + 1) > k some group has at most k2 differences, so one of its subsets agrees; as there are
+    ``spare`` more groups, at least spare + 1 agree. So signatures of frequent shingles only (``late``) are left out, unless
+    a set has more groups with such than spare ones; then those without any shingle, under the same condition. Content
+    tells which these are, so of the agreeing groups one at least is left that both sets send.
+    For large k fewer partitions than differences do: at least one agrees but for a chance below exp(-safe). There only
+    signatures without any shingle are left out.
     """
 
     def __init__(self, number: int, low: int, high: int, safe: float = SAFE):
@@ -146,7 +149,8 @@ class Scheme:
         salts = np.arange(self.n1 * len(self.subsets), dtype=np.uint64).reshape(len(self.subsets), self.n1)
         self.salts = _mix(salts * _U(1 << 20) + _U(number * 2 + 1), 3)
 
-    def signatures(self, s: np.ndarray, mixed: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    def signatures(self, s: np.ndarray, mixed: np.ndarray, order: np.ndarray | None = None, rare: np.ndarray | None = None) -> np.ndarray:
+        """Signatures of the sorted set; ``order`` of its first shingles, and ``rare``: which of its shingles are not frequent."""
         if self.kind == "subsets":
             size = len(s)
             first = size - -(-size * PERCENT // 100) + self.t
@@ -160,15 +164,19 @@ class Scheme:
         ends = np.concatenate([[0], cuts, [len(s)]])
         sums = np.concatenate([[_U(0)], np.cumsum(mixed)])
         part = (sums[ends[1:]] - sums[ends[:-1]]).reshape(self.n1, self.n2)
-        size = np.diff(ends).reshape(self.n1, self.n2)
-        if self.n2 == 1:
-            content, filled = part.T, size.T > 0
-        else:
-            content = np.stack([part[:, c].sum(axis=1) for c in self.subsets])
-            filled = np.stack([size[:, c].sum(axis=1) for c in self.subsets]) > 0
+        content = part.T if self.n2 == 1 else np.stack([part[:, c].sum(axis=1) for c in self.subsets])
         signs = _mix(content + self.salts, 4)
-        weak = int((~filled).any(axis=0).sum())
-        return signs.ravel() if weak > self.spare else signs[filled]
+
+        def counted(upto: np.ndarray) -> np.ndarray:
+            size = np.diff(upto[ends]).reshape(self.n1, self.n2)
+            return (size.T if self.n2 == 1 else np.stack([size[:, c].sum(axis=1) for c in self.subsets])) > 0
+
+        if rare is not None and self.spare < self.n1:
+            telling = counted(np.concatenate([[0], np.cumsum(rare)]))
+            if (~telling).any(axis=0).sum() <= self.spare:
+                return signs[telling]
+        filled = counted(np.arange(len(s) + 1))
+        return signs.ravel() if (~filled).any(axis=0).sum() > self.spare else signs[filled]
 
 
 @lru_cache(64)
@@ -192,9 +200,14 @@ def band(size: int) -> int:
     return number
 
 
+def is_late(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which of the set's shingles are among the sorted ``late``."""
+    return late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), dtype=bool)
+
+
 def late_order(s: np.ndarray, late: np.ndarray) -> np.ndarray:
     """Places of the set's shingles in the order of their hashes, those among the sorted ``late`` behind all others."""
-    frequent = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), dtype=bool)
+    frequent = is_late(s, late)
     return np.concatenate([np.flatnonzero(~frequent), np.flatnonzero(frequent)])
 
 
@@ -208,9 +221,10 @@ def signatures(s: np.ndarray, safe: float = SAFE, late: np.ndarray | None = None
     mixed, own = _mix(s, 0), band(len(s))
     small = any(_scheme(b, safe).kind == "subsets" for b in (own, max(0, own - 1)))
     order = late_order(s, late) if small and late is not None else None
-    out = [_scheme(own, safe).signatures(s, mixed, order)]
+    rare = ~is_late(s, late) if late is not None and len(late) else None
+    out = [_scheme(own, safe).signatures(s, mixed, order, rare)]
     if own and len(s) * PERCENT <= _scheme(own - 1).high * 100:
-        out.append(_scheme(own - 1, safe).signatures(s, mixed, order))
+        out.append(_scheme(own - 1, safe).signatures(s, mixed, order, rare))
     return np.concatenate(out)
 
 

@@ -316,6 +316,24 @@ def test_sets_at_the_limit_share_a_signature(n):
         assert not differing or len(np.intersect1d(jaccard.signatures(a, jaccard.SAFE, late), jaccard.signatures(b, jaccard.SAFE, late)))
 
 
+@pytest.mark.parametrize("n", [60, 100, 140, 240, 280])
+def test_a_passage_of_many_documents_makes_no_signature(n):
+    """Sets with a quarter of frequent shingles share none but by others; those at the limit still share one, whichever are frequent."""
+    rng = np.random.default_rng(n)
+    draw = lambda k: rng.integers(0, 1 << 64, size=k, dtype=np.uint64)
+    passage = np.sort(draw(n // 4))
+    sent = [jaccard.signatures(np.unique(np.concatenate([passage, draw(n - len(passage))])), jaccard.SAFE, passage) for _ in range(60)]
+    times = np.unique(np.concatenate(sent), return_counts=True)[1]
+    assert times.max() <= 20  # of 60
+    for _ in range(60):
+        both = -(-8 * n // 9)
+        a, b = (np.unique(np.concatenate([shared, draw(n - both)])) for shared in [draw(both)] for _ in range(2))
+        for share in (0.1, 0.2, 0.4):
+            late = np.sort(rng.choice(np.union1d(a, b), size=int(n * share), replace=False))
+            for safe in (jaccard.SAFE, jaccard.EXACT):
+                assert len(np.intersect1d(jaccard.signatures(a, safe, late), jaccard.signatures(b, safe, late)))
+
+
 def test_first_fit_decreasing_is_the_plain_one():
     rng = random.Random(2)
     for n in (0, 1, 2, 50, 300):
