@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.geometry import hypot
 from pathloom.functions.grid import in_cells, joined
-from pathloom.functions.loops import saved
+from pathloom.functions.loops import discard, saved
 from pathloom.operators.commands import rounded
 from pathloom.sources.derive import cte, table
 
+#: Vertices that a cell of the Laplace field should have; a cell with over twice as many is crowded.
+CELL_NODES = 800
+
 
 def sides(tris: DataFrame) -> DataFrame:
     """The three edges of each triangle, ends in order."""
@@ -61,19 +66,85 @@ def long_edges(tris: DataFrame, verts: DataFrame, longest: float) -> DataFrame:
     return rows.select("u", "v", ((F.col("ux") + F.col("vx")) / 2).alias("x"), ((F.col("uy") + F.col("vy")) / 2).alias("y"))
 
 
-def laplace(tris: DataFrame, verts: DataFrame, tolerance: float = 1e-8, most: int | None = None) -> DataFrame:
-    """Field that is 1 on OUTER, 0 on INNER vertices and harmonic elsewhere, by conjugate gradients.
+def _eliminated(i: np.ndarray, j: np.ndarray, k: np.ndarray, inner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of the inner rows of a cell for every column of ``right``: entries ``i, j, k`` among the sorted nodes ``inner``.
+
+    Where nothing holds a part of the cell, its solution is the smallest one, as that of conjugate gradients from 0."""
+    a = np.zeros((len(inner), len(inner)))
+    np.add.at(a, (np.searchsorted(inner, i), np.searchsorted(inner, j)), k)
+    try:
+        low = np.diag(np.linalg.cholesky(a))
+        if low.min() ** 2 > 1e-11 * np.abs(np.diag(a)).max():
+            return np.linalg.solve(a, right)
+    except np.linalg.LinAlgError:
+        pass
+    e, v = np.linalg.eigh((a + a.T) / 2)
+    good = e > 1e-11 * max(e.max(), 1e-300)
+    return (v[:, good] / e[good]) @ (v[:, good].T @ right)
+
+
+def _condensed(g: pd.DataFrame) -> pd.DataFrame:
+    """What a cell's inner nodes add to the matrix ``i, j, k`` of the nodes between cells, and to their right sides (``side``)."""
+    inner, edge = np.unique(g["i"].to_numpy()), np.unique(g.loc[g["kind"] == 1, "j"].to_numpy())
+    own, across, given = (g[g["kind"] == n] for n in range(3))
+    out = np.zeros((len(inner), len(edge) + 1))
+    np.add.at(out, (np.searchsorted(inner, across["i"]), np.searchsorted(edge, across["j"])), across["k"])
+    np.add.at(out[:, -1], np.searchsorted(inner, given["i"]), given["k"])
+    added = -(out[:, :-1].T @ _eliminated(own["i"], own["j"], own["k"], inner, out))
+    i, side = np.repeat(edge, len(edge) + 1), np.tile(np.r_[np.zeros(len(edge), dtype=bool), True], len(edge))
+    return pd.DataFrame({"i": i, "j": np.where(side, i, np.tile(np.r_[edge, 0], len(edge))), "k": added.ravel(), "side": side})
+
+
+def _filled(g: pd.DataFrame) -> pd.DataFrame:
+    """The field at a cell's inner nodes, from their entries (``kind`` 0) and right sides (2)."""
+    inner, own, given = np.unique(g["i"].to_numpy()), g[g["kind"] == 0], g[g["kind"] == 2]
+    right = np.zeros((len(inner), 1))
+    np.add.at(right[:, 0], np.searchsorted(inner, given["i"]), given["k"])
+    return pd.DataFrame({"v": inner, "u": _eliminated(own["i"], own["j"], own["k"], inner, right)[:, 0]})
+
+
+def _in_cells(verts: DataFrame) -> DataFrame:
+    """Free vertices with their cell (``i, cx, cy``), cells of about ``CELL_NODES``; of crowded cells, and of vertices without a place, null."""
+    free = verts.filter("tag = 'NONE'").select(F.col("v").alias("i"), "x", "y")
+    left, low, right, top, n = free.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count(F.lit(1))).first()
+    wide, high = (right or 0.0) - (left or 0.0), (top or 0.0) - (low or 0.0)
+    share = min(CELL_NODES / max(n, 1), 1 / 16)  # small meshes have some cells too
+    size = max((wide * high * share) ** 0.5, max(wide, high) * share, 1e-300)
+    cells = free.select("i", F.floor((F.col("x") - F.lit(left)) / size).alias("cx"), F.floor((F.col("y") - F.lit(low)) / size).alias("cy"))
+    few = cells.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= 2 * CELL_NODES).select("cx", "cy", F.lit(True).alias("few"))
+    known = cells.join(few, ["cx", "cy"], "left")
+    return known.select("i", *[F.when(F.col("few"), F.col(c)).alias(c) for c in ("cx", "cy")])
 
-    The matrix times a vector is a join and a sum by row; the vectors are one table, written each round. Rounds stop
-    at the relative residual, which exact sums reach in as many rounds as there are free vertices; a field that is not
-    there after ``most`` (else 400 or ten times the free vertices) is an error. The driver sees two sums a round.
+
+def laplace(tris: DataFrame, verts: DataFrame, tolerance: float = 1e-8, most: int | None = None) -> DataFrame:
+    """Field that is 1 on OUTER, 0 on INNER vertices and harmonic elsewhere: cells are eliminated, conjugate gradients join them.
+
+    A vertex with a neighbour in a smaller cell lies between cells. Within a cell the other ones meet no other cell's, so
+    each cell is solved for them in a task of at most ``2 * CELL_NODES`` nodes, and what it adds to the matrix of the nodes
+    between cells is exact; these are few, and rounds grow with the cells across the mesh, not with its vertices. Nodes of crowded
+    cells all count as between cells. The matrix times a vector is a join and a sum by row; the vectors are one table,
+    written each round. Rounds stop at the relative residual, which exact sums reach in as many rounds as there are nodes; a field that is not
+    there after ``most`` (else 400 or ten times the nodes) is an error. The driver sees two sums a round.
     """
     fixed = verts.filter("tag <> 'NONE'").select(F.col("v").alias("j"), (F.col("tag") == "OUTER").cast("double").alias("u"))
-    free = verts.filter("tag = 'NONE'").select(F.col("v").alias("i"))
-    k = stiffness(tris, verts).join(free, "i", "left_semi")
-    matrix = saved(k.join(free.withColumnRenamed("i", "j"), "j", "left_semi")).persist()
-    right = k.join(fixed, "j").groupBy("i").agg((-F.sum(F.col("k") * F.col("u"))).alias("b"))
-    state = saved(free.join(right, "i", "left").select("i", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"), F.coalesce("b", F.lit(0.0)).alias("p")))
+    cells = saved(_in_cells(verts.select("v", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "tag")))
+    free = cells.select("i")
+    k = saved(stiffness(tris, verts).join(free, "i", "left_semi"))
+    right = saved(k.join(fixed, "j").groupBy("i").agg((-F.sum(F.col("k") * F.col("u"))).alias("b")))
+    at, to = cells, cells.toDF("j", "dx", "dy")
+    rows = saved(k.join(at, "i").join(to, "j"))
+    outside = F.col("cx").isNull() | F.col("dx").isNotNull() & (F.struct("dx", "dy") < F.struct("cx", "cy"))
+    between = saved(rows.filter(outside).select("i").distinct().withColumn("between", F.lit(True)))
+    rows = rows.join(between, "i", "left").join(between.toDF("j", "far"), "j", "left")
+    rows = saved(rows.select("i", "j", "k", "cx", "cy", F.col("between").isNotNull().alias("between"), F.col("far").isNotNull().alias("far")))
+    inner = cells.join(between, "i", "left_anti").filter("cx is not null")
+    given = inner.join(right, "i").select("cx", "cy", F.col("i").cast("long").alias("i"), F.col("i").cast("long").alias("j"), F.col("b").alias("k"), F.lit(2).alias("kind"))
+    own = rows.filter("not between").select("cx", "cy", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "k", F.col("far").cast("int").alias("kind"))
+    added = saved(own.unionByName(given).groupBy("cx", "cy").applyInPandas(_condensed, "i long, j long, k double, side boolean"))
+    matrix = rows.filter("between and far").select("i", "j", "k").unionByName(added.filter("not side").drop("side")).groupBy("i", "j").agg(F.sum("k").alias("k"))
+    matrix = saved(matrix).persist()
+    sums = right.join(between.select("i"), "i", "left_semi").unionByName(added.filter("side").select("i", F.col("k").alias("b"))).groupBy("i").agg(F.sum("b").alias("b"))
+    state = saved(between.select("i").join(sums, "i", "left").select("i", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"), F.coalesce("b", F.lit(0.0)).alias("p")))
     most = max(400, 10 * state.count()) if most is None else most
     rr = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     done = 0
@@ -86,10 +157,14 @@ def laplace(tris: DataFrame, verts: DataFrame, tolerance: float = 1e-8, most: in
         alpha = rr / step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         moved = step.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
         new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = saved(moved.withColumn("p", F.col("r") + F.lit(new / rr) * F.col("p")))
+        before, state = state, saved(moved.withColumn("p", F.col("r") + F.lit(new / rr) * F.col("p")))
+        discard(before, step)
         rr = new
     matrix.unpersist()
-    return state.select(F.col("i").alias("v"), F.col("x").alias("u")).unionByName(fixed.select(F.col("j").alias("v"), "u"))
+    pull = own.filter("kind = 1").join(state.select(F.col("i").alias("j"), "x"), "j").select("cx", "cy", "i", F.col("i").alias("j"), (-F.col("k") * F.col("x")).alias("k"), F.lit(2).alias("kind"))
+    inside = own.filter("kind = 0").unionByName(given).unionByName(pull).groupBy("cx", "cy").applyInPandas(_filled, "v long, u double")
+    found = state.select(F.col("i").alias("v"), F.col("x").alias("u")).unionByName(inside)
+    return free.select(F.col("i").alias("v")).join(found, "v", "left").select("v", F.coalesce("u", F.lit(0.0)).alias("u")).unionByName(fixed.select(F.col("j").alias("v"), "u"))
 
 
 def locate(points: DataFrame, tris: DataFrame, verts: DataFrame, size: float = 2.0) -> DataFrame:

@@ -257,6 +257,22 @@ def test_field_that_does_not_converge_is_an_error(spark):
         mesh.laplace(tris, verts, most=1)
 
 
+def test_field_takes_few_rounds(spark):
+    """Eliminated cells leave fewer rounds than the 54 of all vertices; the field solves its system, a vertex without triangles is 0."""
+    n = 20
+    verts = [(i * n + j, float(j), float(i), "OUTER" if i in (0, n - 1) or j in (0, n - 1) else "INNER" if (i, j) == (10, 10) else "NONE") for i in range(n) for j in range(n)]
+    tris = [t for i in range(n - 1) for j in range(n - 1) for t in ((2 * (i * n + j), i * n + j, i * n + j + 1, i * n + j + n + 1), (2 * (i * n + j) + 1, i * n + j, i * n + j + n + 1, i * n + j + n))]
+    v = spark.createDataFrame([*verts, (n * n, 5.0, 5.0, "NONE")], "v long, x double, y double, tag string")
+    t = spark.createDataFrame(tris, "t long, a long, b long, c long")
+    u = {r["v"]: r["u"] for r in mesh.laplace(t, v, most=42).collect()}
+    k = np.zeros((n * n, n * n))
+    for r in mesh.stiffness(t, v).collect():
+        k[r["i"], r["j"]] = r["k"]
+    x = np.asarray([u[i] for i in range(n * n)])
+    free = [i for i, *_, tag in verts if tag == "NONE"]
+    assert np.abs((k @ x)[free]).max() < 1e-6 and u[210] == 0.0 and u[0] == 1.0 and u[n * n] == 0.0 and len(u) == n * n + 1
+
+
 def test_only_those_that_equal_a_kept_one_are_dropped(spark):
     """A chain 1-2-3-4 of equal pairs keeps 1 and 3: 3 equals only the dropped 2, and 4 equals 3."""
     from pathloom.operators.contours import first_kept
