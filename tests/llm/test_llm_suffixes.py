@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -112,3 +113,17 @@ def test_a_text_that_repeats_within_itself_only(spark, text):
     """Its hash is in one piece of all documents."""
     docs = spark.createDataFrame([(0, text), (1, "another text that has nothing in common with it, and is long enough")], SCHEMA)
     assert digest(suffixes.without_repeats(docs, window=40, mark=8)) == plain([text, "another text that has nothing in common with it, and is long enough"], 40)
+
+
+def test_a_shard_takes_little_memory():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(3000)]
+    pieces = [b" ".join(words[i] for i in rng.integers(0, 3000, 300)) for _ in range(600)]
+    size = sum(map(len, pieces))
+    tracemalloc.start()
+    try:
+        suffixes.repeated_windows(pieces, 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 65 * size
