@@ -59,3 +59,13 @@ def test_no_row_is_made_for_a_pair_of_small_rings(spark, monkeypatch):
     assert spatial.enclosed(rings).count() == 300 * 299 // 2
     assert spatial.overlapping(rings, 1.0).agg(F.sum("area")).first()[0] == sum(4.0 * (1 + r) ** 2 * (299 - r) for r in range(300))
     assert spatial.boundary_distances(rings, 1.5).count() == 299
+
+
+def test_hits_of_rays_are_not_sorted(spark, monkeypatch):
+    rows = [(0, r, k, x * (1.0 + r), y * (1.0 + r)) for r in range(20) for k, (x, y) in enumerate(SQUARE)]
+    rays = spark.createDataFrame([(5, 0, 0.0, 0.0, 1.0, 0.25), (6, 0, 30.0, 3.0, -1.0, 0.0)], "ray_id long, geom_id int, x double, y double, dx double, dy double")
+    plans, keep = [], spatial.saved
+    monkeypatch.setattr(spatial, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    got = {r["ray_id"]: (r["ring_id"], r["hx"], r["hy"]) for r in spatial.ray_hits(rays, spark.createDataFrame(rows, RING)).collect()}
+    assert got == {5: (0, 1.0, 0.25), 6: (19, 20.0, 3.0)}
+    assert plans and all("SortAggregate" not in p for p in plans)
