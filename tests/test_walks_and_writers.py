@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions import loops
 from pathloom.operators import contours, iterative, spatial, structure, textures
 from pathloom.sources import documents
 from pathloom.sources.derive import table
@@ -186,3 +187,18 @@ def test_one_giant_job_is_many_tasks(spark):
     assert most[0] < 0.7 * n and most[1] >= 3
     a, b = long_jobs.job_measures(job, 1000).first().asDict(), commands.job_measures(job).first().asDict()
     assert all(a[k] == pytest.approx(b[k]) for k in b)
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    order = random.Random(2).sample(range(600), 600)
+    rows = [(g, int(a), int(b)) for g in (0, 1) for a, b in zip(order, order[1:], strict=False) if g == 0 or a % 50]
+    monkeypatch.setattr(loops, "contracted", lambda edges, key: edges)  # as where a task can join but few of them
+    nodes = spark.createDataFrame([(g, n) for g in (0, 1) for n in range(601)], "geom_id long, node long")
+    got = {(r["geom_id"], r["node"]): r["label"] for r in loops.component_labels(nodes, spark.createDataFrame(rows, "geom_id long, a long, b long"), "geom_id", 24).collect()}
+    want, parts = {(g, 600): 600 for g in (0, 1)} | {(0, n): 0 for n in range(600)}, [[]]
+    for n in order:
+        parts[-1].append(n)
+        if n % 50 == 0:
+            parts.append([])
+    want |= {(1, n): min(part) for part in parts for n in part}
+    assert got == want
